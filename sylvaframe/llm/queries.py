@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language, mixing, neardup, shards, urls
+from . import decontaminate, fingerprint, language, mixing, neardup, shards, tokenfiles, urls
 from .common import table
 
 
+def op1_mixed_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = tokenfiles.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return tokenfiles.digests(spark, path).withColumnRenamed("id", "doc_id")
+
+
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards.assign(table(spark, sf_dir, "documents"), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -40,6 +47,6 @@ def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_kd_shards, op4_url_words, op5_language_spans, op6_bottom_k, op7_hash_mix, op8_fm_decontaminate, op10_scaled_sketch)}
+QUERIES = {f.__name__: f for f in (op1_mixed_range_coder, op3_kd_shards, op4_url_words, op5_language_spans, op6_bottom_k, op7_hash_mix, op8_fm_decontaminate, op10_scaled_sketch)}
 
 SQL: dict[str, str] = {}
