@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language, mixing, neardup, shards, tokenfiles, urls
+from . import decontaminate, fingerprint, language, masked_lm, mixing, neardup, pii, shards, tokenfiles, urls
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_mixed_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.digests(spark, path).withColumnRenamed("id", "doc_id")
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(table(spark, sf_dir, "documents"), b"surrogates of the query")
+
+
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards.assign(table(spark, sf_dir, "documents"), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -43,10 +47,15 @@ def op8_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return masked_lm.score(docs, masked_lm.fit(docs))
+
+
 def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixed_range_coder, op3_kd_shards, op4_url_words, op5_language_spans, op6_bottom_k, op7_hash_mix, op8_fm_decontaminate, op10_scaled_sketch)}
+QUERIES = {f.__name__: f for f in (op1_mixed_range_coder, op2_pii_surrogates, op3_kd_shards, op4_url_words, op5_language_spans, op6_bottom_k, op7_hash_mix, op8_fm_decontaminate, op9_masked_lm, op10_scaled_sketch)}
 
 SQL: dict[str, str] = {}
