@@ -1 +1 @@
-
+"""Trees, their search, and the estimator."""
