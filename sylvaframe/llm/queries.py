@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language, masked_lm, mixing, neardup, pii, shards, tokenfiles, urls
+from . import decontaminate, fingerprint, language, masked_lm, mixing, neardup, oracles, pii, shards, tokenfiles, urls
 from .common import table
 
 
@@ -58,4 +58,4 @@ def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_mixed_range_coder, op2_pii_surrogates, op3_kd_shards, op4_url_words, op5_language_spans, op6_bottom_k, op7_hash_mix, op8_fm_decontaminate, op9_masked_lm, op10_scaled_sketch)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_bottom_k": oracles.NEARDUP, "op7_hash_mix": oracles.MIXING, "op8_fm_decontaminate": oracles.DECONTAMINATE}
