@@ -346,7 +346,7 @@ def bitmap_runs(spark, sf):
     return bitmaps.runs(_numbered(spark, sf), "c_nationkey", "i", F.col("bit"))
 
 
-@query(f"WITH {_RUNS} SELECT c_nationkey, (min(i) FILTER (WHERE i >= 10))::INTEGER AS following, (max(i) FILTER (WHERE i <= 10))::INTEGER AS preceding FROM x WHERE bit GROUP BY c_nationkey")
+@query(f"WITH {_RUNS} SELECT c_nationkey, coalesce(min(i) FILTER (WHERE i >= 10), -1)::INTEGER AS following, coalesce(max(i) FILTER (WHERE i <= 10), -1)::INTEGER AS preceding FROM x WHERE bit GROUP BY c_nationkey")
 def bitmap_scan(spark, sf):
     return bitmaps.scans(_numbered(spark, sf), "c_nationkey", "i", F.col("bit"), 10)
 
@@ -489,10 +489,10 @@ def rules_table(spark, sf):
 _NARY = TreeModel(Split("l_quantity", ">=", 25, Split("l_quantity", ">=", 40, Leaf("R", 0.1, 0.01), Leaf("A", 0.1, 0.01)), Leaf("N", 0.1, 0.01)))
 
 
-@query("SELECT * FROM (VALUES (CAST(NULL AS INTEGER), 25, 'N'), (25, 40, 'A'), (40, CAST(NULL AS INTEGER), 'R')) AS c(low, high, prediction)")
+@query("SELECT * FROM (VALUES ('-', '25', 'N'), ('25', '40', 'A'), ('40', '-', 'R')) AS c(low, high, prediction)")
 def nary_children(spark, sf):
-    rows = [(c["in"][0], c["in"][1], c["then"]["prediction"]) for c in _NARY.nary()["children"]]
-    return spark.createDataFrame(rows, "low int, high int, prediction string")
+    rows = [(*("-" if x is None else str(x) for x in c["in"]), c["then"]["prediction"]) for c in _NARY.nary()["children"]]
+    return spark.createDataFrame(rows, "low string, high string, prediction string")
 
 
 @query(f"WITH {_PRICED}, b AS (SELECT min(loss) AS loss FROM pr), whole AS (SELECT sum(n) - greatest(sum(n_a), sum(n_n), sum(n_r)) AS loss, sum(n) AS n FROM g) SELECT round(least(whole.loss / n + 0.5, b.loss / n + 1.0), 6) AS objective, CASE WHEN whole.loss / n + 0.5 <= b.loss / n + 1.0 THEN 1 ELSE 2 END AS leaves FROM b, whole")

@@ -37,9 +37,9 @@ def runs(df: DataFrame, by: str, position: str, bit: Column) -> DataFrame:
 
 
 def scans(df: DataFrame, by: str, position: str, bit: Column, at: int) -> DataFrame:
-    """(by, following, preceding): the first set position from ``at`` on, and the last up to it."""
+    """(by, following, preceding): the first set position from ``at`` on, and the last up to it; -1 where there is none."""
     on = df.filter(bit)
-    return on.groupBy(by).agg(F.min(F.when(F.col(position) >= at, F.col(position))).alias("following"), F.max(F.when(F.col(position) <= at, F.col(position))).alias("preceding"))
+    return on.groupBy(by).agg(F.coalesce(F.min(F.when(F.col(position) >= at, F.col(position))), F.lit(-1)).alias("following"), F.coalesce(F.max(F.when(F.col(position) <= at, F.col(position))), F.lit(-1)).alias("preceding"))
 
 
 def partition(df: DataFrame, tests: list[str], positive: list[bool]) -> DataFrame:

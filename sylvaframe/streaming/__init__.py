@@ -13,5 +13,8 @@ def score(stream: DataFrame, model) -> DataFrame:
 
 def drift(stream: DataFrame, model, time: str, every: str = "1 day", late: str = "1 hour") -> DataFrame:
     """(window, prediction, n): how often each class is predicted in each window; late rows wait as long as the watermark."""
-    scored = model.transform(stream.withWatermark(time, late) if stream.isStreaming else stream)
+    if stream.isStreaming:
+        # watermarks need times with a zone
+        stream = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    scored = model.transform(stream)
     return scored.groupBy(F.window(time, every).alias("window"), "prediction").agg(F.count("*").alias("n"))
