@@ -11,7 +11,7 @@ cut.
 
 Defined cases: a null text, an empty one or one without a letter is ``und`` with score 0; without any labelled row all
 texts are ``und``; rows with a null label train nothing; ties go to the label first in code-point order; an empty table
-gives no rows; columns other than id, text and label are ignored (``predict``) or kept (``with_language``).
+gives no rows; columns other than id, text and label are ignored (``predict``) or kept (``accepted``).
 """
 
 from __future__ import annotations
@@ -198,22 +198,28 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", tr
     return Model(langs, logp.astype(np.float32), script >= LEAST_SHARE * np.maximum(script.sum(axis=0), 1))
 
 
-def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple = ()) -> DataFrame:
-    """The kept columns with lang_pred and score."""
+def _predicted(docs: DataFrame, model: Model, text_col: str, keep: list[str]) -> DataFrame:
+    """The kept columns as __k0, __k1, ... with __lang and __score."""
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.logp, model.written))
-    kept = [(f"__k{i}", c) for i, c in enumerate(keep)]
-    types = {c: docs.schema[c].dataType.simpleString() for c in keep}
+    kept = [f"__k{i}" for i in range(len(keep))]
+    types = [docs.schema[c].dataType.simpleString() for c in keep]
 
     def run(batches):
         own = Model(*shared.value)
         for batch in batches:
             for part in tx.slices(batch, "__text", SLICE):
                 names, score = own.predict(part.column("__text"))
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k, _ in kept], pa.array(names, pa.string()), pa.array(score)], names=[*[k for k, _ in kept], "__lang", "__score"])
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in kept], pa.array(names, pa.string()), pa.array(score)], names=[*kept, "__lang", "__score"])
+
+    carried = docs.select(F.col(text_col).alias("__text"), *[F.col(c).alias(k) for k, c in zip(kept, keep)])
+    return carried.mapInArrow(run, ", ".join([*[f"{k} {t}" for k, t in zip(kept, types)], "__lang string", "__score double"]))
 
-    carried = docs.select(F.col(text_col).alias("__text"), *[F.col(c).alias(k) for k, c in kept])
-    out = carried.mapInArrow(run, ", ".join([*[f"{k} {types[c]}" for k, c in kept], "__lang string", "__score double"]))
-    return out.select(*[F.col(k).alias(c) for k, c in kept], F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+def predict(docs: DataFrame, model: Model, *, text_col: str = "text", keep: tuple = ()) -> DataFrame:
+    """The kept columns with lang_pred and score; of clashing names, the new ones stay."""
+    keep = [c for c in keep if c not in ("lang_pred", "score")]
+    out = _predicted(docs, model, text_col, keep)
+    return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -223,4 +229,5 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def accepted(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """The documents that have a language, with their own columns."""
-    return predict(docs, model, text_col=text_col, keep=tuple(docs.columns)).filter(F.col("lang_pred") != UND).select(*docs.columns)
+    keep = docs.columns
+    return _predicted(docs, model, text_col, keep).filter(F.col("__lang") != UND).select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)])

@@ -8,8 +8,8 @@ their gender and script. Because it is a permutation, equal entities get equal s
 different ones different surrogates.
 
 Collision check: a surrogate may still equal an entity that really occurs. Those entities are found by a join of the
-distinct entities with themselves and the permutation is applied again until none is left. Walking a permutation out of
-the set of real entities keeps it one-to-one, so distinctness and coreference hold over the whole corpus.
+distinct entities with themselves, and drawn anew with further keys until the draw is no real entity and nobody else's
+surrogate, so distinctness and coreference hold over the whole corpus.
 
 Defined cases: a null text stays null and an empty one empty, with no entity; very long texts are scanned whole in linear
 time; equal rows give equal results; a format with a single member maps to itself; an empty table gives no rows; other
@@ -30,7 +30,7 @@ from .common import stored
 #: Collided entities up to this many travel with the tasks; beyond it they are joined.
 BROADCAST_WALKED = 100_000
 ROUNDS = 8
-MOST_WALKS = 64
+DRAWS = 16
 
 FIRST_NAMES = {
     ("latin", "f"): "Anna Maria Emma Laura Julia Sofia Clara Elena Lucia Marta Alice Nina Sarah Mary Linda Susan Karen Emily Jane Louise Camille Ingrid Carmen Isabel".split(),
@@ -238,19 +238,24 @@ def _drawn(values: DataFrame, key: bytes, column: str) -> DataFrame:
 
 
 def walked(values: DataFrame, key: bytes) -> DataFrame:
-    """(kind, value, to) of the entities whose first surrogate is a real entity, with the first one that isn't.
-    values: stored distinct entities. An entity alone in its format keeps its value."""
+    """(kind, value, to) of the entities whose surrogate is a real entity: the first of further keyed draws that is no
+    real entity and nobody else's surrogate. values: stored distinct entities. Where a format is so full of real entities
+    that none is found in DRAWS draws, the first surrogate stays: still nobody else's, but a real value."""
     taken = values.select(F.col("value").alias("__v")).distinct()
-    open_ = stored(_drawn(values, key, "value").join(taken, F.col("to") == F.col("__v"), "left_semi"), "collided")
-    done = open_.limit(0)
-    for _ in range(MOST_WALKS):
+    drawn = stored(_drawn(values, key, "value"), "drawn")
+    used = drawn.select(F.col("to").alias("__v"))
+    open_ = stored(drawn.join(taken, F.col("to") == F.col("__v"), "left_semi").select("kind", "value"), "collided")
+    done = drawn.limit(0)
+    for t in range(1, DRAWS + 1):
         if open_.isEmpty():
             break
-        again = stored(_drawn(open_.withColumnRenamed("to", "__at"), key, "__at").drop("__at"), "walk")
-        home = F.col("to") == F.col("value")
-        done = done.unionByName(again.join(taken, F.col("to") == F.col("__v"), "left_anti")).unionByName(again.filter(home))
-        open_ = again.filter(~home).join(taken, F.col("to") == F.col("__v"), "left_semi")
-    return stored(done, "walked")
+        again = stored(_drawn(open_, hashlib.blake2b(b"%d" % t, key=key[:64]).digest(), "value"), "again")
+        free = again.join(taken, F.col("to") == F.col("__v"), "left_anti").join(used, F.col("to") == F.col("__v"), "left_anti")
+        free = free.join(done.select(F.col("to").alias("__v")), F.col("to") == F.col("__v"), "left_anti")
+        won = free.groupBy("to").agg(F.min(F.struct("kind", "value")).alias("x")).select("x.kind", "x.value", "to")
+        done = stored(done.unionByName(won), "redrawn")
+        open_ = stored(open_.join(done.select(F.col("value").alias("__v")), F.col("value") == F.col("__v"), "left_anti"), "collided")
+    return done
 
 
 def replaced(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:

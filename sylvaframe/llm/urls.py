@@ -30,15 +30,21 @@ BLOCKED = "spam farm cheap pills pill casino poker bet betting viagra cialis pha
 ALLOWED = "news blog docs wiki mail shop store school university library museum science health city travel food book books music art history sport sports weather garden family community research data code help support about contact forum photo photos video world local times post press journal review guide home work info team learn open public".split()
 
 
+def _rest(url: str | Column) -> Column:
+    """What follows the first ``://``; else empty."""
+    c = F.col(url) if isinstance(url, str) else url
+    at = F.locate("://", c)
+    return F.coalesce(F.when(at > 0, F.substring(c, at + 3, F.length(c))), F.lit(""))
+
+
 def host_of(url: str | Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
-    found = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(F.coalesce(found, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(F.regexp_extract(_rest(url), r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: str | Column) -> Column:
     """What follows the host up to ``?``, ``#`` or the end; else empty."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.regexp_extract(_rest(url), r"^[^/?#]*(/[^?#]*)", 1)
 
 
 def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
