@@ -132,7 +132,7 @@ class OptimalTree:
             rows = groups.collect()
             bits = np.array([[(r[names[f // WORD]] >> (f % WORD)) & 1 for f in range(k)] for r in rows], bool).reshape(len(rows), k)
             problem = Problem(bits, [[r[f"n{j}"] for j in range(len(classes))] for r in rows], table, penalty, _runs(book))
-            search = Search(problem, look_ahead=c.look_ahead, similar_support=c.similar_support, feature_exchange=c.feature_exchange, continuous_feature_exchange=c.continuous_feature_exchange, cancellation=c.cancellation, rule_list=c.rule_list, time_limit=c.time_limit)
+            search = Search(problem, look_ahead=c.look_ahead, similar_support=c.similar_support, feature_exchange=c.feature_exchange, continuous_feature_exchange=c.continuous_feature_exchange, cancellation=c.cancellation, rule_list=c.rule_list, time_limit=c.time_limit, tolerance=int(Fraction(str(c.uncertainty_tolerance)) * problem.scale))
             cap = int(Fraction(str(c.upperbound)) * problem.scale) if c.upperbound else None
             root, lower, done = search.run(cap)
             nodes = [] if root is None or not c.model_limit else search.all_trees(c.model_limit) if c.model_limit > 1 and done else [root]

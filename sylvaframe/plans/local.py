@@ -58,8 +58,9 @@ class Node:
 
 
 class Search:
-    def __init__(self, problem: Problem, *, look_ahead: bool = True, similar_support: bool = True, feature_exchange: bool = True, continuous_feature_exchange: bool = True, cancellation: bool = True, rule_list: bool = False, time_limit: float = 0, log=None):
-        self.p = problem
+    def __init__(self, problem: Problem, *, look_ahead: bool = True, similar_support: bool = True, feature_exchange: bool = True, continuous_feature_exchange: bool = True, cancellation: bool = True, rule_list: bool = False, time_limit: float = 0, tolerance: int = 0):
+        """tolerance: how far from the optimum, in the problem's integers, the root's tree may be."""
+        self.p, self.tolerance, self.whole = problem, tolerance, np.arange(len(problem.bits)).tobytes()
         # the exchange and support rules compare free subtrees, which a rule list doesn't have
         free = not rule_list
         self.look_ahead, self.similar, self.exchange, self.continuous, self.rule_list = look_ahead, similar_support and free, feature_exchange and free, continuous_feature_exchange and free, rule_list
@@ -67,7 +68,6 @@ class Search:
         self.solved: dict[bytes, Node] = {}
         self.lower: dict[bytes, int] = {}
         self.iterations, self.pruned, self.began = 0, 0, time.monotonic()
-        self.log = log
         span = problem.price.max(axis=1) - problem.price.min(axis=1) if len(problem.price) else np.zeros(0, np.int64)
         self.span = span
 
@@ -133,13 +133,14 @@ class Search:
         if floor >= budget:
             self.lower[key] = floor
             return None
+        slack = self.tolerance if key == self.whole else 0
         useful, lb, ub = self._splits(at)
         total = lb.sum(axis=0)
         keep = ~self._exchanged(at, useful, lb, ub)
         order = [int(k) for k in np.lexsort((useful, total.astype(float))) if keep[k]]
         total = [int(t) for t in total]
         for pos, k in enumerate(order):
-            limit = min(best.cost, budget) if self.look_ahead else best.cost
+            limit = (min(best.cost, budget) if self.look_ahead else best.cost) - slack
             if total[k] >= limit:
                 if self.similar:
                     continue
@@ -196,7 +197,7 @@ class Search:
         top = self.leaf(at).cost + 1 if upper is None else upper + 1
         try:
             root = self.solve(at, top)
-            return root, root.cost if root else self.lower.get(at.tobytes(), top), True
+            return root, max(0, root.cost - self.tolerance) if root else self.lower.get(at.tobytes(), top), True
         except OutOfTime:
             root = self.greedy(at)
             floor = min(root.cost, int(self.p.least.sum()) + 2 * self.p.unit)
