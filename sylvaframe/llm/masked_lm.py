@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
+from .common import stored
 
 SIDE = 2
 DIM = 16
@@ -90,7 +91,7 @@ class Network:
 
     def _members(self, h: np.ndarray, cut: np.ndarray) -> np.ndarray:
         """Member logits of rows sorted by class."""
-        z = np.empty((len(h), self.members), np.float32)
+        z = np.empty((len(h), self.members), h.dtype)
         for k in np.flatnonzero(np.diff(cut)):
             a, b = cut[k], cut[k + 1]
             np.matmul(h[a:b], self.wm[k], out=z[a:b])
@@ -179,7 +180,7 @@ def vocabulary(docs: DataFrame, size: int, text_col: str = "text") -> tuple[np.n
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
     counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "h").limit(size).collect()
+    top = stored(counts.orderBy(F.desc("n"), "h").limit(size), "vocabulary").collect()  # executors merge the tops
     h = np.array([r["h"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], order

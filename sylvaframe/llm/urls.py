@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 LONGEST = 24
 VOCABULARY = 50_000
@@ -108,7 +110,8 @@ def host_words(pages: DataFrame, url_col: str = "url", vocabulary: int = VOCABUL
     """Counts of host words over all URLs: hosts are counted before they are split, so a hot host is one row."""
     hosts = pages.select(host_of(url_col).alias("__host")).groupBy("__host").agg(F.count("*").alias("__n"))
     words = hosts.select(F.explode(F.split("__host", r"[^\p{L}]+")).alias("__w"), "__n").filter("__w <> ''")
-    rows = words.groupBy("__w").agg(F.sum("__n").alias("n")).orderBy(F.desc("n"), "__w").limit(vocabulary).collect()
+    top = words.groupBy("__w").agg(F.sum("__n").alias("n")).orderBy(F.desc("n"), "__w").limit(vocabulary)
+    rows = stored(top, "vocabulary").collect()  # executors merge the tops
     return {r["__w"].lower(): r["n"] for r in rows}
 
 
