@@ -2,17 +2,22 @@
 
 1. A document's set of word shingles is hashed once; its sketch is the ``size`` smallest hashes. Documents with equal
    sets form a class at once (two 64-bit digests of the whole set and its size), and only class representatives go on.
-2. Inverted lists of the retained values generate overlaps. Two sets with a Jaccard similarity of at least t share at
-   least tau retained values, so under any common order of the values the first ``size - tau + 1`` of each sketch have
-   one in common. With the rarest values first, only these go into lists; values held by one class count as places but
-   need no list. tau is exact, ceil(t * n), for sets whose partners' sketches are whole; for larger sets it lies over
-   six standard deviations below the expected overlap.
-3. First each list links its members to its least one only, so a group of any size gives as many pairs as members. Then
-   lists that still touch several components compare members of different components. Pairs inside one component could
-   not change the result and are never made.
-4. The union sketch (the ``size`` smallest values of both) estimates the similarity and filters pairs; the full sets
+2. Inverted lists of the retained values generate overlaps. A list is kept for each two values that stand next to each
+   other in a sketch. Similar sets have many of these in common: where both sketches are whole sets, at least
+   2 * ceil(t * n) - n - 1, for each value that only one set holds parts at most two neighbours; for larger sets the
+   hash order spreads such values at random, and ``common`` lies five standard deviations below the expected number.
+   A set therefore may leave its ``common - 1`` most frequent lists out, and one with fewer shared lists can have no
+   partner. So lists of phrases that all texts share are left out by those that have better ones.
+3. The full sets of listed documents tell which values nobody else has; what is left bounds the size of a partner, and
+   sets without room for one as large as themselves never meet each other. Copies that are edited too much to be linked
+   drop out here, before they form pairs.
+4. First each list links its members to one of them only, so a group of any size gives as many pairs as members. Then
+   lists that still touch several components compare those outside the list's largest component with the members of
+   others; a large component is compared block by block, and only links come out. Pairs inside one component could not
+   change the result and are never made.
+5. The union sketch (the ``size`` smallest values of both) estimates the similarity and filters pairs; the full sets
    of what is left are compared exactly.
-5. Links become components by star contractions.
+6. Links become components by star contractions.
 
 Defined cases: a null text, an empty one and one without words have no shingle and are linked with nothing; a text of
 fewer words than a shingle is one shingle; equal ids count as one document; a null id sorts before all others and stands
@@ -21,9 +26,10 @@ for itself; an empty table gives no rows; other columns are ignored (``groups``)
 
 from __future__ import annotations
 
-import math
+
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +39,14 @@ from .common import stored
 from .graph import components
 
 SIZE = 64
+#: Neighbouring values that two sketches of similar sets share at least: 63 * .64 are expected, with a deviation of 5.2.
+COMMON = 14
+#: Values of the union sketch that both hold at least: 64 * .8 are expected, with a deviation of 3.2.
 TAU = 32
 #: Ids up to this many (16 bytes each) are broadcast; beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
+#: Components of more documents are compared in blocks of this many.
+LARGE, BLOCK = 32, 256
 _NULL = -(1 << 63)
 _SIGN = np.uint64(1 << 63)
 
@@ -82,23 +93,35 @@ def full_sets(docs: DataFrame, *, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, items array<long>")
 
 
-def _index(classes: DataFrame, percent: int, size: int, tau: int) -> DataFrame:
-    """value, node, n: the inverted lists of the rarest retained values that two or more classes hold."""
-    values = classes.select("node", "n", F.explode("sketch").alias("value"))
+def _index(classes: DataFrame, percent: int, size: int, common: int) -> DataFrame:
+    """value, node, n: the inverted lists of neighbouring retained values, the rarest of each class."""
+    keys = F.transform(F.slice("sketch", 2, F.greatest(F.size("sketch") - 1, F.lit(0))), lambda x, i: F.xxhash64(F.col("sketch")[i], x))
+    values = classes.select("node", "n", F.explode(keys).alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1").withColumnRenamed("value", "__v")
     held = values.join(shared, F.col("value") == F.col("__v")).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"))
-    kept = F.least("n", F.lit(size))
-    least = F.when(F.col("n") * 100 <= size * percent, F.floor((F.col("n") * percent + 99) / 100)).otherwise(F.lit(tau))
-    places = kept - least + 1 - (kept - F.size("held"))
+    exact = F.greatest(F.lit(1), 2 * F.ceil(F.col("n") * percent / 100) - F.col("n") - 1)
+    least = F.when(F.col("n") * 100 <= size * percent, exact).otherwise(F.lit(common))
+    places = F.size("held") - least + 1
     return held.withColumn("places", places.cast("int")).filter("places > 0").select("node", "n", F.explode(F.slice("held", 1, F.col("places"))).alias("h")).select(F.col("h.value").alias("value"), "node", "n")
 
 
-def _near(a: str, b: str, percent: int) -> Column:
-    """Sizes that allow the similarity."""
-    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+def _room(sets: DataFrame, percent: int) -> DataFrame:
+    """__i, room: the largest partner that each listed set can have. Values that no other listed set holds can't be
+    shared, and i shared values allow a partner of at most i * (100 + percent) / percent - n."""
+    values = sets.select(F.col("id"), F.size("items").alias("n"), F.explode("items").alias("v"))
+    alone = values.groupBy("v").agg(F.count("*").alias("df"), F.min("id").alias("id")).filter("df = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    sizes = sets.select(F.col("id").alias("__i"), F.size("items").alias("n"))
+    shared = F.col("n") - F.coalesce("alone", F.lit(0))
+    return sizes.join(alone, F.col("id") == F.col("__i"), "left").select("__i", F.floor(shared * (100 + percent) / percent - F.col("n")).alias("room"))
+
 
+def _near(a: str, b: str, percent: int, room_a: str, room_b: str) -> Column:
+    """Sizes and rooms that allow the similarity."""
+    sizes = (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+    return sizes & (F.col(a) <= F.col(room_b)) & (F.col(b) <= F.col(room_a))
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, size: int, tau: int) -> DataFrame:
+
+def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, size: int, tau: int) -> DataFrame:
     """The links (a, b) among candidate pairs: filtered by union sketches, then confirmed on the full sets."""
     side = lambda c: classes.select(F.col("node").alias(f"__{c}"), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     both = pairs.join(side("a"), F.col("a") == F.col("__a")).join(side("b"), F.col("b") == F.col("__b"))
@@ -108,15 +131,50 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
     exact = lambda i: i * 100 >= (F.col("na") + F.col("nb") - i) * percent
     inner = F.size(F.array_intersect("sa", "sb"))
     found = stored(both.withColumn("sure", whole & exact(inner)).filter(F.when(whole, F.col("sure")).otherwise(common >= tau)).select("a", "b", "na", "nb", "sure"), "pairs")
-    ids = found.filter("not sure").select(F.explode(F.array("a", "b")).alias("__n")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = stored(full_sets(docs.join(ids, F.col("id") == F.col("__n"), "left_semi"), k=k), "sets").dropDuplicates(["id"])
     one, two = (sets.select(F.col("id").alias(f"__{c}"), F.col("items").alias(f"i{c}")) for c in "ab")
     met = found.filter("not sure").join(one, F.col("a") == F.col("__a")).join(two, F.col("b") == F.col("__b"))
     return found.filter("sure").select("a", "b").union(met.filter(exact(F.size(F.array_intersect("ia", "ib")))).select("a", "b"))
 
 
-def groups(docs: DataFrame, *, k: int = 5, percent: int = 80, size: int = SIZE, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _blocked(outside: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of each outside node to its large component and to the other nodes outside it. Every two blocks of
+    BLOCK sets are compared in one task, and of a node's links one to each component comes out, so pairs stay inside.
+    outside: node, root, main, members; members: node, root, members."""
+    of = lambda: sets.select(F.col("id").alias("__i"), F.col("items").alias("set"))
+    many = outside.groupBy("main").agg(F.count("*").alias("guests")).select(F.col("main").alias("__m"), "guests")
+    parts = lambda c: F.ceil(c / BLOCK).cast("int")
+    deal = lambda c: F.pmod(F.xxhash64("node"), parts(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
+    guest, host = F.col("guests"), F.col("members") + F.col("guests")
+    all_ = members.select("node", "root", F.col("root").alias("main"), "members").union(outside.select("node", "root", "main", "members"))
+    named = lambda rows, x, y: rows.join(many, F.col("main") == F.col("__m")).select(F.col("node").alias("node"), F.col("root").alias("own"), F.col("main").alias("main"), x.alias("x"), y)
+    guests = named(outside, deal(guest), every(host).alias("y"))
+    hosts = named(all_, deal(host).alias("y0"), every(guest).alias("x0")).select("node", "own", "main", F.col("x0").alias("x"), F.col("x").alias("y"))
+    guests, hosts = (rows.join(of(), F.col("node") == F.col("__i")).select(*[F.col(c).alias(c) for c in ("node", "own", "main", "x", "y", "set")]) for rows in (guests, hosts))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            size = np.array([len(v) for v in right["set"]])
+            values, place = np.unique(np.concatenate(list(right["set"])), return_inverse=True)
+            first = np.cumsum(size) - size
+            nodes, roots = right["node"].to_numpy(), right["own"].to_numpy()
+            for node, root, own in zip(left["node"], left["own"], left["set"]):
+                at = np.searchsorted(values, own)
+                at[at == len(values)] = 0
+                held = np.zeros(len(values), np.int64)
+                held[at[values[at] == own]] = 1
+                inner = np.add.reduceat(held[place], first)
+                hit = np.flatnonzero((100 * inner >= percent * (len(own) + size - inner)) & (roots != root))
+                for other in nodes[hit[np.unique(roots[hit], return_index=True)[1]]]:
+                    out.append((min(node, other), max(node, other)))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    keys = ["main", "x", "y"]
+    return guests.groupBy(*keys).cogroup(hosts.groupBy(*keys)).applyInPandas(compare, "a long, b long")
+
+
+def groups(docs: DataFrame, *, k: int = 5, percent: int = 80, size: int = SIZE, common: int = COMMON, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_shingles, class_id (least id with the same set), component_id (least id reachable), kept."""
     texts = docs.select(_id(id_col).alias("id"), F.col(text_col).alias("text"))
     meta = stored(sketches(docs, k=k, size=size, id_col=id_col, text_col=text_col), "sketches")
@@ -124,23 +182,41 @@ def groups(docs: DataFrame, *, k: int = 5, percent: int = 80, size: int = SIZE,
     nodes = digests.select(F.col("node").alias("__node"), F.col("d1").alias("__d1"), F.col("d2").alias("__d2"))
     classes = meta.join(nodes, (F.col("id") == F.col("__node")) & (F.col("d1") == F.col("__d1")) & (F.col("d2") == F.col("__d2")), "left_semi").select(F.col("id").alias("node"), "n", "sketch").dropDuplicates(["node", "n"])
     classes = stored(classes, "reps")
-    lists = stored(_index(classes, percent, size, tau), "lists")
-
-    least = lists.groupBy("value").agg(F.min_by(F.struct("node", "n"), "node").alias("p")).select(F.col("value").alias("__v"), F.col("p.node").alias("a"), F.col("p.n").alias("__n"))
-    star = lists.join(least, F.col("value") == F.col("__v")).filter((F.col("node") > F.col("a")) & _near("n", "__n", percent)).select("a", F.col("node").alias("b")).distinct()
+    lists = stored(_index(classes, percent, size, common), "lists")
+
+    listed = lists.select(F.col("node").alias("__n")).distinct()
+    listed = F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed
+    sets = stored(full_sets(texts.join(listed, F.col("id") == F.col("__n"), "left_semi"), k=k).dropDuplicates(["id"]), "sets")
+    rooms = stored(_room(sets, percent), "rooms")
+    lists = lists.join(rooms, F.col("node") == F.col("__i")).drop("__i").filter(F.col("room") * 100 >= F.col("n") * percent)
+    lists = stored(lists, "open")
+
+    # the pivot of a list is the set with the most room for its size
+    pivot = F.max_by(F.struct("node", "n", "room"), F.struct(F.col("room") / F.col("n"), -F.col("node")))
+    least = lists.groupBy("value").agg(pivot.alias("p")).select(F.col("value").alias("__v"), F.col("p.node").alias("p"), F.col("p.n").alias("__n"), F.col("p.room").alias("__room"))
+    star = lists.join(least, F.col("value") == F.col("__v")).filter((F.col("node") != F.col("p")) & _near("n", "__n", percent, "room", "__room")).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
     star = stored(star, "star")
-    links = stored(_verified(star, classes, texts, k, percent, size, tau), "starlinks")
+    links = stored(_verified(star, classes, sets, percent, size, tau), "starlinks")
     roots = components(links)
 
-    labelled = lists.join(roots, lists["node"] == roots["node"], "left").select(lists["value"], lists["node"], lists["n"], F.coalesce(roots["root"], lists["node"]).alias("root"))
+    labelled = lists.join(roots, lists["node"] == roots["node"], "left").select(lists["value"], lists["node"], lists["n"], lists["room"], F.coalesce(roots["root"], lists["node"]).alias("root"))
     labelled = stored(labelled, "labelled")
-    torn = labelled.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select(F.col("value").alias("__v"))
-    open_ = labelled.join(torn, F.col("value") == F.col("__v"), "left_semi")
-    left, right = (open_.select(F.col("value").alias(f"v{c}"), F.col("node").alias(c), F.col("n").alias(f"m{c}"), F.col("root").alias(f"r{c}")) for c in "ab")
-    cross = left.join(right, (F.col("va") == F.col("vb")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _near("ma", "mb", percent)).select("a", "b").distinct()
+    # lists that still touch several components: whoever is outside the list's largest one meets the members of others,
+    # or, in blocks, the whole of that one and who else is outside, if it is large
+    whose = labelled.select("node", "root").distinct()
+    large = whose.groupBy("root").agg(F.count("*").alias("members")).filter(F.col("members") > LARGE)
+    sizes = labelled.groupBy("value", "root").agg(F.count("*").alias("c")).groupBy("value").agg(F.count("*").alias("k"), F.max(F.struct("c", "root")).alias("top")).filter("k > 1")
+    sizes = sizes.select(F.col("value").alias("__v"), F.col("top.root").alias("main")).join(large.select(F.col("root").alias("main"), "members"), "main", "left")
+    open_ = stored(labelled.join(sizes, F.col("value") == F.col("__v")).drop("__v"), "open")
+    outside = open_.filter("root <> main")
+    blocks = _blocked(outside.filter("members is not null").select("node", "root", "main", "members").distinct(), whose.join(large, "root"), sets, percent)
+    left, right = (rows.select(F.col("value").alias(f"v{c}"), F.col("node").alias(c), F.col("n").alias(f"m{c}"), F.col("room").alias(f"u{c}"), F.col("root").alias(f"r{c}"), F.col("main").alias(f"main{c}")) for c, rows in (("x", outside.filter("members is null")), ("y", open_.filter("members is null"))))
+    once = (F.col("ry") == F.col("mainy")) | (F.col("x") < F.col("y"))
+    met = left.join(right, (F.col("vx") == F.col("vy")) & (F.col("rx") != F.col("ry")) & once & _near("mx", "my", percent, "ux", "uy"))
+    cross = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     tested = star.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
     cross = stored(cross.join(tested, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_anti"), "cross")
-    more = stored(_verified(cross, classes, texts, k, percent, size, tau), "crosslinks")
+    more = stored(_verified(cross, classes, sets, percent, size, tau), "crosslinks").union(blocks)
     # a document whose rows fall into several classes joins them
     joined = meta.filter("n > 0").groupBy("id").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("lo <> hi").select(F.col("id").alias("__i"))
     same = meta.join(joined, F.col("id") == F.col("__i"), "left_semi").join(digests.withColumnsRenamed({"n": "__n", "d1": "__d1", "d2": "__d2"}), (F.col("n") == F.col("__n")) & (F.col("d1") == F.col("__d1")) & (F.col("d2") == F.col("__d2"))).select(F.col("id").alias("a"), F.col("node").alias("b"))
