@@ -27,6 +27,8 @@ HASH_BITS = 60
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
+#: Sources up to this many travel with the tasks.
+BROADCAST_SOURCES = 100_000
 
 
 def hash60(id_col: str) -> Column:
@@ -82,14 +84,15 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     """The stored metadata of the documents, and each source's size, target and threshold."""
     points = stored(docs.select(F.col(id_col).alias("__id"), F.col(source_col).cast("string").alias("__source"), hash60(id_col).alias("__hash"), word_count(text_col).alias("__size")), "points")
     goal = stored(targets(points.groupBy("__source").agg(F.sum("__size").alias("source_size")), weights, share, most), "goal")
-    return points, thresholds(points, goal)
+    cuts = stored(thresholds(points, goal), "cuts")
+    # a row for each source: broadcast below a counted bound, so that no source meets in one task; else Spark joins
+    return points, F.broadcast(cuts) if cuts.count() <= BROADCAST_SOURCES else cuts
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
     """Per document: size, source_size, target and taken words. Returns id, source, copies too."""
     points, cuts = plan(docs, **options)
-    cuts = cuts.withColumnRenamed("__source", "__s")
-    rows = points.join(cuts, _same("__source", "__s"))
+    rows = points.join(cuts.withColumnRenamed("__source", "__s"), _same("__source", "__s"))
     return rows.select(F.col("__id").alias(options.get("id_col", "doc_id")), F.col("__source").alias("source"), F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * _copies()).alias("taken"), _copies().alias("copies"))
 
 
