@@ -19,14 +19,20 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
+BLOCK = 2048
 EPOCH = 256
 MAGIC = b"SVTK"
 _ONE = 1 << 16
 _TOP = np.uint64(1 << 32)
 _MASK = np.uint64((1 << 32) - 1)
 _W = np.uint64(32)
-_SLOTS = 4096
+_SLOTS = 2048
+#: Places of known ids are found by a hash of so many slots a block; an id that lost its slot is escaped again.
+_FINDER = 8192
+#: Odds p / (1 - p) of a hit rate's upper 10 bits, times 2**16.
+_ODDS = np.array([_ONE * k // (1024 - k) for k in range(1024)], np.int64)
+#: Confidence after a miss and after a hit; 0 means that the entry is replaced.
+_NEXT = np.array([*[c >> 1 for c in range(16)], *[min(c + 1, 15) for c in range(16)]], np.int64)
 
 
 class _Lanes:
@@ -37,15 +43,16 @@ class _Lanes:
         self.lane = np.arange(n)
         self.slot = self.lane * _SLOTS
         self.rate_at = self.lane * 16
-        self.table = [np.zeros(n * _SLOTS, np.int64) for _ in range(2)]
+        wide = np.int32 if vocabulary < 1 << 27 else np.int64
+        self.table = [np.zeros(n * _SLOTS, wide) for _ in range(2)]
         start = np.array([0, *[_ONE * c // (c + 2) for c in range(1, 16)]], np.int64)
         self.rate = [np.tile(start, n) for _ in range(2)]
-        self.known = np.zeros((n, block), np.int64)  # ids in the order in which they were taken in
-        self.count = np.zeros((n, block), np.int64)
+        self.known = np.zeros((n, block), np.int32)  # ids in the order in which they were taken in
+        self.count = np.zeros((n, block), np.int32)
         self.distinct = np.zeros(n, np.int64)
         self.total = np.zeros(n, np.int64)
-        self.upto = np.zeros((n, 1), np.int64)
-        self.pending = np.full((n, EPOCH), -1, np.int64)
+        self.upto = np.zeros((n, 1), np.int32)
+        self.pending = np.full((n, EPOCH), -1, np.int32)
         self.filled = 0
         self.next = 16
         self.prev = np.zeros(n, np.int64)
@@ -56,11 +63,11 @@ class _Lanes:
         prev, prev2 = self.prev[:m], self.prev2[:m]
         at1 = self.slot[:m] + ((prev * 40503) >> 3 & (_SLOTS - 1))
         at2 = self.slot[:m] + ((prev * 40503 + prev2 * 60493) >> 4 & (_SLOTS - 1))
-        v1, v2 = self.table[0][at1], self.table[1][at2]
+        v1, v2 = self.table[0].take(at1).astype(np.int64), self.table[1].take(at2).astype(np.int64)
         r1, r2 = self.rate_at[:m] + (v1 & 15), self.rate_at[:m] + (v2 & 15)
-        p1, p2 = self.rate[0][r1], self.rate[1][r2]
+        p1, p2 = self.rate[0].take(r1), self.rate[1].take(r2)
         base = self.total[:m] + self.distinct[:m] + 1
-        f1, f2 = base * p1 // (_ONE - p1), base * p2 // (_ONE - p2)
+        f1, f2 = (base * _ODDS.take(p1 >> 6)) >> 16, (base * _ODDS.take(p2 >> 6)) >> 16
         id1, id2 = v1 >> 4, v2 >> 4
         same = (id1 == id2) & (f2 > 0)
         f2 += f1 * same
@@ -69,13 +76,14 @@ class _Lanes:
 
     def update(self, m: int, state, ids: np.ndarray) -> None:
         at1, at2, v1, v2, r1, r2, p1, p2 = state
+        fresh = ids << 4 | 1
         for k, (at, v, r, p) in enumerate(((at1, v1, r1, p1), (at2, v2, r2, p2))):
             conf = v & 15
             hit = ((v >> 4) == ids) & (conf > 0)
             p += ((hit * (_ONE - 512) - p) >> 5) * (conf > 0)
             self.rate[k][r] = p
-            half = conf >> 1
-            self.table[k][at] = np.where(hit, v + (conf < 15), np.where(half > 0, v - conf + half, ids << 4 | 1))
+            then = _NEXT.take(hit * 16 + conf)
+            self.table[k][at] = np.where(then > 0, v - conf + then, fresh)
         self.prev2[:m] = self.prev[:m]
         self.prev[:m] = ids
 
@@ -101,7 +109,7 @@ class _Lanes:
         np.add.at(self.count.reshape(-1), lanes * self.block + self.distinct[lanes] + run[lanes, cols] - 1, 1)
         self.distinct[:m] += new.sum(axis=1)
         width = int(self.distinct[:m].max(initial=0))
-        self.upto = np.zeros((m, width + 1), np.int64)
+        self.upto = np.zeros((m, width + 1), np.int32)
         np.cumsum(self.count[:m, :width], axis=1, out=self.upto[:, 1:])
         self.total[:m] = self.upto[:, -1]
         self.pending[:m, : self.filled] = -1
@@ -120,11 +128,13 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int, block: int = BLOCK)
     order = np.argsort(-size, kind="stable")
     n, steps = len(blocks), int(size.max(initial=0))
     lanes = _Lanes(n, block, vocabulary)
-    ids = np.zeros((steps, n), np.int64)
+    ids = np.zeros((steps, n), np.int32)
     for lane, k in enumerate(order):
         ids[: size[k], lane] = blocks[k]
     active = np.searchsorted(-size[order], -np.arange(1, steps + 1), "right")
-    where = np.full((n, vocabulary), -1, np.int16)
+    where = np.zeros(n * _FINDER, np.int16)
+    find, cells = lanes.lane * _FINDER, lanes.lane * block
+    flat, rows = lanes.upto.reshape(-1), lanes.lane
     low, rng = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
     words, at = np.zeros((n, 2 * block + 16 if block < 64 else block + 64), np.uint32), np.zeros(n, np.int64)
 
@@ -151,18 +161,17 @@ def encode_blocks(blocks: list[np.ndarray], vocabulary: int, block: int = BLOCK)
             m = int(active[t])
             if t == lanes.next:
                 lane, new, place = lanes.refresh(t, m)
-                where[lane, new] = place
-            x = ids[t, :m]
+                flat, rows = lanes.upto.reshape(-1), lanes.lane * lanes.upto.shape[1]
+                where[find[lane] + (new.astype(np.int64) * 40503 >> 2 & (_FINDER - 1))] = place + 1
+            x = ids[t, :m].astype(np.int64)
             state, id1, id2, f1, f2, base = lanes.predict(m)
-            i = where[lanes.lane[:m], x].astype(np.int64)
-            held = i >= 0
-            j = np.where(held, i, 0)
-            flat = lanes.upto.reshape(-1)
-            cell = lanes.lane[:m] * lanes.upto.shape[1] + j
+            j = np.maximum(where.take(find[:m] + (x * 40503 >> 2 & (_FINDER - 1))).astype(np.int64) - 1, 0)
+            held = (lanes.known.reshape(-1).take(cells[:m] + j) == x) & (lanes.distinct[:m] > 0)
+            cell = rows[:m] + j
             f12 = f1 + f2
             # the escape stands after the counts
-            lo = f12 + np.where(held, flat[cell], lanes.total[:m])
-            hi = np.where(held, f12 + flat[np.minimum(cell + 1, len(flat) - 1)], f12 + base)
+            lo = f12 + np.where(held, flat.take(cell), lanes.total[:m])
+            hi = np.where(held, f12 + flat.take(cell + 1, mode="clip"), f12 + base)
             by2, by1 = (id2 == x) & (f2 > 0), (id1 == x) & (f1 > 0)
             lo = np.where(by2, 0, np.where(by1, f2, lo))
             hi = np.where(by2, f2, np.where(by1, f12, hi))
@@ -193,8 +202,10 @@ def decode_blocks(coded: list[np.ndarray], size: np.ndarray, vocabulary: int, bl
     low, rng = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
     code = words[start] << _W | words[start + 1]
     at = start + 2
-    ids = np.zeros((steps, n), np.int64)
-    seat = np.zeros((n, 1), np.int64)
+    ids = np.zeros((steps, n), np.int32)
+    seat = np.zeros((n, 1), np.int16)
+    cells = lanes.lane * block
+    flat, rows = lanes.upto.reshape(-1), lanes.lane
 
     def narrow(k, r, lo, hi):
         a = low[k] + r * lo.astype(np.uint64)
@@ -214,8 +225,9 @@ def decode_blocks(coded: list[np.ndarray], size: np.ndarray, vocabulary: int, bl
             m = int(active[t])
             if t == lanes.next:
                 lanes.refresh(t, m)
+                flat, rows = lanes.upto.reshape(-1), lanes.lane * lanes.upto.shape[1]
                 # the place that owns each unit of the cumulative counts
-                seat = np.zeros((m, max(1, int(lanes.total[:m].max(initial=0)))), np.int64)
+                seat = np.zeros((m, max(1, int(lanes.total[:m].max(initial=0)))), np.int16)
                 width = lanes.upto.shape[1] - 1
                 if width:
                     row, col = np.nonzero(lanes.count[:m, :width] > 0)
@@ -229,13 +241,12 @@ def decode_blocks(coded: list[np.ndarray], size: np.ndarray, vocabulary: int, bl
             u = v - f12
             by2, by1 = v < f2, (v >= f2) & (u < 0)
             held = (u >= 0) & (u < lanes.total[:m])
-            j = seat.reshape(-1)[lanes.lane[:m] * seat.shape[1] + np.where(held, u, 0)]
-            cell = lanes.lane[:m] * lanes.upto.shape[1] + np.where(held, j, 0)
-            flat = lanes.upto.reshape(-1)
-            lo = np.where(by2, 0, np.where(by1, f2, f12 + np.where(held, flat[cell], lanes.total[:m])))
-            hi = np.where(by2, f2, np.where(by1, f12, np.where(held, f12 + flat[np.minimum(cell + 1, len(flat) - 1)], total)))
+            j = seat.reshape(-1).take(lanes.lane[:m] * seat.shape[1] + u * held).astype(np.int64) * held
+            cell = rows[:m] + j
+            lo = np.where(by2, 0, np.where(by1, f2, f12 + np.where(held, flat.take(cell), lanes.total[:m])))
+            hi = np.where(by2, f2, np.where(by1, f12, np.where(held, f12 + flat.take(cell + 1, mode="clip"), total)))
             narrow(slice(0, m), r, lo, hi)
-            x = np.where(by2, id2, np.where(by1, id1, lanes.known[lanes.lane[:m], np.where(held, j, 0)]))
+            x = np.where(by2, id2, np.where(by1, id1, lanes.known.reshape(-1).take(cells[:m] + j).astype(np.int64)))
             raw = np.flatnonzero(u >= lanes.total[:m])
             if len(raw):
                 r = rng[raw] // np.uint64(vocabulary)

@@ -32,7 +32,7 @@ from . import rangecoder as rc
 from .common import shared_dir
 
 LANES = 2048
-CACHE_CHARS = 48 << 20
+CACHE_CHARS = 32 << 20
 END = 2
 
 
@@ -50,24 +50,44 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("ABC") == "abc"
+        self.mark = "<|endoftext|>"
+        self.mark_id = self.tokenizer.token_to_id(self.mark)
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
         self.flat, self.first, self.chars = array("I"), array("q", [0]), 0
 
+    def _learn(self, new: list[str]) -> None:
+        """Tokenize words not held yet: many at once, apart by a special token that none of them holds, else one by one."""
+        odd = new if self.mark_id is None else [w for w in new if "<|" in w]
+        plain = [] if self.mark_id is None else [w for w in new if "<|" not in w]
+        for i in range(0, len(plain), 2048):
+            part = plain[i : i + 2048]
+            ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, np.uint32)
+            at = np.flatnonzero(ids == self.mark_id)
+            if len(at) != len(part) - 1:
+                odd += part
+                continue
+            self._hold(part, ids[ids != self.mark_id], np.diff(np.r_[-1, at, len(ids)]) - 1)
+        for i in range(0, len(odd), 2048):
+            part = odd[i : i + 2048]
+            found = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
+            self._hold(part, np.array([x for ids in found for x in ids], np.uint32), np.array([len(x) for x in found], np.int64))
+
+    def _hold(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.place.update(zip(words, range(len(self.first) - 1, len(self.first) - 1 + len(words))))
+        self.first.frombytes((len(self.flat) + np.cumsum(size)).astype(np.int64).tobytes())
+        self.flat.frombytes(ids.astype(np.uint32).tobytes())
+        self.chars += sum(map(len, words)) + 16 * len(words)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.chars > CACHE_CHARS:
             self._clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split) - self.place.keys()) if split else []
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.place[word] = len(self.first) - 1
-                self.flat.extend(e.ids)
-                self.first.append(len(self.flat))
-                self.chars += len(word) + 16
+        # the tokenizer lower-cases; doing so first makes fewer words differ, but must not make a special token
+        split = [(t.lower() if self.lowers and t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
+        self._learn(list(set().union(*split) - self.place.keys()) if split else [])
         flat = np.array(self.flat, np.uint32)
         first = np.array(self.first, np.int64)
         count = [len(s) for s in split]
