@@ -3,9 +3,10 @@
 1. A document's set of word shingles is hashed once; its sketch is the ``size`` smallest hashes. Documents with equal
    sets form a class at once (two 64-bit digests of the whole set and its size), and only class representatives go on.
 2. Inverted lists of the retained values generate overlaps. A list is kept for each two values that stand next to each
-   other in a sketch. Similar sets have many of these in common: where both sketches are whole sets, at least
-   2 * ceil(t * n) - n - 1, for each value that only one set holds parts at most two neighbours; for larger sets the
-   hash order spreads such values at random, and ``common`` lies five standard deviations below the expected number.
+   other in a sketch. Similar sets have many of these in common: where both sketches are whole sets with a union of u
+   values, at least 2 * ceil(t * u) - u - 1, for each value that only one set holds parts at most two neighbours, and a
+   set takes the least of these over all unions that it can be part of; for larger sets the hash order spreads such
+   values at random, and ``common`` lies five standard deviations below the expected number.
    A set therefore may leave its ``common - 1`` most frequent lists out, and one with fewer shared lists can have no
    partner. So lists of phrases that all texts share are left out by those that have better ones.
 3. The full sets of listed documents tell which values nobody else has; what is left bounds the size of a partner, and
@@ -93,14 +94,19 @@ def full_sets(docs: DataFrame, *, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, items array<long>")
 
 
+def _least(n: int, percent: int) -> int:
+    """Lists that a set of n values and a partner share at least, both sketches being whole sets."""
+    return max(1, min((2 * -(-u * percent // 100) - u - 1 for u in range(n, n * 100 // percent + 1)), default=1))
+
+
 def _index(classes: DataFrame, percent: int, size: int, common: int) -> DataFrame:
     """value, node, n: the inverted lists of neighbouring retained values, the rarest of each class."""
     keys = F.transform(F.slice("sketch", 2, F.greatest(F.size("sketch") - 1, F.lit(0))), lambda x, i: F.xxhash64(F.col("sketch")[i], x))
     values = classes.select("node", "n", F.explode(keys).alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1").withColumnRenamed("value", "__v")
     held = values.join(shared, F.col("value") == F.col("__v")).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"))
-    exact = F.greatest(F.lit(1), 2 * F.ceil(F.col("n") * percent / 100) - F.col("n") - 1)
-    least = F.when(F.col("n") * 100 <= size * percent, exact).otherwise(F.lit(common))
+    exact = F.array(*[F.lit(_least(n, percent)) for n in range(size * percent // 100 + 1)])
+    least = F.coalesce(F.get(exact, F.col("n")), F.lit(common))
     places = F.size("held") - least + 1
     return held.withColumn("places", places.cast("int")).filter("places > 0").select("node", "n", F.explode(F.slice("held", 1, F.col("places"))).alias("h")).select(F.col("h.value").alias("value"), "node", "n")
 
