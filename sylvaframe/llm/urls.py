@@ -4,8 +4,11 @@ Host and path are cut by built-in string functions, and the rules are one CASE e
 rule fits is judged by its words: names run together (``cheappills``) are split by a Viterbi search over unigram
 probabilities, and a multinomial naive Bayes model scores the words of host and path.
 
-Both models start from stated seed words. The unigram table adds the host words of the whole URL table, counted by one
-aggregation; its ``vocabulary`` most frequent words are kept, a bound on the model and not on the rows.
+Both models start from stated seed words. The unigram table adds words that stand apart somewhere in the URL table: parts
+of hyphenated host labels, and path words, counted by the hosts that have them and together of the seeds' weight at most.
+A host label without hyphens is what is judged and no evidence of itself, however often it comes, and names that are
+whole known words run together (a seed among them) are none either; so verdicts don't follow the size of the table. The
+``vocabulary`` words of most hosts are kept, a bound on the model and not on the rows.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, no rule and no words, and is allowed; equal
 URLs have equal verdicts; very long labels are segmented in linear time with words of at most ``LONGEST`` letters; an
@@ -26,6 +29,8 @@ from .common import stored
 
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 LONGEST = 24
+#: Letters of the least part that shows a name to be words run together.
+PART = 3
 VOCABULARY = 50_000
 #: Seed words of the two classes, each with the same total weight.
 BLOCKED = "spam farm cheap pills pill casino poker bet betting viagra cialis pharma loan loans payday crack warez torrent keygen serial porn xxx sex adult escort nude hack hacked malware phishing scam replica fake free click clicks bonus jackpot slots lottery winner prize discount deal coupon seo backlink links traffic bot".split()
@@ -66,11 +71,17 @@ def split_words(text: str) -> list[str]:
 
 
 class UrlModel:
-    """Unigram segmentation and naive Bayes scores. counts: corpus counts of host words, added to the seeds."""
+    """Unigram segmentation and naive Bayes scores. counts: corpus counts of separate words, added to the seeds."""
 
     def __init__(self, counts: dict[str, int], blocked=BLOCKED, allowed=ALLOWED, prior: float = 0.2, alpha: float = 0.1):
         seeds = {w: 1000 for w in (*blocked, *allowed)}
-        known = {w: c for w, c in counts.items() if len(w) <= LONGEST}
+        apart = set(seeds)
+        for w in sorted((w for w in counts if w not in seeds and len(w) <= LONGEST), key=lambda w: (len(w), w)):
+            if not self._joined(w, apart, seeds):
+                apart.add(w)
+        # the corpus weighs as much as the seeds at most, so that the weight of a seed doesn't fade as tables grow
+        share = min(1.0, sum(seeds.values()) / max(1, sum(counts.get(w, 0) for w in apart)))
+        known = {w: counts[w] * share for w in apart if w in counts}
         for w, c in seeds.items():
             known[w] = known.get(w, 0) + c
         total = sum(known.values())
@@ -82,6 +93,17 @@ class UrlModel:
         self.log_odds = {w: weight(1 / len(blocked) * 50 if w in blocked else 0, 50) - weight(1 / len(allowed) * 50 if w in allowed else 0, 50) for w in (*blocked, *allowed)}
         self.prior = math.log(prior / (1 - prior))
 
+    @staticmethod
+    def _joined(word: str, apart: set, seeds: dict) -> bool:
+        """Whether a word consists of known words of PART letters at least, a seed among them."""
+        plain, seeded = [True] + [False] * len(word), [False] * (len(word) + 1)
+        for j in range(PART, len(word) + 1):
+            for i in range(j - PART + 1):
+                if (plain[i] or seeded[i]) and word[i:j] in apart:
+                    plain[j] = True
+                    seeded[j] = seeded[j] or seeded[i] or word[i:j] in seeds
+        return seeded[-1]
+
     def segment(self, word: str) -> list[str]:
         """The most probable split; unknown letters cost ten unknown unigrams to the word's length."""
         n = len(word)
@@ -107,22 +129,25 @@ class UrlModel:
 
 
 def host_words(pages: DataFrame, url_col: str = "url", vocabulary: int = VOCABULARY) -> dict[str, int]:
-    """Counts of host words over all URLs: hosts are counted before they are split, so a hot host is one row."""
-    hosts = pages.select(host_of(url_col).alias("__host")).groupBy("__host").agg(F.count("*").alias("__n"))
-    words = hosts.select(F.explode(F.split("__host", r"[^\p{L}]+")).alias("__w"), "__n").filter("__w <> ''")
-    top = words.groupBy("__w").agg(F.sum("__n").alias("n")).orderBy(F.desc("n"), "__w").limit(vocabulary)
+    """How many hosts have a word apart, in hyphenated labels or in paths; a hot host counts once."""
+    letters = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: w != "")
+    urls = pages.select(host_of(url_col).alias("__host"), path_of(url_col).alias("__path"))
+    labels = F.transform(F.split("__host", r"\."), lambda x: letters(F.when(x.contains("-"), x).otherwise("")))
+    hosts = urls.select("__host").distinct().select("__host", F.explode(F.flatten(F.filter(labels, lambda x: F.size(x) > 1))).alias("__w"))
+    words = hosts.union(urls.select("__host", F.explode(letters(F.col("__path"))).alias("__w"))).filter(F.length("__w") <= LONGEST).distinct()
+    top = words.groupBy("__w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "__w").limit(vocabulary)
     rows = stored(top, "vocabulary").collect()  # executors merge the tops
-    return {r["__w"].lower(): r["n"] for r in rows}
+    return {r["__w"]: r["n"] for r in rows}
 
 
 def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES, vocabulary: int = VOCABULARY) -> DataFrame:
     """id, host, path, rule, verdict and, where no rule fits, the model's log odds."""
     spark = pages.sparkSession
-    counts = spark.sparkContext.broadcast(host_words(pages, url_col, vocabulary))
+    model = spark.sparkContext.broadcast(UrlModel(host_words(pages, url_col, vocabulary)))
 
     @F.pandas_udf("double")
     def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        m = UrlModel(counts.value)
+        m = model.value
         for host, path in parts:
             seen = {h: m.score(h, "") for h in host.unique()}
             yield pd.Series([seen[h] + m.score("", p) - m.prior for h, p in zip(host, path)], dtype=float)
