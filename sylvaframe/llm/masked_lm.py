@@ -6,7 +6,9 @@ two-level softmax (class, then member) gives the token's conditional probability
 tokens' conditional log-probabilities.
 
 Nothing is sampled. The vocabulary holds the most frequent of the words counted over the whole corpus; other words share
-hash buckets. Training is plain numpy: each partition starts from the same weights, takes every token of its texts once
+hash buckets, and such a token's probability is that of its bucket times the word's share of the bucket's tokens, from the
+counts of all words. The counts of the more frequent of them (``NEAR`` at most) travel with the tasks, the others are
+joined. A word that the corpus doesn't have counts as one more token of its bucket, whichever it is. Training is plain numpy: each partition starts from the same weights, takes every token of its texts once
 by minibatch gradient steps, and the partitions' weights, weighted by their tokens, are averaged piece by piece on the
 executors. The driver holds one model, whose size doesn't depend on the corpus.
 
@@ -17,6 +19,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -35,6 +39,20 @@ BATCH = 8192
 RATE = 0.2
 PIECE = 8192
 MERGES = 32
+#: Counted words outside the vocabulary up to this many (16 bytes each) travel with the tasks; the others are joined.
+NEAR = 1 << 18
+
+
+class Words(NamedTuple):
+    """The vocabulary's hashes, ascending; of further words the hashes, ascending, and logarithms of counts; the logarithm
+    of each bucket's tokens and one; and the stored counts (h, n) of all other words seen more than once, if there are
+    any. What is seen once has the logarithm 0."""
+
+    top: np.ndarray
+    near: np.ndarray
+    weight: np.ndarray
+    total: np.ndarray
+    far: DataFrame | None = None
 
 
 class Network:
@@ -157,19 +175,29 @@ class Network:
         move("emb", np.add.reduceat(ge[by], first, axis=0), used)
 
 
+def _find(sorted_: np.ndarray, h: np.ndarray):
+    """Where each hash stands, and whether it is there."""
+    if not len(sorted_):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.searchsorted(sorted_, h)
+    at[at == len(sorted_)] = 0
+    return at, sorted_[at] == h
+
+
 def _tokens(part: pa.RecordBatch, vocabulary: np.ndarray, rank: np.ndarray, buckets: int):
+    """Number, text and hash of each token."""
     data, offsets = tx.buffers(part.column("text"))
     starts, ends, doc = tx.words(data, offsets, tx.SPACE)
     h = tx.hash_words(data, starts, ends)
-    if not len(vocabulary):
-        return (h % np.uint64(buckets)).astype(np.int64), doc
-    at = np.searchsorted(vocabulary, h)
-    at[at == len(vocabulary)] = 0
-    return np.where(vocabulary[at] == h, rank[at] + buckets, (h % np.uint64(buckets)).astype(np.int64)), doc
+    ids = (h % np.uint64(buckets)).astype(np.int64)
+    at, known = _find(vocabulary, h)
+    ids[known] = rank[at[known]] + buckets
+    return ids, doc, h
 
 
-def vocabulary(docs: DataFrame, size: int, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the most frequent words of the corpus, ascending, and their ranks. Every word of every text is counted."""
+def vocabulary(docs: DataFrame, size: int, text_col: str = "text", near: int | None = None) -> tuple[Words, np.ndarray]:
+    """The most frequent words of the corpus with the counts of all others, and their ranks. Every word is counted."""
+    near = NEAR if near is None else near
 
     def run(batches):
         for batch in batches:
@@ -179,11 +207,31 @@ def vocabulary(docs: DataFrame, size: int, text_col: str = "text") -> tuple[np.n
                 h, n = np.unique(tx.hash_words(data, starts, ends), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = stored(docs.select(F.col(text_col).alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
     top = stored(counts.orderBy(F.desc("n"), "h").limit(size), "vocabulary").collect()  # executors merge the tops
     h = np.array([r["h"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(h)
-    return h[order], order
+
+    total = np.ones(BUCKETS)
+    for r in counts.groupBy(F.col("h").bitwiseAND(BUCKETS - 1).alias("b")).agg(F.sum("n").alias("n")).collect():  # a power of two
+        total[r["b"]] += r["n"]
+    np.subtract.at(total, (h % np.uint64(BUCKETS)).astype(np.int64), np.array([r["n"] for r in top], float))
+    # counts in eighths of powers of two: the highest levels that together hold at most ``near`` words beside the vocabulary
+    level = F.floor(F.log2("n") * 8)
+    seen = {r["level"]: r["c"] for r in counts.filter("n > 1").groupBy(level.alias("level")).agg(F.count("*").alias("c")).collect()}
+    cut, held = max(seen, default=0) + 1, 0
+    for x in sorted(seen, reverse=True):
+        held += seen[x]
+        if held > near + len(h):
+            break
+        cut = x
+    more = counts.filter((F.col("n") > 1) & (level >= cut)).toArrow()
+    mine, n = more.column("h").to_numpy().view(np.uint64), more.column("n").to_numpy()
+    rest = ~_find(h[order], mine)[1]
+    mine, n = mine[rest], n[rest]
+    by = np.argsort(mine)
+    far = counts.filter((F.col("n") > 1) & (level < cut)) if cut > min(seen, default=cut) else None
+    return Words(h[order], mine[by], np.log(n[by]), np.log(total), far), order
 
 
 def fit(docs: DataFrame, *, text_col: str = "text", rounds: int = 1, rate: float = RATE):
@@ -192,14 +240,14 @@ def fit(docs: DataFrame, *, text_col: str = "text", rounds: int = 1, rate: float
     vocab, rank = vocabulary(docs, CLASSES * MEMBERS - BUCKETS, text_col)
     net = Network.fresh()
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((vocab, rank, net.flat))
+        shared = spark.sparkContext.broadcast((vocab.top, rank, net.flat))
 
         def train(batches):
             v, r, flat = shared.value
             own, past, seen = Network(flat.copy()), Network(), 0
             for batch in batches:
                 for part in tx.slices(batch, "text"):
-                    ids, doc = _tokens(part, v, r, BUCKETS)
+                    ids, doc, _ = _tokens(part, v, r, BUCKETS)
                     for i in range(0, len(ids), BATCH):
                         own.step(ids[i : i + BATCH], doc[i : i + BATCH], np.float32(rate), past)
                         seen += min(BATCH, len(ids) - i)
@@ -233,18 +281,32 @@ def fit(docs: DataFrame, *, text_col: str = "text", rounds: int = 1, rate: float
 
 def score(docs: DataFrame, model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, log_likelihood (summed), mean_log_likelihood."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    words, rank, flat = model
+    shared = docs.sparkSession.sparkContext.broadcast((words._replace(far=None), rank, flat))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        v, r, flat = shared.value
-        net = Network(flat)
+        words, r, flat = shared.value
+        net, row = Network(flat), TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in tx.slices(batch, "text"):
-                ids, doc = _tokens(part, v, r, BUCKETS)
+                ids, doc, h = _tokens(part, words.top, r, BUCKETS)
+                ll = net.log_probs(ids, doc)
+                own = np.flatnonzero(ids < BUCKETS)
+                at, known = _find(words.near, h[own])
+                ll[own] -= words.total[ids[own]]
+                ll[own[known]] += words.weight[at[known]]
+                own = own[~known]
                 n = np.bincount(doc, minlength=part.num_rows)
-                ll = np.bincount(doc, weights=net.log_probs(ids, doc), minlength=part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n.astype(np.int64)), pa.array(ll)], names=["id", "n_tokens", "log_likelihood"])
-
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, log_likelihood double")
+                ll = np.bincount(doc, weights=ll, minlength=part.num_rows)
+                rest = tx.list_array(h[own].view(np.int64), np.bincount(doc[own], minlength=part.num_rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + part.num_rows)), part.column("id"), pa.array(n.astype(np.int64)), pa.array(ll), rest], names=["row", "id", "n_tokens", "log_likelihood", "rest"])
+                row += part.num_rows
+
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"row long, id {kind}, n_tokens long, log_likelihood double, rest array<long>")
+    if words.far is not None:
+        out = stored(out, "scored")
+        far = words.far.select(F.col("h").alias("__h"), F.log("n").alias("w"))
+        more = out.select("row", F.explode("rest").alias("h")).join(far, F.col("h") == F.col("__h")).groupBy(F.col("row").alias("__row")).agg(F.sum("w").alias("w"))
+        out = out.drop("rest").join(more, F.col("row") == F.col("__row"), "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("w", F.lit(0.0)))
     return out.select(F.col("id").alias(id_col), "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))
