@@ -193,11 +193,21 @@ def find(text: str):
         if not regions or at - REACH > regions[-1][1]:
             regions.append([max(0, at - REACH), 0])
         end = regions[-1][1] = at + REACH
+    # whole words only, so that a region never cuts an entity without spaces; those that meet are one
+    wide: list[list[int]] = []
     for a, b in regions:
-        # whole words only, so that a region never cuts an entity without spaces
-        a = text.rfind(" ", 0, a) + 1
-        b = text.find(" ", b)
-        found += [(m.lastgroup, m.start(), m.end()) for m in PATTERN.finditer(text, a, b if b >= 0 else len(text))]
+        last = wide[-1][1] if wide else 0
+        if a > last:
+            a = text.rfind(" ", last, a) + 1 or last
+        if b > last:
+            b = text.find(" ", b)
+            b = b if b >= 0 else len(text)
+        if wide and a <= last:
+            wide[-1][1] = max(last, b)
+        else:
+            wide.append([a, b])
+    for a, b in wide:
+        found += [(m.lastgroup, m.start(), m.end()) for m in PATTERN.finditer(text, a, b)]
     names, at = [], 0
     for m in NAME_ANCHOR.finditer(text):
         if m.start() < at or (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_")):
