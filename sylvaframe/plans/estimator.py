@@ -140,11 +140,15 @@ class OptimalTree:
         else:
             from math import lcm
 
+            # the search by levels is exact, so any uncertainty_tolerance holds
+            if c.model_limit > 1:
+                raise ValueError("above local_cells one tree is found; set model_limit to 1 or raise local_cells")
+
             scale = lcm(penalty.denominator, *[x.denominator for row in table for x in row])
             price = F.array(*[sum((F.col(f"n{j}") * F.lit(int(row[j] * scale)) for j in range(len(classes))), F.lit(0)).cast("long") for row in table])
             bits = F.array(*[F.shiftright(F.col(names[f // WORD]), f % WORD).bitwiseAND(F.lit(1).cast("long")).cast("int") for f in range(k)])
             numbered = groups.select((F.monotonically_increasing_id() + 1).alias("gid"), bits.alias("bits"), price.alias("price")).withColumn("least", F.array_min("price"))
-            root, lower, done, iterations = levels.search(numbered, k, len(classes), int(penalty * scale), time_limit=c.time_limit)
+            root, lower, done, iterations = levels.search(numbered, k, len(classes), int(penalty * scale), time_limit=c.time_limit, rule_list=c.rule_list)
             cap = int(Fraction(str(c.upperbound)) * scale) if c.upperbound else None
             nodes, size = [root] if root is not None and c.model_limit and (cap is None or root.cost <= cap) else [], iterations
         models, counts_of = [], _leaf_losses(groups, names, table, classes)

@@ -35,9 +35,9 @@ def _bounds(n_classes: int, unit: Column, miss: list[Column], least: Column):
     return label, leaf, F.least(leaf, least + 2 * unit)
 
 
-def search(groups: DataFrame, features: int, classes: int, unit: int, *, time_limit: float = 0, max_levels: int = 64):
+def search(groups: DataFrame, features: int, classes: int, unit: int, *, time_limit: float = 0, max_levels: int = 64, rule_list: bool = False):
     """groups: gid, bits array<int>, price array<long> (cost of each label over the group's rows), least (the cheapest).
-    unit: the leaf penalty in the same integers. Returns (root node or None, lower bound, done, levels)."""
+    unit: the leaf penalty in the same integers. rule_list: one side of each split is a leaf. Returns (root node or None, lower bound, done, levels)."""
     spark = groups.sparkSession
     began = time.monotonic()
     groups = cut(groups.select("gid", "bits", *[F.col("price")[c].alias(f"m{c}") for c in range(classes)], "least"), "groups")
@@ -83,22 +83,29 @@ def search(groups: DataFrame, features: int, classes: int, unit: int, *, time_li
     value = tasks.select("tid", F.col("leaf").alias("value"), F.lit(None).cast("int").alias("feature"))
     if all_edges:
         edges = cut(reduce(lambda a, b: a.union(b), all_edges), "alledges")
+        # of a rule list's split, the side that gains more by growing does so, and the other one is a leaf
+        both = F.sum("own") - F.max(F.col("own") - F.col("value")) if rule_list else F.sum("value")
+        own = tasks.select(F.col("tid").alias("child"), F.col("leaf").alias("own"))
         for _ in range(level):
-            held = edges.join(value.select(F.col("tid").alias("child"), "value"), "child").groupBy("tid", "feature").agg(F.sum("value").alias("v"))
+            held = edges.join(value.select(F.col("tid").alias("child"), "value").join(own, "child"), "child").groupBy("tid", "feature").agg(both.alias("v"))
             best = held.groupBy("tid").agg(F.min(F.struct("v", "feature")).alias("b"))
             leaf = tasks.select("tid", "leaf")
             value = cut(leaf.join(best, "tid", "left").select("tid", F.when(F.col("b.v") < F.col("leaf"), F.col("b.v")).otherwise(F.col("leaf")).alias("value"), F.when(F.col("b.v") < F.col("leaf"), F.col("b.feature")).alias("feature")), "value")
     else:
         edges = None
 
-    def grow(tid: str) -> Node:
+    def grow(tid: str, closed: bool = False) -> Node:
         """A lookup for each node of the tree, whose size doesn't depend on the table."""
         v = value.filter(F.col("tid") == tid).first()
         t = tasks.filter(F.col("tid") == tid).first()
-        if v["feature"] is None:
-            return Node(int(v["value"]), t["label"])
+        if closed or v["feature"] is None:
+            return Node(int(t["leaf"]), t["label"])
         below = {r["bit"]: r["child"] for r in edges.filter((F.col("tid") == tid) & (F.col("feature") == v["feature"])).select("bit", "child").distinct().collect()}
-        return Node(int(v["value"]), predicate=v["feature"], children=(grow(below[1]), grow(below[0])))
+        shut = [False, False]
+        if rule_list:
+            gain = [tasks.filter(F.col("tid") == below[b]).first()["leaf"] - value.filter(F.col("tid") == below[b]).first()["value"] for b in (0, 1)]
+            shut[int(gain[0] >= gain[1])] = True
+        return Node(int(v["value"]), predicate=v["feature"], children=(grow(below[1], shut[1]), grow(below[0], shut[0])))
 
     node = grow(first["tid"])
     done = done and members.isEmpty()
