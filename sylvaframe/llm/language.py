@@ -104,7 +104,7 @@ class Model:
         """Language of each word. counts: words of each text, in order. Texts advance side by side."""
         n_lang = scores.shape[1]
         if n_lang == 1 or not len(scores):
-            return np.zeros(len(scores), np.int8)
+            return np.zeros(len(scores), np.int32)
         order = np.argsort(-counts, kind="stable")
         length = counts[order]
         steps = int(length[0])
@@ -117,7 +117,7 @@ class Model:
         by_step = np.empty((n_lang, len(scores)), np.float32)
         by_step[:, place] = scores.T
         moved = np.zeros((n_lang, len(scores)), bool)
-        source = np.zeros(len(scores), np.int8)
+        source = np.zeros(len(scores), np.int32)
         v = by_step[:, : lanes[0]].copy()
         last = np.empty((n_lang, len(counts)), np.float32)
         for k in range(1, steps):
@@ -133,7 +133,7 @@ class Model:
             v += by_step[:, a:b]
             v -= v.max(axis=0)
         last[:, : v.shape[1]] = v
-        label = np.zeros(len(scores), np.int8)
+        label = np.zeros(len(scores), np.int32)
         now = last[:, : lanes[0]].argmax(axis=0)
         lane = np.arange(lanes[0])
         for k in range(steps - 1, -1, -1):
