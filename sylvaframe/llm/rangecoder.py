@@ -1,301 +1,428 @@
 """Adaptive context-mixing range coder for token ids.
 
-Ids are coded in blocks of ``BLOCK`` that share nothing: each starts from an empty model and carries a crc32 of its ids.
-The blocks of a segment are coded side by side, one id of every block a step, so that each step is a few array operations.
+Ids are coded in blocks of at most ``BLOCK`` that share nothing: each starts from an empty model and carries a crc32 of its
+ids. A block is dealt to up to ``LANES`` lanes of consecutive ids. All lanes take a step at once, so that a step is a few
+array operations, and all teach the one model of the block; a lane has a range coder of its own.
 
-For each id three predictions are mixed. Order 2 and order 1 name the id that last followed the last two ids, or the
-last one, with a confidence that hits raise and misses halve; for each confidence an adaptive hit rate says how much
-probability the named id gets. Order 0 holds the counts of the block's ids; it is brought up to date every ``EPOCH``
-ids at most, and ids it doesn't hold yet are escaped and written evenly over the vocabulary. The shares drive a
-carry-less range coder with 64-bit state and 32-bit words.
+Three predictions are mixed for each id. Order 2 names the id that last followed the last two, with a confidence that hits
+raise and misses halve. Order 1 spreads ``SLOTS`` slots over the ids that have followed the last one, by their counts.
+Order 0 spreads a power of two over all ids of the block, and escapes to an even spread over the vocabulary. How much
+probability orders 2 and 1 get is learnt for each confidence and each wealth of the order-1 context, from their hits.
+Confidences follow every step; counts, spreads and shares are renewed whenever the number of steps has doubled.
 
-Segment format, little-endian: magic ``SVTK``, then u32 vocabulary, block size, documents, blocks; i64 id of each
-document, u8 whether it is null, u32 tokens of each document; u32 ids, words and crc32 of each block; the blocks' words.
+The coder is carry-less with 64-bit state and 32-bit words. All arithmetic is in integers.
+
+Segment format, little-endian: magic ``SVT2``, u32 vocabulary, u32 blocks, u64 documents; i64 id of each document, u8
+whether it is null, u64 ids of each document; then each block: u32 ids, u32 crc32, u32 lanes, u32 words of each lane, the
+words.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 2048
-EPOCH = 256
-MAGIC = b"SVTK"
-_ONE = 1 << 16
+BLOCK = 1 << 22
+LANES = 4096
+#: Ids of a lane at least, where a block is too short for all lanes.
+STRETCH = 1024
+SLOTS = 256
+MAGIC = b"SVT2"
+_TOTAL = 28
+_HASHED = 18
+#: Contexts that get order-1 slots: those seen so often at least, and the most frequent of them.
+_SEEN, _ROWS = 4, 4096
+_FINDER = 19
 _TOP = np.uint64(1 << 32)
 _MASK = np.uint64((1 << 32) - 1)
 _W = np.uint64(32)
-_SLOTS = 2048
-#: Places of known ids are found by a hash of so many slots a block; an id that lost its slot is escaped again.
-_FINDER = 8192
-#: Odds p / (1 - p) of a hit rate's upper 10 bits, times 2**16.
-_ODDS = np.array([_ONE * k // (1024 - k) for k in range(1024)], np.int64)
-#: Confidence after a miss and after a hit; 0 means that the entry is replaced.
-_NEXT = np.array([*[c >> 1 for c in range(16)], *[min(c + 1, 15) for c in range(16)]], np.int64)
-
-
-class _Lanes:
-    """The models of blocks coded side by side. Arrays are flat, one stretch a lane."""
-
-    def __init__(self, n: int, block: int, vocabulary: int):
-        self.n, self.block, self.vocabulary = n, block, vocabulary
-        self.lane = np.arange(n)
-        self.slot = self.lane * _SLOTS
-        self.rate_at = self.lane * 16
-        wide = np.int32 if vocabulary < 1 << 27 else np.int64
-        self.table = [np.zeros(n * _SLOTS, wide) for _ in range(2)]
-        start = np.array([0, *[_ONE * c // (c + 2) for c in range(1, 16)]], np.int64)
-        self.rate = [np.tile(start, n) for _ in range(2)]
-        self.known = np.zeros((n, block), np.int32)  # ids in the order in which they were taken in
-        self.count = np.zeros((n, block), np.int32)
-        self.distinct = np.zeros(n, np.int64)
-        self.total = np.zeros(n, np.int64)
-        self.upto = np.zeros((n, 1), np.int32)
-        self.pending = np.full((n, EPOCH), -1, np.int32)
-        self.filled = 0
-        self.next = 16
-        self.prev = np.zeros(n, np.int64)
-        self.prev2 = np.zeros(n, np.int64)
-
-    def predict(self, m: int):
-        """For the first m lanes: table places, entries and shares of both orders, and the total."""
-        prev, prev2 = self.prev[:m], self.prev2[:m]
-        at1 = self.slot[:m] + ((prev * 40503) >> 3 & (_SLOTS - 1))
-        at2 = self.slot[:m] + ((prev * 40503 + prev2 * 60493) >> 4 & (_SLOTS - 1))
-        v1, v2 = self.table[0].take(at1).astype(np.int64), self.table[1].take(at2).astype(np.int64)
-        r1, r2 = self.rate_at[:m] + (v1 & 15), self.rate_at[:m] + (v2 & 15)
-        p1, p2 = self.rate[0].take(r1), self.rate[1].take(r2)
-        base = self.total[:m] + self.distinct[:m] + 1
-        f1, f2 = (base * _ODDS.take(p1 >> 6)) >> 16, (base * _ODDS.take(p2 >> 6)) >> 16
-        id1, id2 = v1 >> 4, v2 >> 4
-        same = (id1 == id2) & (f2 > 0)
-        f2 += f1 * same
-        f1[same] = 0
-        return (at1, at2, v1, v2, r1, r2, p1, p2), id1, id2, f1, f2, base
-
-    def update(self, m: int, state, ids: np.ndarray) -> None:
-        at1, at2, v1, v2, r1, r2, p1, p2 = state
-        fresh = ids << 4 | 1
-        for k, (at, v, r, p) in enumerate(((at1, v1, r1, p1), (at2, v2, r2, p2))):
-            conf = v & 15
-            hit = ((v >> 4) == ids) & (conf > 0)
-            p += ((hit * (_ONE - 512) - p) >> 5) * (conf > 0)
-            self.rate[k][r] = p
-            then = _NEXT.take(hit * 16 + conf)
-            self.table[k][at] = np.where(then > 0, v - conf + then, fresh)
-        self.prev2[:m] = self.prev[:m]
-        self.prev[:m] = ids
-
-    def note(self, m: int, place: np.ndarray, held: np.ndarray, raw: np.ndarray, ids: np.ndarray) -> None:
-        """Count the ids that order 0 coded (by their places), and those that were escaped; named ones aren't counted."""
-        self.count.reshape(-1)[self.lane[:m] * self.block + place] += held
-        self.pending[raw, self.filled] = ids[raw]
-        self.filled += 1
-
-    def refresh(self, t: int, m: int):
-        """Take the pending ids in and rebuild the cumulative counts. Returns lanes, ids and places of the new ones."""
-        pend = np.sort(self.pending[:m, : self.filled], axis=1)
-        new = pend >= 0
-        new[:, 1:] &= pend[:, 1:] != pend[:, :-1]
-        lane, col = np.nonzero(new)
-        ids = pend[lane, col]
-        rank = np.cumsum(new, axis=1)[lane, col] - 1
-        place = self.distinct[lane] + rank
-        self.known[lane, place] = ids
-        # counts of pending ids: run lengths in the sorted rows
-        run = np.cumsum(new, axis=1)
-        lanes, cols = np.nonzero(pend >= 0)
-        np.add.at(self.count.reshape(-1), lanes * self.block + self.distinct[lanes] + run[lanes, cols] - 1, 1)
-        self.distinct[:m] += new.sum(axis=1)
-        width = int(self.distinct[:m].max(initial=0))
-        self.upto = np.zeros((m, width + 1), np.int32)
-        np.cumsum(self.count[:m, :width], axis=1, out=self.upto[:, 1:])
-        self.total[:m] = self.upto[:, -1]
-        self.pending[:m, : self.filled] = -1
-        self.filled = 0
-        self.next = t + min(EPOCH, t)
-        return lane, ids, place
-
-
-def _order(ids_of: list[np.ndarray] | np.ndarray) -> np.ndarray:
-    return np.argsort(-np.asarray(ids_of), kind="stable")
-
-
-def encode_blocks(blocks: list[np.ndarray], vocabulary: int, block: int = BLOCK) -> list[np.ndarray]:
-    """The words of each block."""
-    size = np.array([len(b) for b in blocks], np.int64)
-    order = np.argsort(-size, kind="stable")
-    n, steps = len(blocks), int(size.max(initial=0))
-    lanes = _Lanes(n, block, vocabulary)
-    ids = np.zeros((steps, n), np.int32)
-    for lane, k in enumerate(order):
-        ids[: size[k], lane] = blocks[k]
-    active = np.searchsorted(-size[order], -np.arange(1, steps + 1), "right")
-    where = np.zeros(n * _FINDER, np.int16)
-    find, cells = lanes.lane * _FINDER, lanes.lane * block
-    flat, rows = lanes.upto.reshape(-1), lanes.lane
-    low, rng = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    words, at = np.zeros((n, 2 * block + 16 if block < 64 else block + 64), np.uint32), np.zeros(n, np.int64)
-
-    def narrow(k, lo, hi, total):
-        """Narrow lanes k (an index) to [lo, hi) of total, and give out settled words."""
+_R = np.uint64(_TOTAL)
+#: What a miss and a hit add to a confidence; an entry whose confidence gets 0 is replaced.
+_CHANGE = np.array([*[(c >> 1) - c for c in range(16)], *[int(c < 15) for c in range(16)]], np.int32)
+_WEALTH = 4
+#: Steps that the encoder looks up at once.
+_AHEAD = 4
+
+
+class _Model:
+    """What the steps up to now have taught."""
+
+    def __init__(self, vocabulary: int):
+        if not 0 < vocabulary < 1 << 21:
+            raise ValueError("the vocabulary must have 1 to 2,097,151 ids")
+        self.vocabulary = v = vocabulary
+        self.bits = max(18, v.bit_length() + 1)
+        self.named = np.full(1 << _HASHED, -16, np.int32)  # order 2: id << 4 | confidence
+        self.count = np.zeros(v + 1, np.int64)  # the last one is the escape
+        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        kinds = 16 * _WEALTH
+        conf = np.arange(kinds) // _WEALTH
+        self.seen = np.full(kinds, 16, np.int64)
+        self.hits2, self.hits1 = 16 * conf // (conf + 2), np.where(np.arange(kinds) % _WEALTH > 0, 8, 0)
+        self.low0, self.wide0 = np.zeros(v + 1, np.uint32), np.zeros(v + 1, np.uint32)
+        self.row = np.zeros(v, np.int32)  # number << 2 | wealth
+        self.next = 1
+        self._spread()
+        self._slots()
+        self._shares()
+
+    def _spread(self) -> None:
+        """Order 0: a stretch of 2**bits for each id seen and for the escape."""
+        self.count[-1] += self.count[-1] == 0
+        held = np.flatnonzero(self.count)
+        upto = np.cumsum(self.count[held])
+        ends = upto * ((1 << self.bits) - len(held)) // upto[-1] + np.arange(1, len(held) + 1)
+        size = np.diff(np.r_[0, ends])
+        self.low0[held], self.wide0[held] = ends - size, size
+        self.owner = np.repeat(held.astype(np.uint32), size)
+
+    def _slots(self) -> None:
+        """Order 1: the slots of each context, and where to find those of a pair."""
+        v = self.vocabulary
+        context = self.pairs // v
+        ids, first = np.unique(context, return_index=True)
+        total = np.add.reduceat(self.times, first) if len(ids) else np.zeros(0, np.int64)
+        rich = total >= _SEEN
+        if rich.sum() > _ROWS:
+            rich &= total >= np.partition(total, len(total) - _ROWS)[len(total) - _ROWS]
+            rich &= np.cumsum(rich) <= _ROWS
+        self.row[:] = 0
+        self.row[ids[rich]] = np.arange(1, int(rich.sum()) + 1) << 2 | 1 + (total[rich] >= 64) + (total[rich] >= 1024)
+        length = np.diff(np.r_[first, len(context)])
+        before = np.cumsum(self.times) - self.times
+        own = np.repeat(np.arange(len(ids)), length)
+        keep = rich[own]
+        own, pairs = own[keep], self.pairs[keep]
+        upto = (before + self.times - np.repeat(before[first] if len(ids) else before, length))[keep]
+        end = (upto * SLOTS + total[own] // 2) // total[own]
+        start = np.r_[0, end[:-1]]
+        if len(own):
+            start[np.r_[True, own[1:] != own[:-1]]] = 0
+        size = end - start
+        some = size > 0
+        self.held = np.r_[np.int64(-1), pairs[some]]
+        self.place = np.r_[0, start[some] << 10 | size[some]].astype(np.uint32)
+        self.slot = np.zeros((int(rich.sum()) + 1) * SLOTS, np.int64)
+        entry = (pairs[some] % v) << 20 | self.place[1:]
+        self.slot[SLOTS:] = np.repeat(entry, size[some])
+        self.finder = np.zeros(1 << _FINDER, np.int32)
+        self.finder[self.spot(self.held[1:])] = np.arange(1, len(self.held))
+
+    @staticmethod
+    def spot(pairs: np.ndarray) -> np.ndarray:
+        """Where the finder looks for a pair; one that lost its place is coded by order 0."""
+        return (pairs * 0x9E3779B97F4A7C1 >> 40) & ((1 << _FINDER) - 1)
+
+    def _shares(self) -> None:
+        """Shares of orders 2 and 1 by confidence and wealth: the first's end, a slot's width, the second's end, and the
+        width of a unit of order 0."""
+        most = (1 << _TOTAL) - (4 << self.bits)
+        kind = np.arange(len(self.seen))
+        share2 = np.clip((self.hits2 << _TOTAL) // self.seen, SLOTS, most - SLOTS)
+        share2[kind < _WEALTH] = 0
+        share1 = np.clip((self.hits1 << _TOTAL) // self.seen, SLOTS, most - share2)
+        share1[kind % _WEALTH == 0] = 0
+        self.end2 = share2.astype(np.uint32)
+        self.width1 = (share1 // SLOTS).astype(np.uint32)
+        self.end1 = self.end2 + self.width1 * np.uint32(SLOTS)
+        self.width0 = (np.uint32(1 << _TOTAL) - self.end1) >> np.uint32(self.bits)
+
+    @staticmethod
+    def entry(prev: np.ndarray, prev2: np.ndarray) -> np.ndarray:
+        """The place of order 2's entry. prev, prev2: unsigned, 32 bits."""
+        return (prev * np.uint32(0x9E3779B1) + prev2 * np.uint32(0x85EBCA77)) >> np.uint32(32 - _HASHED)
+
+    def follow(self, at: np.ndarray, entry: np.ndarray, conf: np.ndarray, hit: np.ndarray, ids: np.ndarray) -> None:
+        """Order 2 after a step. Of lanes that meet in an entry, the last one counts."""
+        entry = entry + _CHANGE.take(conf + hit * np.int32(16))
+        self.named[at] = np.where(entry & np.int32(15), entry, ids << np.int32(4) | np.int32(1))
+
+    def renew(self, t: int, prev: np.ndarray, ids: np.ndarray, notes: np.ndarray, escapes: int) -> None:
+        """Take in what the steps since the last call gave. notes: kind * 4 + (2 for a hit of order 2, 1 of order 1)."""
+        n = np.bincount(notes, minlength=4 * len(self.seen)).reshape(-1, 4)
+        self.seen += n.sum(axis=1)
+        self.hits2 += n[:, 2]
+        self.hits1 += n[:, 1]
+        self.count[:-1] += np.bincount(ids, minlength=self.vocabulary)
+        self.count[-1] += escapes
+        new = np.sort(prev.astype(np.int64) * self.vocabulary + ids)
+        first = np.flatnonzero(np.r_[True, new[1:] != new[:-1]])
+        both = np.r_[self.pairs, new[first]]
+        times = np.r_[self.times, np.diff(np.r_[first, len(new)])]
+        order = np.argsort(both, kind="stable")  # two ascending runs
+        both, times = both[order], times[order]
+        first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+        self.pairs, self.times = both[first], np.add.reduceat(times, first)
+        self._spread()
+        self._slots()
+        self._shares()
+        self.next = 2 * t
+
+
+def _shape(n: int) -> tuple[int, int]:
+    """Lanes and steps of a block of n ids."""
+    steps = max(STRETCH, -(-n // LANES))
+    return -(-n // steps), steps
+
+
+class _Log:
+    """The steps that the model hasn't taken in yet."""
+
+    def __init__(self, model: _Model, ids: np.ndarray):
+        self.model, self.ids = model, ids
+        self.notes = np.zeros(ids.shape, np.uint8)
+        self.since = self.escapes = 0
+
+    def renew(self, t: int, active) -> None:
+        a, b = self.since, t
+        steps = range(a, b)
+        prev = [self.ids[s - 1, : active[s]] if s else np.zeros(active[s], self.ids.dtype) for s in steps]
+        ids, notes = ([x[s, : active[s]] for s in steps] for x in (self.ids, self.notes))
+        self.model.renew(t, *[np.concatenate(x) for x in (prev, ids, notes)], self.escapes)
+        self.since, self.escapes = t, 0
+
+
+def _active(n: int, lanes: int, steps: int) -> list[int]:
+    """Lanes with an id at each step: the last lane may end sooner."""
+    last = n - (lanes - 1) * steps
+    return [lanes if t < last else lanes - 1 for t in range(min(steps, n))]
+
+
+def encode_block(flat: np.ndarray, vocabulary: int) -> list[np.ndarray]:
+    """The words of each lane."""
+    n = len(flat)
+    lanes, steps = _shape(n)
+    if not n:
+        return []
+    if int(flat.max()) >= vocabulary:
+        raise ValueError("an id is beyond the vocabulary")
+    active = _active(n, lanes, steps)
+    ids = np.zeros(lanes * steps, np.int32)
+    ids[:n] = flat
+    ids = np.ascontiguousarray(ids.reshape(lanes, steps).T[: len(active)])
+    model = _Model(vocabulary)
+    log = _Log(model, ids)
+    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+    words, upto = np.zeros((lanes, steps // 2 + 8), np.uint32), np.zeros(lanes, np.int64)
+
+    def narrow(k, r, lo, wide):
         nonlocal words
-        a, r = low[k], rng[k] // total.astype(np.uint64)
-        a = a + r * lo.astype(np.uint64)
-        r = r * (hi - lo).astype(np.uint64)
+        a = low[k] + r * lo
+        r = r * wide
         low[k], rng[k] = a, r
-        todo = np.flatnonzero(((a ^ (a + r)) < _TOP) | (r < _TOP))
+        todo = np.flatnonzero(r < _TOP)
         if len(todo):
             lane = todo if isinstance(k, slice) else k[todo]
             a, r = a[todo], r[todo]
             r = np.where((a ^ (a + r)) < _TOP, r, (~a + np.uint64(1)) & _MASK)
-            if at.max() + 2 >= words.shape[1]:
-                words = np.pad(words, ((0, 0), (0, block)))
-            words[lane, at[lane]] = a >> _W
-            at[lane] += 1
+            at = upto[lane]
+            if at.max() + 1 >= words.shape[1]:
+                words = np.pad(words, ((0, 0), (0, words.shape[1] // 2 + 8)))
+            words[lane, at] = a >> _W
+            upto[lane] = at + 1
             low[lane], rng[lane] = a << _W, r << _W
 
+    before = np.zeros((2, lanes), np.int32)  # the last ids of each lane
     with np.errstate(over="ignore"):
-        for t in range(steps):
-            m = int(active[t])
-            if t == lanes.next:
-                lane, new, place = lanes.refresh(t, m)
-                flat, rows = lanes.upto.reshape(-1), lanes.lane * lanes.upto.shape[1]
-                where[find[lane] + (new.astype(np.int64) * 40503 >> 2 & (_FINDER - 1))] = place + 1
-            x = ids[t, :m].astype(np.int64)
-            state, id1, id2, f1, f2, base = lanes.predict(m)
-            j = np.maximum(where.take(find[:m] + (x * 40503 >> 2 & (_FINDER - 1))).astype(np.int64) - 1, 0)
-            held = (lanes.known.reshape(-1).take(cells[:m] + j) == x) & (lanes.distinct[:m] > 0)
-            cell = rows[:m] + j
-            f12 = f1 + f2
-            # the escape stands after the counts
-            lo = f12 + np.where(held, flat.take(cell), lanes.total[:m])
-            hi = np.where(held, f12 + flat.take(cell + 1, mode="clip"), f12 + base)
-            by2, by1 = (id2 == x) & (f2 > 0), (id1 == x) & (f1 > 0)
-            lo = np.where(by2, 0, np.where(by1, f2, lo))
-            hi = np.where(by2, f2, np.where(by1, f12, hi))
-            narrow(slice(0, m), lo, hi, base + f12)
-            named = by1 | by2
-            raw = np.flatnonzero(~(held | named))
-            if len(raw):
-                y = x[raw]
-                narrow(raw, y, y + 1, np.full(len(raw), vocabulary, np.int64))
-            lanes.note(m, j, held & ~named, raw, x)
-            lanes.update(m, state, x)
-    out: list = [None] * n
-    for lane, k in enumerate(order):
-        tail = np.array([low[lane] >> _W, low[lane] & _MASK], np.uint32)
-        out[k] = np.r_[words[lane, : at[lane]], tail]
-    return out
-
-
-def decode_blocks(coded: list[np.ndarray], size: np.ndarray, vocabulary: int, block: int = BLOCK) -> list[np.ndarray]:
-    """The ids of each block. size: ids of each block."""
-    order = np.argsort(-size, kind="stable")
-    n, steps = len(coded), int(size.max(initial=0))
-    lanes = _Lanes(n, block, vocabulary)
-    active = np.searchsorted(-size[order], -np.arange(1, steps + 1), "right")
-    length = np.array([len(coded[k]) for k in order], np.int64)
-    start = np.cumsum(length) - length
-    words = np.concatenate([coded[k] for k in order] + [np.zeros(2, np.uint32)]).astype(np.uint64)
-    low, rng = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    code = words[start] << _W | words[start + 1]
-    at = start + 2
-    ids = np.zeros((steps, n), np.int32)
-    seat = np.zeros((n, 1), np.int16)
-    cells = lanes.lane * block
-    flat, rows = lanes.upto.reshape(-1), lanes.lane
-
-    def narrow(k, r, lo, hi):
-        a = low[k] + r * lo.astype(np.uint64)
-        r = r * (hi - lo).astype(np.uint64)
+        t = 0
+        while t < len(active):
+            if t == model.next:
+                log.renew(t, active)
+            end = min(t + _AHEAD, model.next, len(active))
+            x = ids[t:end]
+            past = np.concatenate([before, x])
+            before, prev = past[-2:], past[1:-1]
+            at = model.entry(prev.view(np.uint32), past[:-2].view(np.uint32))
+            entry = np.empty_like(x)
+            for k, m in enumerate(active[t:end]):
+                e = entry[k, :m] = model.named.take(at[k, :m])
+                model.follow(at[k, :m], e, e & np.int32(15), (e >> np.int32(4)) == x[k, :m], x[k, :m])
+            kind = (entry & np.int32(15)) * np.int32(_WEALTH) + (model.row.take(prev) & np.int32(3))
+            by2 = (entry >> np.int32(4)) == x
+            pair = prev.astype(np.int64) * vocabulary + x
+            found = model.finder.take(model.spot(pair))
+            by1 = (model.held.take(found) == pair) & ~by2
+            place, wide0, low0 = model.place.take(found), model.wide0.take(x), model.low0.take(x)
+            raw = (wide0 == 0) & ~by1 & ~by2
+            some = raw.any(axis=1)
+            if some.any():
+                low0[raw], wide0[raw] = model.low0[-1], model.wide0[-1]
+            end2, width1, width0 = model.end2.take(kind), model.width1.take(kind), model.width0.take(kind)
+            lo = np.where(by1, end2 + (place >> np.uint32(10)) * width1, model.end1.take(kind) + low0 * width0)
+            wide = np.where(by1, (place & np.uint32(1023)) * width1, wide0 * width0)
+            lo[by2] = 0
+            wide = np.where(by2, end2, wide)
+            log.notes[t:end] = kind * np.int32(4) + (by2 * np.uint8(2) + by1)
+            for k, m in enumerate(active[t:end]):
+                narrow(slice(0, m), rng[:m] >> _R, lo[k, :m], wide[k, :m])
+                if some[k] and len(new := np.flatnonzero(raw[k, :m])):
+                    narrow(new, rng[new] // np.uint64(vocabulary), x[k, new].astype(np.uint64), np.uint64(1))
+                    log.escapes += len(new)
+            t = end
+    # a multiple of 2**32 inside each lane's range; the decoder reads zeros after it
+    tail = ((low + (_TOP - np.uint64(1))) >> _W).astype(np.uint32)
+    return [np.r_[words[k, : upto[k]], tail[k]] for k in range(lanes)]
+
+
+def decode_block(words: np.ndarray, length: np.ndarray, n: int, vocabulary: int) -> np.ndarray:
+    """The n ids of a block. words: those of all lanes, one lane after another; length: words of each lane."""
+    lanes, steps = _shape(n)
+    if len(length) != lanes or int(length.sum()) != len(words):
+        raise ValueError("block is cut short")
+    if not n:
+        return np.zeros(0, np.uint32)
+    active = _active(n, lanes, steps)
+    ids = np.zeros((len(active), lanes), np.int32)
+    model = _Model(vocabulary)
+    log = _Log(model, ids)
+    at_word = np.cumsum(length) - length
+    end = at_word + length
+    words = np.r_[words, np.uint32(0)].astype(np.uint64)
+    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+
+    def pull(lane):
+        """The next word of each lane, or zero beyond its end."""
+        at = at_word[lane]
+        at_word[lane] = at + 1
+        return words.take(np.where(at < end[lane], at, len(words) - 1))
+
+    every = np.arange(lanes)
+    code = pull(every) << _W
+    code |= pull(every)
+
+    def narrow(k, r, lo, wide):
+        a = low[k] + r * lo
+        r = r * wide
         low[k], rng[k] = a, r
-        todo = np.flatnonzero(((a ^ (a + r)) < _TOP) | (r < _TOP))
+        todo = np.flatnonzero(r < _TOP)
         if len(todo):
             lane = todo if isinstance(k, slice) else k[todo]
             a, r = a[todo], r[todo]
             r = np.where((a ^ (a + r)) < _TOP, r, (~a + np.uint64(1)) & _MASK)
-            code[lane] = code[lane] << _W | words[np.minimum(at[lane], len(words) - 1)]
-            at[lane] += 1
+            code[lane] = code[lane] << _W | pull(lane)
             low[lane], rng[lane] = a << _W, r << _W
 
+    last, top = np.uint32((1 << model.bits) - 1), np.uint64((1 << _TOTAL) - 1)
+    prev = prev2 = np.zeros(lanes, np.int32)
     with np.errstate(over="ignore"):
-        for t in range(steps):
-            m = int(active[t])
-            if t == lanes.next:
-                lanes.refresh(t, m)
-                flat, rows = lanes.upto.reshape(-1), lanes.lane * lanes.upto.shape[1]
-                # the place that owns each unit of the cumulative counts
-                seat = np.zeros((m, max(1, int(lanes.total[:m].max(initial=0)))), np.int16)
-                width = lanes.upto.shape[1] - 1
-                if width:
-                    row, col = np.nonzero(lanes.count[:m, :width] > 0)
-                    seat[row, lanes.upto[row, col]] = col
-                    np.maximum.accumulate(seat, axis=1, out=seat)
-            state, id1, id2, f1, f2, base = lanes.predict(m)
-            f12 = f1 + f2
-            total = base + f12
-            r = rng[:m] // total.astype(np.uint64)
-            v = np.minimum(((code[:m] - low[:m]) // r).astype(np.int64), total - 1)
-            u = v - f12
-            by2, by1 = v < f2, (v >= f2) & (u < 0)
-            held = (u >= 0) & (u < lanes.total[:m])
-            j = seat.reshape(-1).take(lanes.lane[:m] * seat.shape[1] + u * held).astype(np.int64) * held
-            cell = rows[:m] + j
-            lo = np.where(by2, 0, np.where(by1, f2, f12 + np.where(held, flat.take(cell), lanes.total[:m])))
-            hi = np.where(by2, f2, np.where(by1, f12, np.where(held, f12 + flat.take(cell + 1, mode="clip"), total)))
-            narrow(slice(0, m), r, lo, hi)
-            x = np.where(by2, id2, np.where(by1, id1, lanes.known.reshape(-1).take(cells[:m] + j).astype(np.int64)))
-            raw = np.flatnonzero(u >= lanes.total[:m])
+        for t, m in enumerate(active):
+            if t == model.next:
+                log.renew(t, active)
+            prev, prev2 = prev[:m], prev2[:m]
+            at = model.entry(prev.view(np.uint32), prev2.view(np.uint32))
+            entry = model.named.take(at)
+            row, conf = model.row.take(prev), entry & np.int32(15)
+            kind = conf * np.int32(_WEALTH) + (row & np.int32(3))
+            end2, width1, end1 = model.end2.take(kind), model.width1.take(kind), model.end1.take(kind)
+            r = rng[:m] >> _R
+            q = np.minimum((code[:m] - low[:m]) // r, top).astype(np.uint32)
+            by2, by0 = q < end2, np.flatnonzero(q >= end1)
+            # as if order 1 had named all; the others are put right below
+            slot = np.minimum((q - end2) // np.maximum(width1, np.uint32(1)), np.uint32(SLOTS - 1))
+            e = model.slot.take((row >> np.int32(2)) * np.int32(SLOTS) + slot.view(np.int32))
+            place = e.astype(np.uint32)
+            lo = end2 + (place >> np.uint32(10) & np.uint32(1023)) * width1
+            wide = (place & np.uint32(1023)) * width1
+            id2 = entry >> np.int32(4)
+            lo[by2] = 0
+            wide = np.where(by2, end2, wide)
+            x = np.where(by2, id2, (e >> 20).astype(np.int32))
+            note = kind * np.int32(4) + (by2 + np.int32(1))
+            raw = by0
+            if len(by0):
+                width0, end1 = model.width0.take(kind[by0]), end1[by0]
+                x0 = model.owner.take(np.minimum((q[by0] - end1) // width0, last))
+                lo[by0] = end1 + model.low0.take(x0) * width0
+                wide[by0] = model.wide0.take(x0) * width0
+                x[by0] = x0
+                note[by0] -= 1
+                raw = by0[x0 == vocabulary]
+            narrow(slice(0, m), r, lo, wide)
             if len(raw):
                 r = rng[raw] // np.uint64(vocabulary)
-                y = np.minimum(((code[raw] - low[raw]) // r).astype(np.int64), vocabulary - 1)
-                narrow(raw, r, y, y + 1)
-                x[raw] = y
+                y = np.minimum((code[raw] - low[raw]) // r, np.uint64(vocabulary - 1))
+                narrow(raw, r, y, np.uint64(1))
+                x[raw] = y.astype(np.int32)
+                log.escapes += len(raw)
             ids[t, :m] = x
-            lanes.note(m, j, held, raw, x)
-            lanes.update(m, state, x)
-    out: list = [None] * n
-    for lane, k in enumerate(order):
-        out[k] = ids[: size[k], lane].astype(np.uint32)
-    return out
+            log.notes[t, :m] = note
+            model.follow(at, entry, conf, id2 == x, x)
+            prev, prev2 = x, prev
+    out = np.zeros((lanes, steps), np.uint32)
+    out[:, : len(active)] = ids.T
+    return out.reshape(-1)[:n]
+
+
+class Packer:
+    """Builds a segment from documents that come one after another, each in one piece or several. Only coded blocks and
+    less than one block of ids are held."""
+
+    def __init__(self, vocabulary: int, block: int = BLOCK):
+        self.vocabulary, self.block = vocabulary, block
+        self.blocks: list[bytes] = []
+        self.held: list[np.ndarray] = []
+        self.ids: list = []
+        self.sizes: list[int] = []
+        self.n = 0
 
+    def add(self, ids: list, sizes: list[int], flat: np.ndarray) -> None:
+        """Whole documents and their ids, one after another."""
+        self.ids += ids
+        self.sizes += sizes
+        self._take(flat)
 
+    def more(self, flat: np.ndarray) -> None:
+        """Further ids of the last document."""
+        self.sizes[-1] += len(flat)
+        self._take(flat)
 
-def pack(doc_ids: list, ids: list[np.ndarray], vocabulary: int, block: int = BLOCK) -> bytes:
-    """A segment of whole documents: their ids one after another in blocks."""
-    flat = np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.uint32)
-    blocks = [flat[i : i + block] for i in range(0, len(flat), block)]
-    coded = encode_blocks(blocks, vocabulary, block)
-    head = np.array([vocabulary, block, len(doc_ids), len(blocks)], "<u4")
-    table = np.array([[len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())] for b, c in zip(blocks, coded)], "<u4").reshape(-1, 3)
-    return b"".join(
-        [MAGIC, head.tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.array([d is None for d in doc_ids], np.uint8).tobytes(), np.array([len(x) for x in ids], "<u4").tobytes(), table.tobytes(), *[c.astype("<u4").tobytes() for c in coded]]
-    )
+    def _take(self, flat: np.ndarray) -> None:
+        while len(flat):
+            part = flat[: self.block - self.n % self.block]
+            self.held.append(part)
+            self.n += len(part)
+            flat = flat[len(part) :]
+            if self.n % self.block == 0:
+                self._code()
 
+    def _code(self) -> None:
+        flat = np.concatenate(self.held)
+        lanes = encode_block(flat, self.vocabulary)
+        head = np.array([len(flat), zlib.crc32(flat.astype("<u4").tobytes()), len(lanes), *[len(x) for x in lanes]], "<u4")
+        self.blocks.append(b"".join([head.tobytes(), *[x.astype("<u4").tobytes() for x in lanes]]))
+        self.held = []
 
-def unpack(segment: bytes) -> tuple[list, list[np.ndarray]]:
-    """The documents of a segment and the ids of each. Raises ValueError where a checksum fails."""
+    def segment(self) -> bytes:
+        if self.held:
+            self._code()
+        head = MAGIC + np.array([self.vocabulary, len(self.blocks)], "<u4").tobytes() + np.array([len(self.ids)], "<u8").tobytes()
+        return b"".join([head, np.array([d or 0 for d in self.ids], "<i8").tobytes(), np.array([d is None for d in self.ids], np.uint8).tobytes(), np.array(self.sizes, "<u8").tobytes(), *self.blocks])
+
+
+def unpack(segment: bytes) -> tuple[list, np.ndarray, Iterator[np.ndarray]]:
+    """The documents of a segment, the number of ids of each, and the ids, a block at a time. Raises ValueError where a
+    checksum fails."""
     if segment[:4] != MAGIC:
         raise ValueError("not a token segment")
-    vocabulary, block, docs, n = np.frombuffer(segment, "<u4", 4, 4)
+    vocabulary, blocks = (int(x) for x in np.frombuffer(segment, "<u4", 2, 4))
+    docs = int(np.frombuffer(segment, "<u8", 1, 12)[0])
     at = 20
     doc_ids = np.frombuffer(segment, "<i8", docs, at)
-    at += 8 * int(docs)
-    null = np.frombuffer(segment, np.uint8, docs, at)
-    at += int(docs)
-    length = np.frombuffer(segment, "<u4", docs, at).astype(np.int64)
-    at += 4 * int(docs)
-    table = np.frombuffer(segment, "<u4", 3 * int(n), at).reshape(-1, 3)
-    at += 12 * int(n)
-    words = np.frombuffer(segment, "<u4", -1, at)
-    cut = np.cumsum(table[:, 1].astype(np.int64))
-    if n and cut[-1] != len(words):
-        raise ValueError("segment is cut short")
-    blocks = decode_blocks(np.split(words, cut[:-1]) if n else [], table[:, 0].astype(np.int64), int(vocabulary), int(block))
-    for k, b in enumerate(blocks):
-        if zlib.crc32(b.astype("<u4").tobytes()) != table[k, 2]:
-            raise ValueError(f"checksum of block {k} fails")
-    flat = np.concatenate([*blocks, np.zeros(0, np.uint32)])
-    return [None if z else int(d) for d, z in zip(doc_ids, null)], np.split(flat, np.cumsum(length)[:-1]) if docs else []
+    null = np.frombuffer(segment, np.uint8, docs, at + 8 * docs)
+    size = np.frombuffer(segment, "<u8", docs, at + 9 * docs).astype(np.int64)
+
+    def run(at: int):
+        for k in range(blocks):
+            n, crc, lanes = (int(x) for x in np.frombuffer(segment, "<u4", 3, at))
+            length = np.frombuffer(segment, "<u4", lanes, at + 12).astype(np.int64)
+            at += 12 + 4 * lanes
+            words = np.frombuffer(segment, "<u4", int(length.sum()), at)
+            at += 4 * len(words)
+            flat = decode_block(words, length, n, vocabulary)
+            if zlib.crc32(flat.astype("<u4").tobytes()) != crc:
+                raise ValueError(f"checksum of block {k} fails")
+            yield flat
+
+    return [None if z else int(d) for d, z in zip(doc_ids, null)], size, run(at + 17 * docs)

@@ -1,25 +1,22 @@
 """Token files: texts to ids, ids to range-coded segments, and back.
 
-Documents are dealt to partitions by ascending id and sorted there. Each partition tokenizes its texts, and cuts its ids
-into segments of whole documents (see ``rangecoder``) of about ``LANES * BLOCK`` ids. Segments are binary values of a
-Parquet data set in the shared folder, written by Spark's committer, so a lost executor costs only its tasks. Reading
-decodes segments independently; a document's start is the ids of earlier segments, a running sum over segment counts.
-
-Tokenizing goes by words: the vocabulary drops white space and nothing in its normaliser or merges reaches across a
-space, so each distinct word goes through the tokenizer once a worker, as long as the bounded cache holds it.
-
-Defined cases: a null text counts as empty and has the end id alone; equal ids stand in the order of their texts; a null
-id comes first; a long text makes a segment of its own size; an empty table gives no rows; other columns are ignored.
+Documents are dealt to partitions by ascending id, as many as their counted bytes ask for, and sorted there. Each partition
+tokenizes its texts (see ``wordtokens``) and packs the ids into segments of whole documents (see ``rangecoder``): as many
+as fit a block, or one longer document in several blocks. Segments are binary values of a Parquet data set in the shared
+folder, written by Spark's committer, so a lost executor costs only its tasks. Reading decodes segments independently; a
+document's start is the ids of earlier segments, a running sum over segment counts.
+
+Defined cases: a null text counts as empty and has the end id alone; equal ids stand in the order of a hash of their texts;
+a null id comes first; a very long text is tokenized in stretches and coded block by block, so that beside its own bytes
+and its coded form a task holds one block; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import os
 import sys
 import types
 import uuid
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,134 +26,120 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import rangecoder as rc
-from .common import shared_dir
+from . import textops as tx
+from .common import shared_dir, utf8_size
+from .wordtokens import WordTokenizer, stretches
 
-LANES = 2048
-CACHE_CHARS = 32 << 20
+#: Bytes of text that a partition is to have.
+PARTITION_BYTES = 32 << 20
 END = 2
 
 
-def _worker() -> dict:
-    """What a Python worker keeps from task to task."""
-    return sys.modules.setdefault("_sylvaframe_worker", types.ModuleType("_sylvaframe_worker")).__dict__
-
-
-class WordTokenizer:
-    """Ids of texts by their words between spaces and line feeds, each tokenized once while the cache holds it."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("ABC") == "abc"
-        self.mark = "<|endoftext|>"
-        self.mark_id = self.tokenizer.token_to_id(self.mark)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.first, self.chars = array("I"), array("q", [0]), 0
-
-    def _learn(self, new: list[str]) -> None:
-        """Tokenize words not held yet: many at once, apart by a special token that none of them holds, else one by one."""
-        odd = new if self.mark_id is None else [w for w in new if "<|" in w]
-        plain = [] if self.mark_id is None else [w for w in new if "<|" not in w]
-        for i in range(0, len(plain), 2048):
-            part = plain[i : i + 2048]
-            ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, np.uint32)
-            at = np.flatnonzero(ids == self.mark_id)
-            if len(at) != len(part) - 1:
-                odd += part
-                continue
-            self._hold(part, ids[ids != self.mark_id], np.diff(np.r_[-1, at, len(ids)]) - 1)
-        for i in range(0, len(odd), 2048):
-            part = odd[i : i + 2048]
-            found = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-            self._hold(part, np.array([x for ids in found for x in ids], np.uint32), np.array([len(x) for x in found], np.int64))
-
-    def _hold(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
-        self.place.update(zip(words, range(len(self.first) - 1, len(self.first) - 1 + len(words))))
-        self.first.frombytes((len(self.flat) + np.cumsum(size)).astype(np.int64).tobytes())
-        self.flat.frombytes(ids.astype(np.uint32).tobytes())
-        self.chars += sum(map(len, words)) + 16 * len(words)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.chars > CACHE_CHARS:
-            self._clear()
-        # the tokenizer lower-cases; doing so first makes fewer words differ, but must not make a special token
-        split = [(t.lower() if self.lowers and t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
-        self._learn(list(set().union(*split) - self.place.keys()) if split else [])
-        flat = np.array(self.flat, np.uint32)
-        first = np.array(self.first, np.int64)
-        count = [len(s) for s in split]
-        words = np.fromiter(map(self.place.__getitem__, (w for s in split for w in s)), np.int64, sum(count))
-        size = first[words + 1] - first[words]
-        upto = np.r_[0, np.cumsum(size)]
-        ids = flat[np.arange(upto[-1]) + np.repeat(first[words] - upto[:-1], size)]
-        return np.split(ids, upto[np.cumsum(count)][:-1]) if split else []
-
-
 def _tokenizer(path: str) -> WordTokenizer:
-    kept = _worker()
+    """A worker keeps its tokenizer from task to task."""
+    kept = sys.modules.setdefault("_sylvaframe_worker", types.ModuleType("_sylvaframe_worker")).__dict__
     if path not in kept:
         kept[path] = WordTokenizer(path)
     return kept[path]
 
 
-def write(docs: DataFrame, tokenizer: str, *, end: int | None = END, id_col: str = "doc_id", text_col: str = "text", lanes: int = LANES, block: int = rc.BLOCK) -> str:
+def partitions(docs: DataFrame, text_col: str = "text") -> int:
+    total = docs.agg(F.sum(utf8_size(text_col) + 64)).first()[0] or 0
+    return max(1, -(-total // PARTITION_BYTES))
+
+
+def write(docs: DataFrame, tokenizer: str, *, end: int | None = END, id_col: str = "doc_id", text_col: str = "text", block: int = rc.BLOCK) -> str:
     """Write the documents' ids and return the path. tokenizer: a file that every executor can open at this path."""
     spark = docs.sparkSession
 
     def run(batches):
         own, part, seg = _tokenizer(tokenizer), TaskContext.get().partitionId(), 0
-        ids, tokens, held = [], [], 0
+        packer = rc.Packer(own.vocabulary, block)
 
         def out():
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seg": pa.array([seg], pa.int32()), "n_tokens": pa.array([held], pa.int64()), "segment": pa.array([rc.pack(ids, tokens, own.vocabulary, block)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seg": pa.array([seg], pa.int32()), "n_tokens": pa.array([packer.n], pa.int64()), "segment": pa.array([packer.segment()], pa.large_binary()).cast(pa.binary())})
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                piece = batch.slice(i, 512)
-                for d, x in zip(piece.column("id").to_pylist(), own.encode(piece.column("text").to_pylist())):
-                    x = np.r_[x, np.uint32(end)] if end is not None else x
-                    if held and held + len(x) > lanes * block:
+            for piece in tx.slices(batch, "text"):
+                ids = piece.column("id").to_pylist()
+                data, offsets = tx.buffers(piece.column("text"))
+                if len(data) > 2 * tx.SLICE_BYTES:  # one text, tokenized in stretches
+                    if packer.ids:
+                        yield out()
+                        packer, seg = rc.Packer(own.vocabulary, block), seg + 1
+                    packer.add(ids, [0], np.zeros(0, np.uint32))
+                    for x in stretches(data):
+                        packer.more(own.encode(x, np.array([0, len(x)]))[0])
+                    packer.more(np.array([] if end is None else [end], np.uint32))
+                    continue
+                flat, size = own.encode(data, offsets, end)
+                upto, i = np.cumsum(size), 0
+                while i < len(ids):
+                    # as many documents as the block has room for
+                    done = int(upto[i - 1]) if i else 0
+                    j = int(np.searchsorted(upto, done + block - packer.n, "right"))
+                    if j <= i and packer.ids:
                         yield out()
-                        ids, tokens, held, seg = [], [], 0, seg + 1
-                    ids.append(d)
-                    tokens.append(x)
-                    held += len(x)
-        if ids:
+                        packer, seg = rc.Packer(own.vocabulary, block), seg + 1
+                        continue
+                    j = max(j, i + 1)
+                    packer.add(ids[i:j], size[i:j].tolist(), flat[done : int(upto[j - 1])])
+                    i = j
+        if packer.ids:
             yield out()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     path = f"{shared_dir(spark)}/sylvaframe/tokens-{uuid.uuid4().hex}"
-    rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text").mapInArrow(run, "part int, seg int, n_tokens long, segment binary").write.option("compression", "none").parquet(path)
+    rows.repartitionByRange(partitions(docs, text_col), "id", "h").sortWithinPartitions("id", "h").select("id", "text").mapInArrow(run, "part int, seg int, n_tokens long, segment binary").write.option("compression", "none").parquet(path)
     return path
 
 
 def read(spark, path: str) -> DataFrame:
     """Per document: id, start, n_tokens, tokens, decoded from the files."""
-    return _decoded(spark, path, lambda x: x, "tokens array<long>", lambda v: pa.array([y.astype(np.int64) for y in v], pa.list_(pa.int64())))
+
+    def of(segment: bytes):
+        ids, size, blocks = rc.unpack(segment)
+        flat = np.concatenate([np.zeros(0, np.uint32), *blocks]).astype(np.int64)
+        return ids, size, pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(flat))
+
+    return _decoded(spark, path, of, "tokens array<long>")
+
+
+def crcs(size: np.ndarray, blocks) -> list[int]:
+    """The crc32 of each document's ids, which come a block at a time."""
+    out, now, left, k = [], 0, int(size[0]) if len(size) else 0, 0
+    for flat in blocks:
+        raw, at = memoryview(flat.astype("<u4").tobytes()), 0
+        while k < len(size) and (at < len(flat) or not left):
+            n = min(left, len(flat) - at)
+            now = zlib.crc32(raw[4 * at : 4 * (at + n)], now)
+            at, left = at + n, left - n
+            if not left:
+                out.append(now)
+                now, k = 0, k + 1
+                left = int(size[k]) if k < len(size) else 0
+    return out + [0] * (len(size) - len(out))
 
 
 def digests(spark, path: str) -> DataFrame:
     """Per document: id, start, n_tokens and the unsigned crc32 of its ids as little-endian unsigned 32-bit integers."""
-    return _decoded(spark, path, lambda x: zlib.crc32(x.astype("<u4").tobytes()), "ids_crc32 long", lambda v: pa.array(v, pa.int64()))
+
+    def of(segment: bytes):
+        ids, size, blocks = rc.unpack(segment)
+        return ids, size, pa.array(crcs(size, blocks), pa.int64())
+
+    return _decoded(spark, path, of, "ids_crc32 long")
 
 
-def _decoded(spark, path: str, of, column: str, to_arrow) -> DataFrame:
+def _decoded(spark, path: str, of, column: str) -> DataFrame:
     name = column.split(" ")[0]
 
     def run(batches):
         for batch in batches:
-            for part, seg, segment in zip(*(batch.column(c).to_pylist() for c in ("part", "seg", "segment"))):
-                ids, tokens = rc.unpack(segment)
-                size = np.array([len(x) for x in tokens], np.int64)
+            for part, seg, segment in zip(*(batch.column(c) for c in ("part", "seg", "segment"))):
+                ids, size, found = of(segment.as_py())
                 n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([seg] * n, pa.int32()), pa.array(ids, pa.int64()), pa.array(np.cumsum(size) - size), pa.array(size), to_arrow([of(x) for x in tokens])], names=["part", "seg", "id", "at", "n_tokens", name])
+                yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * n, pa.int32()), pa.array([seg.as_py()] * n, pa.int32()), pa.array(ids, pa.int64()), pa.array(np.cumsum(size) - size), pa.array(size), found], names=["part", "seg", "id", "at", "n_tokens", name])
 
     stored = spark.read.schema("part int, seg int, n_tokens long, segment binary").parquet(path)
     rows = stored.select("part", "seg", "segment").mapInArrow(run, f"part int, seg int, id long, at long, n_tokens long, {column}")
