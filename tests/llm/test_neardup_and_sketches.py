@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from helpers import awkward, components, empty, low, shingles
+from helpers import WORD, awkward, components, empty, low, shingles
 
 from sylvaframe.llm import fingerprint, masked_lm, neardup
 from sylvaframe.llm.graph import components as connected
@@ -92,34 +92,86 @@ def test_neardup_awkward(spark):
     assert {r.component_id for r in neardup.groups(clash, k=2).collect()} == {1}
 
 
+M64 = (1 << 64) - 1
+P = 0x9E3779B97F4A7C15 | 1
+
+
+def mixed(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & M64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def plain_hashes(text, k=5):
+    """The 40-bit shingle hashes of a text, by Python integers."""
+    words = []
+    for w in WORD.findall(low(text)):
+        raw = w.encode()
+        words.append(mixed((sum((c + 1) * pow(P, i, 1 << 64) for i, c in enumerate(raw)) + len(raw) * 0xD6E8FEB86659FD93) & M64))
+    weight = [mixed(j * P & M64) | 1 for j in range(1, k + 1)]
+    runs = [words] if 0 < len(words) < k else [words[i : i + k] for i in range(len(words) - k + 1)]
+    return {mixed((sum(h * c for h, c in zip(run, weight)) & M64) ^ len(run)) >> 24 for run in runs}
+
+
+def plain_likeness(x, y):
+    if not x or not y:
+        return float(len(x) == len(y))
+    few = lambda s: s if len(s) <= fingerprint.WHOLE else {h for h in s if h < (1 << 40) // 4}
+    x, y = sorted((x, y), key=len)
+    own = few(x) if few(y) == y else {h for h in x if h < (1 << 40) // 4}
+    if len(x) == len(y) and len(few(y)) > len(own):
+        own = few(y)
+        return len(own & few(x)) / len(own)
+    return len(own & few(y)) / len(own) if own else len(x & y) / len(x)
+
+
 def test_fingerprint_query(spark, sf):
     docs = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()), reverse=True)
     got = {r.doc_id: r for r in QUERIES["op10_scaled_sketch"](spark, sf).collect()}
     assert len(got) == len(docs)
+    sets = [plain_hashes(t) for _, t in docs]
     for i, (d, t) in enumerate(docs):
         x, c = docs[(i + 1) % len(docs)][1], len(t) // 3
         edited = t[: len(t) - c] + x[:c]
         r = got[d]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        for text, fp in ((t, r.fingerprint), (edited, r.edited_fingerprint)):
-            kept, n = fingerprint.read(fp)
-            assert n == len(shingles(text, 5)) and (len(kept) > 0) == (n > 0)
-        assert r.near_next == pytest.approx(fingerprint.likeness(fingerprint.read(r.fingerprint)[0], fingerprint.read(got[docs[(i + 1) % len(docs)][0]].fingerprint)[0]))
+        new = plain_hashes(edited)
+        for full, fp in ((sets[i], r.fingerprint), (new, r.edited_fingerprint)):
+            sketch = fingerprint.read(fp)
+            assert sketch.n == len(full) and set(sketch.kept.tolist()) == (full if len(full) <= fingerprint.WHOLE else {h for h in full if h < (1 << 40) // 4})
+        assert r.near_next == pytest.approx(plain_likeness(sets[i], sets[(i + 1) % len(docs)]))
+        assert r.near_edited == pytest.approx(plain_likeness(sets[i], new))
 
 
 def test_sketches_estimate_containment():
     rng = random.Random(1)
     words = [f"w{rng.randint(0, 10_000)}" for _ in range(6000)]
     texts = [" ".join(words), " ".join(words[1000:1800]), " ".join(words[:3000] + [f"z{i}" for i in range(500)])]
-    (a, b, c), _ = fingerprint.sketches(pa.array(texts))
+    a, b, c = fingerprint.sketches(pa.array(texts))
     assert fingerprint.likeness(a, b) == pytest.approx(1, abs=0.03)
     assert fingerprint.likeness(a, c) == pytest.approx(len(shingles(texts[0], 5) & shingles(texts[2], 5)) / len(shingles(texts[2], 5)), abs=0.06)
     assert fingerprint.likeness(b, c) == pytest.approx(1, abs=0.03)
-    (whole,), (n,) = fingerprint.sketches(pa.array([" ".join(words[:50])]))
-    assert np.array_equal(fingerprint.read(fingerprint.written(whole, n))[0], whole)
-    (x, y, z), _ = fingerprint.sketches(pa.array(["p q r s t u v w x y", "a b c d e f g h i j", ""]))
+    (few,) = fingerprint.sketches(pa.array([" ".join(words[:50])]))
+    assert np.array_equal(fingerprint.read(fingerprint.written(few)).kept, few.kept)
+    x, y, z = fingerprint.sketches(pa.array(["p q r s t u v w x y", "a b c d e f g h i j", ""]))
     assert fingerprint.likeness(x, y) == 0 and fingerprint.likeness(z, z) == 1 and fingerprint.likeness(x, z) == 0
-    assert set(fingerprint.merge(a, c)) <= set(a) | set(c)
+    union = fingerprint.merge(a, c)
+    assert set(union.kept.tolist()) == set(a.kept.tolist()) | set(c.kept.tolist())
+    assert fingerprint.merge(x, y).n == 12 and fingerprint.likeness(fingerprint.merge(x, y), x) == 1
+
+
+def test_small_texts_inside_large_ones():
+    """A few words taken from inside a long text are contained in it, or the sketches say that they can't tell."""
+    rng = random.Random(2)
+    words = [f"w{rng.randint(0, 10_000)}" for _ in range(5000)]
+    texts = [" ".join(words), *[" ".join(words[i : i + 7]) for i in range(0, 4900, 50)], *[" ".join(f"q{i + j}" for j in range(7)) for i in range(0, 700, 7)]]
+    large, *small = fingerprint.sketches(pa.array(texts))
+    full, *sets = fingerprint.shingle_sets(pa.array(texts))
+    inside, outside = ([fingerprint.likeness(x, large) for x in part] for part in (small[:98], small[98:]))
+    assert set(inside) <= {1.0, None} and set(outside) <= {0.0, None} and 0 < inside.count(None) < 60
+    assert all(fingerprint.containment(x, full) == 1 for x in sets[:98]) and all(fingerprint.containment(x, full) == 0 for x in sets[98:])
 
 
 def test_fingerprint_awkward(spark):
