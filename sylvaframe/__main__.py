@@ -20,13 +20,6 @@ def main(args: list[str]) -> int:
     df = sources.table_from_text(spark, sys.stdin.read()) if args[0] == "-" else sources.read_table(spark, args[0])
     model = OptimalTree(config).fit(df)
     print(model.json())
-    if config.model:
-        sources.write_models(model, spark, config.model)
-    if config.timing:
-        sources.append_timing(spark, model.summary["time"], config.timing)
-    if config.profile:
-        s = model.summary
-        sources.write_profile(spark, [(s.get("iterations", 0), s["time"], s.get("lowerbound"), s.get("upperbound"), s.get("size", 0), 0, 0.0, 0.0)], config.profile)
     return model.summary.get("status", 1)
 
 

@@ -20,13 +20,58 @@ def encode(df: DataFrame, tests: dict[str, Column], keep: list[str] = ()) -> Dat
     return df.select(*keep, *[bit(t).alias(n) for n, t in tests.items()])
 
 
+#: A column of more predicates than this is packed by the rank of its value among them, not by a test for each.
+TESTED = 32
+
+
+def _long_runs(book: Codex) -> dict[str, list]:
+    held: dict[str, list] = {}
+    for p in book.predicates:
+        held.setdefault(p.col, []).append(p)
+    return {c: ps for c, ps in held.items() if len(ps) > TESTED}
+
+
+def ranks(book: Codex, policy: str = "reference") -> dict[str, Column]:
+    """For columns of many predicates, how many thresholds a value reaches, or which category it is (from 1; 0: none)."""
+    out = {}
+    for k, (col, ps) in enumerate(_long_runs(book).items()):
+        c = F.col(col)
+        if ps[0].relation == "==":
+            out[f"__rank{k}"] = F.coalesce(F.array_position(F.lit([str(p.reference) for p in ps]), c.cast("string")), F.lit(0)).cast("int")
+            continue
+        kind = "long" if ps[0].type == "Integral" else "double"
+        number = c.try_cast(kind)
+        nothing = F.isnan(number.cast("double")) | (c.cast("string") == F.lit("NaN"))
+        if policy != "sql":
+            number = F.coalesce(number, F.lit(0).cast(kind))
+        edges = F.lit([p.reference for p in ps]).cast(f"array<{'bigint' if kind == 'long' else 'double'}>")
+        reached = F.size(F.filter(edges, lambda e: e <= number))
+        out[f"__rank{k}"] = F.when(F.coalesce(nothing, F.lit(False)) & (F.lit(kind == "double") | F.lit(policy == "sql")), F.lit(0)).otherwise(F.when(number.isNull(), F.lit(0)).otherwise(reached)).cast("int")
+    return out
+
+
 def packed(book: Codex, policy: str = "reference") -> list[Column]:
-    """The predicates as words of 62 bits, predicate 62 * w + b in bit b of word w."""
-    out = []
+    """The predicates as words of 62 bits, predicate 62 * w + b in bit b of word w. Columns of many predicates are read
+    from their ranks, which the table must have (``ranks``)."""
+    runs = {c: (f"__rank{k}", ps) for k, (c, ps) in enumerate(_long_runs(book).items())}
+    zero, out = F.lit(0).cast("long"), []
     for w in range(0, len(book), WORD):
-        word = F.lit(0).cast("long")
-        for p in book.predicates[w : w + WORD]:
-            word = word.bitwiseOR(F.when(p.column(policy), F.lit(1 << (p.pos - w)).cast("long")).otherwise(F.lit(0).cast("long")))
+        word, here = zero, book.predicates[w : w + WORD]
+        for c in dict.fromkeys(p.col for p in here):
+            own = [p for p in here if p.col == c]
+            if c not in runs:
+                for p in own:
+                    word = word.bitwiseOR(F.when(p.column(policy), F.lit(1 << (p.pos - w)).cast("long")).otherwise(zero))
+                continue
+            name, ps = runs[c]
+            first, at = own[0].pos - ps[0].pos, own[0].pos - w
+            r = F.col(name) - first  # within this word's part of the run
+            if own[0].relation == "==":
+                word = word.bitwiseOR(F.when(r.between(1, len(own)), F.call_function("shiftleft", F.lit(1).cast("long"), r - 1 + at)).otherwise(zero))
+            else:
+                size = F.greatest(F.lit(0), F.least(r, F.lit(len(own))))
+                ones = F.call_function("shiftleft", F.lit(1).cast("long"), size) - 1
+                word = word.bitwiseOR(F.call_function("shiftleft", ones, F.lit(at)))
         out.append(word.alias(f"w{w // WORD}"))
     return out
 

@@ -1,7 +1,8 @@
 """Column profiles, type inference, and the dictionary of predicates ("codex").
 
 One aggregation finds the distinct values of all columns; types follow from what every value satisfies, so the result
-doesn't depend on row order. Numeric columns keep their type; text is tested by pattern.
+doesn't depend on row order. Columns that the schema says are numbers are numbers, however their values are written; text
+is tested by pattern.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,17 +26,22 @@ def values_long(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows.groupBy("col", "value").agg(F.count("*").alias("n"))
 
 
-def profile(df: DataFrame, columns: list[str] | None = None, target: str | None = None) -> DataFrame:
-    """(col, type, cardinality, has_null): Redundant, Binary, Integral, Rational or Categorical; the target is Categorical."""
+def profile(df: DataFrame, columns: list[str] | None = None, target: str | None = None, values: DataFrame | None = None) -> DataFrame:
+    """(col, type, cardinality, has_null): Redundant, Binary, Integral, Rational or Categorical; the target is Categorical.
+    values: values_long of the columns, if it is at hand."""
     columns = columns or df.columns
-    v = values_long(df, columns)
+    v = values_long(df, columns) if values is None else values
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    whole = F.col("col").isin([c for c in columns if isinstance(kinds[c], T.IntegralType)])
+    number = F.col("col").isin([c for c in columns if isinstance(kinds[c], (T.FractionalType, T.DecimalType))])
     agg = v.groupBy("col").agg(
         F.count("value").alias("cardinality"),
         F.coalesce(F.bool_or(F.col("value").isNull()), F.lit(False)).alias("has_null"),
         F.bool_and(is_integral("value")).alias("ints"),
         F.bool_and(is_integral("value") | is_rational("value")).alias("numbers"),
     )
-    kind = F.when(F.col("cardinality") <= 1, "Redundant").when((F.col("cardinality") == 2) & ~F.col("has_null"), "Binary").when(F.col("ints"), "Integral").when(F.col("numbers"), "Rational").otherwise("Categorical")
+    kind = F.when(F.col("cardinality") <= 1, "Redundant").when((F.col("cardinality") == 2) & ~F.col("has_null"), "Binary")
+    kind = kind.when(whole, "Integral").when(number, "Rational").when(F.col("ints"), "Integral").when(F.col("numbers"), "Rational").otherwise("Categorical")
     if target is not None:
         kind = F.when(F.col("col") == target, "Categorical").otherwise(kind)
     return agg.select("col", kind.alias("type"), "cardinality", "has_null")
@@ -127,32 +134,60 @@ def _limit(x: Fraction | int, digits: int):
     return int(r) if isinstance(x, int) and r.denominator == 1 else r
 
 
-def codex(df: DataFrame, target: str, columns: list[str] | None = None, precision: int = 0) -> Codex:
-    """Predicates of all columns in order: one job profiles, one collects the distinct values, whose number is that of the
-    predicates the search would have to consider anyway."""
+def _number(text: str) -> Fraction | None:
+    """The exact value of a number's text; a lone point is 0, and what isn't finite has none."""
+    try:
+        return Fraction(text)
+    except ValueError:
+        return Fraction(0) if text.strip("+-") == "." else None
+
+
+def codex(df: DataFrame, target: str, columns: list[str] | None = None, precision: int = 0, limit: int = 100_000) -> Codex:
+    """Predicates of all columns in order. The distinct values are found once and stored; numbers are brought to the wanted
+    precision by the executors; and the driver gets the values, of which the predicates are made, only after they have
+    been counted: more than ``limit`` are an error."""
+    from ..store import cut
+
     columns = [c for c in (columns or df.columns) if c != target]
-    types = {f.name: f.dataType for f in df.schema.fields}
-    kinds = {r["col"]: r for r in profile(df, [*columns, target], target).collect()}
+    found = cut(values_long(df, [*columns, target]), "values")
+    kinds = {r["col"]: r for r in profile(df, [*columns, target], target, found).collect()}
     wanted = [c for c in columns if c in kinds and kinds[c]["type"] != "Redundant"]
+    values = found.filter(F.col("value").isNotNull() & F.col("col").isin([*wanted, target])).select("col", "value")
+    if precision:
+
+        @F.pandas_udf("string")
+        def short(value: pd.Series) -> pd.Series:
+            numbers = [_number(v) for v in value]
+            return pd.Series([v if x is None else str(_limit(int(x) if x.denominator == 1 else x, precision)) for v, x in zip(value, numbers)], dtype=object)
+
+        numeric = F.col("col").isin([c for c in wanted if kinds[c]["type"] in ("Integral", "Rational")])
+        values = cut(values.select("col", F.when(numeric, short("value")).otherwise(F.col("value")).alias("value")).distinct(), "short")
+    n = values.count()
+    if n > limit:
+        raise ValueError(f"{n} distinct values would make as many predicates; set precision_limit, drop columns or raise predicate_limit ({limit})")
     held: dict[str, list[str]] = {}
-    for r in values_long(df, [*wanted, target]).filter("value is not null").select("col", "value").collect():
+    for r in values.collect():
         held.setdefault(r["col"], []).append(r["value"])
     out: list[Predicate] = []
     for c in wanted:
-        kind, values = kinds[c]["type"], held.get(c, [])
-        if kind in ("Integral", "Rational") and isinstance(types[c], (T.DoubleType, T.FloatType, T.DecimalType)):
-            kind = "Rational"
+        kind, own = kinds[c]["type"], held.get(c, [])
         if kind == "Binary":
-            tests = [("==", max(values))]
+            tests = [("==", max(own))]
         elif kind == "Categorical":
-            tests = [("==", v) for v in sorted(values)]
-        elif kind == "Integral":
-            numbers = sorted({_limit(int(v), precision) for v in values})
-            tests = [(">=", int(v)) for v in (numbers if kinds[c]["has_null"] else numbers[1:])]
+            tests = [("==", v) for v in sorted(own)]
         else:
-            numbers = sorted({float(_limit(Fraction(v.lower().replace("e", "e")), precision)) if v not in (".", "+.", "-.") else 0.0 for v in values})
-            tests = [(">=", round(0.5 * (a + b), 6)) for a, b in zip(numbers, numbers[1:])]
-            tests = list(dict.fromkeys(tests))
+            numbers = sorted({x for v in own if (x := _number(v)) is not None})
+            if kind == "Integral":
+                tests = [(">=", int(v)) for v in (numbers if kinds[c]["has_null"] else numbers[1:])]
+            else:
+                points = sorted({float(x) for x in numbers})
+                tests = list(dict.fromkeys((">=", midpoint(a, b)) for a, b in zip(points, points[1:])))
         for relation, reference in tests:
             out.append(Predicate(len(out), c, kind, relation, reference))
     return Codex(tuple(out), target, tuple(sorted(held.get(target, []))), tuple(columns))
+
+
+def midpoint(a: float, b: float) -> float:
+    """Halfway between two neighbours, to 6 decimals where that still parts them."""
+    mid = 0.5 * (a + b)
+    return round(mid, 6) if a < round(mid, 6) <= b else mid

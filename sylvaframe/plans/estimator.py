@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import sys
 import time
 from fractions import Fraction
 
@@ -9,8 +12,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import costs, metrics
-from ..operators.encode import WORD, packed
+from .. import sources
+from ..operators import costs, diagnosis, metrics
+from ..operators.encode import WORD, packed, ranks
 from ..operators.profile import Codex, codex
 from . import levels, special
 from .config import Config
@@ -18,6 +22,10 @@ from .local import Node, Problem, Search
 from .tree import Leaf, Split, TreeModel
 
 
+#: Groups x predicates, and seconds, of the search that gives the search by levels its first upper bound.
+NARROW, NARROW_SECONDS = 20_000, 20.0
+
+
 class OptimalTreeModel:
     """The fitted trees, of which the first scores, and how the search went."""
 
@@ -56,6 +64,23 @@ class OptimalTreeModel:
     def confusion(self, df: DataFrame, target: str, weight: str | None = None) -> DataFrame:
         return metrics.confusion(self._scored(df, target, weight), "__y", "__p", weight and "__w")
 
+    def status(self) -> int:
+        """0: the search closed and gave a model; 1: it did not."""
+        return self.summary.get("status", 1)
+
+    def iterations(self) -> int:
+        return self.summary.get("iterations", 0)
+
+    def size(self) -> int:
+        """Subproblems or states that the search held."""
+        return self.summary.get("size", 0)
+
+    def time(self) -> float:
+        return self.summary.get("time", 0.0)
+
+    def confidence(self, df: DataFrame) -> DataFrame:
+        return self.transform(df).select("confidence")
+
     def leaves(self) -> int:
         return self.tree.leaves()
 
@@ -69,9 +94,7 @@ class OptimalTreeModel:
         return self.tree.latex()
 
     def json(self) -> str:
-        import json
-
-        return json.dumps([t.as_dict() for t in self.trees], indent=2, default=str)
+        return json.dumps([t.nary() if self.summary.get("non_binary") else t.as_dict() for t in self.trees], indent=2, default=str)
 
     @classmethod
     def load(cls, text: str) -> OptimalTreeModel:
@@ -94,12 +117,12 @@ class OptimalTree:
         """target: a column, by default the last one."""
         c, began = self.config, time.monotonic()
         target = target or df.columns[-1]
-        book = codex(df, target, columns, c.precision_limit)
+        book = codex(df, target, columns, c.precision_limit, c.predicate_limit)
         classes = list(book.classes)
         y = F.col(target).cast("string")
         words = packed(book, c.null_policy)
         names = [f"w{k}" for k in range(len(words))]
-        counted = df.select(*words, F.array(*[F.when(F.coalesce(y == k, F.lit(False)), 1).otherwise(0).cast("long") for k in classes]).alias("y") if classes else F.array().cast("array<long>").alias("y"))
+        counted = df.withColumns(ranks(book, c.null_policy)).select(*words, F.array(*[F.when(F.coalesce(y == k, F.lit(False)), 1).otherwise(0).cast("long") for k in classes]).alias("y") if classes else F.array().cast("array<long>").alias("y"))
         per = [F.sum(F.col("y")[k]).alias(f"n{k}") for k in range(len(classes))]
         groups = counted.groupBy(*names).agg(F.count("*").alias("n"), *per) if names else counted.agg(F.count("*").alias("n"), *per)
         groups = groups.persist()
@@ -119,43 +142,78 @@ class OptimalTree:
             return self._special(groups, names, book, classes, n, began)
         cells = None
         if c.costs:
-            from ..sources import read_costs
-
-            full = costs.completed(read_costs(df.sparkSession, c.costs, classes), classes)
+            full = costs.completed(sources.read_costs(df.sparkSession, c.costs, classes), classes)
             cells = {(r["pred"], r["truth"]): r["cost"] for r in full.collect()}
         table = costs.matrix(classes, counts if sum(counts) == n else [*counts], balance=c.balance, cells=cells)
         if not c.balance and cells is None:
             table = [[Fraction(0) if i == j else Fraction(1, n) for j in range(len(classes))] for i in range(len(classes))]
         penalty = Fraction(str(c.regularization))
         k = len(book)
+        history: list[tuple] = []
+        graph: tuple = ()
         if g * max(k, 1) <= c.local_cells:
             rows = groups.collect()
-            bits = np.array([[(r[names[f // WORD]] >> (f % WORD)) & 1 for f in range(k)] for r in rows], bool).reshape(len(rows), k)
-            problem = Problem(bits, [[r[f"n{j}"] for j in range(len(classes))] for r in rows], table, penalty, _runs(book))
+            bits, at = _bits(rows, names, k)
+            problem = Problem(bits, [[rows[i][f"n{j}"] for j in range(len(classes))] for i in at], table, penalty, _runs(book))
             search = Search(problem, look_ahead=c.look_ahead, similar_support=c.similar_support, feature_exchange=c.feature_exchange, continuous_feature_exchange=c.continuous_feature_exchange, cancellation=c.cancellation, rule_list=c.rule_list, time_limit=c.time_limit, tolerance=int(Fraction(str(c.uncertainty_tolerance)) * problem.scale))
+            key = hashlib.sha256(repr((bits.tobytes(), problem.price.tolist(), problem.unit, c.rule_list)).encode()).hexdigest()
+            if c.checkpoint:
+                search.resume(sources.load_search(df.sparkSession, f"{c.checkpoint}/{key}"))
             cap = int(Fraction(str(c.upperbound)) * problem.scale) if c.upperbound else None
             root, lower, done = search.run(cap)
-            nodes = [] if root is None or not c.model_limit else search.all_trees(c.model_limit) if c.model_limit > 1 and done else [root]
+            nodes = [] if root is None or not c.model_limit else search.all_trees(c.model_limit, root) if c.model_limit > 1 and done else [root]
             scale, iterations, size = problem.scale, search.iterations, len(search.solved)
+            history = search.history
+            if c.checkpoint:
+                sources.save_search(df.sparkSession, search.state(), f"{c.checkpoint}/{key}")
+            if c.trace or c.diagnostics:
+                tasks, links = search.graph()
+                spark = df.sparkSession
+                graph = (spark.createDataFrame(tasks, "tid string, size long, leaf long, lower long, upper long, feature int"), spark.createDataFrame(links, "tid string, feature int, bit int, child string"))
         else:
             from math import lcm
 
             # the search by levels is exact, so any uncertainty_tolerance holds
-            if c.model_limit > 1:
-                raise ValueError("above local_cells one tree is found; set model_limit to 1 or raise local_cells")
-
             scale = lcm(penalty.denominator, *[x.denominator for row in table for x in row])
             price = F.array(*[sum((F.col(f"n{j}") * F.lit(int(row[j] * scale)) for j in range(len(classes))), F.lit(0)).cast("long") for row in table])
-            bits = F.array(*[F.shiftright(F.col(names[f // WORD]), f % WORD).bitwiseAND(F.lit(1).cast("long")).cast("int") for f in range(k)])
-            numbered = groups.select((F.monotonically_increasing_id() + 1).alias("gid"), bits.alias("bits"), price.alias("price")).withColumn("least", F.array_min("price"))
-            root, lower, done, iterations = levels.search(numbered, k, len(classes), int(penalty * scale), time_limit=c.time_limit, rule_list=c.rule_list)
+            flags = F.array(*[F.shiftright(F.col(names[f // WORD]), f % WORD).bitwiseAND(F.lit(1).cast("long")).cast("int") for f in range(k)])
+            numbered = groups.select(F.xxhash64(*names, F.lit(1)).alias("gid") if names else F.lit(1).cast("long").alias("gid"), flags.alias("bits"), price.alias("price")).withColumn("least", F.array_min("price"))
             cap = int(Fraction(str(c.upperbound)) * scale) if c.upperbound else None
-            nodes, size = [root] if root is not None and c.model_limit and (cap is None or root.cost <= cap) else [], iterations
+            known = None
+            if c.look_ahead and k:
+                # the best tree over the predicates that part the classes best is one that all predicates allow
+                few, own, chosen = _narrowed(groups, names, k, len(classes), NARROW)
+                rows = few.collect()
+                bits, at = _bits(rows, own, len(chosen))
+                first = Search(Problem(bits, [[rows[i][f"n{j}"] for j in range(len(classes))] for i in at], table, penalty), rule_list=c.rule_list, time_limit=min(NARROW_SECONDS, c.time_limit or NARROW_SECONDS))
+                tree, _, _ = first.run()
+                known = None if tree is None else int(Fraction(tree.cost, first.p.scale) * scale)
+            found = levels.search(numbered, k, len(classes), int(penalty * scale), time_limit=c.time_limit, rule_list=c.rule_list, look_ahead=c.look_ahead, continuous=c.continuous_feature_exchange, runs=_runs(book).tolist(), models=max(1, c.model_limit), upper=cap, known=known, small=c.task_cells, say=_say if c.verbose else None)
+            nodes = found.trees if c.model_limit else []
+            root, lower, done, iterations = found.trees[0] if found.trees else None, found.lower, found.done, found.levels
+            size, history, graph = int(found.history[-1][4]) if found.history else 0, found.history, (found.tasks, found.edges)
         models, counts_of = [], _leaf_losses(groups, names, table, classes)
         for node in nodes:
             models.append(TreeModel(counts_of(_to_tree(node, book, classes, float(penalty), target)), c.null_policy))
         upper = float(Fraction(root.cost, scale)) if root else None
-        summary = {"time": time.monotonic() - began, "iterations": iterations, "size": size, "groups": g, "predicates": k, "lowerbound": float(Fraction(int(lower), scale)), "upperbound": upper, "proven": bool(done), "status": 0 if done and nodes else 1}
+        summary = {"time": time.monotonic() - began, "iterations": iterations, "size": size, "groups": g, "predicates": k, "opened": sum(int(h[5]) for h in history) if g * max(k, 1) > c.local_cells else iterations, "lowerbound": float(Fraction(int(lower), scale)), "upperbound": upper, "proven": bool(done), "status": 0 if done and nodes else 1, "non_binary": c.non_binary}
+        summary["history"] = [(i, t, float(lo) / scale, float(up) / scale, size, queue, a, b) for i, t, lo, up, size, queue, a, b in history]
+        if c.verbose:
+            _say(f"{iterations} iterations, {size} subproblems, {summary['time']:.1f} s, bounds {summary['lowerbound']} and {upper}")
+        if graph and graph[0] is not None:
+            tasks, links = graph
+            if c.trace and links is not None:
+                sources.write_graph(tasks, links, c.trace)
+            if c.diagnostics and links is not None:
+                summary["diagnosis"] = {"unresolved": diagnosis.unresolved(tasks, links).count(), "blocking": diagnosis.blocking(tasks, links).count()}
+        if c.tree and models:
+            sources.write_text(df.sparkSession, json.dumps(models[0].paths(), indent=2, default=str), c.tree)
+        if c.model:
+            sources.write_models(OptimalTreeModel(models, book, summary), df.sparkSession, c.model)
+        if c.timing:
+            sources.append_timing(df.sparkSession, summary["time"], c.timing)
+        if c.profile:
+            sources.write_profile(df.sparkSession, summary["history"], c.profile)
         return OptimalTreeModel(models, book, summary)
 
     def _special(self, groups, names, book, classes, n, began) -> OptimalTreeModel:
@@ -163,12 +221,15 @@ class OptimalTree:
         if len(classes) != 2:
             raise ValueError("special objectives need two classes")
         k = len(book)
-        rows = groups.limit(c.local_cells // max(k, 1) + 1).collect()
-        if len(rows) * k > c.local_cells:
-            raise ValueError("too many groups for a special objective; raise regularization's precision limit or local_cells")
-        bits = np.array([[(r[names[f // WORD]] >> (f % WORD)) & 1 for f in range(k)] for r in rows], bool).reshape(len(rows), k)
-        neg, pos = ([r[f"n{j}"] for r in rows] for j in (0, 1))
-        risk, found, done = special.search(bits, pos, neg, c.objective, c.regularization, w=c.w, theta=c.theta, time_limit=c.time_limit)
+        chosen = list(range(k))
+        if groups.count() * max(k, 1) > c.local_cells:
+            groups, names, chosen = _narrowed(groups, names, k, len(classes), c.local_cells)
+        rows = groups.collect()  # at most local_cells cells
+        bits, at = _bits(rows, names, len(chosen))
+        neg, pos = ([rows[i][f"n{j}"] for i in at] for j in (0, 1))
+        risk, found, done = special.search(bits, pos, neg, c.objective, c.regularization, w=c.w, theta=c.theta, time_limit=c.time_limit, max_leaves=c.max_leaves, max_depth=c.max_depth, priority=c.priority, iterations=c.iteration_limit, greedy=c.init_cart)
+        found = [({chosen[f]: sign for f, sign in rule.items()}, at) for rule, at in found]
+        done = done and len(chosen) == k
         p = np.array([np.asarray(pos)[at].sum() for _, at in found], float)
         q = np.array([np.asarray(neg)[at].sum() for _, at in found], float)
         y = special.label(c.objective, c.w, p, q, p.sum(), q.sum())
@@ -184,7 +245,42 @@ class OptimalTree:
             return Split(t.col, t.relation, t.reference, grow(a, used | {f}), grow(b, used | {f}), t)
 
         tree = TreeModel(grow(list(range(len(found))), frozenset()), c.null_policy)
-        return OptimalTreeModel([tree] if c.model_limit else [], book, {"time": time.monotonic() - began, "risk": risk, "proven": done, "groups": len(rows), "status": 0 if done else 1})
+        return OptimalTreeModel([tree] if c.model_limit else [], book, {"time": time.monotonic() - began, "risk": risk, "proven": done, "groups": len(rows), "predicates": k, "searched": len(chosen), "status": 0 if done else 1, "non_binary": c.non_binary})
+
+
+def _say(text: str) -> None:
+    print(text, file=sys.stderr)
+
+
+def _bits(rows: list, names: list[str], k: int) -> tuple[np.ndarray, list[int]]:
+    """The rows' predicates in ascending order of their words, so that runs agree, and the order."""
+    at = sorted(range(len(rows)), key=lambda i: [rows[i][n] for n in names])
+    return np.array([[(rows[i][names[f // WORD]] >> (f % WORD)) & 1 for f in range(k)] for i in at], bool).reshape(len(rows), k), at
+
+
+def _narrowed(groups: DataFrame, names: list[str], k: int, classes: int, cells: int):
+    """For whole-tree searches of tables with too many groups: the predicates of the highest gini gain, as many as keep
+    groups x predicates in bounds, and the groups of those alone. The best tree over them is an upper bound."""
+    flags = F.array(*[F.shiftright(F.col(names[f // WORD]), f % WORD).bitwiseAND(F.lit(1).cast("long")).cast("int") for f in range(k)])
+    counts = [f"n{j}" for j in range(classes)]
+    long = groups.select("n", *counts, F.posexplode(flags).alias("feature", "bit"))
+    hist = long.groupBy("feature", "bit").agg(*[F.sum(x).alias(x) for x in ["n", *counts]])
+    own = F.col("n") - sum((F.col(x) * F.col(x) for x in counts), F.lit(0)) / F.col("n")
+    order = [r["feature"] for r in hist.groupBy("feature").agg(F.sum(own).alias("impure")).orderBy("impure", "feature").collect()]
+
+    def of(chosen: list[int]):
+        words = [sum((F.shiftleft(F.shiftright(F.col(names[f // WORD]), f % WORD).bitwiseAND(F.lit(1).cast("long")), i % WORD) for i, f in enumerate(chosen) if i // WORD == w), F.lit(0).cast("long")).alias(f"w{w}") for w in range(-(-len(chosen) // WORD))]
+        return groups.select(*words, "n", *counts).groupBy(*[f"w{w}" for w in range(len(words))]).agg(*[F.sum(x).alias(x) for x in ["n", *counts]])
+
+    size = min(k, max(1, cells.bit_length() - 1))
+    while size > 1 and of(sorted(order[:size])).count() * size > cells:
+        size -= 1
+    # further predicates may come in as long as the groups stay few
+    step = max(1, k // 8)
+    while size + step <= k and of(sorted(order[: size + step])).count() * (size + step) <= cells:
+        size += step
+    chosen = sorted(order[:size])
+    return of(chosen), [f"w{w}" for w in range(-(-size // WORD))], chosen
 
 
 def _runs(book: Codex) -> np.ndarray:

@@ -1,22 +1,47 @@
 """Exact search as DataFrames, level by level, for tables that compress to many groups.
 
-State: ``groups`` (gid, class counts, minority), its unpivoted bits, the membership of open subproblems, and one row for
-each subproblem. A step down prices all splits of all open subproblems by one join and one aggregation, keeps those whose
-bound can still win, and names each child by an order-free digest of its groups (count and two 64-bit sums), so equal
-subproblems meet. A step up aggregates children's values. Every level is written to the shared folder. The driver sees
-counts of rows, and at the end the few rows of the tree.
+State: ``groups`` (gid, bits, price of each label, least), the membership of open subproblems, and one row for each
+subproblem. A subproblem of at most ``small`` group-predicate cells is solved whole by the search of ``local`` in one
+executor task. The others are split by one join and one aggregation that price all splits of all of them; splits whose
+bound can't beat the subproblem's budget go, and each child is named by an order-free digest of its groups (count and two
+64-bit sums), so equal subproblems meet. A child's budget is what its parent can still pay once the sibling has cost its
+lower bound; of several parents the largest holds, and a subproblem that comes back with a larger budget is opened again.
+A step up aggregates children's values. Every level is written to the shared folder. The driver sees counts of rows, and
+at the end the few rows of the trees.
 """
 
 from __future__ import annotations
 
+import json
 import time
+from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..store import cut
-from .local import Node
+from .local import Node, OutOfTime, Problem, Search
+
+#: Groups x predicates up to which a subproblem is solved in one task.
+SMALL = 200_000
+
+
+@dataclass
+class Found:
+    """Trees (the first is the answer), a lower bound, whether the search ended, and how it went: history has a row
+    (iterations, time, lower bound, upper bound, subproblems, open ones, share explored, share solved) for each level."""
+
+    trees: list[Node]
+    lower: int
+    done: bool
+    levels: int = 0
+    history: list[tuple] = field(default_factory=list)
+    tasks: DataFrame | None = None
+    edges: DataFrame | None = None
 
 
 def _digest() -> Column:
@@ -25,88 +50,201 @@ def _digest() -> Column:
     return F.concat_ws("-", F.count("*"), a, b)
 
 
-def _bounds(n_classes: int, unit: Column, miss: list[Column], least: Column):
-    """label (highest of the cheapest), leaf cost and lower bound."""
-    best = F.least(*miss) if n_classes > 1 else miss[0]
+def _task(df: DataFrame, keys: list[str], classes: int, unit: int) -> DataFrame:
+    """label (highest of the cheapest), leaf cost and lower bound of summed prices."""
+    miss = [F.col(f"m{c}") for c in range(classes)]
+    best = F.least(*miss) if classes > 1 else miss[0]
     label = F.lit(0)
-    for c in range(n_classes):
+    for c in range(classes):
         label = F.when(miss[c] == best, c).otherwise(label)
-    leaf = best + unit
-    return label, leaf, F.least(leaf, least + 2 * unit)
+    return df.select(*keys, "size", label.alias("label"), (best + unit).alias("leaf"), F.least(best + unit, F.col("least") + 2 * unit).alias("lower"))
 
 
-def search(groups: DataFrame, features: int, classes: int, unit: int, *, time_limit: float = 0, max_levels: int = 64, rule_list: bool = False):
-    """groups: gid, bits array<int>, price array<long> (cost of each label over the group's rows), least (the cheapest).
-    unit: the leaf penalty in the same integers. rule_list: one side of each split is a leaf. Returns (root node or None, lower bound, done, levels)."""
-    spark = groups.sparkSession
-    began = time.monotonic()
-    groups = cut(groups.select("gid", "bits", *[F.col("price")[c].alias(f"m{c}") for c in range(classes)], "least"), "groups")
-    bits = cut(groups.select("gid", F.posexplode("bits").alias("feature", "bit")), "bits")
-    cost = groups.drop("bits")
-    sums = [F.sum(f"m{c}").alias(f"m{c}") for c in range(classes)]
-    u = F.lit(unit)
+def written(node: Node) -> list:
+    return [node.cost, node.label] if node.predicate < 0 else [node.cost, node.predicate, *map(written, node.children)]
+
+
+def read(x: list) -> Node:
+    return Node(x[0], x[1]) if len(x) == 2 else Node(x[0], predicate=x[1], children=(read(x[2]), read(x[3])))
+
+
+def _solver(features: int, classes: int, unit: int, models: int, options: dict):
+    """Solves one subproblem's rows (tid, budget, bits, price) by the local search."""
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        price = np.array(rows["price"].tolist(), np.int64).reshape(len(rows), classes)
+        problem = Problem.priced(np.array(rows["bits"].tolist(), bool).reshape(len(rows), features), price, unit, options.get("runs"))
+        search = Search(problem, **{k: v for k, v in options.items() if k != "runs"})
+        at = np.arange(len(rows))
+        try:
+            root = search.solve(at, int(rows["budget"].iloc[0]) + (models > 1))
+        except (OutOfTime, RecursionError):
+            return pd.DataFrame([(rows["tid"].iloc[0], None, None, False)], columns=["tid", "cost", "trees", "sure"])
+        trees = [] if root is None else search.all_trees(models, root) if models > 1 else [root]
+        return pd.DataFrame([(rows["tid"].iloc[0], root and root.cost, json.dumps([written(t) for t in trees]), True)], columns=["tid", "cost", "trees", "sure"])
+
+    return solve
 
-    def task(df: DataFrame, keys: list[str]) -> DataFrame:
-        label, leaf, lower = _bounds(classes, u, [F.col(f"m{c}") for c in range(classes)], F.col("least"))
-        return df.select(*keys, "size", label.alias("label"), leaf.alias("leaf"), lower.alias("lower"))
 
+def search(groups: DataFrame, features: int, classes: int, unit: int, *, time_limit: float = 0, max_levels: int = 64, rule_list: bool = False, look_ahead: bool = True, continuous: bool = True, runs: list[int] | None = None, models: int = 1, upper: int | None = None, known: int | None = None, small: int = SMALL, say=None) -> Found:
+    """groups: gid, bits array<int>, price array<long> (cost of each label over the group's rows), least (the cheapest).
+    unit: the leaf penalty in the same integers. rule_list: one side of each split is a leaf. runs: the threshold run of
+    each predicate or -1. models: optimal trees wanted. upper: the largest cost of interest; known: a cost
+    that some tree has."""
+    began = time.monotonic()
+    groups = cut(groups.select("gid", "bits", "price", "least"), "groups")
+    sums = [F.sum(F.col("price")[c]).alias(f"m{c}") for c in range(classes)]
     root = groups.agg(_digest().alias("tid"), F.count("*").alias("size"), *sums, F.sum("least").alias("least"))
-    tasks = cut(task(root, ["tid"]).withColumn("open", (F.col("lower") < F.col("leaf")) & (F.col("size") > 1)), "tasks")
+    tasks = cut(_task(root, ["tid"], classes, unit), "tasks")
     first = tasks.first()
-    if first is None or first["size"] == 0:
-        return None, 0, True, 0
-    members = cut(groups.crossJoin(F.broadcast(tasks.filter("open").select("tid"))).select("tid", "gid"), "members")
-    all_tasks, all_edges, level, done = [tasks], [], 0, True
-    while level < max_levels and not members.isEmpty():
-        if time_limit and time.monotonic() - began > time_limit:
+    if first is None or not first["size"]:
+        return Found([], 0, True)
+    top = int(first["leaf"]) + 1 if upper is None else min(int(first["leaf"]), upper) + 1
+    if known is not None and look_ahead:
+        top = min(top, known + 1)
+    more = 1 if models > 1 else 0  # ties are of interest too
+    open_ = (F.col("lower") < F.least(F.col("leaf"), F.col("budget") + more)) & (F.col("size") > 1)
+    frontier = cut(tasks.withColumn("budget", F.lit(top).cast("long")).filter(open_), "frontier")
+    members = groups.select("gid").crossJoin(F.broadcast(frontier.select("tid")))
+    options = {"rule_list": rule_list, "look_ahead": look_ahead, "continuous_feature_exchange": continuous and models == 1, "feature_exchange": models == 1, "time_limit": time_limit, "runs": None if runs is None else np.array(runs)}
+    all_tasks, all_edges, solved, seen, history = [tasks], [], [], [], []
+    level, done = 0, True
+    while True:
+        n_open = frontier.count()
+        n_tasks = sum(t.count() for t in all_tasks[-1:]) + (history[-1][4] if history else 0)
+        history.append((level, time.monotonic() - began, float(first["lower"]), float(first["leaf"]), n_tasks, n_open, 1 - n_open / max(1, n_tasks), len(solved) / max(1, level)))
+        if say:
+            say(f"level {level}: {n_tasks} subproblems, {n_open} open, {history[-1][1]:.1f} s")
+        if not n_open:
+            break
+        if level >= max_levels or (time_limit and time.monotonic() - began > time_limit):
             done = False
             break
         level += 1
-        sides = members.join(bits, "gid").join(cost, "gid").groupBy("tid", "feature", "bit").agg(F.count("*").alias("size"), *sums, F.sum("least").alias("least"))
-        sides = cut(task(sides, ["tid", "feature", "bit"]), "sides")
-        split = sides.groupBy("tid", "feature").agg(F.count("*").alias("c"), F.sum("lower").alias("lb"), F.sum("leaf").alias("ub")).filter("c = 2")
-        best = split.groupBy("tid").agg(F.min("ub").alias("best"))
-        limit = reduce(lambda a, b: a.union(b), all_tasks).select("tid", F.col("leaf").alias("own")).dropDuplicates(["tid"])
-        alive = cut(split.join(best, "tid").join(limit, "tid").filter("lb < own and lb <= best").select("tid", "feature"), "alive")
-        grown = members.join(alive, "tid").join(bits, ["gid", "feature"])
-        named = cut(grown.groupBy("tid", "feature", "bit").agg(_digest().alias("child")), "named")
-        edges = named.join(sides, ["tid", "feature", "bit"]).select("tid", "feature", "bit", "child", "size", "label", "leaf", "lower")
-        edges = cut(edges, "edges")
+        seen.append(frontier.select(F.col("tid").alias("__t"), F.col("budget").alias("__b")))
+        members = cut(members, "members")
+        here = frontier.select("tid", "budget", "leaf", "size")
+        tiny = F.col("size") * features <= small
+        held = members.join(here.filter(tiny), "tid").join(groups, "gid").select("tid", "budget", "bits", "price")
+        solved.append(cut(held.groupBy("tid").applyInPandas(_solver(features, classes, unit, models, options), "tid string, cost long, trees string, sure boolean"), "solved"))
+        here = here.filter(~tiny)
+        if here.isEmpty():
+            frontier = frontier.limit(0)
+            continue
+        members = members.join(here.select("tid"), "tid")
+        cells = members.join(groups, "gid").select("tid", "price", "least", F.posexplode("bits").alias("feature", "bit"))
+        sides = cut(_task(cells.groupBy("tid", "feature", "bit").agg(F.count("*").alias("size"), *sums, F.sum("least").alias("least")), ["tid", "feature", "bit"], classes, unit), "sides")
+        of = lambda c, b: F.max(F.when(F.col("bit") == b, F.col(c)))
+        split = sides.groupBy("tid", "feature").agg(F.count("*").alias("c"), *[of(c, b).alias(f"{c}{b}") for c in ("lower", "leaf") for b in (0, 1)]).filter("c = 2")
+        lists = F.least(F.col("leaf0") + F.col("lower1"), F.col("lower0") + F.col("leaf1"))
+        split = split.withColumn("lb", lists if rule_list else F.col("lower0") + F.col("lower1")).withColumn("ub", F.col("leaf0") + F.col("leaf1"))
+        if continuous and runs is not None and models == 1 and not rule_list and max(runs, default=-1) >= 0:
+            split = split.withColumn("run", F.element_at(F.lit(list(runs)).cast("array<int>"), F.col("feature") + 1))
+            w = W.partitionBy("tid", "run").orderBy("feature")
+            # thresholds ascend: the lower one's false side lies inside the higher one's
+            lost = (F.col("lower0") >= F.lead("leaf0").over(w)) | ((F.col("lower1") >= F.lag("leaf1").over(w)) & ~F.coalesce(F.lag("lower0").over(w) >= F.col("leaf0"), F.lit(False)))
+            split = split.withColumn("lost", (F.col("run") >= 0) & F.coalesce(lost, F.lit(False))).filter(~F.col("lost"))
+        best = split.groupBy("tid").agg(F.min(F.struct("ub", "feature")).alias("best"))
+        split = split.join(best, "tid").join(here.withColumnRenamed("leaf", "own").drop("size"), "tid")
+        room = F.least(F.col("own"), F.col("best.ub"), F.col("budget")) if look_ahead else F.least(F.col("own"), F.col("best.ub"))
+        first_best = (F.col("feature") == F.col("best.feature")) & (F.col("ub") < F.col("own"))
+        split = split.withColumn("room", room)
+        alive = cut(split.filter((F.col("lb") < F.col("room") + more) | first_best).select("tid", "feature", "room", "lower0", "lower1", "leaf0", "leaf1"), "alive")
+        grown = cut(members.join(alive.select("tid", "feature"), "tid").join(groups, "gid").select("tid", "feature", F.element_at("bits", F.col("feature") + 1).alias("bit"), "gid"), "grown")
+        named = grown.groupBy("tid", "feature", "bit").agg(_digest().alias("child"))
+        edges = named.join(sides, ["tid", "feature", "bit"]).join(alive, ["tid", "feature"])
+        sibling = F.when(F.col("bit") == 0, F.col("leaf1" if rule_list else "lower1")).otherwise(F.col("leaf0" if rule_list else "lower0"))
+        budget = F.col("room") - sibling if look_ahead else F.col("leaf") + 1
+        edges = cut(edges.select("tid", "feature", "bit", "child", "size", "label", "leaf", "lower", budget.alias("budget")), "edges")
         all_edges.append(edges.select("tid", "feature", "bit", "child"))
-        known = reduce(lambda a, b: a.union(b), [t.select("tid") for t in all_tasks])
-        new = edges.select(F.col("child").alias("tid"), "size", "label", "leaf", "lower").dropDuplicates(["tid"]).join(known, "tid", "left_anti")
-        new = cut(new.withColumn("open", (F.col("lower") < F.col("leaf")) & (F.col("size") > 1)), "tasks")
-        all_tasks.append(new)
-        one = edges.join(new.filter("open").select(F.col("tid").alias("child")), "child", "left_semi").groupBy("child").agg(F.min(F.struct("tid", "feature", "bit")).alias("via"))
-        members = cut(grown.join(one.select("child", F.col("via.tid").alias("tid"), F.col("via.feature").alias("feature"), F.col("via.bit").alias("bit")), ["tid", "feature", "bit"]).select(F.col("child").alias("tid"), "gid"), "members")
+        children = edges.groupBy(F.col("child").alias("tid")).agg(F.first("size").alias("size"), F.first("label").alias("label"), F.first("leaf").alias("leaf"), F.first("lower").alias("lower"), F.max("budget").alias("budget"), F.min(F.struct(F.col("tid").alias("p"), "feature", "bit")).alias("via"))
+        named = reduce(lambda a, b: a.union(b), [t.select("tid") for t in all_tasks])
+        all_tasks.append(cut(children.select("tid", "size", "label", "leaf", "lower").join(named, "tid", "left_anti"), "tasks"))
+        spent = reduce(lambda a, b: a.union(b), seen).groupBy("__t").agg(F.max("__b").alias("__b"))
+        new = children.filter(open_).join(spent, F.col("tid") == F.col("__t"), "left").filter(F.col("__b").isNull() | (F.col("__b") < F.col("budget")))
+        frontier = cut(new.select("tid", "size", "label", "leaf", "lower", "budget", "via"), "frontier")
+        one = frontier.select(F.col("tid").alias("child"), F.col("via.p").alias("tid"), F.col("via.feature").alias("feature"), F.col("via.bit").alias("bit"))
+        members = grown.join(one, ["tid", "feature", "bit"]).select(F.col("child").alias("tid"), "gid")
     tasks = cut(reduce(lambda a, b: a.unionByName(b), all_tasks), "alltasks")
-    value = tasks.select("tid", F.col("leaf").alias("value"), F.lit(None).cast("int").alias("feature"))
+    own = F.col("leaf")
+    if solved:
+        ends = reduce(lambda a, b: a.union(b), solved)
+        done = done and ends.filter("not sure").isEmpty()
+        ends = ends.filter("cost is not null").groupBy("tid").agg(F.min(F.struct("cost", "trees")).alias("s"))
+        tasks = cut(tasks.join(ends, "tid", "left").select(*tasks.columns, F.least("leaf", "s.cost").alias("cost"), F.when(F.col("s.cost") <= F.col("leaf"), F.col("s.trees")).alias("trees")), "settled")
+        own = F.coalesce("cost", "leaf")
+    else:
+        tasks = tasks.withColumn("cost", F.col("leaf")).withColumn("trees", F.lit(None).cast("string"))
+    value = tasks.select("tid", "leaf", own.alias("value"), F.lit(None).cast("int").alias("feature"))
+    edges = None
     if all_edges:
-        edges = cut(reduce(lambda a, b: a.union(b), all_edges), "alledges")
+        edges = cut(reduce(lambda a, b: a.union(b), all_edges).distinct(), "alledges")
         # of a rule list's split, the side that gains more by growing does so, and the other one is a leaf
-        both = F.sum("own") - F.max(F.col("own") - F.col("value")) if rule_list else F.sum("value")
-        own = tasks.select(F.col("tid").alias("child"), F.col("leaf").alias("own"))
+        both = F.sum("cleaf") - F.max(F.col("cleaf") - F.col("value")) if rule_list else F.sum("value")
+        base = tasks.select("tid", "leaf", own.alias("own"))
         for _ in range(level):
-            held = edges.join(value.select(F.col("tid").alias("child"), "value").join(own, "child"), "child").groupBy("tid", "feature").agg(both.alias("v"))
-            best = held.groupBy("tid").agg(F.min(F.struct("v", "feature")).alias("b"))
-            leaf = tasks.select("tid", "leaf")
-            value = cut(leaf.join(best, "tid", "left").select("tid", F.when(F.col("b.v") < F.col("leaf"), F.col("b.v")).otherwise(F.col("leaf")).alias("value"), F.when(F.col("b.v") < F.col("leaf"), F.col("b.feature")).alias("feature")), "value")
-    else:
-        edges = None
-
-    def grow(tid: str, closed: bool = False) -> Node:
-        """A lookup for each node of the tree, whose size doesn't depend on the table."""
-        v = value.filter(F.col("tid") == tid).first()
-        t = tasks.filter(F.col("tid") == tid).first()
-        if closed or v["feature"] is None:
-            return Node(int(t["leaf"]), t["label"])
-        below = {r["bit"]: r["child"] for r in edges.filter((F.col("tid") == tid) & (F.col("feature") == v["feature"])).select("bit", "child").distinct().collect()}
-        shut = [False, False]
-        if rule_list:
-            gain = [tasks.filter(F.col("tid") == below[b]).first()["leaf"] - value.filter(F.col("tid") == below[b]).first()["value"] for b in (0, 1)]
-            shut[int(gain[0] >= gain[1])] = True
-        return Node(int(v["value"]), predicate=v["feature"], children=(grow(below[1], shut[1]), grow(below[0], shut[0])))
-
-    node = grow(first["tid"])
-    done = done and members.isEmpty()
-    return node, node.cost if done else int(first["lower"]), done, level
+            held = edges.join(value.select(F.col("tid").alias("child"), F.col("leaf").alias("cleaf"), "value"), "child").groupBy("tid", "feature").agg(both.alias("v"), F.count("*").alias("c")).filter("c = 2")
+            low = held.groupBy("tid").agg(F.min(F.struct("v", "feature")).alias("b"))
+            better = F.col("b.v") < F.col("own")
+            value = cut(base.join(low, "tid", "left").select("tid", "leaf", F.when(better, F.col("b.v")).otherwise(F.col("own")).alias("value"), F.when(better, F.col("b.feature")).alias("feature")), "value")
+    trees = _trees(first["tid"], tasks, value, edges, rule_list, models)
+    cost = trees[0].cost
+    graph = tasks.join(value.select("tid", F.col("value").alias("upper"), "feature"), "tid").select("tid", "size", "leaf", F.when(F.lit(done), F.col("upper")).otherwise(F.col("lower")).alias("lower"), "upper", "feature")
+    if upper is not None and cost > upper:
+        trees = []
+    return Found(trees, cost if done else int(first["lower"]), done, level, history, graph, edges)
+
+
+def _trees(root: str, tasks: DataFrame, value: DataFrame, edges: DataFrame | None, rule_list: bool, models: int) -> list[Node]:
+    """The optimal trees. The rows they are made of come to the driver depth by depth, two jobs each; their number follows
+    from the trees' leaves and the wanted number of trees."""
+    rows: dict[str, dict] = {}
+    splits: dict[str, dict[int, dict[int, str]]] = {}
+    ask = [root]
+    while ask:
+        for r in tasks.join(value.select("tid", "value", "feature"), "tid").filter(F.col("tid").isin(ask)).collect():
+            rows[r["tid"]] = r.asDict()
+        below: set[str] = set()
+        if edges is not None:
+            own = edges.filter(F.col("tid").isin([t for t in ask if rows[t]["feature"] is not None or models > 1] or [""]))
+            if models == 1:
+                own = own.join(value.select(F.col("tid"), F.col("feature").alias("chosen")), "tid").filter("feature = chosen").drop("chosen")
+            for r in own.collect():
+                splits.setdefault(r["tid"], {}).setdefault(r["feature"], {})[r["bit"]] = r["child"]
+                below.add(r["child"])
+        ask = sorted(below - set(rows))
+
+    def leaf(t: str) -> Node:
+        return Node(int(rows[t]["leaf"]), int(rows[t]["label"]))
+
+    def grow(t: str):
+        r = rows[t]
+        if int(r["leaf"]) == int(r["value"]):
+            yield leaf(t)
+        if r["trees"] and int(r["cost"]) == int(r["value"]):
+            for x in json.loads(r["trees"]):
+                yield read(x)
+        for f, pair in sorted(splits.get(t, {}).items()):
+            if len(pair) < 2:
+                continue
+            yes, no = pair[1], pair[0]
+            if rule_list:
+                for shut, flip in ((yes, False), (no, True)):
+                    one, rest = leaf(shut), no if not flip else yes
+                    if one.cost + int(rows[rest]["value"]) == int(r["value"]):
+                        for x in grow(rest):
+                            yield Node(int(r["value"]), predicate=f, children=(x, one) if flip else (one, x))
+            elif int(rows[yes]["value"]) + int(rows[no]["value"]) == int(r["value"]):
+                for a in grow(yes):
+                    for b in grow(no):
+                        yield Node(int(r["value"]), predicate=f, children=(a, b))
+
+    out, signs = [], set()
+    for tree in grow(root):
+        sign = json.dumps(written(tree))
+        if sign not in signs:
+            signs.add(sign)
+            out.append(tree)
+        if len(out) >= max(1, models):
+            break
+    return out

@@ -6,6 +6,7 @@ bounds close exactly. Of equal labels the highest class wins, of equal splits th
 
 from __future__ import annotations
 
+import hashlib
 import time
 from dataclasses import dataclass, field
 from fractions import Fraction
@@ -47,6 +48,14 @@ class Problem:
         self.bits01 = self.bits.astype(kind)
 
 
+    @classmethod
+    def priced(cls, bits: np.ndarray, price: np.ndarray, unit: int, runs: np.ndarray | None = None) -> Problem:
+        """From integer prices [groups, predicted class] and the leaf penalty in the same unit."""
+        out = cls(bits, np.zeros((len(bits), price.shape[1]), np.int64), [[Fraction(0)] * price.shape[1]] * price.shape[1], Fraction(unit), runs)
+        out.price, out.least, out.unit = price, price.min(axis=1), unit
+        return out
+
+
 @dataclass
 class Node:
     """label for a leaf, else predicate and children (true, false)."""
@@ -68,6 +77,8 @@ class Search:
         self.solved: dict[bytes, Node] = {}
         self.lower: dict[bytes, int] = {}
         self.iterations, self.pruned, self.began = 0, 0, time.monotonic()
+        #: (iterations, time, lower bound, upper bound, subproblems, open ones, share open, share solved)
+        self.history: list[tuple] = []
         span = problem.price.max(axis=1) - problem.price.min(axis=1) if len(problem.price) else np.zeros(0, np.int64)
         self.span = span
 
@@ -125,6 +136,8 @@ class Search:
         self.iterations += 1
         unit = self.p.unit
         best = self.leaf(at)
+        if self.iterations & (self.iterations - 1) == 0:
+            self.note()
         least = int(self.p.least[at].sum())
         floor = min(best.cost, least + 2 * unit)
         if floor >= best.cost or len(at) <= 1:
@@ -189,6 +202,15 @@ class Search:
             return None
         return Node(a.cost + b.cost, predicate=f, children=(a, b) if first is yes else (b, a))
 
+    def note(self) -> None:
+        """A row of the search's profile."""
+        n = len(self.solved) + len(self.lower)
+        whole = np.arange(len(self.p.bits))
+        root = self.solved.get(self.whole)
+        upper = root.cost if root else self.leaf(whole).cost
+        lower = root.cost if root else min(upper, int(self.p.least.sum()) + 2 * self.p.unit)
+        self.history.append((self.iterations, time.monotonic() - self.began, lower, upper, n, self.iterations - len(self.solved), 1 - len(self.solved) / max(1, self.iterations), len(self.solved) / max(1, self.iterations)))
+
     def run(self, upper: int | None = None):
         """(root or None, lower bound, done). The greedy tree stands in where time runs out."""
         at = np.arange(len(self.p.bits))
@@ -197,6 +219,7 @@ class Search:
         top = self.leaf(at).cost + 1 if upper is None else upper + 1
         try:
             root = self.solve(at, top)
+            self.note()
             return root, max(0, root.cost - self.tolerance) if root else self.lower.get(at.tobytes(), top), True
         except OutOfTime:
             root = self.greedy(at)
@@ -218,8 +241,9 @@ class Search:
         yes, no = self.greedy(at[on]), self.greedy(at[~on])
         return Node(yes.cost + no.cost, predicate=int(useful[k]), children=(yes, no))
 
-    def all_trees(self, limit: int) -> list[Node]:
-        """Up to limit trees of the optimal cost, which differ in their leaves' partition of the groups."""
+    def all_trees(self, limit: int, root: Node | None = None) -> list[Node]:
+        """Up to limit trees of the optimal cost, which differ in their leaves' partition of the groups. root: the solved
+        whole, if it is at hand."""
         at = np.arange(len(self.p.bits))
         out: list[Node] = []
         seen: set = set()
@@ -230,19 +254,27 @@ class Search:
                 yield one, (at.tobytes(),)
             useful, lb, _ = self._splits(at)
             for k, f in enumerate(useful):
-                if int(lb[:, k].sum()) > cost:
+                if not self.rule_list and int(lb[:, k].sum()) > cost:
                     continue
                 on = self.p.bits[at, f]
                 yes, no = at[on], at[~on]
+                if self.rule_list:
+                    for shut, rest, flip in ((yes, no, False), (no, yes, True)):
+                        one = self.leaf(shut)
+                        two = self.solve(rest, cost - one.cost + 1)
+                        if two and two.cost == cost - one.cost:
+                            for t, parts in grow(rest, two.cost):
+                                yield Node(cost, predicate=int(f), children=(t, one) if flip else (one, t)), (shut.tobytes(), *parts)
+                    continue
                 a = self.solve(yes, cost + 1)
                 b = self.solve(no, cost + 1 - a.cost) if a else None
-                if a and b and a.cost + b.cost == cost and (not self.rule_list or self.leaf(yes).cost == a.cost or self.leaf(no).cost == b.cost):
+                if a and b and a.cost + b.cost == cost:
                     for ta, la in grow(yes, a.cost):
                         for tb, lb_ in grow(no, b.cost):
-                            if not self.rule_list or ta.label >= 0 or tb.label >= 0:
-                                yield Node(cost, predicate=int(f), children=(ta, tb)), la + lb_
+                            yield Node(cost, predicate=int(f), children=(ta, tb)), la + lb_
 
-        root, _, _ = self.run()
+        if root is None:
+            root, _, _ = self.run()
         if root is None:
             return out
         for tree, parts in grow(at, root.cost):
@@ -253,3 +285,40 @@ class Search:
             if len(out) >= limit:
                 break
         return out
+
+    def state(self) -> list[tuple[bytes, int, int, int]]:
+        """(groups, cost, label, predicate) of each solved subproblem, to go on from later."""
+        return [(k, n.cost, n.label, n.predicate) for k, n in self.solved.items()]
+
+    def resume(self, state: list[tuple[bytes, int, int, int]]) -> None:
+        """Take over what an earlier search of the same problem has solved; larger subproblems stand on smaller ones."""
+        for key, cost, label, predicate in sorted(state, key=lambda s: len(s[0])):
+            if predicate < 0:
+                self.solved[key] = Node(int(cost), int(label))
+                continue
+            at = np.frombuffer(key, np.int64)
+            on = self.p.bits[at, predicate]
+            children = []
+            for side in (at[on], at[~on]):
+                children.append(self.solved.get(side.tobytes()) or self.leaf(side))
+            if self.rule_list:
+                yes, no = (self.leaf(at[on]), self.leaf(at[~on]))
+                children = [children[0], no] if children[0].cost + no.cost == cost else [yes, children[1]]
+            if sum(c.cost for c in children) == cost:
+                self.solved[key] = Node(int(cost), predicate=int(predicate), children=tuple(children))
+
+    def graph(self) -> tuple[list[tuple], list[tuple]]:
+        """Subproblems (tid, size, leaf, lower, upper, feature) and the links (tid, feature, bit, child) of their splits."""
+        name = lambda at: hashlib.blake2b(at.tobytes(), digest_size=8).hexdigest()
+        tasks, edges = [], []
+        for key, node in self.solved.items():
+            at = np.frombuffer(key, np.int64)
+            tasks.append((name(at), len(at), int(self.leaf(at).cost), int(node.cost), int(node.cost), node.predicate if node.predicate >= 0 else None))
+            if node.predicate >= 0:
+                on = self.p.bits[at, node.predicate]
+                edges += [(name(at), node.predicate, b, name(side)) for b, side in ((1, at[on]), (0, at[~on]))]
+        for key, lower in self.lower.items():
+            if key not in self.solved:
+                at = np.frombuffer(key, np.int64)
+                tasks.append((name(at), len(at), int(self.leaf(at).cost), int(lower), int(self.leaf(at).cost), None))
+        return tasks, edges

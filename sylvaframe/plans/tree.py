@@ -168,7 +168,10 @@ class TreeModel:
             parts.append(f"{feature} >= {x['low']}")
         elif x["high"] is not None:
             parts.append(f"{feature} < {x['high']}")
-        parts += [f"{feature} != {v}" for v in x["not"]]
+        if len(x["not"]) > 1:
+            parts.append(f"{feature} not in {{{', '.join(map(str, sorted(x['not'], key=str)))}}}")
+        else:
+            parts += [f"{feature} != {v}" for v in x["not"]]
         return " and ".join(parts)
 
     def pseudocode(self) -> str:
@@ -202,6 +205,14 @@ class TreeModel:
 
         return walk(self.root)
 
+    def paths(self) -> list[dict]:
+        """Each leaf with the tests on its path and the sides taken."""
+        return [{"path": [{"test": s.test, "holds": side} for s, side in path], **_leaf(leaf)} for path, leaf in leaves(self.root)]
+
+    def captures(self) -> list[Column]:
+        """The condition of each leaf's path."""
+        return [conjunction(path, self.policy) for path, _ in leaves(self.root)]
+
     def latex(self) -> str:
         def walk(node):
             if isinstance(node, Leaf):

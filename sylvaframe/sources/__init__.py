@@ -109,3 +109,40 @@ def save_checkpoint(state: DataFrame, path: str) -> None:
 
 def load_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+#: What a search has solved: the groups of a subproblem, its cost, label and predicate (-1 where it has none).
+SOLVED = "groups binary, cost string, label int, predicate int"
+
+
+def save_search(spark: SparkSession, state: list[tuple[bytes, int, int, int]], path: str) -> None:
+    rows = [(bytearray(k), str(cost), int(label), int(predicate)) for k, cost, label, predicate in state]
+    spark.createDataFrame(rows, SOLVED).write.mode("overwrite").parquet(path)
+
+
+def load_search(spark: SparkSession, path: str) -> list[tuple[bytes, int, int, int]]:
+    """What save_search saved there, or nothing."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.schema(SOLVED).parquet(path).collect()
+    except AnalysisException:  # no such folder yet
+        return []
+    return [(bytes(r["groups"]), int(r["cost"]), r["label"], r["predicate"]) for r in rows]
+
+
+def rules_with_labels(labels: DataFrame, rules: DataFrame) -> DataFrame:
+    """(name, bits, n, correct): each rule of a rule file beside the label rows' bits (name ``1`` or ``label=1``): how many
+    samples it captures, and how many of those carry label 1."""
+    one = labels.orderBy(F.desc("name")).limit(1).select(F.col("bits").alias("__y"))
+    both = F.zip_with("bits", "__y", lambda a, b: a * b)
+    count = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
+    return rules.crossJoin(F.broadcast(one)).select("name", "bits", count(F.col("bits")).cast("long").alias("n"), count(both).cast("long").alias("correct"))
+
+
+def write_log(spark: SparkSession, rows: list[tuple], path: str) -> None:
+    """A special search's log, its fields apart by semicolons: state, time, objective, bound, leaves, length of the queue."""
+    spark.createDataFrame(rows, LOG).coalesce(1).write.mode("overwrite").csv(path, header=True, sep=";")
+
+
+LOG = "state long, time double, objective double, bound double, leaves int, queue int"
