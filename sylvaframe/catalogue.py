@@ -481,20 +481,6 @@ def pauc(spark, sf):
 # Trees as tables, and fits
 
 
-@query("SELECT * FROM (VALUES (0, 'l_discount >= 0.05 and l_quantity >= 25', 'R', 0.125::DOUBLE), (1, 'l_discount < 0.05 and l_quantity >= 25', 'A', 0.25::DOUBLE), (2, 'l_linestatus == O and l_quantity < 25', 'N', 0.0625::DOUBLE), (3, 'l_linestatus != O and l_quantity < 25', 'R', 0.25::DOUBLE)) AS r(leaf, rule, prediction, loss)")
-def rules_table(spark, sf):
-    return TREE.rules_frame(spark)
-
-
-_NARY = TreeModel(Split("l_quantity", ">=", 25, Split("l_quantity", ">=", 40, Leaf("R", 0.1, 0.01), Leaf("A", 0.1, 0.01)), Leaf("N", 0.1, 0.01)))
-
-
-@query("SELECT * FROM (VALUES ('-', '25', 'N'), ('25', '40', 'A'), ('40', '-', 'R')) AS c(low, high, prediction)")
-def nary_children(spark, sf):
-    rows = [(*("-" if x is None else str(x) for x in c["in"]), c["then"]["prediction"]) for c in _NARY.nary()["children"]]
-    return spark.createDataFrame(rows, "low string, high string, prediction string")
-
-
 @query(f"WITH {_PRICED}, b AS (SELECT min(loss) AS loss FROM pr), whole AS (SELECT sum(n) - greatest(sum(n_a), sum(n_n), sum(n_r)) AS loss, sum(n) AS n FROM g) SELECT round(least(whole.loss / n + 0.5, b.loss / n + 1.0), 6) AS objective, CASE WHEN whole.loss / n + 0.5 <= b.loss / n + 1.0 THEN 1 ELSE 2 END AS leaves FROM b, whole")
 def fit_tree_lineitem(spark, sf):
     """A penalty at which only a leaf or a stump can pay, so SQL can say the optimum."""
@@ -521,27 +507,12 @@ def fit_tree_events(spark, sf):
     return model.confusion(rows, "event_type")
 
 
-@query()
-def fit_special_objective(spark, sf):
-    b = bits(spark, sf, ()).select(*FEATURES, F.when(F.col("y") == "R", 1).otherwise(0).alias("label"))
-    rows = []
-    for objective in ("acc", "bacc", "wacc", "f1", "auc", "pauc"):
-        m = OptimalTree({"regularization": 0.005, "objective": objective, "w": 2.0, "theta": 0.5}).fit(b, "label")
-        rows.append((objective, float(m.summary["risk"]), m.leaves(), bool(m.summary["proven"])))
-    return spark.createDataFrame(rows, "objective string, risk double, leaves int, proven boolean")
-
-
-@query()
-def fit_tree_levels(spark, sf):
-    """The same search as DataFrames, level by level."""
-    b = bits(spark, sf, ()).select(*FEATURES, "y")
-    m = OptimalTree({"regularization": 0.001, "local_cells": 0}).fit(b, "y")
-    return spark.createDataFrame([(m.tree.objective(), m.leaves(), bool(m.summary["proven"]))], "objective double, leaves int, proven boolean")
-
-
 @query("SELECT date_trunc('day', ts) AS day, CASE WHEN value >= 50 THEN 'high' ELSE 'low' END AS prediction, count(*)::BIGINT AS n FROM events GROUP BY ALL")
 def prediction_drift(spark, sf):
     from .streaming import drift
 
     model = TreeModel(Split("value", ">=", 50, Leaf("high", 0.0, 0.01), Leaf("low", 0.0, 0.01)))
     return drift(read(spark, sf, "events"), model, "ts").select(F.col("window.start").alias("day"), "prediction", "n")
+
+
+from . import catalogue_steps  # noqa: E402, F401  registers its queries

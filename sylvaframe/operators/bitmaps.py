@@ -24,6 +24,21 @@ def algebra(a: Column, b: Column, width: int) -> dict[str, Column]:
     }
 
 
+def single_bits(x: Column, at: Column, width: int) -> dict[str, Column]:
+    """Bit ``at`` of a set read, set and cleared; the complement, its text, its size, and whether it is the smaller number."""
+    full, one = F.lit((1 << width) - 1).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), at)
+    inverse = full.bitwiseXOR(x)
+    return {
+        "bit_get": x.bitwiseAND(one) != 0,
+        "bit_set": x.bitwiseOR(one),
+        "bit_clear": x.bitwiseAND(full.bitwiseXOR(one)),
+        "bits_not": inverse,
+        "bits_text": F.lpad(F.bin(x), width, "0"),
+        "ones": F.bit_count(x).cast("long"),
+        "less": x < inverse,
+    }
+
+
 def constructed(df: DataFrame, position: str) -> DataFrame:
     """(bucket, bitmap, ones): positions from 1 as bitmaps of 32768 bits, any number of them."""
     agg = df.groupBy(F.bitmap_bucket_number(position).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(position)).alias("bitmap"))

@@ -65,9 +65,9 @@ def subset_pairs(groups: DataFrame, features: list[str]) -> DataFrame:
     return p.select("a", "b", F.explode(rules).alias("implies"))
 
 
-def distances(groups: DataFrame, features: list[str]) -> DataFrame:
-    """(a, b, distance): rows on which two predicates, or one and the other's negation, differ, whichever is less."""
-    return pairs(groups, features).select("a", "b", F.least(F.col("n10") + F.col("n01"), F.col("n11") + F.col("n00")).alias("distance"))
+def distances(groups: DataFrame, features: list[str], weight: str = "n") -> DataFrame:
+    """(a, b, distance): rows (or their weight) on which two predicates, or one and the other's negation, differ, whichever is less."""
+    return pairs(groups, features, weight).select("a", "b", F.least(F.col("n10") + F.col("n01"), F.col("n11") + F.col("n00")).alias("distance"))
 
 
 def exchange_candidates(hist: DataFrame, thresholds: DataFrame, counts: list[str]) -> DataFrame:

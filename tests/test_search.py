@@ -16,6 +16,20 @@ from sylvaframe.sources import parse_costs, table_from_text
 ONE_HOT = "f1,f2,f3,f4,f5,l\n" + "\n".join(["1,0,0,0,0,TFF", "1,0,0,0,0,TFF", "0,1,0,0,0,FTF", "0,1,0,0,0,FTF", "0,0,1,0,0,FFT", "0,0,1,0,0,FFT", "0,0,0,1,0,FTT", "0,0,0,1,0,FTT", "0,0,0,0,1,FTF", "0,0,0,0,1,FTT"])
 CUBE = "b0,b1,b2,b3,s\n" + "\n".join(",".join([*bits, "v" + "".join(bits)]) for bits in itertools.product("01", repeat=4))
 
+#: One column of each kind: the same value, nulls in several spellings, two values, few and signed integers, decimals, text.
+KINDS = [
+    ("x", "null", "yes", "1", "alpha", "0", "0.0"),
+    ("x", "notnull", "no", "2", "beta", "1", "0.123456789"),
+    ("x", "nontrivial", "yes", "3", "gamma", "-2", "-999999.9999999"),
+    ("x", "", "no", "4", "delta", "3", "192875.1024875"),
+    ("x", "NA", "yes", "1", "epsilon", "-4", "0"),
+    ("x", "Null", "no", "2", "zeta", "5", "918273645.564738291"),
+    ("x", "NaN", "yes", "3", "eta", "6", "1121121121211.3"),
+]
+SEQUENCES = "redundant,optional,bin,enum,str,int,float,path\n" + "\n".join(",".join([*r, "".join(r)]) for r in KINDS)
+#: The class of each combination of four bits, in their order.
+SMALL = "f0,f1,f2,f3,c\n" + "\n".join(",".join([*bits, c]) for bits, c in zip(itertools.product("01", repeat=4), "1011011011011011"))
+
 
 def brute(bits, counts, costs, penalty, rule_list=False):
     memo = {}
@@ -61,7 +75,7 @@ def test_random_tables(rule_list, prunes):
             assert done and Fraction(root.cost, p.scale) == brute(rows, counts, costs, penalty, rule_list) and lower == root.cost
 
 
-@pytest.mark.parametrize("text, objective, leaves", [(ONE_HOT, 0.30, 4), (CUBE, 0.80, 16)])
+@pytest.mark.parametrize("text, objective, leaves", [(ONE_HOT, 0.30, 4), (CUBE, 0.80, 16), (SEQUENCES, 0.35, 7)])
 def test_known_optima(spark, text, objective, leaves):
     df = table_from_text(spark, text)
     model = OptimalTree({"regularization": 0.05}).fit(df)
@@ -69,6 +83,42 @@ def test_known_optima(spark, text, objective, leaves):
     assert model.error(df, df.columns[-1]) == pytest.approx(model.tree.loss())
 
 
+def test_small_table(spark):
+    model = OptimalTree().fit(table_from_text(spark, SMALL))
+    assert model.tree.objective() == pytest.approx(0.3625) and model.leaves() == 1 and model.status() == 0 and model.iterations() >= 1 and model.time() > 0 and model.size() >= 1
+
+
+def test_codex_of_kinds(spark):
+    book = OptimalTree().fit(table_from_text(spark, SEQUENCES)).codex
+    assert len(book) == 24 and [(p.relation, p.reference) for p in book.of("optional")] == [("==", "nontrivial"), ("==", "notnull")]
+    assert not book.of("redundant") and len(book.of("str")) == 7 and book.of("int")[0].reference == -2
+
+
+def test_many_thresholds_are_packed_by_rank(spark):
+    """Columns of many predicates give the same bits by rank as by one test each."""
+    from sylvaframe.operators import encode, profile
+
+    rows = [(str(v) if v % 7 else None, f"c{v % 40}", float(v) / 3 if v % 11 else None, float("nan") if v == 50 else float(v % 45), v % 2) for v in range(-50, 100)]
+    df = spark.createDataFrame(rows, "a string, b string, c double, d double, y int")
+    book = profile.codex(df, "y")
+    assert {len(book.of(c)) > encode.TESTED for c in "abcd"} == {True}
+    for policy in ("reference", "sql"):
+        packed = df.withColumns(encode.ranks(book, policy)).select(*encode.packed(book, policy)).collect()
+        plain = df.select(*[p.column(policy).cast("int").alias(f"p{p.pos}") for p in book.predicates]).collect()
+        for x, y in zip(packed, plain):
+            assert [(x[p.pos // encode.WORD] >> p.pos % encode.WORD) & 1 for p in book.predicates] == list(y)
+
+
+def test_codex_is_counted_first(spark):
+    from sylvaframe.operators import profile
+
+    df = spark.range(1000).selectExpr("id", "id * 1.0e-7D as tiny", "id % 2 as y")
+    with pytest.raises(ValueError, match="precision_limit"):
+        profile.codex(df, "y", limit=100)
+    few = profile.codex(df, "y", precision=1, limit=100)
+    assert {p.type for p in few.of("tiny")} == {"Rational"} and 10 < len(few.of("id")) < 40
+
+
 def test_levels_equal_local(spark):
     df = table_from_text(spark, ONE_HOT)
     far = OptimalTree({"regularization": 0.02, "local_cells": 0}).fit(df)
