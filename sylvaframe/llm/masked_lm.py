@@ -5,15 +5,20 @@ A bidirectional window network predicts every token of a text from the tokens on
 two-level softmax (class, then member) gives the token's conditional probability. A text's score is the sum of its
 tokens' conditional log-probabilities.
 
-Nothing is sampled. The vocabulary holds the most frequent of the words counted over the whole corpus; other words share
+Nothing is sampled. The vocabulary holds the words that reach the least count which at most ``CLASSES * MEMBERS - BUCKETS``
+words of the whole corpus have, so of words seen equally often all or none are in it; other words share
 hash buckets, and such a token's probability is that of its bucket times the word's share of the bucket's tokens, from the
 counts of all words. The counts of the more frequent of them (``NEAR`` at most) travel with the tasks, the others are
-joined. A word that the corpus doesn't have counts as one more token of its bucket, whichever it is. Training is plain numpy: each partition starts from the same weights, takes every token of its texts once
-by minibatch gradient steps, and the partitions' weights, weighted by their tokens, are averaged piece by piece on the
-executors. The driver holds one model, whose size doesn't depend on the corpus.
+joined. A word that the corpus doesn't have counts as one more token of its bucket, whichever it is.
+
+Training is plain numpy: each partition starts from the same weights, takes every token of its texts once by minibatch
+gradient steps, and the partitions' weights, weighted by their tokens, are averaged piece by piece on the executors. So the
+model depends on how the table is cut into partitions, though little; the same files and settings give the same model. The
+driver holds one model, whose size doesn't depend on the corpus.
 
 Defined cases: a null text, an empty one or one without words has no token and the score 0 (mean null); a text of one
-word is predicted from no neighbour; rows with equal ids are scored each by its own text; an empty table gives no rows;
+word is predicted from no neighbour; very long texts are scored whole, a batch of tokens after another with the neighbours
+beyond its ends; rows with equal ids, and repeated rows, are scored each by its own text; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -36,7 +41,7 @@ CLASSES = 64
 MEMBERS = 64
 BUCKETS = 256
 BATCH = 8192
-RATE = 0.2
+RATE = 0.4
 PIECE = 8192
 MERGES = 32
 #: Counted words outside the vocabulary up to this many (16 bytes each) travel with the tasks; the others are joined.
@@ -195,6 +200,25 @@ def _tokens(part: pa.RecordBatch, vocabulary: np.ndarray, rank: np.ndarray, buck
     return ids, doc, h
 
 
+def _least_count(counts: DataFrame, size: int) -> int:
+    """The least count that at most ``size`` words reach. Words are summed by levels of counts, in eighths of powers of two,
+    and then by count inside the one level in which the number is passed; no task orders words."""
+    level = F.floor(F.log2("n") * 8)
+    held = 0
+    for r in sorted(counts.groupBy(level.alias("x")).agg(F.count("*").alias("c")).collect(), key=lambda r: -r["x"]):
+        if held + r["c"] <= size:
+            held += r["c"]
+            continue
+        # counts of one level lie within a twelfth of each other, and more than a few words have the same only if it is low
+        inside = counts.filter(level == r["x"])
+        for r in inside.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).limit(size - held + 1).collect():
+            if held + r["c"] > size:
+                return r["n"] + 1
+            held += r["c"]
+        raise AssertionError("a level holds more words than its counts say")
+    return 1
+
+
 def vocabulary(docs: DataFrame, size: int, text_col: str = "text", near: int | None = None) -> tuple[Words, np.ndarray]:
     """The most frequent words of the corpus with the counts of all others, and their ranks. Every word is counted."""
     near = NEAR if near is None else near
@@ -208,7 +232,8 @@ def vocabulary(docs: DataFrame, size: int, text_col: str = "text", near: int | N
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
     counts = stored(docs.select(F.col(text_col).alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
-    top = stored(counts.orderBy(F.desc("n"), "h").limit(size), "vocabulary").collect()  # executors merge the tops
+    least = _least_count(counts, size)
+    top = sorted(counts.filter(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["h"]))  # at most ``size`` words
     h = np.array([r["h"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(h)
 

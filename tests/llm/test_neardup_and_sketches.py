@@ -214,7 +214,29 @@ def test_language_model(spark, sf):
     a, b = (r.mean_log_likelihood for r in masked_lm.score(pair, model).orderBy("doc_id").collect())
     fresh = (*model[:2], masked_lm.Network.fresh().flat)
     untrained = masked_lm.score(pair, fresh).orderBy("doc_id").first().mean_log_likelihood
-    assert a > untrained and abs(a - b) < 1
+    assert a > untrained and a > b
+
+
+def test_language_model_learns_order(spark):
+    """In texts where each kind of word follows another, the true order must score well above a shuffled one."""
+    rng = random.Random(4)
+    kinds = [[f"{k}{i}" for i in range(30)] for k in "abcd"]
+    texts = [" ".join(rng.choice(kinds[i % 4]) for i in range(rng.randint(40, 400))) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = masked_lm.fit(docs.repartition(4, "doc_id"))
+    fresh = [" ".join(rng.choice(kinds[i % 4]) for i in range(200)) for _ in range(20)]
+    mixed = [" ".join(rng.sample(t.split(), 200)) for t in fresh]
+    got = {r.doc_id: r.mean_log_likelihood for r in masked_lm.score(spark.createDataFrame(list(enumerate(fresh + mixed)), "doc_id long, text string"), model).collect()}
+    gaps = [got[i] - got[i + 20] for i in range(20)]
+    assert min(gaps) > 0.5, gaps
+
+
+def test_vocabulary_cut(spark):
+    """Words of the count at which the vocabulary would overflow are all left out."""
+    texts = ["x x x x y y y z z z u u v w", "x y z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes = {n: len(masked_lm.vocabulary(docs, n)[0].top) for n in (1, 2, 3, 4, 5, 6, 9)}
+    assert sizes == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 9: 6}
 
 
 def test_language_model_awkward(spark):
