@@ -13,11 +13,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
+    """The folder that all executors share. Where the session names none, a temporary one in local mode (tests), else an
+    error: executors of a cluster don't see each other's folders."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="sylvaframe-")
         spark.sparkContext.setCheckpointDir(root)
@@ -32,6 +35,28 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def least_count(counts: DataFrame, n_col: str, size: int) -> int:
+    """The least count that at most ``size`` rows reach. Rows are summed by levels of counts, in eighths of powers of two,
+    and then by count inside the one level in which the number is passed; no task orders rows."""
+    level = F.floor(F.log2(n_col) * 8)
+    held = 0
+    for r in sorted(counts.groupBy(level.alias("x")).agg(F.count("*").alias("c")).collect(), key=lambda r: -r["x"]):
+        if held + r["c"] <= size:
+            held += r["c"]
+            continue
+        for r in counts.filter(level == r["x"]).groupBy(F.col(n_col).alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("n")).limit(size - held + 1).collect():
+            if held + r["c"] > size:
+                return r["n"] + 1
+            held += r["c"]
+    return 1
+
+
+def frequent(counts: DataFrame, n_col: str, size: int) -> DataFrame:
+    """The rows of a stored copy of counts whose count is one that at most ``size`` rows reach."""
+    counts = stored(counts, "counts")
+    return counts.filter(F.col(n_col) >= least_count(counts, n_col, size))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

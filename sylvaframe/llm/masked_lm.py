@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import stored
+from .common import least_count, stored
 
 SIDE = 2
 DIM = 16
@@ -200,25 +200,6 @@ def _tokens(part: pa.RecordBatch, vocabulary: np.ndarray, rank: np.ndarray, buck
     return ids, doc, h
 
 
-def _least_count(counts: DataFrame, size: int) -> int:
-    """The least count that at most ``size`` words reach. Words are summed by levels of counts, in eighths of powers of two,
-    and then by count inside the one level in which the number is passed; no task orders words."""
-    level = F.floor(F.log2("n") * 8)
-    held = 0
-    for r in sorted(counts.groupBy(level.alias("x")).agg(F.count("*").alias("c")).collect(), key=lambda r: -r["x"]):
-        if held + r["c"] <= size:
-            held += r["c"]
-            continue
-        # counts of one level lie within a twelfth of each other, and more than a few words have the same only if it is low
-        inside = counts.filter(level == r["x"])
-        for r in inside.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("n")).limit(size - held + 1).collect():
-            if held + r["c"] > size:
-                return r["n"] + 1
-            held += r["c"]
-        raise AssertionError("a level holds more words than its counts say")
-    return 1
-
-
 def vocabulary(docs: DataFrame, size: int, text_col: str = "text", near: int | None = None) -> tuple[Words, np.ndarray]:
     """The most frequent words of the corpus with the counts of all others, and their ranks. Every word is counted."""
     near = NEAR if near is None else near
@@ -232,7 +213,7 @@ def vocabulary(docs: DataFrame, size: int, text_col: str = "text", near: int | N
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
     counts = stored(docs.select(F.col(text_col).alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "counts")
-    least = _least_count(counts, size)
+    least = least_count(counts, "n", size)
     top = sorted(counts.filter(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["h"]))  # at most ``size`` words
     h = np.array([r["h"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(h)

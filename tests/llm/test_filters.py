@@ -1,6 +1,9 @@
 """URL filter, language spans, decontamination."""
 
+import collections
 import hashlib
+import math
+import re
 import zlib
 
 import duckdb
@@ -28,31 +31,100 @@ def plain_parts(url):
     return low(rest[:end]), path
 
 
-def test_url_query(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
-    model = urls.UrlModel(urls.host_words(pages))
-    want = {}
-    for r in pages.select("page_id", "url").collect():
-        host, path = plain_parts(r.url)
-        rule, verdict = plain_rule(host, path)
-        want[r.page_id] = (host, path, rule, verdict or ("block" if model.score(host, path) > 0 else "allow"))
-    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in QUERIES["op4_url_words"](spark, sf).collect()} == want
-
+def letter_runs(text):
+    return re.findall(r"[^\W\d_]+", text.lower())
+
+
+def best_split(cost, unknown, word):
+    """Every split of a word tried, last word first."""
+    memo = {"": (0.0, [])}
+
+    def go(w):
+        if w not in memo:
+            options = []
+            for i in range(len(w)):
+                c = max(cost.get(w[i:], -math.inf), unknown - urls.LETTER * (len(w) - i))
+                s, parts = go(w[:i])
+                options.append((round(s + c, 9), -i, [*parts, w[i:]]))
+            x = max(options, key=lambda o: o[:2])
+            memo[w] = x[0], x[2]
+        return memo[w]
+
+    return go(word)[1]
+
+
+def plain_model(pages):
+    """Unigrams and naive Bayes by counting in plain Python. pages: (url, html)."""
+    apart = collections.Counter()
+    by_host = set()
+    for url, html in pages:
+        host, path = plain_parts(url)
+        for label in host.split("."):
+            runs = letter_runs(label)
+            by_host |= {(host, w) for w in runs if "-" in label and len(runs) > 1}
+        by_host |= {(host, w) for w in letter_runs(path)}
+        apart.update(set(letter_runs(re.sub("<[^>]*>", " ", html or ""))))
+    apart.update(w for _, w in by_host)
+    seeds = {*urls.BLOCKED, *urls.ALLOWED}
+    known = set(seeds)
+
+    def joined(w):
+        ends = {0: {False}}
+        for j in range(1, len(w) + 1):
+            ends[j] = {s or w[i:j] in seeds for i in range(j - 2) for s in ends[i] if w[i:j] in known}
+        return True in ends[len(w)]
+
+    for w in sorted(set(apart) - seeds, key=lambda w: (len(w), w)):
+        if not joined(w):
+            known.add(w)
+    weight = sum(apart[w] for w in known)
+    share = min(1, urls.UNIGRAM * len(seeds) / max(1, weight))
+    count = {w: urls.UNIGRAM * (w in seeds) + share * apart[w] for w in known}
+    total = sum(count.values())
+    cost, unknown, memo = {w: math.log(c / total) for w, c in count.items()}, math.log(1 / total), {}
+
+    def segments(word):
+        if word not in memo:
+            memo[word] = best_split(cost, unknown, word)
+        return memo[word]
+
+    own = {w for h, p, _ in urls.RULES for w in letter_runs(h) + letter_runs(p)}
+    hosts = set()
+    for url, _ in pages:
+        host, path = plain_parts(url)
+        verdict = plain_rule(host, path)[1]
+        if verdict:
+            hosts |= {(host, verdict, w) for x in letter_runs(host) + letter_runs(path) for w in segments(x) if w not in own}
+    of = {k: collections.Counter({w: urls.SEED for w in s}) for k, s in (("block", urls.BLOCKED), ("allow", urls.ALLOWED))}
+    for _, verdict, w in hosts:
+        of[verdict][w] += 1
+    both = set(of["block"]) | set(of["allow"])
+    p = lambda k, w: (of[k][w] + urls.ALPHA) / (sum(of[k].values()) + urls.ALPHA * len(both))
+    odds = {w: math.log(p("block", w)) - math.log(p("allow", w)) for w in both}
+    return lambda host, path: math.log(urls.PRIOR / (1 - urls.PRIOR)) + sum(odds.get(w, 0) for x in letter_runs(host) + letter_runs(path) for w in segments(x))
 
-def best_split(model, word):
-    """Every split, by recursion."""
-    cost = lambda w: model.cost.get(w, model.unknown - 2.5 * len(w))
-    if not word:
-        return 0.0, []
-    return max((cost(word[:i]) + best_split(model, word[i:])[0], [word[:i], *best_split(model, word[i:])[1]]) for i in range(1, len(word) + 1))
 
-
-def test_segmentation():
-    model = urls.UrlModel({"example": 50, "cheap": 3, "farm": 4})
-    assert model.segment("cheappills") == ["cheap", "pills"] and model.segment("freecasinobonus") == ["free", "casino", "bonus"]
-    for w in ("spamfarm", "newsblogx", "healthshop"):
-        assert model.segment(w) == best_split(model, w)[1]
-    assert model.score("cheappills.example.net", "/") > 0 > model.score("citynews.example.net", "/en/1")
+def test_url_query(spark, sf):
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    score = plain_model([(u, h) for _, u, h in pages])
+    got = {r.page_id: r for r in QUERIES["op4_url_words"](spark, sf).collect()}
+    assert len(got) == len(pages)
+    for i, url, _ in pages:
+        host, path = plain_parts(url)
+        rule, verdict = plain_rule(host, path)
+        r = got[i]
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        if verdict is None:
+            assert r.log_odds == pytest.approx(score(host, path), abs=1e-6)
+            assert r.verdict == ("block" if score(host, path) > 0 else "allow")
+        else:
+            assert (r.verdict, r.log_odds) == (verdict, None)
+
+
+@pytest.mark.parametrize("word", ["cheappillsfarm", "freecasinobonus", "thththe", "newsblogdocs", "zzzz", "xcheap", "cheapx", "a"])
+def test_segments_equal_all_splits(word):
+    words = urls.Words({"example": 50, "the": 30, "eat": 4})
+    assert words.segment(word) == best_split(words.cost, words.unknown, word)
 
 
 def test_url_awkward(spark):
