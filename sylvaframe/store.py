@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the checkpoint folder of the context; a temporary one only where neither is set."""
+    """spark.checkpoint.dir, or the checkpoint folder of the context. Where neither is set, a temporary one in local mode,
+    else an error: executors of a cluster don't see each other's folders."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="sylvaframe-")
         spark.sparkContext.setCheckpointDir(root)
