@@ -34,6 +34,54 @@ def test_split_is_the_weighted_median(spark):
     assert set(load) == {0, 1, 2} and all(abs(v - total / 3) <= 0.01 * total for v in load.values())
 
 
+def plain_tree(rows, leaves, first, extent, out):
+    """rows: (size, wide, crc, id); the k-d tree by sorting."""
+    if leaves == 1 or not rows:
+        out.update({r: first for r in rows})
+        return
+    weight = sum(r[0] for r in rows)
+    spread = [(max(r[d] for r in rows) - min(r[d] for r in rows)) / extent[d] for d in range(3)]
+    dim = max(range(3), key=lambda d: (spread[d], -d))
+    keys, need, held, cut = [dim, 2, 3], weight * (leaves // 2) / leaves, rows, []
+    for depth, k in enumerate(keys):
+        below = 0
+        for v in sorted({r[k] for r in held}):
+            own = sum(r[0] for r in held if r[k] == v)
+            if below + own >= need:
+                break
+            below += own
+        need -= below
+        if min(need, own - need) <= shards.TOLERANCE * weight or depth == 2:
+            cut.append(v if need <= own - need else v + 1)
+            break
+        cut.append(v)
+        held = [r for r in held if r[k] == v]
+    left = [r for r in rows if tuple(r[k] for k in keys[: len(cut)]) < tuple(cut)]
+    inside = set(left)
+    plain_tree(left, leaves // 2, first, extent, out)
+    plain_tree([r for r in rows if r not in inside], leaves - leaves // 2, first + leaves // 2, extent, out)
+
+
+@pytest.mark.parametrize("n", [5, 8, 33])
+def test_shards_equal_a_plain_tree(spark, sf, n):
+    docs = [(r.doc_id, (r.text or "")) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = [(len(t.encode()) + 1, len(t.encode()) - len(t), zlib.crc32(t.encode()), i) for i, t in docs]
+    want = {}
+    plain_tree(rows, n, 0, [max(1, max(r[d] for r in rows) - min(r[d] for r in rows)) for d in range(3)], want)
+    want = {r[3]: s for r, s in want.items()}
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    assert {r.doc_id: r.shard for r in shards.assign(table, shards=n).collect()} == want
+    assert {r.doc_id: r.shard for r in shards.with_shard(table, shards=n).collect()} == want
+
+
+def test_many_shards(spark):
+    """Neither plans nor code grow with the shards."""
+    rows = spark.range(6000).selectExpr("id AS doc_id", "repeat('x', CAST(id % 97 AS INT)) AS text")
+    load = {r.shard: r.s for r in shards.assign(rows, shards=700).groupBy("shard").agg(F.sum("size").alias("s")).collect()}
+    mean = sum(load.values()) / 700  # each cut misses its quantile by half a row at most, and halves what came from above
+    assert len(load) == 700 and all(abs(x - mean) <= 2 * 97 for x in load.values())
+
+
 def test_equal_texts_split_only_where_they_must(spark):
     rows = spark.createDataFrame([(i, "the same text") for i in range(64)], "doc_id long, text string")
     assert Counter(r.shard for r in shards.assign(rows, shards=4).collect()) == {k: 16 for k in range(4)}
