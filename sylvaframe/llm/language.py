@@ -10,7 +10,8 @@ Texts of a slice are searched side by side, one word position after another, so
 cut.
 
 Defined cases: a null text, an empty one or one without a letter is ``und`` with score 0; without any labelled row all
-texts are ``und``; rows with a null label train nothing; ties go to the label first in code-point order; an empty table
+texts are ``und``; rows with a null label train nothing; repeated rows each train and have equal results; a very long text
+is one lane of its slice, whole; ties go to the label first in code-point order; an empty table
 gives no rows; columns other than id, text and label are ignored (``predict``) or kept (``accepted``).
 """
 
@@ -31,6 +32,8 @@ LEAST_SHARE = 0.005
 SLICE = 8 << 20
 STEP = 1 << 20
 UND = "und"
+#: Share of letters that a document's language must hold, and from which it outweighs a label.
+LEAST, SURE = 0.4, 0.9
 
 LETTER = np.zeros(256, bool)
 LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -227,7 +230,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def accepted(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The documents that have a language, with their own columns."""
+def accepted(docs: DataFrame, model: Model, *, text_col: str = "text", lang_col: str = "lang", least: float = LEAST, sure: float = SURE) -> DataFrame:
+    """The documents in which one language holds at least the share ``least`` of the letters, with their own columns. Where a
+    document names no language it gets the one found, and where the share is at least ``sure`` another one is put right."""
     keep = docs.columns
-    return _predicted(docs, model, text_col, keep).filter(F.col("__lang") != UND).select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)])
+    found = _predicted(docs, model, text_col, keep).filter((F.col("__lang") != UND) & (F.col("__score") >= least))
+    own = {c: F.col(f"__k{i}") for i, c in enumerate(keep)}
+    if lang_col in own:
+        own[lang_col] = F.when(own[lang_col].isNull() | (F.col("__score") >= sure), F.col("__lang")).otherwise(own[lang_col])
+    return found.select(*[x.alias(c) for c, x in own.items()])

@@ -304,7 +304,7 @@ def score(docs: DataFrame, model, *, id_col: str = "doc_id", text_col: str = "te
                 ll[own[known]] += words.weight[at[known]]
                 own = own[~known]
                 n = np.bincount(doc, minlength=part.num_rows)
-                ll = np.bincount(doc, weights=ll, minlength=part.num_rows)
+                ll = np.bincount(doc, weights=ll, minlength=part.num_rows).astype(np.float64)  # whole numbers where nothing is counted
                 rest = tx.list_array(h[own].view(np.int64), np.bincount(doc[own], minlength=part.num_rows))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + part.num_rows)), part.column("id"), pa.array(n.astype(np.int64)), pa.array(ll), rest], names=["row", "id", "n_tokens", "log_likelihood", "rest"])
                 row += part.num_rows

@@ -146,6 +146,70 @@ def test_language_query(spark, sf):
     assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) >= 0.95 * len(held)
 
 
+def letter_words(text):
+    """Runs of ASCII letters and of bytes beyond ASCII, as bytes in ASCII lower case."""
+    raw = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+    return re.findall(rb"[a-z\x80-\xff]+", raw)
+
+
+def trigrams(word):
+    padded = [0, *word, 0]
+    return [((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> 16 for a, b, c in zip(padded, padded[1:], padded[2:])]
+
+
+def plain_language(train, texts, langs):
+    """Language and share of each text, by counting trigrams and Viterbi in plain Python. All texts are in Latin script."""
+    grams = {k: collections.Counter() for k in langs}
+    for lang, text in train:
+        for w in letter_words(text):
+            grams[lang].update(trigrams(w))
+    total = {k: sum(g.values()) + 0.1 * language.GRAMS for k, g in grams.items()}
+    logp = lambda k, g: math.log((grams[k][g] + 0.1) / total[k])
+    memo, out = {}, []
+    for text in texts:
+        words, scores = letter_words(text), []
+        for w in words:
+            if w not in memo:
+                own = [sum(logp(k, g) for g in trigrams(w)) for k in langs]
+                memo[w] = [max(x - max(own), 2 * language.FOREIGN) for x in own]
+            scores.append(memo[w])
+        if not any(c.isalpha() for c in text or ""):
+            out.append(("und", 0.0))
+            continue
+        held = collections.Counter({k: 0 for k in range(len(langs))})
+        for w, k in zip(words, viterbi(scores, language.SWITCH)):
+            held[k] += len(w)
+        best = max(held, key=lambda k: (held[k], -k))
+        out.append((langs[best], held[best] / sum(held.values())))
+    return out
+
+
+def test_language_query_equals_plain_python(spark, sf):
+    docs = sorted((r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in docs}
+    train = [(lang, t) for i, t, lang in docs if lang is not None and t is not None and not held[i]]
+    want = plain_language(train, [t for _, t, _ in docs], sorted({lang for lang, _ in train}))
+    got = {r.doc_id: r for r in QUERIES["op5_language_spans"](spark, sf).collect()}
+    for (i, _, _), (lang, score) in zip(docs, want):
+        # words between two spans may fall to either side where sums of single and double precision differ
+        assert got[i].lang_pred == lang and got[i].score == pytest.approx(score, abs=0.02)
+
+
+def test_accepted(spark):
+    """Labels are filled in and put right by the text; texts in no one language go."""
+    import itertools
+
+    words = {"en": "the quick brown fox jumps over lazy dogs while thinking".split(), "fr": "une très belle journée pour être à la plage".split(), "de": "größe straße über für und nicht schön".split()}
+    rows = [(i, " ".join(w * 8), lang) for i, (lang, w) in enumerate(list(words.items()) * 5)]
+    mix = " ".join(itertools.chain(*[words[k] * 6 for k in ("en", "fr", "de")]))
+    more = [(100, " ".join(words["en"] * 4), None), (101, " ".join(words["de"] * 4), "fr"), (102, "1234 !!", "en"), (103, mix, None)]
+    docs = spark.createDataFrame(rows + more, "doc_id long, text string, lang string")
+    model = language.train(docs.filter("doc_id < 100"))
+    got = {r.doc_id: r.lang for r in language.accepted(docs, model).collect()}
+    assert got[100] == "en" and got[101] == "de" and 102 not in got and all(got[i] == lang for i, _, lang in rows)
+    assert 103 not in {r.doc_id for r in language.accepted(docs, model, least=0.7).collect()}
+
+
 def viterbi(scores, switch):
     best, back = list(scores[0]), []
     for s in scores[1:]:

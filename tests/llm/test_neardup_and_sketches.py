@@ -1,14 +1,19 @@
 """Near-dedup, components, fingerprints, language-model scores, and the pipeline."""
 
 import hashlib
+import math
 import random
+import zlib
+from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from helpers import WORD, awkward, components, empty, low, shingles
 
-from sylvaframe.llm import fingerprint, masked_lm, neardup
+from sylvaframe.llm import fingerprint, language, masked_lm, neardup, oracles
 from sylvaframe.llm.graph import components as connected
 from sylvaframe.llm.queries import QUERIES
 
@@ -217,6 +222,35 @@ def test_language_model(spark, sf):
     assert a > untrained and a > b
 
 
+def test_scores_equal_plain_loops(spark):
+    """Every token's conditional probability and its share of its bucket, by loops over the network's numbers."""
+    texts = {1: "a b c a b d e", 2: "d e f a", 3: "zz a", 4: "", 5: "a"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model = masked_lm.fit(docs)
+    net = masked_lm.Network(model[2])
+    count = Counter(w for t in texts.values() for w in t.split())
+    code = lambda w: int(masked_lm.tx.hash_words(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0])
+    top = sorted(count, key=lambda w: (-count[w], np.uint64(code(w)).view(np.int64)))
+    number = {w: i + masked_lm.BUCKETS for i, w in enumerate(top)}
+    test = {**texts, 6: "a unseen b"}
+    for d, text in test.items():
+        ids = [number.get(w, code(w) % masked_lm.BUCKETS) for w in text.split()]
+        total = 0.0
+        for i, x in enumerate(ids):
+            s = net.bias.astype(float).copy()
+            for k, o in enumerate([o for o in range(-masked_lm.SIDE, masked_lm.SIDE + 1) if o]):
+                if 0 <= i + o < len(ids):
+                    s += net.emb[ids[i + o]].astype(float) * net.off[k]
+            h = np.tanh(s)
+            c, m = divmod(x, masked_lm.MEMBERS)
+            for z, want in ((h @ net.wc + net.bc, c), (h @ net.wm[c] + net.bm[c], m)):
+                total += z[want] - math.log(sum(math.exp(v) for v in z))
+            if x < masked_lm.BUCKETS:  # a word the corpus doesn't have: one more token of its bucket
+                total -= math.log(1)
+        got = masked_lm.score(spark.createDataFrame([(d, text)], "doc_id long, text string"), model).first()
+        assert got.n_tokens == len(ids) and got.log_likelihood == pytest.approx(total, abs=1e-3)
+
+
 def test_language_model_learns_order(spark):
     """In texts where each kind of word follows another, the true order must score well above a shuffled one."""
     rng = random.Random(4)
@@ -258,18 +292,29 @@ def test_pipeline(spark, sf):
         docs = neardup.stored(out, "test")
         seen[name] = [r.doc_id for r in docs.select("doc_id").collect()]
     a, b, c, d, e = seen.values()
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    assert sorted(a) == sorted(i for i, t in texts.items() if any(ch.isalpha() for ch in t or ""))
+    from test_filters import plain_hits, plain_language
+    from test_shards_and_mixing import plain_tree
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    texts, source = {r.doc_id: r.text for r in rows}, {r.doc_id: r.source for r in rows}
+    train = [(r.lang, r.text) for r in rows if r.lang is not None and r.text is not None]
+    found = dict(zip(texts, plain_language(train, texts.values(), sorted({k for k, _ in train}))))
+    assert sorted(a) == sorted(i for i, (lang, score) in found.items() if lang != "und" and score >= language.LEAST)
     root = components({i: shingles(texts[i], 5) for i in a})
     assert sorted(b) == sorted(i for i in a if root[i] == i)
-    from test_filters import plain_hits
-
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     dirty = {i for i, x in plain_hits([(i, texts[i]) for i in b], items).items() if x[4]}
     assert sorted(c) == sorted(set(b) - dirty) and dirty
-    assert set(d) <= set(c) and max(d.count(i) for i in set(d)) <= 2 and sorted(d) == sorted(e)
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": c, "text": [texts[i] for i in c], "source": [source[i] for i in c]}))
+    copies = {i: taken // size if size else None for i, size, taken in con.sql(oracles.MIXING).select("doc_id, size, taken").fetchall()}
+    assert all(d.count(i) == n for i, n in copies.items() if n is not None) and sorted(d) == sorted(e)
+    sizes = [(len(texts[i].encode()) + 1, len(texts[i].encode()) - len(texts[i]), zlib.crc32(texts[i].encode()), i) for i in set(d)]
+    extent = [max(1, max(x[k] for x in sizes) - min(x[k] for x in sizes)) for k in range(3)]
+    shard: dict = {}
+    plain_tree([(x[0], x[1], x[2], x[3], n) for x in sizes for n in range(d.count(x[3]))], 8, 0, extent, shard)
+    assert {(r.doc_id, r.shard) for r in docs.collect()} == {(x[3], k) for x, k in shard.items()}
     assert low("ABC") == "abc"
     for table in (awkward(spark), empty(spark)):
-        table = table.select("doc_id", "text", "lang", "source", "n_chars")
         for _, stage in cp.STAGES:
             table = neardup.stored(stage(spark, table, sf), "edge")
