@@ -1,6 +1,11 @@
 """Corpus preparation in five stages, each an operator of sylvaframe.llm at work on all that the stage before it kept.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, further
+columns too, whatever their names.
+
+Defined cases, beside those of the operators: a document with a null or empty text has no language and goes first; null ids
+stand for themselves, and of rows with one id and text one stays; a null source is a source of its own; very long texts run
+whole through every stage; ties follow ids; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -12,7 +17,8 @@ from sylvaframe.llm.common import stored, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language is found go: those without a letter."""
+    """Documents in which no language holds enough of the letters go; the others get the language found where they name
+    none, or clearly the wrong one."""
     return language.accepted(docs, language.train(docs))
 
 
