@@ -1,25 +1,35 @@
 """PII surrogates: keyed, type-consistent replacements that keep format, script and gender.
 
 Entities are found by patterns: e-mail and IPv4 addresses, phone and payment-card numbers, IBANs, keys and long hex or
-mixed tokens, and person names (a known first name, or a title, before a capitalised surname). A surrogate is drawn by a
-keyed permutation of the entity's own format: every character moves inside its class (digits, hex digits, vowels and
-consonants of the same script and case), card numbers keep their check digit valid, first names move inside the pool of
-their gender and script. Because it is a permutation, equal entities get equal surrogates wherever they stand, and
-different ones different surrogates.
+mixed tokens, and person names: a known first name, a title, or words that introduce a person (``my name is``), before
+capitalised words. In a text that names a person, the bare surname is an entity too, wherever it stands.
+
+An entity is written in a normal form first, so that its spellings stay one: digits of a phone, card or account number
+without what stands between them, mailboxes in lower case, and of a name the surname alone. The surrogate is drawn by a keyed
+permutation of the normal form's format and written in the spelling's format: every character moves inside its class
+(digits, hex digits, vowels and consonants of the same script and case; beyond those, letters of the same category and
+Unicode block), card numbers keep their check digit valid, first names move inside the pool of their gender and script.
+Because it is a permutation, equal entities get equal surrogates wherever they stand, and different ones different
+surrogates.
 
 Collision check: a surrogate may still equal an entity that really occurs. Those entities are found by a join of the
 distinct entities with themselves, and drawn anew with further keys until the draw is no real entity and nobody else's
-surrogate, so distinctness and coreference hold over the whole corpus.
+surrogate, so distinctness and coreference hold over the whole corpus. Where that fails ``DRAWS`` times the format is
+crowded, and further draws are a character longer. A real entity is never given out.
 
 Defined cases: a null text stays null and an empty one empty, with no entity; very long texts are scanned whole in linear
-time; equal rows give equal results; a format with a single member maps to itself; an empty table gives no rows; other
-columns are ignored (``entities``) or kept (``replaced``).
+time; of overlapping entities the one that begins first counts, and of those the earlier pattern; equal rows give equal
+results; a format with a single member is drawn longer; an empty table gives no rows; other columns are ignored
+(``entities``) or kept (``replaced``).
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,24 +43,43 @@ ROUNDS = 8
 DRAWS = 16
 
 FIRST_NAMES = {
-    ("latin", "f"): "Anna Maria Emma Laura Julia Sofia Clara Elena Lucia Marta Alice Nina Sarah Mary Linda Susan Karen Emily Jane Louise Camille Ingrid Carmen Isabel".split(),
-    ("latin", "m"): "John James Robert David Peter Paul Thomas Daniel Mark Martin Lucas Hugo Louis Karl Hans Otto Carlos Diego Pablo Jorge William George Henry Michael".split(),
+    ("latin", "f"): "Anna Maria Emma Laura Julia Sofia Clara Elena Lucia Marta Alice Nina Sarah Mary Linda Susan Karen Emily Jane Louise Camille Ingrid Carmen Isabel Mei Priya Fatima Aisha Yuki Olga Katarzyna Hana Amina Leila".split(),
+    ("latin", "m"): "John James Robert David Peter Paul Thomas Daniel Mark Martin Lucas Hugo Louis Karl Hans Otto Carlos Diego Pablo Jorge William George Henry Michael Wei Rahul Ahmed Omar Kenji Piotr Ivan Amit Hassan Mateo".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Ирина Татьяна Светлана Юлия Дарья".split(),
     ("cyrillic", "m"): "Иван Алексей Дмитрий Сергей Андрей Михаил Николай Павел Виктор Олег".split(),
     ("greek", "f"): "Μαρία Ελένη Άννα Σοφία Κατερίνα".split(),
     ("greek", "m"): "Γιώργος Νίκος Δημήτρης Κώστας Παύλος".split(),
 }
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Señor Señora Sr Sra".split()
+#: Words that introduce a person's two names.
+CUES = ("my name is", "My name is", "I am called", "signed by", "Signed by", "sincerely,", "Sincerely,", "regards,", "Regards,", "Dear", "written by", "Written by", "contact person:", "Contact person:")
 _POOL = {name: pool for pool in FIRST_NAMES.values() for name in pool}
 #: Character classes: a character is replaced inside the first class that holds it.
 CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóúàèìòùâêîôûäëïöü", "çñß", "ÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "АЕЁИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ")
 _CLASS = {c: k for k in CLASSES for c in k}
+
+
+@cache
+def _class(c: str) -> str | None:
+    """What a character may become: its class, or the letters and digits of its category in its stretch of 64 code points.
+    None for signs, which stay."""
+    if c in _CLASS:
+        return _CLASS[c]
+    kind = unicodedata.category(c)
+    if kind == "Nd":
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(map(chr, range(zero, zero + 10)))
+    if kind[0] != "L":
+        return None
+    first = ord(c) & ~63
+    return "".join(x for x in map(chr, range(first, first + 64)) if unicodedata.category(x) == kind and unicodedata.normalize("NFC", x) == x and x not in _CLASS) or None
+
 _HEX = "0123456789abcdef"
 
 _CAP = r"[^\W\d_a-zà-ÿа-яα-ω][^\W\d_]+"
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?P<hex>\b(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,128}\b)"
+    r"|(?P<hex>\b(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{32,}\b)"
     r"|(?P<key>\b(?:AKIA|ASIA)[A-Z0-9]{12,16}\b|\bgh[pousr]_[A-Za-z0-9]{30,}|\bsk-[A-Za-z0-9_-]{16,})"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))"
@@ -58,10 +87,13 @@ PATTERN = re.compile(
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
 )
-NAMES = "|".join(sorted([*TITLES, *_POOL], key=len, reverse=True))
-#: Every entity but a name holds a digit, an at sign or a key's prefix; a name starts with a title or a known first name.
-ANCHOR, NAME_ANCHOR = re.compile(r"[0-9@]|AKIA|ASIA|gh[pousr]_|sk-"), re.compile(rf"(?:{NAMES})\b")
+NAMES = "|".join(map(re.escape, sorted([*TITLES, *_POOL, *CUES], key=len, reverse=True)))
+#: Every entity but a name holds a digit, an at sign or a key's prefix; a name starts with a title or a known first name, or after a cue.
+ANCHOR, NAME_ANCHOR = re.compile(r"[0-9@]|AKIA|ASIA|gh[pousr]_|sk-"), re.compile(rf"(?:{NAMES})(?![\w])")
 NAME = re.compile(rf"(?:(?:{'|'.join(TITLES)})\.? (?:{_CAP} )?{_CAP}|(?:{'|'.join(sorted(_POOL, key=len, reverse=True))}) {_CAP})")
+CUED = re.compile(rf"(?:{'|'.join(map(re.escape, CUES))})\s((?:(?:{'|'.join(TITLES)})\.? )?{_CAP} {_CAP})")
+#: Letters of a surname that counts by itself, in texts that name the person.
+ALONE = 4
 #: How far from an anchor the patterns look at least.
 REACH = 160
 
@@ -80,7 +112,12 @@ class Permutation:
         while True:
             a, b = x >> half, x & mask
             for r in range(ROUNDS):
-                h = hashlib.blake2b(bytes([r]) + b.to_bytes((half + 7) // 8, "big") + salt, key=self.key, digest_size=min(64, (half + 7) // 8 + 8)).digest()
+                n_bytes = (half + 7) // 8
+                said = bytes([r]) + b.to_bytes(n_bytes, "big") + salt
+                if n_bytes <= 56:
+                    h = hashlib.blake2b(said, key=self.key, digest_size=n_bytes + 8).digest()
+                else:
+                    h = hashlib.shake_256(len(self.key).to_bytes(2, "big") + self.key + said).digest(n_bytes + 8)
                 a, b = b, a ^ (int.from_bytes(h, "big") & mask)
             x = a << half | b
             if x < n:
@@ -115,7 +152,7 @@ def luhn(digits: str) -> int:
 
 
 def _card(text: str, p: Permutation) -> str:
-    sets = [_CLASS.get(c) for c in text]
+    sets = [_class(c) for c in text]
     at = [i for i, s in enumerate(sets) if s]
     sets[at[0]] = None  # the issuer's digit stays
     valid = luhn("".join(text[i] for i in at)) == 0
@@ -142,31 +179,56 @@ def _ip(text: str, p: Permutation) -> str:
 
 
 def _word(text: str, p: Permutation, tweak: str) -> str:
-    sets = [_CLASS.get(c) for c in text]
+    sets = [_class(c) for c in text]
     return _move(text, sets, p, tweak + _shape(sets, text))
 
 
-def _name(text: str, p: Permutation) -> str:
-    words = text.split(" ")
-    titled = words[0].rstrip(".") in TITLES
-    out, rest = ([words[0]], words[1:]) if titled else ([], words)
-    if len(rest) > 1 or not titled:
-        first = rest[0]
-        pool = _POOL.get(first)
-        # the surname is the tweak, so that one first name doesn't give another away
-        out.append(pool[p(pool.index(first), len(pool), f"{pool[0]} {rest[-1]}")] if pool else _word(first, p, "first"))
-        rest = rest[1:]
-    return " ".join([*out, *[_word(w, p, "surname") for w in rest]])
+def parts(kind: str, text: str) -> tuple[str, str]:
+    """The kind and normal form under which an entity is drawn."""
+    if kind == "name":
+        return "surname", text.rsplit(" ", 1)[-1]
+    if kind == "email":
+        low = text.lower()
+        return kind, low if len(low) == len(text) else text
+    if kind == "phone":
+        plus = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", text)
+        return kind, (plus.group() + " " if plus else "") + re.sub(r"\D", "", text[plus.end() if plus else 0 :])
+    if kind in ("card", "iban"):
+        return kind, re.sub(r"[ -]", "", text)
+    return kind, text
+
+
+def rendered(kind: str, text: str, normal: str, p: Permutation) -> str:
+    """An entity's surrogate in its own spelling. normal: the surrogate of its normal form."""
+    if kind == "name":
+        words = text.split(" ")
+        if len(words) > 1 and not (len(words) == 2 and words[0].rstrip(".") in TITLES):
+            at, first = len(words) - 2, words[-2]
+            pool = _POOL.get(first)
+            # the surname is the tweak, so that one first name doesn't give another away
+            words[at] = pool[p(pool.index(first), len(pool), f"{pool[0]} {words[-1]}")] if pool else _word(first, p, "first" + words[-1])
+        return " ".join([*words[:-1], normal])
+    if kind == "email":
+        return "".join(b.upper() if a.isupper() and len(b.upper()) == 1 else b for a, b in itertools.zip_longest(text, normal, fillvalue="") if b)
+    if kind in ("phone", "card", "iban"):
+        new = iter(normal.replace(" ", "").lstrip("+"))
+        out = "".join(next(new, "") if c.isalnum() else c for c in text)
+        return out + "".join(new)
+    return normal
 
 
 def surrogate(kind: str, text: str, p: Permutation) -> str:
-    """One application of the keyed permutation of the entity's format."""
+    """One application of the keyed permutation to an entity, written in its spelling."""
+    own, normal = parts(kind, text)
+    return rendered(kind, text, drawn(own, normal, p), p)
+
+
+def drawn(kind: str, text: str, p: Permutation) -> str:
+    """One application of the keyed permutation of a normal form's format."""
     if kind == "card":
         return _card(text, p)
     if kind == "ip":
         return _ip(text, p)
-    if kind == "name":
-        return _name(text, p)
     if kind == "hex":
         return _move(text, [_HEX] * len(text), p, f"hex{len(text)}")
     if kind == "email":
@@ -178,10 +240,20 @@ def surrogate(kind: str, text: str, p: Permutation) -> str:
         return _word(front, p, f"email{keep}") + keep
     keep = {"key": 4, "iban": 2}.get(kind, 0)
     if kind == "phone" and text.startswith("+"):
-        keep = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", text).end()
+        keep = text.index(" ")
     return text[:keep] + _word(text[keep:], p, f"{kind}{text[:keep]}")
 
 
+def longer(kind: str, text: str, by: int) -> str:
+    """A text of the entity's format with further characters, for formats that are full."""
+    if kind in ("ip", "card"):
+        return text  # these have too many members to be full
+    if kind == "email":
+        local, _, domain = text.rpartition("@")
+        return local + "a" * by + "@" + domain
+    return text + (text[-1] if _class(text[-1]) else "a") * by
+
+
 def find(text: str):
     """(kind, start, end) of each entity, left to right. Patterns run around anchors only; one search finds those."""
     found, end = [], 0
@@ -215,6 +287,21 @@ def find(text: str):
         if x := NAME.match(text, m.start()):
             names.append(("name", x.start(), x.end()))
             at = x.end()
+        elif x := CUED.match(text, m.start()):
+            names.append(("name", x.start(1), x.end(1)))
+            at = x.end()
+    if names:
+        # the surnames of the persons named stand for them alone, too
+        known = {w for _, a, b in names if len(w := text[a:b].rsplit(" ", 1)[-1]) >= ALONE}
+        if known:
+            alone = re.compile(rf"(?<![\w])(?:{'|'.join(map(re.escape, sorted(known, key=len, reverse=True)))})(?![\w])")
+            inside = [(a, b) for _, a, b in names]
+            k = 0
+            for m in alone.finditer(text):
+                while k < len(inside) and inside[k][1] <= m.start():
+                    k += 1
+                if k == len(inside) or m.end() <= inside[k][0]:
+                    names.append(("name", m.start(), m.end()))
     if not names:
         return found
     out, end = [], 0
@@ -226,45 +313,45 @@ def find(text: str):
 
 
 def entities(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """Distinct (kind, value) of the corpus."""
+    """Distinct (kind, value) of the corpus, in normal form."""
 
     def run(batches):
         for pdf in batches:
-            found = {(k, t[a:b]) for t in pdf["text"] if t for k, a, b in find(t)}
+            found = {parts(k, t[a:b]) for t in pdf["text"] if t for k, a, b in find(t)}
             yield pd.DataFrame(sorted(found), columns=["kind", "value"])
 
     return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "kind string, value string").distinct()
 
 
-def _drawn(values: DataFrame, key: bytes, column: str) -> DataFrame:
-    """values with a column ``to``: the permutation applied to ``column``."""
+def _drawn(values: DataFrame, key: bytes, column: str, by: int = 0) -> DataFrame:
+    """values with a column ``to``: the permutation applied to ``column``, made longer by so many characters."""
 
     @F.pandas_udf("string")
     def draw(kind: pd.Series, value: pd.Series) -> pd.Series:
         p = Permutation(key)
-        return pd.Series([surrogate(k, v, p) for k, v in zip(kind, value)], dtype=object)
+        return pd.Series([drawn(k, longer(k, v, by) if by else v, p) for k, v in zip(kind, value)], dtype=object)
 
     return values.withColumn("to", draw("kind", column))
 
 
 def walked(values: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, to) of the entities whose surrogate is a real entity: the first of further keyed draws that is no
-    real entity and nobody else's surrogate. values: stored distinct entities. Where a format is so full of real entities
-    that none is found in DRAWS draws, the first surrogate stays: still nobody else's, but a real value."""
+    real entity and nobody else's surrogate. values: stored distinct entities in normal form. After DRAWS draws the format
+    counts as crowded, and draws get longer."""
     taken = values.select(F.col("value").alias("__v")).distinct()
-    drawn = stored(_drawn(values, key, "value"), "drawn")
-    used = drawn.select(F.col("to").alias("__v"))
-    open_ = stored(drawn.join(taken, F.col("to") == F.col("__v"), "left_semi").select("kind", "value"), "collided")
-    done = drawn.limit(0)
-    for t in range(1, DRAWS + 1):
+    first = stored(_drawn(values, key, "value"), "drawn")
+    used = first.select(F.col("to").alias("__v"))
+    open_ = stored(first.join(taken, F.col("to") == F.col("__v"), "left_semi").select("kind", "value"), "collided")
+    done = first.limit(0)
+    for t in itertools.count(1):
         if open_.isEmpty():
             break
-        again = stored(_drawn(open_, hashlib.blake2b(b"%d" % t, key=key[:64]).digest(), "value"), "again")
+        again = stored(_drawn(open_, hashlib.blake2b(b"%d" % t, key=key[:64]).digest(), "value", max(0, -(-(t - DRAWS) // DRAWS))), "again")
         free = again.join(taken, F.col("to") == F.col("__v"), "left_anti").join(used, F.col("to") == F.col("__v"), "left_anti")
         free = free.join(done.select(F.col("to").alias("__v")), F.col("to") == F.col("__v"), "left_anti")
         won = free.groupBy("to").agg(F.min(F.struct("kind", "value")).alias("x")).select("x.kind", "x.value", "to")
         done = stored(done.unionByName(won), "redrawn")
-        open_ = stored(open_.join(done.select(F.col("value").alias("__v")), F.col("value") == F.col("__v"), "left_anti"), "collided")
+        open_ = stored(open_.join(done.select(F.col("kind").alias("__k"), F.col("value").alias("__v")), (F.col("value") == F.col("__v")) & (F.col("kind") == F.col("__k")), "left_anti"), "collided")
     return done
 
 
@@ -286,7 +373,7 @@ def replaced(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: s
 
         def held(batches):
             for pdf in batches:
-                x = [(r, k, t[a:b]) for r, t in zip(pdf["__row"], pdf["__text"]) if t for k, a, b in find(t)]
+                x = [(r, *parts(k, t[a:b])) for r, t in zip(pdf["__row"], pdf["__text"]) if t for k, a, b in find(t)]
                 yield pd.DataFrame(sorted(set(x)), columns=["row", "kind", "value"])
 
         uses = rows.select("__row", "__text").mapInPandas(held, "row long, kind string, value string").join(moved, ["kind", "value"])
@@ -309,8 +396,9 @@ def replaced(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: s
                 out, at, seen = [], 0, []
                 for kind, a, b in find(t):
                     v = t[a:b]
-                    to = own.value.get((kind, v)) if own is not None else m.get(f"{kind} {v}")
-                    out += [t[at:a], surrogate(kind, v, p) if to is None else to]
+                    base, normal = parts(kind, v)
+                    to = own.value.get((base, normal)) if own is not None else m.get(f"{base} {normal}")
+                    out += [t[at:a], rendered(kind, v, drawn(base, normal, p) if to is None else to, p)]
                     at = b
                     seen.append(kind)
                 texts.append("".join(out) + t[at:])

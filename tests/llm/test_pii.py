@@ -79,3 +79,81 @@ def test_awkward(spark):
     rows = pii.replaced(awkward(spark), KEY, keep=("source",)).collect()
     assert len(rows) == 15 and {r.doc_id: r.text for r in rows}[5] is None
     assert pii.replaced(empty(spark), KEY).count() == 0
+
+
+@pytest.mark.parametrize("text", ["Dr. Šůžěř", "Dr. Þórðurson", "Mr. Ελληνας", "Anna Łukasiewicz", "Dr. 王小明x", "my name is Kofi Ənsah"])
+def test_no_letters_pass_unchanged(text):
+    """Letters outside the classes move inside their category and block."""
+    ((kind, a, b),) = pii.find(f"so {text}, yes")
+    old = f"so {text}, yes"[a:b]
+    new = pii.surrogate(kind, old, P)
+    surname, was = new.split(" ")[-1], old.split(" ")[-1]
+    assert len(new.split(" ")) == len(old.split(" ")) and surname != was and len(surname) == len(was)
+    assert all(x.isupper() == y.isupper() and x.isalpha() == y.isalpha() for x, y in zip(surname, was))
+
+
+def test_spellings_are_one_entity():
+    digits = lambda t: re.sub(r"\D", "", t)
+    phones = [pii.surrogate("phone", t, P) for t in ("+1 (988) 555-2485", "+1-988-555-2485", "+1 988 555 2485")]
+    assert len({digits(t) for t in phones}) == 1 and phones[0][2:4] == " (" and phones[1].count("-") == 3
+    a, b = (pii.surrogate("email", t, P) for t in ("Jo.Doe@x.com", "jo.doe@x.com"))
+    assert a.lower() == b and a[0].isupper() and a != b
+    cards = [pii.surrogate("card", t, P) for t in ("4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111")]
+    assert len({digits(t) for t in cards}) == 1
+    assert len({pii.surrogate("name", t, P).split(" ")[-1] for t in ("Anna Kowalski", "Mr. Kowalski", "Dr. Jan Kowalski")}) == 1
+
+
+def test_names_beyond_the_list():
+    found = lambda t: [t[a:b] for k, a, b in pii.find(t) if k == "name"]
+    assert found("my name is Zyx Gupta and I") == ["Zyx Gupta"] and found("Regards, Zyx Gupta") == ["Zyx Gupta"]
+    assert found("Anna Kowalski came. Then Kowalski left, not Kowalskis or XKowalski.") == ["Anna Kowalski", "Kowalski"]
+    assert found("Kowalski alone, with nobody named") == [] and found("The Big House stands") == []
+
+
+def test_very_long_tokens_move_all_over():
+    text = "ab12" * 200
+    ((kind, a, b),) = pii.find(text)
+    new = pii.surrogate(kind, text, P)
+    assert (kind, b - a) == ("hex", 800) and len(new) == 800
+    same = [sum(x == y for x, y in zip(text[i : i + 100], new[i : i + 100])) for i in range(0, 800, 100)]
+    assert max(same) < 30
+
+
+def test_full_formats_grow(spark):
+    """All ten mailboxes of a format are real: surrogates get longer, and none of them is real."""
+    texts = [(i, f"write to {i}@example.com") for i in range(10)]
+    rows = pii.replaced(spark.createDataFrame(texts, "doc_id long, text string"), KEY).collect()
+    new = {r.text.split(" ")[-1] for r in rows}
+    assert len(new) == 10 and not new & {t.split(" ")[-1] for _, t in texts} and all(re.fullmatch(r"\d[a-z]+@example\.com|\w+@example\.com", x) for x in new)
+
+
+def test_query_whole(spark, sf):
+    """Every document of the query's table: only entities change, each always to the same surrogate, no two to one, and
+    none to an entity that occurs."""
+    from sylvaframe.llm.queries import QUERIES
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in QUERIES["op2_pii_surrogates"](spark, sf).collect()}
+    assert set(got) == set(docs)
+    to, real = {}, set()
+    for i, t in docs.items():
+        new, at, shift = got[i].text, 0, 0
+        if not t:
+            assert (new, got[i].n_entities, got[i].kinds) == (t, 0, [])
+            continue
+        found = pii.find(t)
+        assert [k for k, _, _ in found] == got[i].kinds and len(found) == got[i].n_entities
+        for n, (k, a, b) in enumerate(found):
+            assert new[at + shift : a + shift] == t[at:a]
+            tail = t[b : found[n + 1][1]] if n + 1 < len(found) else t[b:]
+            # the surrogate ends where the text after the entity goes on
+            size = b - a
+            while not (new[a + shift + size :].startswith(tail) if n + 1 < len(found) else new[a + shift + size :] == tail):
+                size += 1
+                assert size < b - a + 8
+            surrogate = new[a + shift : a + shift + size]
+            kind, normal = pii.parts(k, t[a:b])
+            real.add(normal)
+            assert to.setdefault((kind, normal), pii.parts(k, surrogate)[1]) == pii.parts(k, surrogate)[1]
+            shift, at = shift + size - (b - a), b
+    assert to and len(set(to.values())) == len(to) and not set(to.values()) & real
