@@ -42,6 +42,8 @@ MEMBERS = 64
 BUCKETS = 256
 BATCH = 8192
 RATE = 0.4
+#: Logits up to this size are exponentiated as they are.
+SAFE = 40.0
 PIECE = 8192
 MERGES = 32
 #: Counted words outside the vocabulary up to this many (16 bytes each) travel with the tasks; the others are joined.
@@ -98,19 +100,28 @@ class Network:
         return e, np.tanh(s), near
 
     @staticmethod
-    def _soft(z: np.ndarray, want: np.ndarray):
-        z -= z.max(axis=1, keepdims=True)
+    def _log_soft(z: np.ndarray, want: np.ndarray):
+        """The logarithm of each row's wanted probability; z becomes the exponentials, their sums come along."""
+        if len(z) and (z.max() > SAFE or z.min() < -SAFE):  # else exponentials neither overflow nor vanish
+            z -= z.max(axis=1, keepdims=True)
         own = z[np.arange(len(z)), want]
         np.exp(z, out=z)
-        total = z.sum(axis=1, keepdims=True)
-        z /= total
-        return z, own - np.log(total[:, 0])
+        total = z @ np.ones(z.shape[1], z.dtype)
+        return own - np.log(total), total
+
+    @classmethod
+    def _slope(cls, z: np.ndarray, want: np.ndarray) -> np.ndarray:
+        """The probabilities less one at the wanted place."""
+        _, total = cls._log_soft(z, want)
+        z *= (1 / total)[:, None]
+        z[np.arange(len(z)), want] -= 1
+        return z
 
     def _by_class(self, ids: np.ndarray):
-        c = ids // self.members
-        order = np.argsort(c, kind="stable")
-        cut = np.searchsorted(c[order], np.arange(self.classes + 1))
-        return c, ids % self.members, order, cut
+        """Class and member of each id, the order of the ids (numbers of 16 bits sort by radix), and where classes begin."""
+        order = np.argsort(ids.astype(np.uint16), kind="stable") if self.classes * self.members <= 1 << 16 else np.argsort(ids, kind="stable")
+        cut = np.searchsorted(ids[order], np.arange(self.classes + 1) * self.members)
+        return ids // self.members, ids % self.members, order, cut
 
     def _members(self, h: np.ndarray, cut: np.ndarray) -> np.ndarray:
         """Member logits of rows sorted by class."""
@@ -130,9 +141,9 @@ class Network:
             _, h, _ = self._hidden(ids[a:b], doc[a:b])
             h, x = h[i - a : i - a + BATCH], ids[i : i + BATCH]
             c, m, order, cut = self._by_class(x)
-            _, ll = self._soft(h @ self.wc + self.bc, c)
+            ll, _ = self._log_soft(h @ self.wc + self.bc, c)
             z = self._members(h[order], cut)
-            ll[order] += self._soft(z, m[order])[1]
+            ll[order] += self._log_soft(z, m[order])[0]
             out[i : i + BATCH] = ll
         return out
 
@@ -144,22 +155,19 @@ class Network:
             seen[at] += g * g
             getattr(self, name)[at] -= rate * g / np.sqrt(seen[at] + np.float32(1e-6))
 
-        n = len(ids)
         e, h, near = self._hidden(ids, doc)
         c, m, order, cut = self._by_class(ids)
-        p, _ = self._soft(h @ self.wc + self.bc, c)
-        p[np.arange(n), c] -= 1
+        p = self._slope(h @ self.wc + self.bc, c)
         gh = p @ self.wc.T
         wc, bc = h.T @ p, p.sum(axis=0)
-        hs = h[order]
-        q, _ = self._soft(self._members(hs, cut), m[order])
-        q[np.arange(n), m[order]] -= 1
+        hs, one = h[order], np.ones(len(h), h.dtype)
+        q = self._slope(self._members(hs, cut), m[order])
         gm, wm, bm = np.empty_like(hs), np.zeros_like(self.wm), np.zeros_like(self.bm)
         for k in np.flatnonzero(np.diff(cut)):
             a, b = cut[k], cut[k + 1]
             np.matmul(q[a:b], self.wm[k].T, out=gm[a:b])
             np.matmul(hs[a:b].T, q[a:b], out=wm[k])
-            bm[k] = q[a:b].sum(axis=0)
+            np.matmul(one[a:b], q[a:b], out=bm[k])
         gh[order] += gm
         move("wm", wm)
         move("bm", bm)
@@ -174,10 +182,9 @@ class Network:
                 go[k] = (g * e[b]).sum(axis=0)
         move("off", go)
         move("bias", gs.sum(axis=0))
-        used, back = np.unique(ids, return_inverse=True)
-        by = np.argsort(back, kind="stable")
-        first = np.searchsorted(back[by], np.arange(len(used)))
-        move("emb", np.add.reduceat(ge[by], first, axis=0), used)
+        own = ids[order]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        move("emb", np.add.reduceat(ge[order], first, axis=0), own[first])
 
 
 def _find(sorted_: np.ndarray, h: np.ndarray):
