@@ -13,9 +13,10 @@
    sets without room for one as large as themselves never meet each other. Copies that are edited too much to be linked
    drop out here, before they form pairs.
 4. First each list links its members to one of them only, so a group of any size gives as many pairs as members. Then
-   lists that still touch several components compare those outside the list's largest component with the members of
-   others; a large component is compared block by block, and only links come out. Pairs inside one component could not
-   change the result and are never made.
+   the members of lists that still touch several components meet where they share one of their rarest values (see
+   ``_crossed``), never for a value that many texts have beside much of their own; who is outside a large component is
+   compared with it block by block, and only links come out. Pairs inside one component could not change the result and
+   are never made.
 5. The union sketch (the ``size`` smallest values of both) estimates the similarity and filters pairs; the full sets
    of what is left are compared exactly.
 6. Links become components by star contractions.
@@ -180,6 +181,28 @@ def _blocked(outside: DataFrame, members: DataFrame, sets: DataFrame, percent: i
     return guests.groupBy(*keys).cogroup(hosts.groupBy(*keys)).applyInPandas(compare, "a long, b long")
 
 
+def _crossed(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of nodes of different components: those that share one of their rarest values. In an order of
+    all values, rarest first, sets with the similarity share a value among the first n - ceil(n * t) + 1 of the larger one
+    and the first m - ceil(m * 2t / (1 + t)) + 1 of the smaller one. So what many texts have in common makes no pair of those
+    that differ in more than these shares. nodes: node, n, room, root."""
+    nodes = stored(nodes, "crossing")
+    values = nodes.join(sets, F.col("node") == F.col("id")).select("node", F.explode("items").alias("v"))
+    shared = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1").select(F.col("v").alias("__v"), "df")
+    held = values.join(shared, F.col("v") == F.col("__v")).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("held"))
+    held = held.withColumnRenamed("node", "__node").join(nodes, F.col("__node") == F.col("node"))
+    alone = F.col("n") - F.size("held")  # values that no other node has come first of all
+    n = F.col("n")
+    long = (n - F.ceil(n * percent / F.lit(100.0)) + 1 - alone).cast("int")
+    short = (n - F.ceil(n * (2 * percent) / F.lit(100.0 + percent) - 1e-9) + 1 - alone).cast("int")
+    rows = held.withColumn("long", long).withColumn("short", short).filter("long > 0")
+    rows = stored(rows.select("node", "n", "room", "root", "short", F.posexplode(F.slice("held", 1, F.col("long"))).alias("at", "h")).select("node", "n", "room", "root", F.col("h.v").alias("v"), (F.col("at") < F.col("short")).alias("first")), "rare")
+    x, y = (part.select(F.col("v").alias(f"v{c}"), F.col("node").alias(c), F.col("n").alias(f"m{c}"), F.col("room").alias(f"u{c}"), F.col("root").alias(f"r{c}")) for c, part in (("x", rows), ("y", rows.filter("first"))))
+    larger = (F.col("mx") > F.col("my")) | ((F.col("mx") == F.col("my")) & (F.col("x") > F.col("y")))
+    met = x.join(y, (F.col("vx") == F.col("vy")) & (F.col("rx") != F.col("ry")) & larger & _near("mx", "my", percent, "ux", "uy"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, *, k: int = 5, percent: int = 80, size: int = SIZE, common: int = COMMON, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_shingles, class_id (least id with the same set), component_id (least id reachable), kept."""
     texts = docs.select(_id(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -216,10 +239,7 @@ def groups(docs: DataFrame, *, k: int = 5, percent: int = 80, size: int = SIZE,
     open_ = stored(labelled.join(sizes, F.col("value") == F.col("__v")).drop("__v"), "open")
     outside = open_.filter("root <> main")
     blocks = _blocked(outside.filter("members is not null").select("node", "root", "main", "members").distinct(), whose.join(large, "root"), sets, percent)
-    left, right = (rows.select(F.col("value").alias(f"v{c}"), F.col("node").alias(c), F.col("n").alias(f"m{c}"), F.col("room").alias(f"u{c}"), F.col("root").alias(f"r{c}"), F.col("main").alias(f"main{c}")) for c, rows in (("x", outside.filter("members is null")), ("y", open_.filter("members is null"))))
-    once = (F.col("ry") == F.col("mainy")) | (F.col("x") < F.col("y"))
-    met = left.join(right, (F.col("vx") == F.col("vy")) & (F.col("rx") != F.col("ry")) & once & _near("mx", "my", percent, "ux", "uy"))
-    cross = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    cross = _crossed(open_.filter("members is null").select("node", "n", "room", "root").distinct(), sets, percent)
     tested = star.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
     cross = stored(cross.join(tested, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_anti"), "cross")
     more = stored(_verified(cross, classes, sets, percent, size, tau), "crosslinks").union(blocks)

@@ -1,5 +1,7 @@
 """Near-dedup of small sets at the least similarity that links."""
 
+import random
+
 from helpers import shingles
 
 from sylvaframe.llm import neardup
@@ -39,3 +41,27 @@ def test_last_word_changed_or_appended(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in neardup.groups(df, k=2).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5}
+
+
+def headers(n, own=100):
+    """Documents that share a header of 100 words; the own text of each is quoted by another document."""
+    rng = random.Random(n)
+    head = " ".join(f"head{i}" for i in range(100))
+    rows = []
+    for d in range(n):
+        text = " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(own))
+        rows += [(2 * d, f"{head} {text}"), (2 * d + 1, f"{text} " + " ".join(f"q{rng.randint(0, 10**9)}" for _ in range(own)))]
+    return rows
+
+
+def test_shared_headers_make_few_pairs(spark, monkeypatch):
+    """Candidate pairs grow with the documents, not with their square."""
+    seen = []
+    plain = neardup._crossed
+    for n in (100, 200):
+        held = []
+        monkeypatch.setattr(neardup, "_crossed", lambda *a: held.append(plain(*a)) or held[-1])
+        df = spark.createDataFrame(headers(n), "doc_id long, text string")
+        assert neardup.groups(df, k=2).filter("not kept").count() == 0
+        seen.append(held[0].count())
+    assert seen[1] <= 3 * max(seen[0], 100), seen
