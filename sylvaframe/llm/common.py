@@ -35,6 +35,13 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete all that this subpackage has stored below the shared folder: token files, too. Call it once no table that was
+    read from there is wanted any more; a later query stores anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sylvaframe")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def least_count(counts: DataFrame, n_col: str, size: int) -> int:
     """The least count that at most ``size`` rows reach. Rows are summed by levels of counts, in eighths of powers of two,
     and then by count inside the one level in which the number is passed; no task orders rows."""

@@ -3,14 +3,15 @@
 Each shard (a slice of a partition's texts) is searched for the benchmark's word windows: the shard's words become
 symbols, a suffix array gives the Burrows-Wheeler transform, a wavelet tree over it answers ranks, all windows are
 searched backward at once, and occurrences are located by walking to sampled suffix positions. The located spans of a
-text are merged, and the merged spans are what ``remove`` mode cuts out.
+text are merged; ``drop_contaminated`` drops the texts that have any, and ``removed`` cuts them out.
 
 Only words of the benchmark can take part in an occurrence, and only inside runs of such words that are at least as
 long as the shortest window. The index therefore holds exactly those runs, which loses no occurrence and keeps the
 suffix sort to a small part of the corpus. Every text is read whole.
 
 The benchmark is a stated query set. It goes to the executors in blocks of about ``block_bytes`` of text, and each shard
-is searched for one block after another within the same pass over the corpus.
+is searched for one block after another within the same pass over the corpus; of several blocks a worker holds one at a
+time.
 
 Defined cases: a null or empty text has no words, hits or items; a null or empty benchmark text has no window; equal
 items all count; an empty benchmark leaves all texts clean; rows with equal doc_id are judged each by its own text;
@@ -234,15 +235,15 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int):
     yield block
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES, keep: tuple = ()) -> DataFrame:
-    """Per document: ``id_col``, n_words, spans (merged hit word ranges with their byte ranges), items; ``keep`` columns follow."""
+def _found(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES, keep: tuple = ()) -> DataFrame:
+    """__id, __n_words, __spans, __items, and the kept columns in order as __k0, __k1, ..., the text as __text."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     item_type = benchmark.schema[item_col].dataType.simpleString()
     kept = [c for c in keep if c not in (id_col, text_col)]
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(kept)])
     carry = [f"__k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept)] + (["__text string"] if text_col in keep else [])
-    schema = ", ".join([f"__id {id_type}", "n_words long", "spans array<struct<first_word:long,end_word:long,first_byte:long,end_byte:long>>", f"items array<{item_type}>", *carry])
+    schema = ", ".join([f"__id {id_type}", "__n_words long", "__spans array<struct<first_word:long,end_word:long,first_byte:long,end_byte:long>>", f"__items array<{item_type}>", *carry])
     names = [c.split(" ")[0] for c in carry]
 
     item_type_pa = to_arrow_type(benchmark.schema[item_col].dataType)
@@ -255,18 +256,41 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     def run(batches):
         for batch in batches:
             for part in tx.slices(batch, "__text"):
-                n_words, spans, pairs = scan(part, "__text", (b.value[0] and Windows(*b.value[0]) for b in blocks))
+                own = []  # the items' ids of each block
+
+                def held(own=own):
+                    for b in blocks:
+                        win, ids = b.value
+                        own.append(ids)
+                        yield win and Windows(*win)
+                        if len(blocks) > 1:
+                            b.__dict__.pop("_value", None)  # read again for the next slice
+
+                n_words, spans, pairs = scan(part, "__text", held())
                 owner = np.concatenate([p[:, 0] for p in pairs])
-                items = pa.concat_arrays([b.value[1].take(pa.array(p[:, 1])) for b, p in zip(blocks, pairs)])
+                items = pa.concat_arrays([ids.take(pa.array(p[:, 1])) for ids, p in zip(own, pairs)])
                 order = np.argsort(owner, kind="stable")
                 yield pa.RecordBatch.from_arrays(
                     [part.column("__id"), pa.array(n_words), spans, pa.ListArray.from_arrays(_offsets(owner, part.num_rows), items.take(pa.array(order))), *[part.column(c) for c in names]],
-                    names=["__id", "n_words", "spans", "items", *names],
+                    names=["__id", "__n_words", "__spans", "__items", *names],
                 )
 
-    back = {"__id": id_col, **{f"__k{i}": c for i, c in enumerate(kept)}, "__text": text_col}
-    out = source.mapInArrow(run, schema)
-    return out.select(*[F.col(c).alias(back.get(c, c)) for c in out.columns])
+    return source.mapInArrow(run, schema)
+
+
+def _kept(docs: DataFrame, keep, id_col: str, text_col: str) -> list:
+    """The kept columns of ``_found`` under their own names."""
+    others = [c for c in keep if c not in (id_col, text_col)]
+    own = {**{c: f"__k{i}" for i, c in enumerate(others)}, id_col: "__id", text_col: "__text"}
+    return [F.col(own[c]).alias(c) for c in keep]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple = (), **options) -> DataFrame:
+    """Per document: ``id_col``, n_words, spans (merged hit word ranges with their byte ranges), items; ``keep`` columns
+    follow, but those with the names of these."""
+    keep = [c for c in keep if c not in (id_col, "n_words", "spans", "items")]
+    found = _found(docs, benchmark, id_col=id_col, text_col=text_col, keep=tuple(keep), **options)
+    return found.select(F.col("__id").alias(id_col), F.col("__n_words").alias("n_words"), F.col("__spans").alias("spans"), F.col("__items").alias("items"), *_kept(docs, keep, id_col, text_col))
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -278,7 +302,19 @@ def verdicts(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     return found.select(id_col, "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without any benchmark window, with their own columns in their own order."""
-    found = decontaminate(docs, benchmark, keep=tuple(docs.columns), **options)
-    return found.filter(F.size("spans") == 0).select(*docs.columns)
+    found = _found(docs, benchmark, id_col=id_col, text_col=text_col, keep=tuple(docs.columns), **options)
+    return found.filter(F.size("__spans") == 0).select(*_kept(docs, docs.columns, id_col, text_col))
+
+
+def removed(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents with the hit spans cut out of their texts, from the first to the last hit word of each."""
+    found = _found(docs, benchmark, id_col=id_col, text_col=text_col, keep=tuple(docs.columns), **options)
+    raw = F.col("__text").cast("binary")
+    begin = F.concat(F.array(F.lit(0).cast("long")), F.col("__spans.end_byte"))
+    end = F.concat(F.col("__spans.first_byte"), F.array(F.octet_length("__text").cast("long")))
+    left = F.zip_with(begin, end, lambda a, b: F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")))
+    cut = F.aggregate(left, F.lit(b""), lambda x, y: F.concat(x, y)).cast("string")
+    found = found.withColumn("__text", F.when(F.size("__spans") > 0, cut).otherwise(F.col("__text")))
+    return found.select(*_kept(docs, docs.columns, id_col, text_col))

@@ -302,3 +302,27 @@ def test_sql(spark, sf, name, sql):
     names = sorted(want.columns)
     assert sorted(got.columns) == names
     assert sorted(got[names].itertuples(index=False, name=None)) == sorted(want[names].itertuples(index=False, name=None))
+
+
+def test_spans_are_removed(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    texts = [(1, f"ébefore. {item}, áfter"), (2, "one two three"), (3, item), (4, None), (5, f"x {item.upper()} y {item}!")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "'c' AS items")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.removed(docs, bench).collect()}
+    assert [got[i].text for i in range(1, 6)] == ["ébefore. , áfter", "one two three", "", None, "x  y !"] and got[1].items == "c"
+    more = spark.createDataFrame([(i, f"a{i} b c d e f g h i j k{i}") for i in range(30)], "item_id long, text string").union(bench)
+    few = decontaminate.verdicts(docs, more, block_bytes=40)
+    assert {r.doc_id: r.n_hit for r in few.collect()} == {1: 11, 2: 0, 3: 11, 4: 0, 5: 22}
+
+
+def test_clean(spark):
+    import os
+
+    from sylvaframe.llm import common
+
+    common.stored(spark.range(3), "gone")
+    root = common.shared_dir(spark).removeprefix("file://") + "/sylvaframe"
+    assert os.path.exists(root)
+    common.clean(spark)
+    assert not os.path.exists(root) and common.stored(spark.range(3), "again").count() == 3
