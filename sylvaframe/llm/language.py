@@ -33,7 +33,7 @@ SLICE = 8 << 20
 STEP = 1 << 20
 UND = "und"
 #: Share of letters that a document's language must hold, and from which it outweighs a label.
-LEAST, SURE = 0.4, 0.9
+LEAST, SURE = 0.3, 0.9
 
 LETTER = np.zeros(256, bool)
 LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
