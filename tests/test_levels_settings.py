@@ -49,7 +49,7 @@ def test_levels_equal_brute_force(spark, seed, settings, small):
 def test_thresholds_and_effort(spark):
     """Adjacent thresholds of two columns: the exchange rule keeps the optimum, and budgets keep the subproblems few."""
     rng = random.Random(9)
-    text = "x,z,y\n" + "\n".join(f"{a},{b},{int(a > 4) ^ int(b > 2) if rng.random() < 0.8 else 1}" for a, b in ((rng.randint(0, 7), rng.randint(0, 4)) for _ in range(300)))
+    text = "x,z,y\n" + "\n".join(f"{a},{b},{int(a > 3) ^ int(b > 1) if rng.random() < 0.8 else 1}" for a, b in ((rng.randint(0, 5), rng.randint(0, 2)) for _ in range(200)))
     df = table_from_text(spark, text)
     near = OptimalTree({"regularization": 0.02}).fit(df)
     seen = []
