@@ -352,7 +352,7 @@ def codex_nearest(spark, sf):
 def decode_rows(spark, sf):
     """Rows encoded to words of bits and read back: the highest threshold reached and the category."""
     book = _part(spark, sf)
-    words = encode.packed(book)
+    words = encode.packed(book, ranked=True)
     rows = read(spark, sf, "part").select("p_partkey", "p_size", "p_brand", "p_type").withColumns(encode.ranks(book)).select("p_partkey", *words)
     on = lambda p: F.shiftright(F.col(f"w{p.pos // encode.WORD}"), p.pos % encode.WORD).bitwiseAND(F.lit(1).cast("long")) == 1
     held = lambda c, cast: F.array_max(F.array_compact(F.array(*[F.when(on(p), F.lit(p.reference).cast(cast)) for p in book.of(c)])))

@@ -50,9 +50,10 @@ def ranks(book: Codex, policy: str = "reference") -> dict[str, Column]:
     return out
 
 
-def packed(book: Codex, policy: str = "reference") -> list[Column]:
+def packed(book: Codex, policy: str = "reference", ranked: bool = False) -> list[Column]:
     """The predicates as words of 62 bits, predicate 62 * w + b in bit b of word w. Columns of many predicates are read
-    from their ranks, which the table must have (``ranks``)."""
+    from their ranks; ranked: the table has these as columns already (``ranks``), so no word finds them anew."""
+    found = {n: F.col(n) if ranked else c for n, c in ranks(book, policy).items()}
     runs = {c: (f"__rank{k}", ps) for k, (c, ps) in enumerate(_long_runs(book).items())}
     zero, out = F.lit(0).cast("long"), []
     for w in range(0, len(book), WORD):
@@ -65,7 +66,7 @@ def packed(book: Codex, policy: str = "reference") -> list[Column]:
                 continue
             name, ps = runs[c]
             first, at = own[0].pos - ps[0].pos, own[0].pos - w
-            r = F.col(name) - first  # within this word's part of the run
+            r = found[name] - first  # within this word's part of the run
             if own[0].relation == "==":
                 word = word.bitwiseOR(F.when(r.between(1, len(own)), F.call_function("shiftleft", F.lit(1).cast("long"), r - 1 + at)).otherwise(zero))
             else:

@@ -120,7 +120,7 @@ class OptimalTree:
         book = codex(df, target, columns, c.precision_limit, c.predicate_limit)
         classes = list(book.classes)
         y = F.col(target).cast("string")
-        words = packed(book, c.null_policy)
+        words = packed(book, c.null_policy, ranked=True)
         names = [f"w{k}" for k in range(len(words))]
         counted = df.withColumns(ranks(book, c.null_policy)).select(*words, F.array(*[F.when(F.coalesce(y == k, F.lit(False)), 1).otherwise(0).cast("long") for k in classes]).alias("y") if classes else F.array().cast("array<long>").alias("y"))
         per = [F.sum(F.col("y")[k]).alias(f"n{k}") for k in range(len(classes))]

@@ -103,7 +103,7 @@ def test_many_thresholds_are_packed_by_rank(spark):
     book = profile.codex(df, "y")
     assert {len(book.of(c)) > encode.TESTED for c in "abcd"} == {True}
     for policy in ("reference", "sql"):
-        packed = df.withColumns(encode.ranks(book, policy)).select(*encode.packed(book, policy)).collect()
+        packed = df.withColumns(encode.ranks(book, policy)).select(*encode.packed(book, policy, ranked=True)).collect()
         plain = df.select(*[p.column(policy).cast("int").alias(f"p{p.pos}") for p in book.predicates]).collect()
         for x, y in zip(packed, plain):
             assert [(x[p.pos // encode.WORD] >> p.pos % encode.WORD) & 1 for p in book.predicates] == list(y)
