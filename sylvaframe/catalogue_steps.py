@@ -538,17 +538,17 @@ def resume_search(spark, sf):
     return spark.createDataFrame([(round(cost, 6), again.iterations() < first.iterations() or first.iterations() == 0)], "objective double, resumed boolean")
 
 
-def _special_sql() -> str:
-    """Every tree over d, o and q, listed by recursion over the 27 subcubes, priced under six objectives."""
-    dims = ["d", "o", "q"]
+def _special_sql(dims: list[str]) -> str:
+    """Every tree over the predicates, listed by recursion over their subcubes, priced under six objectives."""
+    keys_, all_ = ", ".join(dims), len(dims)
     val = "(VALUES (0), (1), (2))"
     cells = "ce AS (SELECT " + ", ".join(f"c{f}.v AS {f}" for f in dims) + " FROM " + ", ".join(f"{val} AS c{f}(v)" for f in dims) + ")"
     match = " AND ".join(f"(ce.{f} = 2 OR ce.{f} = cl.{f})" for f in dims)
     free = " + ".join(f"CASE WHEN ce.{f} = 2 THEN 1 ELSE 0 END" for f in dims)
     keys = ", ".join(f"ce.{f}" for f in dims)
     parts = [cells, f"su AS (SELECT {keys}, any_value({free}) AS k, sum(cl.p)::DOUBLE AS p, sum(cl.n)::DOUBLE AS n FROM ce JOIN cl ON {match} GROUP BY {keys})"]
-    for k in range(4):
-        one = f"SELECT d, o, q, [{{'p': p, 'n': n}}] AS ls FROM su WHERE k = {k}"
+    for k in range(all_ + 1):
+        one = f"SELECT {keys_}, [{{'p': p, 'n': n}}] AS ls FROM su WHERE k = {k}"
         if k:
             prev = " UNION ALL ".join(f"SELECT * FROM r{i}" for i in range(k))
             parts.append(f"a{k} AS ({prev})")
@@ -557,7 +557,7 @@ def _special_sql() -> str:
                 for x in dims
             )
         parts.append(f"r{k} AS ({one})")
-    parts.append("tr AS (SELECT row_number() OVER () AS id, ls FROM r3), lv AS (SELECT id, l.p AS p, l.n AS n, p_, n_ FROM (SELECT id, unnest(ls) AS l FROM tr), tot)")
+    parts.append("tr AS (SELECT row_number() OVER () AS id, ls FROM r3), lv AS (SELECT id, l.p AS p, l.n AS n, p_, n_ FROM (SELECT id, unnest(ls) AS l FROM tr), tot)".replace("r3", f"r{all_}"))
     zero = {"acc": "p < n", "bacc": "p * n_ <= n * p_", "wacc": "2 * p <= n", "f1": "2 * p <= n"}
     rate = {**_RATE, "f1": "(({fp}) + ({fn})) / (2 * p_ + ({fp}) - ({fn}))"}
     said = []
@@ -568,14 +568,14 @@ def _special_sql() -> str:
     parts.append("cu AS (SELECT id, p_, n_, p, n, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM lv WINDOW w AS (PARTITION BY id ORDER BY p / (p + n) DESC, p, n ROWS UNBOUNDED PRECEDING)), cw AS (SELECT id, (fp - n) / n_ AS x0, fp / n_ AS x1, (tp - p) / p_ AS y0, tp / p_ AS y1 FROM cu)")
     said.append("SELECT 'auc' AS objective, 1 - sum((x1 - x0) * (y0 + y1) / 2) + 0.005 * count(*) AS risk FROM cw GROUP BY id")
     said.append("SELECT 'pauc' AS objective, 1 - sum(CASE WHEN x0 >= 0.5 THEN 0 WHEN x1 > 0.5 THEN (0.5 - x0) * (2 * y0 + (y1 - y0) * (0.5 - x0) / (x1 - x0)) / 2 ELSE (x1 - x0) * (y0 + y1) / 2 END) + 0.005 * count(*) AS risk FROM cw GROUP BY id")
-    base = f"{_TWO}, cl AS (SELECT d, o, q, sum(lab) AS p, sum(1 - lab) AS n FROM bits GROUP BY d, o, q)"
+    base = f"{_TWO}, cl AS (SELECT {keys_}, sum(lab) AS p, sum(1 - lab) AS n FROM bits GROUP BY {keys_})"
     return f"WITH {base}, {', '.join(parts)}, al AS ({' UNION ALL '.join(said)}) SELECT objective, round(min(risk), 6) AS risk, true AS proven FROM al GROUP BY objective"
 
 
-@query(_special_sql())
+@query(_special_sql(FEATURES))
 def fit_special_objective(spark, sf):
-    """The best tree over three predicates under each objective. The table is compressed once; the searches share it."""
-    b = cut(_two(spark, sf).select("d", "o", "q", "label"), "bits")
+    """The best tree over all four predicates under each objective. The table is encoded once; the searches share it."""
+    b = cut(_two(spark, sf), "bits")
     rows = []
     for objective in ("acc", "bacc", "wacc", "f1", "auc", "pauc"):
         m = OptimalTree({"regularization": 0.005, "objective": objective, "w": 2.0, "theta": 0.5}).fit(b, "label")
@@ -583,7 +583,7 @@ def fit_special_objective(spark, sf):
     return spark.createDataFrame(rows, "objective string, risk double, proven boolean")
 
 
-@query(_special_sql())
+@query(_special_sql(["d", "o", "q"]))
 def special_search_priorities(spark, sf):
     """Queue orders, a greedy start and limits change the way and not the optimum."""
     b = cut(_two(spark, sf).select("d", "o", "q", "label"), "bits")
