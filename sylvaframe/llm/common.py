@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,13 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession, value):
+    """A broadcast whose value brings the classes and functions it needs, so that executors need not have this package:
+    Spark pickles broadcasts by reference, but not closures. Call it inside a task to get the value."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(held.value)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete all that this subpackage has stored below the shared folder: token files, too. Call it once no table that was
     read from there is wanted any more; a later query stores anew."""

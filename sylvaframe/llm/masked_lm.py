@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import least_count, stored
+from .common import least_count, shipped, stored
 
 SIDE = 2
 DIM = 16
@@ -295,11 +295,11 @@ def fit(docs: DataFrame, *, text_col: str = "text", rounds: int = 1, rate: float
 def score(docs: DataFrame, model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, log_likelihood (summed), mean_log_likelihood."""
     words, rank, flat = model
-    shared = docs.sparkSession.sparkContext.broadcast((words._replace(far=None), rank, flat))
+    shared = shipped(docs.sparkSession, (words._replace(far=None), rank, flat))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        words, r, flat = shared.value
+        words, r, flat = shared()
         net, row = Network(flat), TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in tx.slices(batch, "text"):

@@ -29,7 +29,6 @@ import hashlib
 import itertools
 import re
 import unicodedata
-from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,12 +58,20 @@ CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMN
 _CLASS = {c: k for k in CLASSES for c in k}
 
 
-@cache
+_SEEN: dict = {}
+
+
 def _class(c: str) -> str | None:
     """What a character may become: its class, or the letters and digits of its category in its stretch of 64 code points.
     None for signs, which stay."""
     if c in _CLASS:
         return _CLASS[c]
+    if c not in _SEEN:
+        _SEEN[c] = _other_class(c)
+    return _SEEN[c]
+
+
+def _other_class(c: str) -> str | None:
     kind = unicodedata.category(c)
     if kind == "Nd":
         zero = ord(c) - unicodedata.decimal(c)

@@ -1,8 +1,7 @@
 """Vectorised word and shingle kernels over the UTF-8 buffers of Arrow string columns.
 
 Texts are handled where Arrow keeps them, as one byte buffer with offsets, so no Python string is made for a word.
-Working arrays are bounded: callers pass slices of about ``SLICE_BYTES`` (one longer text alone), and hashing
-walks the bytes in windows of ``WINDOW`` bytes.
+Working arrays are bounded: callers pass slices of about ``SLICE_BYTES`` (one longer text alone).
 """
 
 from __future__ import annotations
@@ -14,9 +13,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
-WINDOW = 1 << 18
+#: Longer words are hashed one by one.
+LONG = 512
 _P = 0x9E3779B97F4A7C15 | 1
-_CACHE: dict = {}
+_KEY = np.uint64(0x8D1F2A64C93B57E1)
+#: Masks of the first 0 to 8 bytes of a little-endian integer.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 #: Bytes that end a word: ASCII white space.
 SPACE = np.zeros(256, bool)
@@ -28,15 +30,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    if "pow" not in _CACHE:
-        with np.errstate(over="ignore"):
-            p = np.cumprod(np.r_[np.uint64(1), np.full(WINDOW, _P, np.uint64)], dtype=np.uint64)
-            q = np.cumprod(np.r_[np.uint64(1), np.full(WINDOW, pow(_P, -1, 1 << 64), np.uint64)], dtype=np.uint64)
-        _CACHE["pow"] = p, q
-    return _CACHE["pow"]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
@@ -96,29 +89,31 @@ def words(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> tuple[np.nd
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of each word's bytes (A-Z lower-cased); equal words have equal hashes wherever they stand."""
-    out = np.zeros(len(starts), np.uint64)
-    p, q = _powers()
-    i = 0
+def _loads(data: np.ndarray, lower: bool) -> np.ndarray:
+    """The eight bytes that begin at each byte, as integers; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:-8] = LOWER[data] if lower else data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True, heads: bool = False):
+    """64-bit hash of each word's bytes (A-Z lower-cased); equal words have equal hashes wherever they stand. Eight bytes at a
+    time go through a bijection of 64 bits, so words of up to eight bytes and of one length never meet. heads: the first
+    eight bytes of each word, too."""
+    loads, size = _loads(data, lower), ends - starts
+    first = loads[starts] & _FIRST[np.minimum(size, 8)]
     with np.errstate(over="ignore"):
-        while i < len(starts):
-            j = int(np.searchsorted(ends, starts[i] + WINDOW, "right"))
-            if j <= i:  # a single word beyond the window
-                word = data[starts[i] : ends[i]]
-                word = LOWER[word] if lower else word
-                out[i] = int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8).digest(), "little")
-                i += 1
-                continue
-            base, n = starts[i], ends[j - 1] - starts[i]
-            seg = data[base : base + n]
-            sums = np.empty(n + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(((LOWER[seg] if lower else seg).astype(np.uint64) + np.uint64(1)) * p[:n], out=sums[1:])
-            s, e = starts[i:j] - base, ends[i:j] - base
-            out[i:j] = mix64((sums[e] - sums[s]) * q[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            i = j
-    return out
+        h = mix64(first ^ mix64(size.astype(np.uint64) * np.uint64(_P) + _KEY))
+        on, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(on):
+            rest = size[on] - at
+            h[on] = mix64((h[on] ^ (loads[starts[on] + at] & _FIRST[np.minimum(rest, 8)])) * np.uint64(_P) + _KEY)
+            on, at = on[rest > 8], at + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        word = data[starts[i] : ends[i]]
+        word = LOWER[word] if lower else word
+        h[i] = int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8, key=_KEY.tobytes()).digest(), "little")
+    return (h, first) if heads else h
 
 
 def shingles(h: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

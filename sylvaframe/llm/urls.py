@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frequent
+from .common import frequent, shipped
 
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 #: Letters of the least part that shows a name to be words run together.
@@ -188,11 +188,11 @@ def words_apart(pages: DataFrame, url_col: str = "url", text_col: str | None = N
 
 def rule_words(pages: DataFrame, words: Words, url_col: str = "url", rules=RULES) -> DataFrame:
     """(w, verdict, n): the segmented words of the URLs that a rule decides, and how many hosts have each under a verdict."""
-    shared = pages.sparkSession.sparkContext.broadcast(words)
+    shared = shipped(pages.sparkSession, words)
 
     @F.pandas_udf("array<string>")
     def segments(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = shared.value
+        own = shared()
         for x in parts:
             yield x.map(own.segment)
 
@@ -214,11 +214,11 @@ def train(pages: DataFrame, *, url_col: str = "url", text_col: str | None = None
 def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", text_col: str | None = "html", rules=RULES, vocabulary: int = VOCABULARY) -> DataFrame:
     """id, host, path, rule, verdict and, where no rule fits, the model's log odds."""
     text_col = text_col if text_col in pages.columns else None
-    model = pages.sparkSession.sparkContext.broadcast(train(pages, url_col=url_col, text_col=text_col, rules=rules, vocabulary=vocabulary))
+    model = shipped(pages.sparkSession, train(pages, url_col=url_col, text_col=text_col, rules=rules, vocabulary=vocabulary))
 
     @F.pandas_udf("double")
     def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        m = model.value
+        m = model()
         for host, path in parts:
             yield pd.Series([None if h is None else m.score(h, p) for h, p in zip(host, path)], dtype=float)
 

@@ -7,11 +7,17 @@ bytes, written as byte-level characters. Words with any other character go throu
 hold the beginning of a special token do so each time they occur, letters as written.
 
 Pieces are found and hashed in the texts' byte buffers; the ids of a hash are held in an open-addressing table, which is
-emptied when it is full.
+emptied when it is full. A hit counts if the length and the first eight bytes agree too, so pieces of up to eight bytes are
+told apart exactly and longer ones by 128 bits and their length; pieces that share a hash and differ go through the
+library one by one.
+
+All this follows from what the file says of its normaliser, pre-tokenizer and model. Files that say anything else go
+through the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -19,6 +25,15 @@ from . import textops as tx
 
 #: Pieces held at most; the table has twice as many places.
 HELD = 1 << 20
+# The normaliser and the pre-tokenizer of the files that ``pieces`` rebuilds.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _SPACE, _LETTER, _DIGIT, _SIGN, _WHOLE = range(5)
 _KIND = np.full(256, _WHOLE, np.uint8)
 _KIND[0x21:0x7F] = _SIGN
@@ -105,12 +120,15 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        with open(path, encoding="utf-8") as f:
+            self.by_words = _splits_words(json.load(f))
         self.held = held
         self._clear()
 
     def _clear(self) -> None:
         self.mask = np.uint64(2 * self.held - 1)
         self.keys, self.place = np.zeros(2 * self.held, np.uint64), np.zeros(2 * self.held, np.int32)
+        self.head, self.size = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.int64)
         self.ids, self.first, self.n, self.n_ids = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0, 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
@@ -130,13 +148,16 @@ class WordTokenizer:
             on, at = on[more], at[more]
         return out
 
-    def _put(self, h: np.ndarray, found: list[list[int]]) -> None:
+    def _put(self, h: np.ndarray, head: np.ndarray, length: np.ndarray, found: list[list[int]]) -> None:
         size = np.fromiter(map(len, found), np.int64, len(found))
         ids = np.fromiter((x for f in found for x in f), np.uint32, int(size.sum()))
         while self.n_ids + len(ids) > len(self.ids):
             self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
         while self.n + len(h) + 1 > len(self.first):
             self.first = np.r_[self.first, np.zeros_like(self.first)]
+        while self.n + len(h) > len(self.head):
+            self.head, self.size = np.r_[self.head, np.zeros_like(self.head)], np.r_[self.size, np.zeros_like(self.size)]
+        self.head[self.n : self.n + len(h)], self.size[self.n : self.n + len(h)] = head, length
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
         self.first[self.n + 1 : self.n + len(h) + 1] = self.n_ids + np.cumsum(size)
         number = np.arange(self.n, self.n + len(h), dtype=np.int32)
@@ -151,7 +172,7 @@ class WordTokenizer:
             self.place[at[mine]] = number[mine]
             h, at, number = h[~mine], at[~mine] + 1 & int(self.mask), number[~mine]
 
-    def _learn(self, h: np.ndarray, starts: np.ndarray, ends: np.ndarray, low: np.ndarray, whole: np.ndarray) -> None:
+    def _learn(self, h: np.ndarray, head: np.ndarray, starts: np.ndarray, ends: np.ndarray, low: np.ndarray, whole: np.ndarray) -> None:
         raw, found, rest = low.tobytes(), [], []
         one = self.tokenizer.model.tokenize
         for a, b, w in zip(starts.tolist(), ends.tolist(), whole.tolist()):
@@ -162,13 +183,15 @@ class WordTokenizer:
                 found.append([t.id for t in one(raw[a:b].decode("latin-1").translate(LEVEL))])
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([found[i] for i in rest], add_special_tokens=False)):
             found[i] = e.ids
-        self._put(h, found)
+        self._put(h, head, ends - starts, found)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each has. data, offsets: the texts' bytes; end: an id put
         after each text."""
+        if not self.by_words:
+            return self._whole(data, offsets, end)
         starts, ends, low, whole, odd = pieces(data, offsets)
-        h = tx.hash_words(low, starts, ends, lower=False)
+        h, head = tx.hash_words(low, starts, ends, lower=False, heads=True)
         h[h == 0] = 1
         number = self._find(h)
         new = np.flatnonzero((number < 0) & ~odd)
@@ -181,12 +204,18 @@ class WordTokenizer:
                     return self.encode(data, offsets, end)
                 self.held = 1 << int(len(one)).bit_length()  # one slice holds more pieces than the table
                 self._clear()
-            self._learn(h[one], starts[one], ends[one], low, whole[one])
+            self._learn(h[one], head[one], starts[one], ends[one], low, whole[one])
             number[new] = self._find(h[new])
+        safe = np.maximum(number, 0)
+        odd |= (number >= 0) & ((self.head.take(safe) != head) | (self.size.take(safe) != ends - starts))
         size = self.first.take(number + 1) - self.first.take(number)  # of odd pieces, set below
         apart: dict = {}
         for i in np.flatnonzero(odd).tolist():
-            apart[i] = self.tokenizer.encode(low[starts[i] : ends[i]].tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids
+            text = low[starts[i] : ends[i]].tobytes()
+            if whole[i]:
+                apart[i] = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
+            else:
+                apart[i] = [t.id for t in self.tokenizer.model.tokenize(text.decode("latin-1").translate(LEVEL))]
             size[i] = len(apart[i])
         upto = np.cumsum(size)
         total = int(upto[-1]) if len(upto) else 0
@@ -205,6 +234,22 @@ class WordTokenizer:
         return ids, length
 
 
+    def _whole(self, data: np.ndarray, offsets: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Text by text through the library."""
+        raw = data.tobytes()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+        found = [[*e.ids, *([] if end is None else [end])] for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        length = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((x for f in found for x in f), np.uint32, int(length.sum())), length
+
+
+def _splits_words(file: dict) -> bool:
+    """Whether a tokenizer file has the normaliser, pre-tokenizer and model that ``pieces`` rebuilds."""
+    norm, pre, model = (file.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    apart = all(t["special"] and t["content"].startswith("<|") for t in file.get("added_tokens") or [])
+    return apart and (norm, pre) == (NORMALIZER, PRE_TOKENIZER) and model.get("type") == "BPE" and not model.get("ignore_merges") and model.get("dropout") is None
+
+
 def stretches(data: np.ndarray, limit: int = tx.SLICE_BYTES):
     """A long text's bytes in parts that end beside white space and have about ``limit`` bytes; a longer word stays whole."""
     start = 0

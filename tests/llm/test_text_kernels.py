@@ -40,13 +40,27 @@ def test_shingles(texts, k):
 
 
 def test_long_word_and_slices():
-    col = pa.RecordBatch.from_pydict({"t": pa.array(["x" * (tx.WINDOW * 2 + 5), None, "y", "z" * 100])})
+    col = pa.RecordBatch.from_pydict({"t": pa.array(["x" * (tx.LONG * 2 + 5), None, "y", "z" * 100])})
     data, offsets = tx.buffers(col.column("t"))
     s, e, d = tx.words(data, offsets, tx.SPACE)
     assert len(set(tx.hash_words(data, s, e).tolist())) == 3 and list(d) == [0, 2, 3]
     assert [p.num_rows for p in tx.slices(col, "t", 50)] == [1, 2, 1]
 
 
+def thue_morse(n, a="a", b="b"):
+    """Words for which polynomial hashes modulo powers of two fail: theirs equals that of the word with letters swapped."""
+    return "".join((a, b)[i.bit_count() & 1] for i in range(n))
+
+
+def test_no_structure_meets():
+    """Words that differ anywhere, and shift, swap or repeat each other's blocks, have hashes of their own."""
+    own = [thue_morse(n, *x) for n in (8, 16, 256, 512, 1024, 2048, 65536) for x in ("ab", "ba")]
+    own += ["ab" * 8, "ba" * 8, "a" * 9, "a" * 10, "a" * 16, "a" * 17, "12345678abcdefgh", "abcdefgh12345678", *(chr(97 + i) for i in range(26)), *("x" * 30 + chr(97 + i) for i in range(26))]
+    data, offsets = tx.buffers(pa.array([" ".join(own)]))
+    starts, ends, _ = tx.words(data, offsets, tx.SPACE)
+    assert len(starts) == len(own) == len(set(tx.hash_words(data, starts, ends).tolist()))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=60))
 def test_suffix_array(seq):

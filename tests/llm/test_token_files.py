@@ -14,6 +14,7 @@ from sylvaframe.llm import textops as tx
 from sylvaframe.llm import tokenfiles
 from sylvaframe.llm.queries import QUERIES
 from sylvaframe.llm.wordtokens import WordTokenizer, stretches
+from test_text_kernels import thue_morse
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -84,6 +85,26 @@ def test_words_tokenize_like_texts(text):
     assert ids.tolist() == [*want, 2, *want] and size.tolist() == [len(want), 1, len(want)]
 
 
+@pytest.mark.parametrize("n", [8, 512, 1024, 4096, 65536])
+def test_swapped_letters(n):
+    own = tokenfiles._tokenizer(PATH)
+    texts = [thue_morse(n), thue_morse(n, "b", "a")]
+    assert own.encode(*_bytes(*texts))[0].tolist() == [x for t in texts for x in own.tokenizer.encode(t, add_special_tokens=False).ids]
+
+
+def test_pieces_that_share_a_hash(monkeypatch):
+    """Whatever the hash, ids are right: hits are compared."""
+    whole = tx.hash_words
+    monkeypatch.setattr(tx, "hash_words", lambda *a, **k: (np.full_like((x := whole(*a, **k))[0], 7), x[1]))
+    own, text = WordTokenizer(PATH), "one two three été <|endoftext|> four 世界 one été four"
+    assert own.encode(*_bytes(text))[0].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_files():
+    own, text = WordTokenizer(public_tokenizers.path("byte_bpe_50k.json")), "One  two, été\n<|x 世界"
+    assert not own.by_words and own.encode(*_bytes(text, "", text), 2)[0].tolist() == [*(x := own.tokenizer.encode(text, add_special_tokens=False).ids), 2, 2, *x, 2]
+
+
 def test_small_table_of_words(spark, sf):
     """A table that is emptied, or outgrown by one slice, gives the same ids."""
     own, small = tokenfiles._tokenizer(PATH), WordTokenizer(PATH, held=16)
