@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language, masked_lm, mixing, neardup, negatives, oracles, pii, shards, tokenfiles, urls
-from .common import table
+from . import decontaminate, fingerprint, language, masked_lm, mixing, neardup, negatives, oracles, packing, pii, shards, tokenfiles, urls
+from .common import stored, table
 
 
 def op1_mixed_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,11 +56,18 @@ def op10_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    sequences = packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.digests(stored(sequences, "sequences"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
     return negatives.mined(negatives.quantized(rows), F.col("id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixed_range_coder, op2_pii_surrogates, op3_kd_shards, op4_url_words, op5_language_spans, op6_bottom_k, op7_hash_mix, op8_fm_decontaminate, op9_masked_lm, op10_scaled_sketch, op12_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_mixed_range_coder, op2_pii_surrogates, op3_kd_shards, op4_url_words, op5_language_spans, op6_bottom_k, op7_hash_mix, op8_fm_decontaminate, op9_masked_lm, op10_scaled_sketch, op11_sum_of_squares, op12_hard_negatives)}
 
 SQL: dict[str, str] = {"op6_bottom_k": oracles.NEARDUP, "op7_hash_mix": oracles.MIXING, "op8_fm_decontaminate": oracles.DECONTAMINATE, "op12_hard_negatives": oracles.NEGATIVES}
