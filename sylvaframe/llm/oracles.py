@@ -58,3 +58,16 @@ SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor, posi
 FROM p JOIN s ON s.anchor = p.anchor AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
 QUALIFY row_number() OVER (PARTITION BY p.anchor, positive ORDER BY score DESC, vec_id) <= 10
 """
+
+RANKED = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents),
+n AS (SELECT r, doc_id, len(ws)::BIGINT AS n FROM d WHERE len(ws) > 0),
+g AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM n),
+i AS (SELECT row_number() OVER () AS i, item_id, {_WORDS} AS ws FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+q AS (SELECT DISTINCT i, item_id, unnest(ws) AS t FROM i),
+p AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ws) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY t, docs),
+s AS (SELECT i, item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score FROM q JOIN p USING (t) JOIN w USING (t) JOIN n USING (r), g GROUP BY i, item_id, r, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) <= 10
+"""

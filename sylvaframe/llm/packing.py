@@ -24,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -167,15 +168,16 @@ def digests(sequences: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            held = batch.column("pieces")
-            each = np.diff(held.offsets.to_numpy())
-            pieces, tokens = held.flatten(), batch.column("tokens")
-            raw = memoryview(tokens.flatten().to_numpy().astype("<u4").tobytes())
-            # pieces stand one after another, as their tokens do
-            stop = np.cumsum(pieces.field("length").to_numpy())
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(np.r_[0, stop[:-1]].tolist(), stop.tolist())]
-            ids = pa.array(np.repeat(batch.column("sequence_id").to_numpy(), each))
-            yield pa.RecordBatch.from_arrays([pieces.field("doc"), pieces.field("start"), pieces.field("length"), pa.array(crc, pa.int64()), pieces.field("doc_tokens"), ids, pieces.field("offset")], names=["doc", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                each = pc.list_value_length(part.column("pieces")).to_numpy()
+                pieces, tokens = part.column("pieces").flatten(), part.column("tokens").flatten()
+                raw = memoryview(tokens.to_numpy().astype("<u4").tobytes())
+                # pieces stand one after another, as their tokens do
+                stop = np.cumsum(pieces.field("length").to_numpy())
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(np.r_[0, stop[:-1]].tolist(), stop.tolist())]
+                ids = pa.array(np.repeat(part.column("sequence_id").to_numpy(), each))
+                yield pa.RecordBatch.from_arrays([pieces.field("doc"), pieces.field("start"), pieces.field("length"), pa.array(crc, pa.int64()), pieces.field("doc_tokens"), ids, pieces.field("offset")], names=["doc", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     out = sequences.mapInArrow(run, f"doc {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("doc", id_col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language, masked_lm, mixing, neardup, negatives, oracles, packing, pii, shards, tokenfiles, urls
+from . import decontaminate, fingerprint, language, masked_lm, mixing, neardup, negatives, oracles, packing, pii, search, shards, tokenfiles, urls
 from .common import stored, table
 
 
@@ -68,6 +68,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mined(negatives.quantized(rows), F.col("id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixed_range_coder, op2_pii_surrogates, op3_kd_shards, op4_url_words, op5_language_spans, op6_bottom_k, op7_hash_mix, op8_fm_decontaminate, op9_masked_lm, op10_scaled_sketch, op11_sum_of_squares, op12_hard_negatives)}
+def op13_max_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
-SQL: dict[str, str] = {"op6_bottom_k": oracles.NEARDUP, "op7_hash_mix": oracles.MIXING, "op8_fm_decontaminate": oracles.DECONTAMINATE, "op12_hard_negatives": oracles.NEGATIVES}
+
+QUERIES = {f.__name__: f for f in (op1_mixed_range_coder, op2_pii_surrogates, op3_kd_shards, op4_url_words, op5_language_spans, op6_bottom_k, op7_hash_mix, op8_fm_decontaminate, op9_masked_lm, op10_scaled_sketch, op11_sum_of_squares, op12_hard_negatives, op13_max_tree_search)}
+
+SQL: dict[str, str] = {"op6_bottom_k": oracles.NEARDUP, "op7_hash_mix": oracles.MIXING, "op8_fm_decontaminate": oracles.DECONTAMINATE, "op12_hard_negatives": oracles.NEGATIVES, "op13_max_tree_search": oracles.RANKED}
