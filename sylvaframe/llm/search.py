@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from . import textops as tx
 from .common import shared_dir, shipped, stored
 
-SEGMENT = 8 << 20
+SEGMENT = 4 << 20
 FAN = 8
 #: Items, and bytes of their texts, that are searched together.
 BLOCK, BLOCK_BYTES = 1024, 16 << 20
@@ -50,8 +50,8 @@ OPEN = 2
 VOCABULARY = 1_000_000
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LAST = np.iinfo(np.int64).max
-COUNTED = "segment long, n_docs long, n_terms long, ids array<long>, lengths array<long>, terms array<string>, count array<int>, node array<int>, tf array<long>"
-INDEX = "segment long, ids array<long>, terms array<string>, top array<long>, df array<int>, levels array<struct<count: array<int>, node: array<int>, value: array<long>>>"
+COUNTED = "segment long, n_docs long, n_terms long, ids array<long>, lengths array<long>, terms array<string>, count array<int>, node array<int>, tf array<int>"
+INDEX = "segment long, ids array<long>, terms array<string>, top array<long>, df array<int>, levels array<struct<count: array<int>, node: array<int>, value: array<int>>>"
 
 
 def weight(n_docs: int, df: int) -> int:
@@ -106,7 +106,7 @@ def counted_segment(ids: pa.Array, col: pa.Array, segment: int, wanted: np.ndarr
     one = lambda x, kind: pa.array([x], pa.list_(kind))
     terms = pa.ListArray.from_arrays(pa.array([0, len(word)], pa.int32()), _strings(data, starts[word], ends[word]))
     ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-    columns = [pa.array([segment]), pa.array([int((length > 0).sum())]), pa.array([int(length.sum())]), ids, one(length, pa.int64()), terms, one(count.astype(np.int32), pa.int32()), one(d[first].astype(np.int32), pa.int32()), one(tf.astype(np.int64), pa.int64())]
+    columns = [pa.array([segment]), pa.array([int((length > 0).sum())]), pa.array([int(length.sum())]), ids, one(length, pa.int64()), terms, one(count.astype(np.int32), pa.int32()), one(d[first].astype(np.int32), pa.int32()), one(tf.astype(np.int32), pa.int32())]
     return pa.RecordBatch.from_arrays(columns, names=[x.split(" ")[0] for x in COUNTED.split(", ")])
 
 
@@ -206,7 +206,7 @@ def build(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", te
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
                 count, node, tf, length = (_numbers(row[c], np.int64) for c in ("count", "node", "tf", "lengths"))
                 levels, top = tree(count, node, saturated(tf, length[node], n_docs, n_terms), len(length))
-                flat = [pa.array([x.astype(kind) for level in levels for x in (level[j],)], pa.list_(pa.from_numpy_dtype(kind))) for j, kind in ((0, np.int32), (1, np.int32), (2, np.int64))]
+                flat = [pa.array([x.astype(kind) for level in levels for x in (level[j],)], pa.list_(pa.from_numpy_dtype(kind))) for j, kind in enumerate((np.int32,) * 3)]  # weights are below a million
                 grown = pa.ListArray.from_arrays(pa.array([0, len(levels)], pa.int32()), pa.StructArray.from_arrays(flat, names=["count", "node", "value"]))
                 one = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays([one.column("segment"), one.column("ids"), one.column("terms"), pa.array([top], pa.list_(pa.int64())), one.column("count"), grown], names=["segment", "ids", "terms", "top", "df", "levels"])
