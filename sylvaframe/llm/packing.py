@@ -165,19 +165,17 @@ def digests(sequences: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """Per piece: id, start, length, ids_crc32 (unsigned, of its ids as little-endian unsigned 32-bit integers), doc_tokens,
     sequence_id, offset."""
     kind = sequences.schema["pieces"].dataType.elementType["doc"].dataType.simpleString()
+    plain = ["doc", "start", "length", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                each = pc.list_value_length(part.column("pieces")).to_numpy()
-                pieces, tokens = part.column("pieces").flatten(), part.column("tokens").flatten()
-                raw = memoryview(tokens.to_numpy().astype("<u4").tobytes())
-                # pieces stand one after another, as their tokens do
-                stop = np.cumsum(pieces.field("length").to_numpy())
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(np.r_[0, stop[:-1]].tolist(), stop.tolist())]
-                ids = pa.array(np.repeat(part.column("sequence_id").to_numpy(), each))
-                yield pa.RecordBatch.from_arrays([pieces.field("doc"), pieces.field("start"), pieces.field("length"), pa.array(crc, pa.int64()), pieces.field("doc_tokens"), ids, pieces.field("offset")], names=["doc", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    out = sequences.mapInArrow(run, f"doc {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+            ids = batch.column("ids")
+            size = 4 * pc.list_value_length(ids).to_numpy()
+            raw, stop = memoryview(ids.flatten().to_numpy().astype("<u4", copy=False)).cast("B"), np.cumsum(size)
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip((stop - size).tolist(), stop.tolist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), pa.array(crc, pa.int64())], names=[*plain, "ids_crc32"])
+
+    pieces = sequences.select("sequence_id", "tokens", F.explode("pieces").alias("p"))
+    pieces = pieces.select("p.doc", "p.start", "p.length", "p.doc_tokens", "sequence_id", "p.offset", F.slice("tokens", F.col("p.offset").cast("int") + 1, F.col("p.length").cast("int")).alias("ids"))
+    out = pieces.mapInArrow(run, f"doc {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long")
     return out.withColumnRenamed("doc", id_col)
