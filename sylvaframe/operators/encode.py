@@ -77,6 +77,25 @@ def packed(book: Codex, policy: str = "reference", ranked: bool = False) -> list
     return out
 
 
+def ranks_of_words(book: Codex, names: list[str]) -> list[tuple[Column, int, bool]]:
+    """(rank, predicates, whether they are thresholds) of each column that has predicates, from the packed words: how many
+    thresholds are reached, or which category holds (from 1; 0: none)."""
+    held: dict[str, list] = {}
+    for p in book.predicates:
+        held.setdefault(p.col, []).append(p)
+    out = []
+    for ps in held.values():
+        rank, ordered = F.lit(0), ps[0].relation == ">="
+        for w in dict.fromkeys(p.pos // WORD for p in ps):
+            own = [p.pos % WORD for p in ps if p.pos // WORD == w]
+            bits = F.shiftright(F.col(names[w]), own[0]).bitwiseAND(F.lit((1 << len(own)) - 1).cast("long"))
+            before = w * WORD + own[0] - ps[0].pos
+            # of a category, the one bit that is set has as many zeros below it as there are categories before
+            rank = rank + (F.bit_count(bits) if ordered else F.when(bits != 0, F.bit_count(bits - 1) + before + 1).otherwise(0))
+        out.append((rank.cast("int"), len(ps), ordered))
+    return out
+
+
 def one_hot(df: DataFrame, column: str, values: list[str], keep: list[str] = ()) -> DataFrame:
     return encode(df, {f"is_{v.lower()}": F.coalesce(F.col(column) == v, F.lit(False)) for v in values}, keep)
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ordered
+
 
 def class_counts(label: str, classes: list[str]) -> list[Column]:
     return [F.count_if(F.col(label) == c).alias(f"n_{c.lower()}") for c in classes]
@@ -75,11 +77,11 @@ def first_match(rules: list[tuple[Column, str]], default: str) -> Column:
 
 
 def running_sums(df: DataFrame, order: list[str], value: str, mask: Column, bucket: Column | None = None) -> DataFrame:
-    """Prefix sums of a masked value (sums below the float epsilon count as 0). With a bucket, ascending with the order,
-    sums run inside buckets and start after the sums of those before, so no task sees all rows."""
+    """Prefix sums of a masked value (sums below the float epsilon count as 0). No task sees all rows: sums run inside
+    buckets, which ascend with the order, or without any inside range partitions, and start after the sums of those before."""
     held = F.when(mask, F.col(value)).otherwise(0.0)
     if bucket is None:
-        return df.withColumn("prefix", F.sum(held).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+        return ordered.running(ordered.ranged(df, order), order, held, "prefix").drop(ordered.PART)
     rows = df.withColumn("__b", bucket).withColumn("__v", held)
     sums = rows.groupBy("__b").agg(F.sum("__v").alias("__s"))
     before = sums.select(F.col("__b").alias("__bb"), (F.sum("__s").over(W.orderBy("__b")) - F.col("__s")).alias("__before"))

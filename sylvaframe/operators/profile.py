@@ -12,11 +12,11 @@ from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import is_integral, is_null_token, is_rational, significant
+from . import ordered
 
 
 def values_long(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -48,9 +48,10 @@ def profile(df: DataFrame, columns: list[str] | None = None, target: str | None
 
 
 def midpoints(df: DataFrame, column: str) -> DataFrame:
-    """(threshold): halfway between consecutive distinct values, to 6 decimals."""
+    """(threshold): halfway between consecutive distinct values, to 6 decimals. Values are ordered over range partitions."""
     v = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")).distinct()
-    return v.select(F.round(0.5 * (F.col("v") + F.lag("v").over(W.orderBy("v"))), 6).alias("threshold")).filter("threshold is not null")
+    pairs = ordered.previous(ordered.ranged(v, ["v"], "midpoints"), ["v"], ["v"])
+    return pairs.select(F.round(0.5 * (F.col("v") + F.col("prev_v")), 6).alias("threshold")).filter("threshold is not null")
 
 
 def integral_thresholds(df: DataFrame, column: str) -> DataFrame:
@@ -61,11 +62,13 @@ def integral_thresholds(df: DataFrame, column: str) -> DataFrame:
 
 
 def bucketized(df: DataFrame, column: str, label: str) -> DataFrame:
-    """(threshold): midpoints but those whose neighbours carry one and the same label."""
-    v = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.collect_set(label).alias("labels"))
-    w = W.orderBy("v")
-    v = v.select(F.round(0.5 * (F.col("v") + F.lag("v").over(w)), 6).alias("threshold"), F.size(F.array_union("labels", F.lag("labels").over(w))).alias("k"))
-    return v.filter("threshold is not null and k > 1").select("threshold")
+    """(threshold): midpoints but those whose neighbours carry one and the same label. The labels of a value count as its
+    least, its greatest and whether there are others, so a value holds two of them at most."""
+    v = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.min(label).alias("least"), F.max(label).alias("most"))
+    pairs = ordered.previous(ordered.ranged(v, ["v"], "buckets"), ["v"], ["v", "least", "most"])
+    # null labels count for nothing
+    pairs = pairs.filter(F.col("prev_v").isNotNull() & (F.least("least", "prev_least") < F.greatest("most", "prev_most")))
+    return pairs.select(F.round(0.5 * (F.col("v") + F.col("prev_v")), 6).alias("threshold"))
 
 
 def limited(df: DataFrame, column: str, digits: int) -> DataFrame:

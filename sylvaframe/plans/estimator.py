@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import sources
-from ..operators import costs, diagnosis, metrics
-from ..operators.encode import WORD, packed, ranks
+from ..operators import captures, costs, diagnosis, metrics
+from ..operators.captures import Layout
+from ..operators.encode import WORD, packed, ranks, ranks_of_words
 from ..operators.profile import Codex, codex
-from . import levels, special
+from . import levels, special, states
 from .config import Config
 from .local import Node, Problem, Search
 from .tree import Leaf, Split, TreeModel
@@ -175,20 +176,26 @@ class OptimalTree:
 
             # the search by levels is exact, so any uncertainty_tolerance holds
             scale = lcm(penalty.denominator, *[x.denominator for row in table for x in row])
-            price = F.array(*[sum((F.col(f"n{j}") * F.lit(int(row[j] * scale)) for j in range(len(classes))), F.lit(0)).cast("long") for row in table])
-            flags = F.array(*[F.shiftright(F.col(names[f // WORD]), f % WORD).bitwiseAND(F.lit(1).cast("long")).cast("int") for f in range(k)])
-            numbered = groups.select(F.xxhash64(*names, F.lit(1)).alias("gid") if names else F.lit(1).cast("long").alias("gid"), flags.alias("bits"), price.alias("price")).withColumn("least", F.array_min("price"))
+            ranked, rank_names, count_names, layout = _ranked(groups, names, book, [[int(x * scale) for x in row] for row in table], int(penalty * scale), n)
+            chunks = captures.chunked(ranked, rank_names, count_names, layout)
             cap = int(Fraction(str(c.upperbound)) * scale) if c.upperbound else None
             known = None
             if c.look_ahead and k:
                 # the best tree over the predicates that part the classes best is one that all predicates allow
-                few, own, chosen = _narrowed(groups, names, k, len(classes), NARROW)
+                few, own, chosen = _narrowed(groups, names, [f for _, f in levels.impurities(chunks, layout)], len(classes), NARROW)
                 rows = few.collect()
                 bits, at = _bits(rows, own, len(chosen))
                 first = Search(Problem(bits, [[rows[i][f"n{j}"] for j in range(len(classes))] for i in at], table, penalty), rule_list=c.rule_list, time_limit=min(NARROW_SECONDS, c.time_limit or NARROW_SECONDS))
                 tree, _, _ = first.run()
                 known = None if tree is None else int(Fraction(tree.cost, first.p.scale) * scale)
-            found = levels.search(numbered, k, len(classes), int(penalty * scale), time_limit=c.time_limit, rule_list=c.rule_list, look_ahead=c.look_ahead, continuous=c.continuous_feature_exchange, runs=_runs(book).tolist(), models=max(1, c.model_limit), upper=cap, known=known, small=c.task_cells, say=_say if c.verbose else None)
+            folder = ""
+            if c.checkpoint:
+                # the groups, their counts and the costs tell the search; its rules and what is wanted of it belong to it
+                mark = groups.agg(F.sum(F.xxhash64(*names, *count_names).cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64(*count_names, *names)).alias("y")).first()
+                asked = (str(mark["x"]), mark["y"], layout, c.rule_list, c.look_ahead, c.continuous_feature_exchange, c.feature_exchange, c.similar_support, c.model_limit, c.task_cells, cap, known)
+                folder = f"{c.checkpoint}/{hashlib.sha256(repr(asked).encode()).hexdigest()}"
+            rules = levels.Rules(c.rule_list, c.look_ahead, c.continuous_feature_exchange, c.feature_exchange, c.similar_support)
+            found = levels.search(chunks, layout, time_limit=c.time_limit, rules=rules, models=max(1, c.model_limit), upper=cap, known=known, small=c.task_cells, folder=folder, max_levels=c.level_limit, say=_say if c.verbose else None)
             nodes = found.trees if c.model_limit else []
             root, lower, done, iterations = found.trees[0] if found.trees else None, found.lower, found.done, found.levels
             size, history, graph = int(found.history[-1][4]) if found.history else 0, found.history, (found.tasks, found.edges)
@@ -221,17 +228,22 @@ class OptimalTree:
         if len(classes) != 2:
             raise ValueError("special objectives need two classes")
         k = len(book)
-        chosen = list(range(k))
-        if groups.count() * max(k, 1) > c.local_cells:
-            groups, names, chosen = _narrowed(groups, names, k, len(classes), c.local_cells)
-        rows = groups.collect()  # at most local_cells cells
-        bits, at = _bits(rows, names, len(chosen))
-        neg, pos = ([rows[i][f"n{j}"] for i in at] for j in (0, 1))
-        risk, found, done = special.search(bits, pos, neg, c.objective, c.regularization, w=c.w, theta=c.theta, time_limit=c.time_limit, max_leaves=c.max_leaves, max_depth=c.max_depth, priority=c.priority, iterations=c.iteration_limit, greedy=c.init_cart)
-        found = [({chosen[f]: sign for f, sign in rule.items()}, at) for rule, at in found]
-        done = done and len(chosen) == k
-        p = np.array([np.asarray(pos)[at].sum() for _, at in found], float)
-        q = np.array([np.asarray(neg)[at].sum() for _, at in found], float)
+        g = groups.count()
+        if g * max(k, 1) > c.local_cells:
+            ranked, rank_names, count_names, layout = _ranked(groups, names, book, [[0, 1], [1, 0]], 0, n)
+            chunks = captures.chunked(ranked, rank_names, count_names, layout)
+            risk, leaves, done, size = states.search(chunks, layout, c.objective, c.regularization, w=c.w, theta=c.theta, time_limit=c.time_limit, max_leaves=c.max_leaves, max_depth=c.max_depth, say=_say if c.verbose else None)
+            found = [(rule, None) for rule, _, _ in leaves]
+            p, q = (np.array([leaf[i] for leaf in leaves], float) for i in (1, 2))
+        else:
+            rows = groups.collect()  # at most local_cells cells
+            bits, at = _bits(rows, names, k)
+            neg, pos = ([rows[i][f"n{j}"] for i in at] for j in (0, 1))
+            log: list = []
+            risk, found, done = special.search(bits, pos, neg, c.objective, c.regularization, w=c.w, theta=c.theta, time_limit=c.time_limit, max_leaves=c.max_leaves, max_depth=c.max_depth, priority=c.priority, iterations=c.iteration_limit, greedy=c.init_cart, log=log)
+            size = log[-1][0] if log else 1
+            p = np.array([np.asarray(pos)[at].sum() for _, at in found], float)
+            q = np.array([np.asarray(neg)[at].sum() for _, at in found], float)
         y = special.label(c.objective, c.w, p, q, p.sum(), q.sum())
         wrong = [float(b if z else a) / n for a, b, z in zip(p, q, y)]
 
@@ -245,7 +257,7 @@ class OptimalTree:
             return Split(t.col, t.relation, t.reference, grow(a, used | {f}), grow(b, used | {f}), t)
 
         tree = TreeModel(grow(list(range(len(found))), frozenset()), c.null_policy)
-        return OptimalTreeModel([tree] if c.model_limit else [], book, {"time": time.monotonic() - began, "risk": risk, "proven": done, "groups": len(rows), "predicates": k, "searched": len(chosen), "status": 0 if done else 1, "non_binary": c.non_binary})
+        return OptimalTreeModel([tree] if c.model_limit else [], book, {"time": time.monotonic() - began, "risk": risk, "proven": done, "groups": g, "predicates": k, "size": size, "status": 0 if done else 1, "non_binary": c.non_binary})
 
 
 def _say(text: str) -> None:
@@ -258,29 +270,25 @@ def _bits(rows: list, names: list[str], k: int) -> tuple[np.ndarray, list[int]]:
     return np.array([[(rows[i][names[f // WORD]] >> (f % WORD)) & 1 for f in range(k)] for i in at], bool).reshape(len(rows), k), at
 
 
-def _narrowed(groups: DataFrame, names: list[str], k: int, classes: int, cells: int):
-    """For whole-tree searches of tables with too many groups: the predicates of the highest gini gain, as many as keep
-    groups x predicates in bounds, and the groups of those alone. The best tree over them is an upper bound."""
-    flags = F.array(*[F.shiftright(F.col(names[f // WORD]), f % WORD).bitwiseAND(F.lit(1).cast("long")).cast("int") for f in range(k)])
+def _narrowed(groups: DataFrame, names: list[str], order: list[int], classes: int, cells: int):
+    """For a first whole-tree search of tables with too many groups: the best predicates, as many as surely keep groups x
+    predicates in bounds, and the groups of those alone. The best tree over them is an upper bound. order: best first."""
     counts = [f"n{j}" for j in range(classes)]
-    long = groups.select("n", *counts, F.posexplode(flags).alias("feature", "bit"))
-    hist = long.groupBy("feature", "bit").agg(*[F.sum(x).alias(x) for x in ["n", *counts]])
-    own = F.col("n") - sum((F.col(x) * F.col(x) for x in counts), F.lit(0)) / F.col("n")
-    order = [r["feature"] for r in hist.groupBy("feature").agg(F.sum(own).alias("impure")).orderBy("impure", "feature").collect()]
-
-    def of(chosen: list[int]):
-        words = [sum((F.shiftleft(F.shiftright(F.col(names[f // WORD]), f % WORD).bitwiseAND(F.lit(1).cast("long")), i % WORD) for i, f in enumerate(chosen) if i // WORD == w), F.lit(0).cast("long")).alias(f"w{w}") for w in range(-(-len(chosen) // WORD))]
-        return groups.select(*words, "n", *counts).groupBy(*[f"w{w}" for w in range(len(words))]).agg(*[F.sum(x).alias(x) for x in ["n", *counts]])
-
-    size = min(k, max(1, cells.bit_length() - 1))
-    while size > 1 and of(sorted(order[:size])).count() * size > cells:
-        size -= 1
-    # further predicates may come in as long as the groups stay few
-    step = max(1, k // 8)
-    while size + step <= k and of(sorted(order[: size + step])).count() * (size + step) <= cells:
-        size += step
+    size = 1
+    while size < len(order) and (size + 1) << size + 1 <= cells:
+        size += 1
     chosen = sorted(order[:size])
-    return of(chosen), [f"w{w}" for w in range(-(-size // WORD))], chosen
+    words = [sum((F.shiftleft(F.shiftright(F.col(names[f // WORD]), f % WORD).bitwiseAND(F.lit(1).cast("long")), i % WORD) for i, f in enumerate(chosen) if i // WORD == w), F.lit(0).cast("long")).alias(f"w{w}") for w in range(-(-len(chosen) // WORD))]
+    few = groups.select(*words, "n", *counts).groupBy(*[f"w{w}" for w in range(len(words))]).agg(*[F.sum(x).alias(x) for x in ["n", *counts]])
+    return few, [f"w{w}" for w in range(len(words))], chosen
+
+
+def _ranked(groups: DataFrame, names: list[str], book: Codex, cost: list[list[int]], unit: int, n: int):
+    """The groups as ranks and counts, for searches over chunks: (groups, names of the ranks, names of the counts, layout)."""
+    columns = ranks_of_words(book, names)
+    counts = [f"n{j}" for j in range(len(cost))]
+    ranked = groups.select(*[r.alias(f"r{i}") for i, (r, _, _) in enumerate(columns)], *counts)
+    return ranked, [f"r{i}" for i in range(len(columns))], counts, Layout.of([s for _, s, _ in columns], [o for _, _, o in columns], cost, unit, n)
 
 
 def _runs(book: Codex) -> np.ndarray:

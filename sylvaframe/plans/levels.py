@@ -1,13 +1,20 @@
 """Exact search as DataFrames, level by level, for tables that compress to many groups.
 
-State: ``groups`` (gid, bits, price of each label, least), the membership of open subproblems, and one row for each
-subproblem. A subproblem of at most ``small`` group-predicate cells is solved whole by the search of ``local`` in one
-executor task. The others are split by one join and one aggregation that price all splits of all of them; splits whose
-bound can't beat the subproblem's budget go, and each child is named by an order-free digest of its groups (count and two
-64-bit sums), so equal subproblems meet. A child's budget is what its parent can still pay once the sibling has cost its
-lower bound; of several parents the largest holds, and a subproblem that comes back with a larger budget is opened again.
-A step up aggregates children's values. Every level is written to the shared folder. The driver sees counts of rows, and
-at the end the few rows of the trees.
+State: the groups in chunks (see ``operators.captures``), and one row for each subproblem: its rule, size, leaf cost, bounds
+and budget. A level takes the open subproblems a block at a time. One pass over the chunks and one shuffle, of an array of
+sums for each subproblem and task, price all splits of all of them; where they are merged, splits whose bound can't beat the
+subproblem's budget go, and each child is named by the size and hash sums of its groups, so equal subproblems meet. A
+subproblem of at most ``small`` group-predicate cells is solved whole by the search of ``local`` in one executor task. A
+child's budget is what its parent can still pay once the sibling has cost its lower bound; of several parents the largest
+holds, and a subproblem that comes back with a larger budget is opened again. A step up aggregates children's values.
+
+Between both steps, predicates of a subproblem are compared with each other where the settings ask for it: a second pass
+counts the members that each two surviving predicates share, and their spans (how much a group's label can matter). Where
+one's true side lies inside another's and its false side surely costs no more than the other's at least, the other one goes
+(exchange); and a split's bound is at least another's less the spans of the members on which they differ (similar support).
+
+Every level is written to the shared folder. With a folder of its own, the names of its tables are committed there too, and
+a search goes on after the last committed level. The driver sees blocks of rules, and at the end the rows of the trees.
 """
 
 from __future__ import annotations
@@ -15,19 +22,28 @@ from __future__ import annotations
 import json
 import time
 from dataclasses import dataclass, field
+from decimal import Decimal
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import captures
+from ..operators.captures import Layout
 from ..store import cut
 from .local import Node, OutOfTime, Problem, Search
 
 #: Groups x predicates up to which a subproblem is solved in one task.
 SMALL = 200_000
+#: Surviving predicates from which on they are compared with each other (fewer save too little), and bytes of pair counts
+#: that a task holds.
+PAIRED, PAIR_BYTES = 9, 128 << 20
+#: Open subproblems that come to the driver at once.
+AT_ONCE = 8192
 
 
 @dataclass
@@ -44,22 +60,6 @@ class Found:
     edges: DataFrame | None = None
 
 
-def _digest() -> Column:
-    a = F.sum(F.xxhash64(F.col("gid")).cast("decimal(20,0)"))
-    b = F.bit_xor(F.xxhash64(F.col("gid"), F.lit(7)))
-    return F.concat_ws("-", F.count("*"), a, b)
-
-
-def _task(df: DataFrame, keys: list[str], classes: int, unit: int) -> DataFrame:
-    """label (highest of the cheapest), leaf cost and lower bound of summed prices."""
-    miss = [F.col(f"m{c}") for c in range(classes)]
-    best = F.least(*miss) if classes > 1 else miss[0]
-    label = F.lit(0)
-    for c in range(classes):
-        label = F.when(miss[c] == best, c).otherwise(label)
-    return df.select(*keys, "size", label.alias("label"), (best + unit).alias("leaf"), F.least(best + unit, F.col("least") + 2 * unit).alias("lower"))
-
-
 def written(node: Node) -> list:
     return [node.cost, node.label] if node.predicate < 0 else [node.cost, node.predicate, *map(written, node.children)]
 
@@ -68,107 +68,373 @@ def read(x: list) -> Node:
     return Node(x[0], x[1]) if len(x) == 2 else Node(x[0], predicate=x[1], children=(read(x[2]), read(x[3])))
 
 
-def _solver(features: int, classes: int, unit: int, models: int, options: dict):
-    """Solves one subproblem's rows (tid, budget, bits, price) by the local search."""
+def _column(values, layout: Layout) -> pa.Array:
+    if layout.wide:
+        return pa.array([Decimal(int(x)) for x in values], pa.decimal128(38, 0))
+    return pa.array(np.asarray(values, np.int64))
+
+
+def _lit(x: int, layout: Layout) -> Column:
+    return F.lit(Decimal(x)).cast("decimal(38,0)") if layout.wide else F.lit(int(x)).cast("long")
+
+
+@dataclass
+class Splits:
+    """What all splits of a subproblem cost; index 0: the side where the predicate is false."""
+
+    size: np.ndarray
+    label: np.ndarray
+    leaf: np.ndarray
+    lower: np.ndarray
+    hashes: np.ndarray
+    useful: np.ndarray  # both sides have members
+
+    @classmethod
+    def of(cls, sums: np.ndarray, layout: Layout) -> Splits:
+        s = captures.sides(sums, layout)
+        price = layout.prices(s.counts)
+        leaf = price.min(axis=-1) + layout.unit
+        label = layout.classes - 1 - price[..., ::-1].argmin(axis=-1)
+        return cls(s.size, label, leaf, np.minimum(leaf, s.least + 2 * layout.unit), s.hashes, (s.size > 0).all(axis=0))
+
+    def bounds(self, rule_list: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The least and the surely reached cost of each split."""
+        if rule_list:
+            return np.minimum(self.leaf[0] + self.lower[1], self.lower[0] + self.leaf[1]), self.leaf[0] + self.leaf[1]
+        return self.lower[0] + self.lower[1], self.leaf[0] + self.leaf[1]
+
+
+def _runs_lost(s: Splits, layout: Layout) -> np.ndarray:
+    """Thresholds that a neighbour of their column makes needless. They ascend: the lower one's false side lies inside the
+    higher one's."""
+    lost = np.zeros(layout.predicates, bool)
+    for first, size, ordered in zip(layout.first, layout.sizes, layout.ordered):
+        own = first + np.flatnonzero(s.useful[first : first + size])
+        if not ordered or len(own) < 2:
+            continue
+        a, b = own[:-1], own[1:]
+        low = s.lower[0, a] >= s.leaf[0, b]
+        high = (s.lower[1, b] >= s.leaf[1, a]) & ~low
+        lost[a[low.astype(bool)]] = True
+        lost[b[high.astype(bool)]] = True
+    return lost
+
+
+def _bits(ranks: np.ndarray, layout: Layout) -> np.ndarray:
+    """[members, predicates] from the ranks [columns, members]."""
+    out = [r[:, None] > np.arange(size) if ordered else r[:, None] == np.arange(1, size + 1) for r, size, ordered in zip(ranks, layout.sizes, layout.ordered)]
+    return np.concatenate([*out, np.zeros((ranks.shape[1], 0), bool)], axis=1)
+
+
+def _solver(tasks: list[dict], layout: Layout, models: int, options: dict):
+    """Solves one subproblem, given as its members' ranks and counts, by the local search."""
+    runs = np.repeat(np.where(layout.ordered, np.arange(len(layout.sizes)), -1), layout.sizes) if layout.sizes else np.zeros(0, int)
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        price = np.array(rows["price"].tolist(), np.int64).reshape(len(rows), classes)
-        problem = Problem.priced(np.array(rows["bits"].tolist(), bool).reshape(len(rows), features), price, unit, options.get("runs"))
-        search = Search(problem, **{k: v for k, v in options.items() if k != "runs"})
-        at = np.arange(len(rows))
+        task = tasks[int(rows["k"].iloc[0])]
+        ranks = np.concatenate([np.frombuffer(r, np.int32).reshape(len(layout.sizes), -1) for r in rows["ranks"]], axis=1)
+        counts = np.concatenate([np.frombuffer(c, np.int64).reshape(-1, layout.classes) for c in rows["counts"]])
+        search = Search(Problem.priced(_bits(ranks, layout), layout.prices(counts), layout.unit, runs), **options)
+        names = ["tid", "cost", "trees", "sure"]
         try:
-            root = search.solve(at, int(rows["budget"].iloc[0]) + (models > 1))
+            root = search.solve(np.arange(len(counts)), int(task["budget"]) + (models > 1))
         except (OutOfTime, RecursionError):
-            return pd.DataFrame([(rows["tid"].iloc[0], None, None, False)], columns=["tid", "cost", "trees", "sure"])
+            return pd.DataFrame([(task["tid"], None, None, False)], columns=names)
         trees = [] if root is None else search.all_trees(models, root) if models > 1 else [root]
-        return pd.DataFrame([(rows["tid"].iloc[0], root and root.cost, json.dumps([written(t) for t in trees]), True)], columns=["tid", "cost", "trees", "sure"])
+        return pd.DataFrame([(task["tid"], None if root is None else str(root.cost), json.dumps([written(t) for t in trees]), True)], columns=names)
 
     return solve
 
 
-def search(groups: DataFrame, features: int, classes: int, unit: int, *, time_limit: float = 0, max_levels: int = 64, rule_list: bool = False, look_ahead: bool = True, continuous: bool = True, runs: list[int] | None = None, models: int = 1, upper: int | None = None, known: int | None = None, small: int = SMALL, say=None) -> Found:
-    """groups: gid, bits array<int>, price array<long> (cost of each label over the group's rows), least (the cheapest).
-    unit: the leaf penalty in the same integers. rule_list: one side of each split is a leaf. runs: the threshold run of
-    each predicate or -1. models: optimal trees wanted. upper: the largest cost of interest; known: a cost
-    that some tree has."""
-    began = time.monotonic()
-    groups = cut(groups.select("gid", "bits", "price", "least"), "groups")
-    sums = [F.sum(F.col("price")[c]).alias(f"m{c}") for c in range(classes)]
-    root = groups.agg(_digest().alias("tid"), F.count("*").alias("size"), *sums, F.sum("least").alias("least"))
-    tasks = cut(_task(root, ["tid"], classes, unit), "tasks")
-    first = tasks.first()
-    if first is None or not first["size"]:
+def _solved(chunks: DataFrame, tasks: list[dict], layout: Layout, models: int, options: dict) -> DataFrame:
+    rules = [tuple(t["rule"]) for t in tasks]
+
+    def members(batches):
+        for chunk in captures.rows_of(batches, layout):
+            for k, at in chunk.members(rules):
+                if len(at):
+                    yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "ranks": [np.ascontiguousarray(chunk.ranks[:, at]).tobytes()], "counts": [chunk.counts[at].tobytes()]})
+
+    rows = chunks.mapInArrow(members, "k int, ranks binary, counts binary")
+    out = rows.groupBy("k").applyInPandas(_solver(tasks, layout, models, options), "tid string, cost string, trees string, sure boolean")
+    return out.withColumn("cost", F.col("cost").cast(layout.kind))
+
+
+def _edge_schema(layout: Layout) -> str:
+    return f"tid string, feature int, bit int, child string, size long, label int, leaf {layout.kind}, lower {layout.kind}, budget {layout.kind}, room {layout.kind}, rule array<int>"
+
+
+def _edges(task: dict, s: Splits, alive: np.ndarray, room, layout: Layout, rule_list: bool, look_ahead: bool):
+    """A row for each side of each surviving split."""
+    if not len(alive):
+        return
+    out: dict[str, list] = {c.split(" ")[0]: [] for c in _edge_schema(layout).split(", ") if " " in c}
+    base = list(task["rule"])
+    for f in alive.tolist():
+        for b in (0, 1):
+            other = (s.leaf if rule_list else s.lower)[1 - b, f]
+            row = (task["tid"], f, b, captures.named(int(s.size[b, f]), s.hashes[b, f]), int(s.size[b, f]), int(s.label[b, f]), int(s.leaf[b, f]), int(s.lower[b, f]), int(room - other if look_ahead else s.leaf[b, f] + 1), int(room), [*base, f + 1 if b else -(f + 1)])
+            for held, x in zip(out.values(), row):
+                held.append(x)
+    kinds = {"feature": pa.int32(), "bit": pa.int32(), "label": pa.int32(), "size": pa.int64(), "rule": pa.list_(pa.int32())}
+    yield pa.RecordBatch.from_pydict({c: _column(x, layout) if c in ("leaf", "lower", "budget", "room") else pa.array(x, kinds.get(c, pa.string())) for c, x in out.items()})
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Which pruning rules hold."""
+
+    rule_list: bool = False
+    look_ahead: bool = True
+    continuous: bool = True
+    exchange: bool = True
+    similar: bool = True
+    more: int = 0  # 1 where ties are of interest, too
+
+    def surviving(self, task: dict, s: Splits, layout: Layout, lb=None) -> tuple[np.ndarray, int]:
+        """The splits that may win, and what a tree of the subproblem has to cost less than. lb: better bounds, if any."""
+        own_lb, ub = s.bounds(self.rule_list)
+        lb = own_lb if lb is None else lb
+        on = s.useful.copy()
+        if self.continuous and not self.rule_list and not self.more:
+            on &= ~_runs_lost(s, layout)
+        at = np.flatnonzero(on)
+        if not len(at):
+            return at, 0
+        best = min(at.tolist(), key=lambda f: (int(ub[f]), f))
+        own, budget = int(task["leaf"]), int(task["budget"])
+        room = min(own, int(ub[best]), budget) if self.look_ahead else min(own, int(ub[best]))
+        keep = lb[at] < room + self.more
+        if int(ub[best]) < own:
+            keep |= at == best
+        return at[keep.astype(bool)], room
+
+
+def _needless(chunks: DataFrame, tasks: list[dict], found: dict[str, pd.DataFrame], layout: Layout, rules: Rules) -> DataFrame:
+    """(tid, feature): splits of the tasks that another one makes needless. found: for each task its surviving splits
+    (feature, leaf0, leaf1, lower0, lower1, room), ascending. The split that surely costs least stays: the room is its cost."""
+    paths = [tuple(t["rule"]) for t in tasks]
+    alive = [found[t["tid"]]["feature"].to_numpy(int) for t in tasks]
+    costs = [[[int(x) for x in found[t["tid"]][c]] for c in ("leaf0", "leaf1", "lower0", "lower1", "room")] for t in tasks]
+    names = [t["tid"] for t in tasks]
+
+    def count(batches):
+        sums: dict[int, np.ndarray] = {}
+        for chunk in captures.rows_of(batches, layout):
+            price = layout.prices(chunk.counts)
+            span = (price.max(axis=1) - price.min(axis=1)).astype(np.float64)
+            for k, at in chunk.members(paths):
+                if not len(at):
+                    continue
+                a = len(alive[k])
+                own = sums.setdefault(k, np.zeros((2 * a + 1, a)))
+                for i in range(0, len(at), 8192):
+                    some = at[i : i + 8192]
+                    x = np.stack([chunk.holds(f, some) for f in alive[k].tolist()], axis=1).astype(np.float64)
+                    own[:a] += x.T @ x
+                    own[a : 2 * a] += (x * span[some, None]).T @ x
+                    own[2 * a] += span[some].sum()
+        for k, x in sums.items():
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "sums": pa.array([x.tobytes()], pa.binary())})
+
+    def merge(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column("k").to_pylist(), batch.column("sums")):
+                x = np.frombuffer(raw.as_buffer()).reshape(-1, len(alive[k]))
+                sums[k] = sums[k] + x if k in sums else x
+        for k, x in sums.items():
+            a = len(alive[k])
+            gone = np.zeros(a, bool)
+            leaf0, leaf1, lower0, lower1, room = (np.array(c, object if layout.wide else np.int64) for c in costs[k])
+            if rules.exchange:
+                inside = x[:a] == np.diag(x[:a])[:, None]  # i's true side lies inside j's
+                for i in range(a):
+                    if not gone[i]:
+                        bad = inside[i] & (leaf0[i] <= lower0).astype(bool)
+                        bad[i] = False
+                        gone |= bad
+            if rules.similar:
+                lb, span = lower0 + lower1, np.diag(x[a : 2 * a])
+                apart = span[:, None] + span - 2 * x[a : 2 * a]
+                apart = np.minimum(apart, x[2 * a, 0] - apart)
+                # spans are floats: a little more than they can be wrong by
+                apart = np.ceil(apart * (1 + 1e-9) + 1 + 1e-9 * x[2 * a, 0])
+                wide = np.vectorize(int, otypes=[object])(apart)
+                better = (lb.astype(object)[:, None] - wide).max(axis=0)
+                gone |= (np.maximum(better, lb.astype(object)) >= room.astype(object)).astype(bool) & (lb < room).astype(bool)
+            gone[int(np.argmin(leaf0 + leaf1))] = False
+            if gone.any():
+                lost = alive[k][gone]
+                yield pa.RecordBatch.from_pydict({"tid": pa.array([names[k]] * len(lost)), "feature": pa.array(lost, pa.int32())})
+
+    return chunks.mapInArrow(count, "k int, sums binary").repartition("k").mapInArrow(merge, "tid string, feature int")
+
+
+def _priced(chunks: DataFrame, tasks: list[dict], layout: Layout, rules: Rules) -> DataFrame:
+    """The edges of a block of subproblems."""
+
+    def finish(k: int, sums: np.ndarray):
+        s = Splits.of(sums, layout)
+        alive, room = rules.surviving(tasks[k], s, layout)
+        yield from _edges(tasks[k], s, alive, room, layout, rules.rule_list, rules.look_ahead)
+
+    edges = captures.swept(chunks, [tuple(t["rule"]) for t in tasks], layout, finish, _edge_schema(layout))
+    if rules.rule_list or rules.more or layout.predicates < PAIRED or not (rules.exchange or rules.similar):
+        return edges
+    edges = cut(edges, "priced")
+    pair = lambda c, b: F.max(F.when(F.col("bit") == b, F.col(c)))
+    wide = edges.groupBy("tid", "feature").agg(*[pair(c, b).alias(f"{c}{b}") for c in ("leaf", "lower") for b in (0, 1)], F.max("room").alias("room"))
+    found = {t: x.sort_values("feature") for t, x in wide.toPandas().groupby("tid")}  # at most a block's sums
+    held, lost, size = [], [], 0
+    for t in tasks:
+        a = len(found.get(t["tid"], ()))
+        if a < PAIRED:
+            continue
+        if held and size + 16 * a * a > PAIR_BYTES:
+            lost.append(_needless(chunks, held, found, layout, rules))
+            held, size = [], 0
+        held.append(t)
+        size += 16 * a * a
+    if held:
+        lost.append(_needless(chunks, held, found, layout, rules))
+    if not lost:
+        return edges
+    return edges.join(reduce(lambda a, b: a.union(b), lost), ["tid", "feature"], "left_anti").select(*edges.columns)
+
+
+class Tables:
+    """Where a search writes its tables. With a folder, each level's are committed by one line of text."""
+
+    def __init__(self, spark, folder: str = ""):
+        self.spark, self.folder = spark, folder
+        self.paths: dict[str, list] = {}
+
+    def keep(self, df: DataFrame, name: str, level: int) -> DataFrame:
+        if not self.folder:
+            return cut(df, name)
+        path = f"{self.folder}/{name}-{level}"
+        df.write.mode("overwrite").parquet(path)
+        self.paths.setdefault(name, []).append([path, df.schema.json()])
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def commit(self, level: int, **facts) -> None:
+        if self.folder:
+            line = json.dumps({"level": level, "paths": self.paths, **facts}, default=str)
+            self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(f"{self.folder}/levels")
+
+    def committed(self) -> dict | None:
+        """The last committed level's facts."""
+        if not self.folder:
+            return None
+        try:
+            lines = [json.loads(r["value"]) for r in self.spark.read.text(f"{self.folder}/levels").collect()]  # one for each level
+        except AnalysisException:
+            return None
+        if not lines:
+            return None
+        last = max(lines, key=lambda x: x["level"])
+        self.paths = last["paths"]
+        return last
+
+    def of(self, name: str) -> list[DataFrame]:
+        from pyspark.sql import types as T
+
+        return [self.spark.read.schema(T.StructType.fromJson(json.loads(s))).parquet(p) for p, s in self.paths.get(name, [])]
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def impurities(chunks: DataFrame, layout: Layout) -> list[tuple[float, int]]:
+    """(gini impurity of both sides by their sizes, predicate) of every predicate that parts the groups, ascending."""
+
+    def finish(_, sums: np.ndarray):
+        s = captures.sides(sums, layout)
+        n = s.counts.astype(np.float64)
+        rows = np.maximum(n.sum(axis=-1), 1)
+        impure = (rows - (n * n).sum(axis=-1) / rows).sum(axis=0)
+        at = np.flatnonzero((s.size > 0).all(axis=0))
+        yield pa.RecordBatch.from_pydict({"impure": pa.array(impure[at]), "feature": pa.array(at, pa.int32())})
+
+    return sorted(map(tuple, captures.swept(chunks, [()], layout, finish, "impure double, feature int").collect()))
+
+
+def search(chunks: DataFrame, layout: Layout, *, time_limit: float = 0, max_levels: int = 0, rules: Rules = Rules(), models: int = 1, upper: int | None = None, known: int | None = None, small: int = SMALL, folder: str = "", say=None) -> Found:
+    """chunks: the groups, as ``captures.chunked`` gives them. max_levels: levels of this call, 0 for
+    all; rules: the pruning rules; models: optimal trees wanted; upper: the largest cost of interest; known: a cost that
+    some tree has; folder: where to commit levels, and from where to go on."""
+    began, spark = time.monotonic(), chunks.sparkSession
+    tables = Tables(spark, folder)
+    if models > 1:
+        rules = Rules(rules.rule_list, rules.look_ahead, False, False, False, 1)
+    size, count, least, root = captures.summary(captures.totals(chunks, layout), layout)
+    if not size:
         return Found([], 0, True)
-    top = int(first["leaf"]) + 1 if upper is None else min(int(first["leaf"]), upper) + 1
-    if known is not None and look_ahead:
+    price = [int(x) for x in layout.prices(count.astype(object) if layout.wide else count)]
+    leaf = min(price) + layout.unit
+    label = max(c for c, x in enumerate(price) if x == min(price))
+    first = {"tid": root, "size": size, "label": label, "leaf": leaf, "lower": min(leaf, least + 2 * layout.unit), "rule": []}
+    top = leaf + 1 if upper is None else min(leaf, upper) + 1
+    if known is not None and rules.look_ahead:
         top = min(top, known + 1)
-    more = 1 if models > 1 else 0  # ties are of interest too
-    open_ = (F.col("lower") < F.least(F.col("leaf"), F.col("budget") + more)) & (F.col("size") > 1)
-    frontier = cut(tasks.withColumn("budget", F.lit(top).cast("long")).filter(open_), "frontier")
-    members = groups.select("gid").crossJoin(F.broadcast(frontier.select("tid")))
-    options = {"rule_list": rule_list, "look_ahead": look_ahead, "continuous_feature_exchange": continuous and models == 1, "feature_exchange": models == 1, "time_limit": time_limit, "runs": None if runs is None else np.array(runs)}
-    all_tasks, all_edges, solved, seen, history = [tasks], [], [], [], []
-    level, done = 0, True
+    open_ = (F.col("lower") < F.least(F.col("leaf"), F.col("budget") + rules.more)) & (F.col("size") > 1)
+    options = {"rule_list": rules.rule_list, "look_ahead": rules.look_ahead, "continuous_feature_exchange": rules.continuous and models == 1, "feature_exchange": rules.exchange and models == 1, "similar_support": rules.similar and models == 1, "time_limit": time_limit}
+    history: list[tuple] = []
+    resumed = tables.committed()
+    if resumed:
+        level, history = resumed["level"], [tuple(h) for h in resumed["history"]]
+        all_tasks, all_edges, solved, fronts = tables.of("tasks"), tables.of("edges"), tables.of("solved"), tables.of("frontier")
+        frontier, seen = fronts[-1], [f.select("tid", F.col("budget").alias("spent")) for f in fronts[:-1]]
+    else:
+        level = 0
+        one = spark.createDataFrame([(root, size, label)], "tid string, size long, label int")
+        one = one.select("*", _lit(first["leaf"], layout).alias("leaf"), _lit(first["lower"], layout).alias("lower"))
+        all_tasks = [tables.keep(one, "tasks", 0)]
+        frontier = tables.keep(one.select("*", _lit(top, layout).alias("budget"), F.array().cast("array<int>").alias("rule")).filter(open_), "frontier", 0)
+        all_edges, solved, seen = [], [], []
+    until, done = level + max_levels, True
     while True:
         n_open = frontier.count()
         n_tasks = sum(t.count() for t in all_tasks[-1:]) + (history[-1][4] if history else 0)
-        history.append((level, time.monotonic() - began, float(first["lower"]), float(first["leaf"]), n_tasks, n_open, 1 - n_open / max(1, n_tasks), len(solved) / max(1, level)))
+        if not resumed:
+            history.append((level, time.monotonic() - began, float(first["lower"]), float(first["leaf"]), n_tasks, n_open, 1 - n_open / max(1, n_tasks), len(solved) / max(1, level)))
+            tables.commit(level, history=history)
+        resumed = None
         if say:
             say(f"level {level}: {n_tasks} subproblems, {n_open} open, {history[-1][1]:.1f} s")
         if not n_open:
             break
-        if level >= max_levels or (time_limit and time.monotonic() - began > time_limit):
+        if (max_levels and level >= until) or (time_limit and time.monotonic() - began > time_limit):
             done = False
             break
         level += 1
-        seen.append(frontier.select(F.col("tid").alias("__t"), F.col("budget").alias("__b")))
-        members = cut(members, "members")
-        here = frontier.select("tid", "budget", "leaf", "size")
-        tiny = F.col("size") * features <= small
-        held = members.join(here.filter(tiny), "tid").join(groups, "gid").select("tid", "budget", "bits", "price")
-        solved.append(cut(held.groupBy("tid").applyInPandas(_solver(features, classes, unit, models, options), "tid string, cost long, trees string, sure boolean"), "solved"))
-        here = here.filter(~tiny)
-        if here.isEmpty():
-            frontier = frontier.limit(0)
+        seen.append(frontier.select("tid", F.col("budget").alias("spent")))
+        ends, edges = [], []
+        for tasks in _blocks(frontier, n_open, small // max(1, layout.predicates), layout.block):
+            if tasks[0]["size"] * layout.predicates <= small:
+                ends.append(_solved(chunks, tasks, layout, models, options))
+            else:
+                edges.append(_priced(chunks, tasks, layout, rules))
+        if ends:
+            solved.append(tables.keep(_all(ends), "solved", level))
+        if not edges:
+            frontier = tables.keep(frontier.limit(0), "frontier", level)
+            all_tasks.append(tables.keep(all_tasks[0].limit(0), "tasks", level))
             continue
-        members = members.join(here.select("tid"), "tid")
-        cells = members.join(groups, "gid").select("tid", "price", "least", F.posexplode("bits").alias("feature", "bit"))
-        sides = cut(_task(cells.groupBy("tid", "feature", "bit").agg(F.count("*").alias("size"), *sums, F.sum("least").alias("least")), ["tid", "feature", "bit"], classes, unit), "sides")
-        of = lambda c, b: F.max(F.when(F.col("bit") == b, F.col(c)))
-        split = sides.groupBy("tid", "feature").agg(F.count("*").alias("c"), *[of(c, b).alias(f"{c}{b}") for c in ("lower", "leaf") for b in (0, 1)]).filter("c = 2")
-        lists = F.least(F.col("leaf0") + F.col("lower1"), F.col("lower0") + F.col("leaf1"))
-        split = split.withColumn("lb", lists if rule_list else F.col("lower0") + F.col("lower1")).withColumn("ub", F.col("leaf0") + F.col("leaf1"))
-        if continuous and runs is not None and models == 1 and not rule_list and max(runs, default=-1) >= 0:
-            split = split.withColumn("run", F.element_at(F.lit(list(runs)).cast("array<int>"), F.col("feature") + 1))
-            w = W.partitionBy("tid", "run").orderBy("feature")
-            # thresholds ascend: the lower one's false side lies inside the higher one's
-            lost = (F.col("lower0") >= F.lead("leaf0").over(w)) | ((F.col("lower1") >= F.lag("leaf1").over(w)) & ~F.coalesce(F.lag("lower0").over(w) >= F.col("leaf0"), F.lit(False)))
-            split = split.withColumn("lost", (F.col("run") >= 0) & F.coalesce(lost, F.lit(False))).filter(~F.col("lost"))
-        best = split.groupBy("tid").agg(F.min(F.struct("ub", "feature")).alias("best"))
-        split = split.join(best, "tid").join(here.withColumnRenamed("leaf", "own").drop("size"), "tid")
-        room = F.least(F.col("own"), F.col("best.ub"), F.col("budget")) if look_ahead else F.least(F.col("own"), F.col("best.ub"))
-        first_best = (F.col("feature") == F.col("best.feature")) & (F.col("ub") < F.col("own"))
-        split = split.withColumn("room", room)
-        alive = cut(split.filter((F.col("lb") < F.col("room") + more) | first_best).select("tid", "feature", "room", "lower0", "lower1", "leaf0", "leaf1"), "alive")
-        grown = cut(members.join(alive.select("tid", "feature"), "tid").join(groups, "gid").select("tid", "feature", F.element_at("bits", F.col("feature") + 1).alias("bit"), "gid"), "grown")
-        named = grown.groupBy("tid", "feature", "bit").agg(_digest().alias("child"))
-        edges = named.join(sides, ["tid", "feature", "bit"]).join(alive, ["tid", "feature"])
-        sibling = F.when(F.col("bit") == 0, F.col("leaf1" if rule_list else "lower1")).otherwise(F.col("leaf0" if rule_list else "lower0"))
-        budget = F.col("room") - sibling if look_ahead else F.col("leaf") + 1
-        edges = cut(edges.select("tid", "feature", "bit", "child", "size", "label", "leaf", "lower", budget.alias("budget")), "edges")
-        all_edges.append(edges.select("tid", "feature", "bit", "child"))
-        children = edges.groupBy(F.col("child").alias("tid")).agg(F.first("size").alias("size"), F.first("label").alias("label"), F.first("leaf").alias("leaf"), F.first("lower").alias("lower"), F.max("budget").alias("budget"), F.min(F.struct(F.col("tid").alias("p"), "feature", "bit")).alias("via"))
-        named = reduce(lambda a, b: a.union(b), [t.select("tid") for t in all_tasks])
-        all_tasks.append(cut(children.select("tid", "size", "label", "leaf", "lower").join(named, "tid", "left_anti"), "tasks"))
-        spent = reduce(lambda a, b: a.union(b), seen).groupBy("__t").agg(F.max("__b").alias("__b"))
-        new = children.filter(open_).join(spent, F.col("tid") == F.col("__t"), "left").filter(F.col("__b").isNull() | (F.col("__b") < F.col("budget")))
-        frontier = cut(new.select("tid", "size", "label", "leaf", "lower", "budget", "via"), "frontier")
-        one = frontier.select(F.col("tid").alias("child"), F.col("via.p").alias("tid"), F.col("via.feature").alias("feature"), F.col("via.bit").alias("bit"))
-        members = grown.join(one, ["tid", "feature", "bit"]).select(F.col("child").alias("tid"), "gid")
-    tasks = cut(reduce(lambda a, b: a.unionByName(b), all_tasks), "alltasks")
+        here = tables.keep(_all(edges), "edges", level)
+        all_edges.append(here)
+        children = here.groupBy(F.col("child").alias("tid")).agg(F.first("size").alias("size"), F.first("label").alias("label"), F.first("leaf").alias("leaf"), F.first("lower").alias("lower"), F.max("budget").alias("budget"), F.min("rule").alias("rule"))
+        named = _all([t.select("tid") for t in all_tasks])
+        all_tasks.append(tables.keep(children.select("tid", "size", "label", "leaf", "lower").join(named, "tid", "left_anti"), "tasks", level))
+        spent = _all(seen).groupBy(F.col("tid").alias("__t")).agg(F.max("spent").alias("spent"))
+        new = children.filter(open_).join(spent, F.col("tid") == F.col("__t"), "left").filter(F.col("spent").isNull() | (F.col("spent") < F.col("budget")))
+        frontier = tables.keep(new.select("tid", "size", "label", "leaf", "lower", "budget", "rule"), "frontier", level)
+    tasks = cut(_all(all_tasks), "alltasks")
     own = F.col("leaf")
     if solved:
-        ends = reduce(lambda a, b: a.union(b), solved)
+        ends = _all(solved)
         done = done and ends.filter("not sure").isEmpty()
         ends = ends.filter("cost is not null").groupBy("tid").agg(F.min(F.struct("cost", "trees")).alias("s"))
         tasks = cut(tasks.join(ends, "tid", "left").select(*tasks.columns, F.least("leaf", "s.cost").alias("cost"), F.when(F.col("s.cost") <= F.col("leaf"), F.col("s.trees")).alias("trees")), "settled")
@@ -178,16 +444,16 @@ def search(groups: DataFrame, features: int, classes: int, unit: int, *, time_li
     value = tasks.select("tid", "leaf", own.alias("value"), F.lit(None).cast("int").alias("feature"))
     edges = None
     if all_edges:
-        edges = cut(reduce(lambda a, b: a.union(b), all_edges).distinct(), "alledges")
+        edges = cut(_all(all_edges).select("tid", "feature", "bit", "child").distinct(), "alledges")
         # of a rule list's split, the side that gains more by growing does so, and the other one is a leaf
-        both = F.sum("cleaf") - F.max(F.col("cleaf") - F.col("value")) if rule_list else F.sum("value")
+        both = F.sum("cleaf") - F.max(F.col("cleaf") - F.col("value")) if rules.rule_list else F.sum("value")
         base = tasks.select("tid", "leaf", own.alias("own"))
         for _ in range(level):
-            held = edges.join(value.select(F.col("tid").alias("child"), F.col("leaf").alias("cleaf"), "value"), "child").groupBy("tid", "feature").agg(both.alias("v"), F.count("*").alias("c")).filter("c = 2")
+            held = edges.join(value.select(F.col("tid").alias("child"), F.col("leaf").alias("cleaf"), "value"), "child").groupBy("tid", "feature").agg(both.cast(layout.kind).alias("v"), F.count("*").alias("c")).filter("c = 2")
             low = held.groupBy("tid").agg(F.min(F.struct("v", "feature")).alias("b"))
             better = F.col("b.v") < F.col("own")
             value = cut(base.join(low, "tid", "left").select("tid", "leaf", F.when(better, F.col("b.v")).otherwise(F.col("own")).alias("value"), F.when(better, F.col("b.feature")).alias("feature")), "value")
-    trees = _trees(first["tid"], tasks, value, edges, rule_list, models)
+    trees = _trees(root, tasks, value, edges, rules.rule_list, models)
     cost = trees[0].cost
     graph = tasks.join(value.select("tid", F.col("value").alias("upper"), "feature"), "tid").select("tid", "size", "leaf", F.when(F.lit(done), F.col("upper")).otherwise(F.col("lower")).alias("lower"), "upper", "feature")
     if upper is not None and cost > upper:
@@ -195,6 +461,20 @@ def search(groups: DataFrame, features: int, classes: int, unit: int, *, time_li
     return Found(trees, cost if done else int(first["lower"]), done, level, history, graph, edges)
 
 
+def _blocks(frontier: DataFrame, n: int, tiny: int, size: int):
+    """The n open subproblems in lists of bounded length; those of up to ``tiny`` groups are in lists of their own. Of more
+    than ``AT_ONCE``, a partition at most is on the driver beside the lists."""
+    rows = frontier.select("tid", "size", "leaf", "budget", "rule")
+    held: tuple[list, list] = [], []
+    for r in rows.collect() if n <= AT_ONCE else rows.toLocalIterator():
+        own = held[r["size"] <= tiny]
+        own.append({"tid": r["tid"], "size": r["size"], "leaf": int(r["leaf"]), "budget": int(r["budget"]), "rule": list(r["rule"])})
+        if len(own) == (4096 if own is held[1] else size):
+            yield own.copy()
+            own.clear()
+    yield from (own for own in held if own)
+
+
 def _trees(root: str, tasks: DataFrame, value: DataFrame, edges: DataFrame | None, rule_list: bool, models: int) -> list[Node]:
     """The optimal trees. The rows they are made of come to the driver depth by depth, two jobs each; their number follows
     from the trees' leaves and the wanted number of trees."""

@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from test_search import ONE_HOT, brute
 
+from sylvaframe.operators import captures
+from sylvaframe.operators.captures import Layout
 from sylvaframe.plans import levels
 from sylvaframe.plans.estimator import OptimalTree, _runs
 from sylvaframe.plans.local import Problem, Search
@@ -29,15 +31,24 @@ def cost_of(tree, rows, price, at, unit, listed):
     return sum(cost_of(c, rows, price, side, unit, listed) for c, side in zip(tree.children, (yes, no)))
 
 
-@pytest.mark.parametrize("seed, settings, small", [(1, {}, 0), (2, {"rule_list": True}, 0), (3, {"look_ahead": False}, 20), (4, {"models": 4}, 0), (5, {"rule_list": True, "models": 4}, 20), (6, {"continuous": False}, 20)])
-def test_levels_equal_brute_force(spark, seed, settings, small):
+def by_levels(spark, rows, counts, unit, small, listed=False, models=1, settings={}, cost=((0, 1), (1, 0))):
+    """Each bit is a column of one category."""
+    names, held = [f"r{i}" for i in range(len(rows[0]))], [f"n{j}" for j in range(len(counts[0]))]
+    df = spark.createDataFrame([(*b, *c) for b, c in zip(rows, counts)], ", ".join([*[f"{x} int" for x in names], *[f"{x} long" for x in held]])).repartition(3)
+    layout = Layout.of([1] * len(names), [False] * len(names), cost, unit, sum(map(sum, counts)))
+    rules = levels.Rules(listed, settings.get("look_ahead", True), settings.get("continuous", True), settings.get("exchange", True), settings.get("similar", True))
+    return levels.search(captures.chunked(df, names, held, layout), layout, small=small, rules=rules, models=models)
+
+
+@pytest.mark.parametrize("seed, settings, small", [(1, {}, 0), (2, {"rule_list": True}, 0), (3, {"look_ahead": False}, 20), (4, {"models": 4}, 0), (5, {"rule_list": True, "models": 4}, 20), (6, {"continuous": False}, 20), (7, {"similar": False}, 0), (8, {"exchange": False}, 0)])
+def test_levels_equal_brute_force(spark, monkeypatch, seed, settings, small):
+    monkeypatch.setattr(levels, "PAIRED", 2)
     rows, counts = random_table(seed)
     n = sum(map(sum, counts))
     unit, listed, models = max(1, n // 20), settings.get("rule_list", False), settings.get("models", 1)
     price = [[c[1], c[0]] for c in counts]
     want = brute(rows, counts, [[0, 1], [1, 0]], unit, listed)
-    df = spark.createDataFrame([(i, list(b), p, min(p)) for i, (b, p) in enumerate(zip(rows, price))], "gid long, bits array<int>, price array<long>, least long")
-    found = levels.search(df, len(rows[0]), 2, unit, small=small, runs=[-1] * len(rows[0]), **settings)
+    found = by_levels(spark, rows, counts, unit, small, listed, models, settings)
     assert found.done and found.lower == want and all(cost_of(t, rows, price, range(len(rows)), unit, listed) == t.cost == want for t in found.trees)
     near = Search(Problem(np.array(rows), counts, [[Fraction(0), Fraction(1)], [Fraction(1), Fraction(0)]], Fraction(unit)), rule_list=listed)
     root, _, _ = near.run()
@@ -87,13 +98,3 @@ def test_settings_hold_at_any_size(spark):
         near, far = (OptimalTree({"regularization": 0.02, **more, **where}).fit(df) for where in ({}, {"local_cells": 0}))
         assert bool(near.trees) == bool(far.trees) and (not near.trees or near.tree.objective() == pytest.approx(far.tree.objective()))
         assert not near.trees or len(far.trees) > 1 or more.get("model_limit", 1) < 2
-
-
-def test_special_objective_beyond_the_bound(spark):
-    """Beyond local_cells a whole-tree search goes on over the predicates that part the classes best."""
-    rng = random.Random(3)
-    rows = [(*(rng.randint(0, 1) for _ in range(8)),) for _ in range(500)]
-    df = spark.createDataFrame([(*r, int(r[2] or r[5]) if rng.random() < 0.9 else 0) for r in rows], ", ".join([*[f"f{i} int" for i in range(8)], "y int"]))
-    full, few = (OptimalTree({"objective": "f1", "regularization": 0.02, "local_cells": cells}).fit(df) for cells in (2_000_000, 100))
-    assert full.summary["proven"] and not few.summary["proven"] and few.summary["searched"] < 8
-    assert few.summary["risk"] == pytest.approx(full.summary["risk"]) and few.tree.features() == {"f2", "f5"}
