@@ -145,6 +145,18 @@ def _number(text: str) -> Fraction | None:
         return Fraction(0) if text.strip("+-") == "." else None
 
 
+def shortened(column: str, precision: int) -> Column:
+    """The text of a number at so many significant digits."""
+
+    @F.pandas_udf("string")
+    def short(value: pd.Series) -> pd.Series:
+        numbers = [_number(v) for v in value]
+        cut = (None if x is None else _limit(int(x) if x.denominator == 1 else x, precision) for x in numbers)
+        return pd.Series([v if x is None else str(x) if isinstance(x, int) else repr(float(x)) for v, x in zip(value, cut)], dtype=object)
+
+    return short(column)
+
+
 def codex(df: DataFrame, target: str, columns: list[str] | None = None, precision: int = 0, limit: int = 100_000) -> Codex:
     """Predicates of all columns in order. The distinct values are found once and stored; numbers are brought to the wanted
     precision by the executors; and the driver gets the values, of which the predicates are made, only after they have
@@ -157,14 +169,8 @@ def codex(df: DataFrame, target: str, columns: list[str] | None = None, precisio
     wanted = [c for c in columns if c in kinds and kinds[c]["type"] != "Redundant"]
     values = found.filter(F.col("value").isNotNull() & F.col("col").isin([*wanted, target])).select("col", "value")
     if precision:
-
-        @F.pandas_udf("string")
-        def short(value: pd.Series) -> pd.Series:
-            numbers = [_number(v) for v in value]
-            return pd.Series([v if x is None else str(_limit(int(x) if x.denominator == 1 else x, precision)) for v, x in zip(value, numbers)], dtype=object)
-
         numeric = F.col("col").isin([c for c in wanted if kinds[c]["type"] in ("Integral", "Rational")])
-        values = cut(values.select("col", F.when(numeric, short("value")).otherwise(F.col("value")).alias("value")).distinct(), "short")
+        values = cut(values.select("col", F.when(numeric, shortened("value", precision)).otherwise(F.col("value")).alias("value")).distinct(), "short")
     n = values.count()
     if n > limit:
         raise ValueError(f"{n} distinct values would make as many predicates; set precision_limit, drop columns or raise predicate_limit ({limit})")
