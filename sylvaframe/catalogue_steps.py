@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import sources
 from .catalogue import COUNTS, FEATURES, GROUPS, LONG, TREE, bits, grouped, hist, query, read
-from .operators import bitmaps, costs, diagnosis, encode, profile, splits, steps
+from .operators import bitmaps, book, costs, diagnosis, encode, profile, splits, steps
 from .plans.config import Config
 from .plans.estimator import OptimalTree, OptimalTreeModel
 from .plans.tree import Leaf, Split, TreeModel
@@ -727,3 +727,44 @@ def reordered_predicates(spark, sf):
     s = splits.priced(hist(spark, sf), COUNTS)
     return s.select("feature", F.row_number().over(W.orderBy("loss", "feature")).alias("pos"))
 
+
+
+# The codex as tables, and searches above the bound of the driver's
+
+
+def _orders_book(spark, sf):
+    return book.book(read(spark, sf, "orders").select("o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus"), "o_orderstatus")
+
+
+_BOOK = """c AS (SELECT DISTINCT o_custkey AS v FROM orders), t AS (SELECT DISTINCT o_totalprice AS v FROM orders), s AS (SELECT DISTINCT o_orderpriority AS v FROM orders),
+n AS (SELECT (SELECT count(*) - 1 FROM c) AS nc, (SELECT count(*) - 1 FROM t) AS nt)"""
+
+
+@query(
+    f"""WITH {_BOOK} SELECT row_number() OVER (ORDER BY v) - 1 AS pos, 'o_custkey' AS col, '>=' AS relation, v::DOUBLE AS threshold, NULL::VARCHAR AS category FROM c WHERE v > (SELECT min(v) FROM c)
+UNION ALL SELECT nc + i, 'o_totalprice', '>=', round(0.5 * (v + p), 6), NULL FROM (SELECT v, lag(v) OVER (ORDER BY v) AS p, row_number() OVER (ORDER BY v) - 2 AS i FROM t), n WHERE p IS NOT NULL
+UNION ALL SELECT nc + nt + row_number() OVER (ORDER BY v) - 1, 'o_orderpriority', '==', NULL, v FROM s, n"""
+)
+def codex_table(spark, sf):
+    """All predicates of a table, with dense positions found over range partitions."""
+    rows = _orders_book(spark, sf).frame()
+    number = F.col("relation") == ">="
+    return rows.select("pos", "col", "relation", F.when(number, F.col("reference").cast("double")).alias("threshold"), F.when(~number, F.col("reference")).alias("category"))
+
+
+@query("SELECT o_orderkey, (dense_rank() OVER (ORDER BY o_custkey) - 1)::INTEGER AS custkey_rank, (dense_rank() OVER (ORDER BY o_totalprice) - 1)::INTEGER AS totalprice_rank, (dense_rank() OVER (ORDER BY o_orderpriority))::INTEGER AS priority_rank FROM orders")
+def codex_ranks(spark, sf):
+    """Rows as the ranks of their values: how many thresholds each reaches, or which category it is."""
+    rows = _orders_book(spark, sf).encoded(read(spark, sf, "orders"), ["o_orderkey"])
+    return rows.select("o_orderkey", F.col("r0").alias("custkey_rank"), F.col("r1").alias("totalprice_rank"), F.col("r2").alias("priority_rank"))
+
+
+@query(f"SELECT * FROM ({_special_sql(['d', 'o', 'q'])}) WHERE objective IN ('f1', 'auc')")
+def fit_special_states(spark, sf):
+    """Special objectives over whole trees as tables of states, proven without the driver's search."""
+    b = cut(_two(spark, sf).select("d", "o", "q", "label"), "bits")
+    rows = []
+    for objective in ("f1", "auc"):
+        m = OptimalTree({"regularization": 0.005, "objective": objective, "w": 2.0, "theta": 0.5, "local_cells": 0}).fit(b, "label")
+        rows.append((objective, round(float(m.summary["risk"]), 6), bool(m.summary["proven"])))
+    return spark.createDataFrame(rows, "objective string, risk double, proven boolean")

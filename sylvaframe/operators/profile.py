@@ -145,6 +145,10 @@ def _number(text: str) -> Fraction | None:
         return Fraction(0) if text.strip("+-") == "." else None
 
 
+class TooManyValues(ValueError):
+    """A codex that the driver should not hold; ``book.book`` makes it a table."""
+
+
 def shortened(column: str, precision: int) -> Column:
     """The text of a number at so many significant digits."""
 
@@ -173,7 +177,7 @@ def codex(df: DataFrame, target: str, columns: list[str] | None = None, precisio
         values = cut(values.select("col", F.when(numeric, shortened("value", precision)).otherwise(F.col("value")).alias("value")).distinct(), "short")
     n = values.count()
     if n > limit:
-        raise ValueError(f"{n} distinct values would make as many predicates; set precision_limit, drop columns or raise predicate_limit ({limit})")
+        raise TooManyValues(f"{n} distinct values would make as many predicates; set precision_limit, drop columns or raise predicate_limit ({limit})")
     held: dict[str, list[str]] = {}
     for r in values.collect():
         held.setdefault(r["col"], []).append(r["value"])

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import sources
+from ..operators import book as tables
 from ..operators import captures, costs, diagnosis, metrics
 from ..operators.captures import Layout
 from ..operators.encode import WORD, packed, ranks, ranks_of_words
-from ..operators.profile import Codex, codex
+from ..operators.profile import Codex, TooManyValues, codex
 from . import levels, special, states
 from .config import Config
 from .local import Node, Problem, Search
@@ -118,12 +119,20 @@ class OptimalTree:
         """target: a column, by default the last one."""
         c, began = self.config, time.monotonic()
         target = target or df.columns[-1]
-        book = codex(df, target, columns, c.precision_limit, c.predicate_limit)
+        try:
+            book = codex(df, target, columns, c.precision_limit, c.predicate_limit)
+        except TooManyValues:
+            book = tables.book(df, target, columns, c.precision_limit)  # the same predicates as a table
         classes = list(book.classes)
         y = F.col(target).cast("string")
-        words = packed(book, c.null_policy, ranked=True)
-        names = [f"w{k}" for k in range(len(words))]
-        counted = df.withColumns(ranks(book, c.null_policy)).select(*words, F.array(*[F.when(F.coalesce(y == k, F.lit(False)), 1).otherwise(0).cast("long") for k in classes]).alias("y") if classes else F.array().cast("array<long>").alias("y"))
+        y = F.array(*[F.when(F.coalesce(y == k, F.lit(False)), 1).otherwise(0).cast("long") for k in classes]).alias("y") if classes else F.array().cast("array<long>").alias("y")
+        if isinstance(book, Codex):
+            words = packed(book, c.null_policy, ranked=True)
+            names = [f"w{k}" for k in range(len(words))]
+            counted = df.withColumns(ranks(book, c.null_policy)).select(*words, y)
+        else:
+            names = [f"r{k}" for k in range(len(book.sizes))]
+            counted = book.encoded(df, [y], c.null_policy)
         per = [F.sum(F.col("y")[k]).alias(f"n{k}") for k in range(len(classes))]
         groups = counted.groupBy(*names).agg(F.count("*").alias("n"), *per) if names else counted.agg(F.count("*").alias("n"), *per)
         groups = groups.persist()
@@ -152,7 +161,8 @@ class OptimalTree:
         k = len(book)
         history: list[tuple] = []
         graph: tuple = ()
-        if g * max(k, 1) <= c.local_cells:
+        local = g * max(k, 1) <= c.local_cells and isinstance(book, Codex)
+        if local:
             rows = groups.collect()
             bits, at = _bits(rows, names, k)
             problem = Problem(bits, [[rows[i][f"n{j}"] for j in range(len(classes))] for i in at], table, penalty, _runs(book))
@@ -182,7 +192,7 @@ class OptimalTree:
             known = None
             if c.look_ahead and k:
                 # the best tree over the predicates that part the classes best is one that all predicates allow
-                few, own, chosen = _narrowed(groups, names, [f for _, f in levels.impurities(chunks, layout)], len(classes), NARROW)
+                few, own, chosen = _narrowed(groups, names, book, [f for _, f in levels.impurities(chunks, layout)], len(classes), NARROW)
                 rows = few.collect()
                 bits, at = _bits(rows, own, len(chosen))
                 first = Search(Problem(bits, [[rows[i][f"n{j}"] for j in range(len(classes))] for i in at], table, penalty), rule_list=c.rule_list, time_limit=min(NARROW_SECONDS, c.time_limit or NARROW_SECONDS))
@@ -199,11 +209,12 @@ class OptimalTree:
             nodes = found.trees if c.model_limit else []
             root, lower, done, iterations = found.trees[0] if found.trees else None, found.lower, found.done, found.levels
             size, history, graph = int(found.history[-1][4]) if found.history else 0, found.history, (found.tasks, found.edges)
-        models, counts_of = [], _leaf_losses(groups, names, table, classes)
+        models, counts_of = [], _leaf_losses(groups, names, book, table, classes)
+        tests = _predicates(book, nodes)
         for node in nodes:
-            models.append(TreeModel(counts_of(_to_tree(node, book, classes, float(penalty), target)), c.null_policy))
+            models.append(TreeModel(counts_of(_to_tree(node, tests, classes, float(penalty), target)), c.null_policy))
         upper = float(Fraction(root.cost, scale)) if root else None
-        summary = {"time": time.monotonic() - began, "iterations": iterations, "size": size, "groups": g, "predicates": k, "opened": sum(int(h[5]) for h in history) if g * max(k, 1) > c.local_cells else iterations, "lowerbound": float(Fraction(int(lower), scale)), "upperbound": upper, "proven": bool(done), "status": 0 if done and nodes else 1, "non_binary": c.non_binary}
+        summary = {"time": time.monotonic() - began, "iterations": iterations, "size": size, "groups": g, "predicates": k, "opened": iterations if local else sum(int(h[5]) for h in history), "lowerbound": float(Fraction(int(lower), scale)), "upperbound": upper, "proven": bool(done), "status": 0 if done and nodes else 1, "non_binary": c.non_binary}
         summary["history"] = [(i, t, float(lo) / scale, float(up) / scale, size, queue, a, b) for i, t, lo, up, size, queue, a, b in history]
         if c.verbose:
             _say(f"{iterations} iterations, {size} subproblems, {summary['time']:.1f} s, bounds {summary['lowerbound']} and {upper}")
@@ -229,7 +240,7 @@ class OptimalTree:
             raise ValueError("special objectives need two classes")
         k = len(book)
         g = groups.count()
-        if g * max(k, 1) > c.local_cells:
+        if g * max(k, 1) > c.local_cells or not isinstance(book, Codex):
             ranked, rank_names, count_names, layout = _ranked(groups, names, book, [[0, 1], [1, 0]], 0, n)
             chunks = captures.chunked(ranked, rank_names, count_names, layout)
             risk, leaves, done, size = states.search(chunks, layout, c.objective, c.regularization, w=c.w, theta=c.theta, time_limit=c.time_limit, max_leaves=c.max_leaves, max_depth=c.max_depth, say=_say if c.verbose else None)
@@ -247,12 +258,14 @@ class OptimalTree:
         y = special.label(c.objective, c.w, p, q, p.sum(), q.sum())
         wrong = [float(b if z else a) / n for a, b, z in zip(p, q, y)]
 
+        tests = book.predicates if isinstance(book, Codex) else book.predicates(sorted({f for rule, _ in found for f in rule}))
+
         def grow(some: list[int], used: frozenset):
             if len(some) == 1:
                 i = some[0]
                 return Leaf(classes[int(y[i])], wrong[i], c.regularization, book.target)
             f = next(f for f in found[some[0]][0] if f not in used and all(f in found[i][0] for i in some))
-            t = book.predicates[f]
+            t = tests[f]
             a, b = ([i for i in some if found[i][0][f] is sign] for sign in (True, False))
             return Split(t.col, t.relation, t.reference, grow(a, used | {f}), grow(b, used | {f}), t)
 
@@ -270,22 +283,43 @@ def _bits(rows: list, names: list[str], k: int) -> tuple[np.ndarray, list[int]]:
     return np.array([[(rows[i][names[f // WORD]] >> (f % WORD)) & 1 for f in range(k)] for i in at], bool).reshape(len(rows), k), at
 
 
-def _narrowed(groups: DataFrame, names: list[str], order: list[int], classes: int, cells: int):
+def _bit(names: list[str], book: Codex | tables.Book, f: int):
+    """Whether a predicate holds, from the groups' words or ranks."""
+    if isinstance(book, Codex):
+        return F.shiftright(F.col(names[f // WORD]), f % WORD).bitwiseAND(F.lit(1).cast("long")) == 1
+    i, c = next((i, c) for i, c in enumerate(book.sizes) if book.first[c] <= f < book.first[c] + book.sizes[c])
+    at = f - book.first[c]
+    return F.col(names[i]) > at if book.is_ordered(c) else F.col(names[i]) == at + 1
+
+
+def _narrowed(groups: DataFrame, names: list[str], book: Codex | tables.Book, order: list[int], classes: int, cells: int):
     """For a first whole-tree search of tables with too many groups: the best predicates, as many as surely keep groups x
     predicates in bounds, and the groups of those alone. The best tree over them is an upper bound. order: best first."""
     counts = [f"n{j}" for j in range(classes)]
     size = 1
     while size < len(order) and (size + 1) << size + 1 <= cells:
         size += 1
-    chosen = sorted(order[:size])
-    words = [sum((F.shiftleft(F.shiftright(F.col(names[f // WORD]), f % WORD).bitwiseAND(F.lit(1).cast("long")), i % WORD) for i, f in enumerate(chosen) if i // WORD == w), F.lit(0).cast("long")).alias(f"w{w}") for w in range(-(-len(chosen) // WORD))]
-    few = groups.select(*words, "n", *counts).groupBy(*[f"w{w}" for w in range(len(words))]).agg(*[F.sum(x).alias(x) for x in ["n", *counts]])
-    return few, [f"w{w}" for w in range(len(words))], chosen
+    chosen = sorted(order[:size])  # fewer than a word holds
+    word = sum((F.when(_bit(names, book, f), F.lit(1 << i)).otherwise(0).cast("long") for i, f in enumerate(chosen)), F.lit(0).cast("long")).alias("w0")
+    return groups.select(word, "n", *counts).groupBy("w0").agg(*[F.sum(x).alias(x) for x in ["n", *counts]]), ["w0"], chosen
+
+
+def _predicates(book: Codex | tables.Book, nodes: list[Node]):
+    """What the trees' predicates are, by number."""
+    if isinstance(book, Codex):
+        return book.predicates
+    used, open_ = set(), list(nodes)
+    while open_:
+        node = open_.pop()
+        if node.predicate >= 0:
+            used.add(node.predicate)
+            open_ += node.children
+    return book.predicates(sorted(used))
 
 
 def _ranked(groups: DataFrame, names: list[str], book: Codex, cost: list[list[int]], unit: int, n: int):
     """The groups as ranks and counts, for searches over chunks: (groups, names of the ranks, names of the counts, layout)."""
-    columns = ranks_of_words(book, names)
+    columns = ranks_of_words(book, names) if isinstance(book, Codex) else [(F.col(r), n, book.is_ordered(c)) for r, (c, n) in zip(names, book.sizes.items())]
     counts = [f"n{j}" for j in range(len(cost))]
     ranked = groups.select(*[r.alias(f"r{i}") for i, (r, _, _) in enumerate(columns)], *counts)
     return ranked, [f"r{i}" for i in range(len(columns))], counts, Layout.of([s for _, s, _ in columns], [o for _, _, o in columns], cost, unit, n)
@@ -296,14 +330,14 @@ def _runs(book: Codex) -> np.ndarray:
     return np.array([columns[p.col] if p.relation == ">=" else -1 for p in book.predicates], int)
 
 
-def _to_tree(node: Node, book: Codex, classes: list[str], penalty: float, target: str):
+def _to_tree(node: Node, tests, classes: list[str], penalty: float, target: str):
     if node.predicate < 0:
         return Leaf(classes[node.label], 0.0, penalty, target)
-    p = book.predicates[node.predicate]
-    return Split(p.col, p.relation, p.reference, *(_to_tree(x, book, classes, penalty, target) for x in node.children), p)
+    p = tests[node.predicate]
+    return Split(p.col, p.relation, p.reference, *(_to_tree(x, tests, classes, penalty, target) for x in node.children), p)
 
 
-def _leaf_losses(groups: DataFrame, names: list[str], table, classes: list[str]):
+def _leaf_losses(groups: DataFrame, names: list[str], book: Codex | tables.Book, table, classes: list[str]):
     """Fills the leaves' losses in: one aggregation over the groups by leaf."""
     from dataclasses import replace
 
@@ -314,10 +348,8 @@ def _leaf_losses(groups: DataFrame, names: list[str], table, classes: list[str])
             if isinstance(node, Leaf):
                 order.append(node)
                 return F.lit(len(order) - 1)
-            p = node.predicate.pos
-            bit = F.shiftright(F.col(names[p // WORD]), p % WORD).bitwiseAND(F.lit(1).cast("long")) == 1
             yes = number(node.true)
-            return F.when(bit, yes).otherwise(number(node.false))
+            return F.when(_bit(names, book, node.predicate.pos), yes).otherwise(number(node.false))
 
         leaf = number(root)
         sums = {r["leaf"]: r for r in groups.groupBy(leaf.alias("leaf")).agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(len(classes))]).collect()}

@@ -5,10 +5,11 @@ tree itself is judged once, when the state is made; whatever else comes of the s
 the penalty of one leaf more and a floor of the loss, which lets all that is not settled fall apart into equivalence groups
 and so depends on the settled leaves alone. A round takes the open states of the lowest bounds:
 
-1. Their first open leaves are priced by all predicates in passes over the chunks of groups (see ``operators.captures``),
+1. Their open leaves are priced by all predicates in passes over the chunks of groups (see ``operators.captures``),
    each leaf once in the whole search; splits that part a leaf alike count once.
-2. Each state gives one in which that leaf is settled, whose floor is found anew from the leaves' distributions of positive
-   rates, and one for each split of it. Trees are judged in batches by numpy.
+2. Each of a state's open leaves is the next to be split once, the open leaves before it settled; the floor of that is found
+   from the leaves' distributions of positive rates, once for each set of settled leaves. Every split gives a tree, judged in
+   batches by numpy, and a state.
 3. The best tree so far is the one incumbent. States whose bound can't beat it go, and of states with the same settled and
    the same open leaves, told by their digest, one stays, ever.
 
@@ -168,8 +169,13 @@ def search(chunks: DataFrame, layout: Layout, objective: str, penalty: float, *,
             # the lowest bounds first; equal ones go together
             edge = frontier.approxQuantile("bound", [ROUND / n_open], 0.01)[0]
             now, later = frontier.filter(F.col("bound") <= edge), frontier.filter(F.col("bound") > edge)
-        now = now.withColumn("first", F.filter("leaves", lambda x: ~x["settled"])[0])
-        wanted = now.groupBy(F.col("first.id").alias("id")).agg(F.min("first.rule").alias("rule"))
+        # each open leaf is the next to be split once, those before it settled
+        now = now.withColumn("open", F.filter("leaves", lambda x: ~x["settled"])).select("leaves", "open", "floor", F.posexplode("open").alias("i", "first"))
+        now = now.withColumn("before", F.slice(F.col("open.id"), F.lit(1), F.col("i")))
+        now = now.withColumn("leaves", F.transform("leaves", lambda x: F.when(F.array_contains("before", x["id"]), x.withField("settled", F.lit(True))).otherwise(x)))
+        now = now.withColumn("own", F.transform(F.filter("leaves", lambda x: x["settled"]), lambda x: F.struct(x["id"], x["p"], x["n"]))).withColumn("key", F.concat_ws(",", "own.id"))
+        now = cut(now.filter(~shut(F.col("first")) & (F.size("leaves") < max_leaves if max_leaves else F.lit(True))), "now")
+        wanted = now.select("first").unionByName(now.select(F.explode(F.filter("leaves", lambda x: x["settled"])).alias("first"))).groupBy(F.col("first.id").alias("id")).agg(F.min("first.rule").alias("rule"))
         if priced is not None:
             wanted = wanted.join(priced, "id", "left_anti")
         for block in _leaves(wanted, layout.block):
@@ -177,34 +183,24 @@ def search(chunks: DataFrame, layout: Layout, objective: str, penalty: float, *,
             dists.append(cut(_rates(chunks, block, layout), "rates"))
             names = spark.createDataFrame([(r["id"],) for r in block], "id string")
             priced = names if priced is None else priced.union(names)
-        priced = None if priced is None else cut(priced, "priced")
-        # settled: the same tree, less freedom
-        settled = now.withColumn("leaves", F.transform("leaves", lambda x: F.when(x["id"] == F.col("first.id"), x.withField("settled", F.lit(True))).otherwise(x)))
-        settled = settled.filter(F.exists("leaves", lambda x: ~x["settled"])).select("leaves")
-        settled = _signed(settled).dropDuplicates(["sign"])
-        settled = settled.withColumn("own", F.transform(F.filter("leaves", lambda x: x["settled"]), lambda x: F.struct(x["id"], x["p"], x["n"]))).withColumn("key", F.concat_ws(",", "own.id"))
-        settled = cut(settled, "settled")
-        found = floors(settled.select("key", "own").dropDuplicates(["key"]), _all(dists))
-        settled = settled.join(found, "key").select("leaves", "sign", "floor", (F.col("floor") + penalty * (F.size("leaves") + 1)).alias("bound"))
-        # split: a leaf more
-        rows = now.filter(~shut(F.col("first")))
-        if max_leaves:
-            rows = rows.filter(F.size("leaves") < max_leaves)
-        rest = F.filter("leaves", lambda x: x["id"] != F.col("first.id"))
-        rows = rows.withColumn("rest", rest).select("rest", "first", "floor").join(_all(splits), F.col("first.id") == F.col("leaf")) if splits else None
-        made = None
-        if rows is not None:
-            sides = [_leaf(F.col(f"id{b}"), F.col(f"p{b}"), F.col(f"n{b}"), F.col(f"size{b}"), F.concat("first.rule", F.array(F.col("feature") + 1 if b else -(F.col("feature") + 1)))) for b in (0, 1)]
-            rows = rows.withColumn("leaves", F.concat("rest", F.array(*sides)))
-            rows = rows.withColumn("risk", judged(F.col("leaves.p"), F.col("leaves.n")) + penalty * F.size("leaves"))
-            rows = _signed(rows.select("leaves", "floor", "risk")).withColumn("bound", F.col("floor") + penalty * (F.size("leaves") + 1))
-            # a tree that could win, or a state from which one could come
-            made = cut(rows.filter((F.col("risk") < best - EPS) | (F.col("bound") < best - EPS)), "made")
-            low = made.orderBy("risk", "sign").first()
-            if low is not None and low["risk"] < best - EPS:
-                best, best_leaves = low["risk"], [x.asDict() for x in low["leaves"]]
-        new = settled if made is None else settled.unionByName(made.select("leaves", "sign", "floor", "bound").dropDuplicates(["sign"]))
-        new = new.filter(F.col("bound") < best - EPS).dropDuplicates(["sign"])
+        if priced is None or not splits:
+            break
+        priced = cut(priced, "priced")
+        found = floors(now.filter("i > 0").select("key", "own").dropDuplicates(["key"]), _all(dists)).withColumnRenamed("floor", "higher")
+        now = now.join(found, "key", "left").withColumn("floor", F.when(F.col("i") > 0, F.col("higher")).otherwise(F.col("floor")))
+        # a tree of it has a leaf more at least
+        now = now.filter(F.col("floor") + penalty * (F.size("leaves") + 1) < best - EPS)
+        rows = now.select(F.filter("leaves", lambda x: x["id"] != F.col("first.id")).alias("rest"), "first", "floor").join(_all(splits), F.col("first.id") == F.col("leaf"))
+        sides = [_leaf(F.col(f"id{b}"), F.col(f"p{b}"), F.col(f"n{b}"), F.col(f"size{b}"), F.concat("first.rule", F.array(F.col("feature") + 1 if b else -(F.col("feature") + 1)))) for b in (0, 1)]
+        rows = rows.withColumn("leaves", F.concat("rest", F.array(*sides)))
+        rows = rows.withColumn("risk", judged(F.col("leaves.p"), F.col("leaves.n")) + penalty * F.size("leaves"))
+        rows = _signed(rows.select("leaves", "floor", "risk")).withColumn("bound", F.col("floor") + penalty * (F.size("leaves") + 1))
+        # a tree that could win, or a state from which one could come
+        made = cut(rows.filter((F.col("risk") < best - EPS) | (F.col("bound") < best - EPS)), "made")
+        low = made.orderBy("risk", "sign").first()
+        if low is not None and low["risk"] < best - EPS:
+            best, best_leaves = low["risk"], [x.asDict() for x in low["leaves"]]
+        new = made.select("leaves", "sign", "floor", "bound").filter(F.col("bound") < best - EPS).dropDuplicates(["sign"])
         if not max_depth:
             new = new.join(_all(seen), "sign", "left_anti")
         frontier = cut(new.unionByName(later.select(*new.columns)) if later is not None else new, "states")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sylvaframe.operators import ordered, profile
 from sylvaframe.operators.book import book
+from sylvaframe.plans.estimator import OptimalTree
 
 
 @pytest.mark.parametrize("policy", ["reference", "sql"])
@@ -57,3 +58,35 @@ def test_ordered_over_ranges(spark):
     assert sorted(r.n for r in every) == list(range(1, 409)) and [r.n for r in sorted(every)] == list(range(1, 409))
     before = {(r.k, r.v): r.prev_v for r in ordered.previous(spread, ["k", "v"], ["v"]).collect()}
     assert before["b", 0] == 0 and before["a", 0] is None and before["c", 0] == 399
+
+
+def test_fit_beyond_the_driver(spark):
+    """More distinct values than the driver takes: the same tree, additive and special objectives alike."""
+    df = spark.range(3000).selectExpr("id % 119 as x", "cast(id % 5 as string) as z", "case when (id % 119 > 50 and id % 5 <> 2) or id % 97 = 0 then 'a' else 'b' end as y")
+    for more in ({}, {"objective": "f1", "max_leaves": 2}):
+        near, far = (OptimalTree({"regularization": 0.03, "predicate_limit": limit, **more}).fit(df, "y") for limit in (100_000, 100))
+        assert far.summary["proven"] and near.summary["proven"] and far.summary["predicates"] == near.summary["predicates"] == 122
+        assert far.tree.objective() == pytest.approx(near.tree.objective()) and far.error(df, "y") == pytest.approx(near.error(df, "y"))
+
+
+def test_resumed_level_by_level(spark, tmp_path):
+    """Each call takes one level and starts after the last committed one; the end is that of a search in one go."""
+    df = spark.range(400).selectExpr("id % 7 as x", "id % 5 as z", "case when (id % 7 > 3) <> (id % 5 > 1) and id % 11 <> 0 then 1 else 0 end as y")
+    base = {"regularization": 0.01, "local_cells": 0, "task_cells": 0}
+    whole = OptimalTree(base).fit(df, "y")
+    seen = []
+    for _ in range(12):
+        part = OptimalTree({**base, "checkpoint": str(tmp_path), "level_limit": 1}).fit(df, "y")
+        seen.append(part.iterations())
+        if part.summary["proven"]:
+            break
+    assert seen == list(range(1, len(seen) + 1)) and len(seen) > 1
+    assert part.summary["proven"] and part.tree.objective() == pytest.approx(whole.tree.objective())
+    assert OptimalTree({**base, "checkpoint": str(tmp_path)}).fit(df, "y").tree.objective() == pytest.approx(whole.tree.objective())
+
+
+def test_prices_beyond_63_bits(spark):
+    """Balanced classes whose sizes share no factor: one denominator for all costs has more than 63 bits."""
+    df = spark.range(9_000_045).selectExpr("case when id < 3000017 then 'a' when id < 6000016 then 'b' else 'c' end as y", "id % 1000 < 600 or id < 2900000 as f", "id % 7 = 0 or id > 6100000 as g")
+    near, far = (OptimalTree({"balance": True, "local_cells": cells, "regularization": 0.01}).fit(df, "y") for cells in (2_000_000, 0))
+    assert far.summary["proven"] and near.summary["upperbound"] == far.summary["upperbound"] and 0 < far.summary["upperbound"] < 0.68
