@@ -5,7 +5,7 @@ fingerprints of its parts, and because the threshold is the same for all texts,
 one holds estimates containment however unequal the documents are. Texts of at most ``WHOLE`` shingles retain all their
 hashes: between two of them containment is exact; against a larger text only their hashes below the threshold count, for
 only of those it is known whether the larger text has them. Where there are none, the sketches say nothing: ``likeness``
-is None, and who has the texts compares the full sets (``edited_fingerprints`` does).
+is None, and ``alike`` takes sketches of equal size that retain the same for equal and others for unlike.
 
 Written form: ``k:scale:n:`` followed by the retained hashes, ascending, five bytes each, in base64; n is the number of
 distinct shingles.
@@ -103,10 +103,10 @@ def likeness(a: Sketch, b: Sketch, scale: int = SCALE) -> float | None:
     return len(np.intersect1d(small, large, assume_unique=True)) / len(small)
 
 
-def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
-    """likeness of the sketches of two full sets, or of the sets themselves where the sketches can't tell."""
-    found = likeness(_scaled(a, scale), _scaled(b, scale), scale)
-    return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b)) if found is None else found
+def alike(a: Sketch, b: Sketch, scale: int = SCALE) -> float:
+    """likeness, also where the sketches can't tell: from the sketches alone, whatever the texts were."""
+    found = likeness(a, b, scale)
+    return float(a.n == b.n and np.array_equal(a.kept, b.kept)) if found is None else found
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, scale: int = SCALE) -> DataFrame:
@@ -169,16 +169,16 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
                     continue
                 third = [len(t) // 3 for t in texts[:n]]
                 edited = [t[: len(t) - c] + x[:c] for t, x, c in zip(texts, texts[1:], third)]
-                own, new = shingle_sets(pa.array(texts, pa.string()), k), shingle_sets(pa.array(edited, pa.string()), k)
+                own, new = sketches(pa.array(texts, pa.string()), k, scale), sketches(pa.array(edited, pa.string()), k, scale)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([None if i == _NULL else i for i in ids[:n]], pa.int64()),
                         pa.array([len(t) for t in texts[:n]], pa.int64()),
                         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-                        pa.array([written(_scaled(x, scale), k, scale) for x in own[:n]], pa.string()),
-                        pa.array([written(_scaled(x, scale), k, scale) for x in new], pa.string()),
-                        pa.array([containment(a, b, scale) for a, b in zip(own, new)], pa.float64()),
-                        pa.array([containment(a, b, scale) for a, b in zip(own, own[1:])], pa.float64()),
+                        pa.array([written(x, k, scale) for x in own[:n]], pa.string()),
+                        pa.array([written(x, k, scale) for x in new], pa.string()),
+                        pa.array([alike(a, b, scale) for a, b in zip(own, new)], pa.float64()),
+                        pa.array([alike(a, b, scale) for a, b in zip(own, own[1:])], pa.float64()),
                     ],
                     names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
                 )
