@@ -1,0 +1,34 @@
+"""Searches in tasks where Python workers can't import this package: driver and workers start in a foreign folder."""
+
+import os
+import subprocess
+import sys
+from pathlib import Path
+
+ROOT = Path(__file__).resolve().parents[1]
+NAMES = ("fit_rule_list_levels", "codex_ranks")
+SCRIPT = """
+import importlib.util, sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").config("spark.checkpoint.dir", "file://" + sys.argv[3]).getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+spec = importlib.util.spec_from_file_location("__spark_entry__", sys.argv[1] + "/__spark_entry__.py")
+entry = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(entry)
+found = spark.range(1).mapInPandas(lambda parts: (p.assign(id=int(importlib.util.find_spec("sylvaframe") is not None)) for p in parts), "id long").first()[0]
+print("importable", found)
+for name in sys.argv[4].split(","):
+    print(name, entry.queries()[name](spark, sys.argv[2]).count() > 0)
+b = spark.range(300).selectExpr("id % 4 as x", "id % 3 as z", "case when id % 4 > 1 or id % 3 = 0 then 1 else 0 end as y")
+from sylvaframe.plans.estimator import OptimalTree
+for more in ({"task_cells": 0}, {"objective": "f1", "max_leaves": 2}):
+    print(OptimalTree({"regularization": 0.1, "local_cells": 0, **more}).fit(b, "y").summary["proven"])
+"""
+
+
+def test_workers_without_the_package(sf, tmp_path):
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", SCRIPT, str(ROOT), sf, str(tmp_path), ",".join(NAMES)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    said = done.stdout.split("\n")
+    assert done.returncode == 0, done.stderr[-3000:]
+    assert "importable 0" in said and [x for x in said if x] == ["importable 0", *[f"{n} True" for n in NAMES], "True", "True"]
