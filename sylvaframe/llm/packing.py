@@ -151,7 +151,6 @@ def packed(docs: DataFrame, tokenizer: str, *, window: int = WINDOW, end: int |
                         done.append(full)
                         held += window
                 yield from flushed(1)
-            pa.default_memory_pool().release_unused()  # a batch's buffers would stay with the worker
         for sequence in levels.rest():
             done.append(sequence)
             held += window

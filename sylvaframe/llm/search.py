@@ -195,7 +195,6 @@ def build(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", te
             for part in tx.slices(batch, "text", SEGMENT):
                 yield counted_segment(part.column("id"), part.column("text"), at, wanted)
                 at += 1
-            pa.default_memory_pool().release_unused()  # a batch's buffers would stay with the worker
 
     counted = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(count, COUNTED), "counted")
     total = counted.agg(F.sum("n_docs").alias("d"), F.sum("n_terms").alias("t")).first()
@@ -355,7 +354,7 @@ def _block(index: DataFrame, n_docs: int, part: list, k: int) -> DataFrame:
                     best[i] = held
                     if len(held) == k:
                         least[i] = max(int(least[i]), -held[-1][0])
-            pa.default_memory_pool().release_unused()
+            tx.returned()
         flat = [(i, d, -s) for i, held in best.items() for s, _, d in held]
         yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in flat], pa.int64()) for j in range(3)], names=["item", "doc", "score"])
 

@@ -6,6 +6,7 @@ Working arrays are bounded: callers pass slices of about ``SLICE_BYTES`` (one lo
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 
 import numpy as np
@@ -57,6 +58,15 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def returned() -> None:
+    """Give memory that is free back to the system: a worker keeps what its largest batch took, and it lives as long as its
+    executor, beside whatever other tasks need."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES):
     """Consecutive row slices of a batch with about ``limit`` bytes of text each."""
     _, offsets = buffers(batch.column(text))
@@ -66,6 +76,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES):
         end = min(max(end, start + 1), batch.num_rows)
         yield batch.slice(start, end - start)
         start = end
+    returned()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
