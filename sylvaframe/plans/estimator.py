@@ -253,6 +253,8 @@ class OptimalTree:
             log: list = []
             risk, found, done = special.search(bits, pos, neg, c.objective, c.regularization, w=c.w, theta=c.theta, time_limit=c.time_limit, max_leaves=c.max_leaves, max_depth=c.max_depth, priority=c.priority, iterations=c.iteration_limit, greedy=c.init_cart, log=log)
             size = log[-1][0] if log else 1
+            if c.profile:
+                sources.write_log(groups.sparkSession, log, c.profile)
             p = np.array([np.asarray(pos)[at].sum() for _, at in found], float)
             q = np.array([np.asarray(neg)[at].sum() for _, at in found], float)
         y = special.label(c.objective, c.w, p, q, p.sum(), q.sum())

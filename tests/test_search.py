@@ -183,3 +183,11 @@ def test_special(objective):
 
 def test_single_leaf_auc():
     assert special.loss("auc", [3], [4]) == pytest.approx(0.5)
+
+
+def test_log_of_a_special_search(spark, tmp_path):
+    """A row for each better tree, the last with the risk of the result."""
+    df = spark.range(60).selectExpr("id % 2 as a", "id % 3 as b", "case when id % 2 = 1 or id % 3 = 0 then 1 else 0 end as y")
+    model = OptimalTree({"objective": "f1", "regularization": 0.02, "profile": str(tmp_path / "log")}).fit(df, "y")
+    rows = spark.read.csv(str(tmp_path / "log"), header=True, sep=";", inferSchema=True).orderBy("state").collect()
+    assert rows and rows[-1].objective == pytest.approx(model.summary["risk"]) and rows[-1].leaves == model.leaves()
