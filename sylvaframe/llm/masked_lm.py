@@ -11,10 +11,14 @@ hash buckets, and such a token's probability is that of its bucket times the wor
 counts of all words. The counts of the more frequent of them (``NEAR`` at most) travel with the tasks, the others are
 joined. A word that the corpus doesn't have counts as one more token of its bucket, whichever it is.
 
-Training is plain numpy: each partition starts from the same weights, takes every token of its texts once by minibatch
-gradient steps, and the partitions' weights, weighted by their tokens, are averaged piece by piece on the executors. So the
-model depends on how the table is cut into partitions, though little; the same files and settings give the same model. The
-driver holds one model, whose size doesn't depend on the corpus.
+Training is plain numpy and doesn't depend on how the table is cut into partitions. The softmax starts from the words'
+frequencies. Rows are dealt by a hash of id and text into units of about ``UNIT`` bytes of text, and units into rounds: the
+first unit alone, the next 3, the next 12, and so on, fourfold, each token once. A round's shards (a unit each, or more
+where a round has more than ``MOST`` units) start from the same weights and sums of squared gradients, take their rows in
+the order of the hash by minibatch steps, and both are averaged, weighted by tokens, piece by piece on the executors. So the
+first round finds the region, and later averages are of models that differ little. The sums' order may change the last
+digits. The driver holds one model, whose size doesn't depend on the corpus. Rows of one id and one text fall into one
+shard.
 
 Defined cases: a null text, an empty one or one without words has no token and the score 0 (mean null); a text of one
 word is predicted from no neighbour; very long texts are scored whole, a batch of tokens after another with the neighbours
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import least_count, shipped, stored
+from .common import least_count, shipped, stored, utf8_size
 
 SIDE = 2
 DIM = 16
@@ -41,7 +45,11 @@ CLASSES = 64
 MEMBERS = 64
 BUCKETS = 256
 BATCH = 8192
+#: Tokens of a training step.
+STEP = 2048
 RATE = 0.4
+#: Bytes of text of a unit of training, and the most shards of a round.
+UNIT, MOST = 16 << 20, 20_000
 #: Logits up to this size are exponentiated as they are.
 SAFE = 40.0
 PIECE = 8192
@@ -207,8 +215,9 @@ def _tokens(part: pa.RecordBatch, vocabulary: np.ndarray, rank: np.ndarray, buck
     return ids, doc, h
 
 
-def vocabulary(docs: DataFrame, size: int, text_col: str = "text", near: int | None = None) -> tuple[Words, np.ndarray]:
-    """The most frequent words of the corpus with the counts of all others, and their ranks. Every word is counted."""
+def vocabulary(docs: DataFrame, size: int, text_col: str = "text", near: int | None = None) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The most frequent words of the corpus with the counts of all others, their ranks, and their own counts. Every word is
+    counted."""
     near = NEAR if near is None else near
 
     def run(batches):
@@ -224,11 +233,12 @@ def vocabulary(docs: DataFrame, size: int, text_col: str = "text", near: int | N
     top = sorted(counts.filter(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["h"]))  # at most ``size`` words
     h = np.array([r["h"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(h)
+    often = np.array([r["n"] for r in top], float)
 
     total = np.ones(BUCKETS)
     for r in counts.groupBy(F.col("h").bitwiseAND(BUCKETS - 1).alias("b")).agg(F.sum("n").alias("n")).collect():  # a power of two
         total[r["b"]] += r["n"]
-    np.subtract.at(total, (h % np.uint64(BUCKETS)).astype(np.int64), np.array([r["n"] for r in top], float))
+    np.subtract.at(total, (h % np.uint64(BUCKETS)).astype(np.int64), often)
     # counts in eighths of powers of two: the highest levels that together hold at most ``near`` words beside the vocabulary
     level = F.floor(F.log2("n") * 8)
     seen = {r["level"]: r["c"] for r in counts.filter("n > 1").groupBy(level.alias("level")).agg(F.count("*").alias("c")).collect()}
@@ -244,52 +254,89 @@ def vocabulary(docs: DataFrame, size: int, text_col: str = "text", near: int | N
     mine, n = mine[rest], n[rest]
     by = np.argsort(mine)
     far = counts.filter((F.col("n") > 1) & (level < cut)) if cut > min(seen, default=cut) else None
-    return Words(h[order], mine[by], np.log(n[by]), np.log(total), far), order
+    return Words(h[order], mine[by], np.log(n[by]), np.log(total), far), order, often[order]
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", rounds: int = 1, rate: float = RATE):
-    """(vocabulary, ranks, weights): one pass over all tokens of all partitions a round."""
-    spark = docs.sparkSession
-    vocab, rank = vocabulary(docs, CLASSES * MEMBERS - BUCKETS, text_col)
+def _prior(vocab: Words, rank: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Fresh weights whose softmax gives the frequencies of words and buckets where nothing else is known."""
     net = Network.fresh()
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((vocab.top, rank, net.flat))
-
-        def train(batches):
-            v, r, flat = shared.value
-            own, past, seen = Network(flat.copy()), Network(), 0
-            for batch in batches:
-                for part in tx.slices(batch, "text"):
-                    ids, doc, _ = _tokens(part, v, r, BUCKETS)
-                    for i in range(0, len(ids), BATCH):
-                        own.step(ids[i : i + BATCH], doc[i : i + BATCH], np.float32(rate), past)
-                        seen += min(BATCH, len(ids) - i)
-            if seen:
-                n = -(-len(own.flat) // PIECE)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(n), pa.int64()), pa.array(np.full(n, TaskContext.get().partitionId() % MERGES), pa.int64()), pa.array(np.full(n, float(seen))), pa.array([(own.flat[k * PIECE : (k + 1) * PIECE].astype(np.float64) * seen).tobytes() for k in range(n)], pa.binary())],
-                    names=["piece", "merge", "seen", "sum"],
-                )
-
-        def add(tables):
-            """Sum the pieces of each key as they stream by."""
-            sums: dict = {}
-            for t in tables:
-                for key, seen, raw in zip(zip(t.column("piece").to_pylist(), t.column("merge").to_pylist()), t.column("seen").to_pylist(), t.column("sum").to_pylist()):
-                    x = np.frombuffer(raw)
-                    n, total = sums.get(key, (0.0, 0.0))
-                    sums[key] = n + seen, total + x
-            for (piece, merge), (seen, x) in sums.items():
-                yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int64()), "merge": pa.array([merge], pa.int64()), "seen": pa.array([seen]), "sum": pa.array([x.tobytes()], pa.binary())})
-
-        schema = "piece long, merge long, seen double, sum binary"
-        pieces = docs.select(F.col(text_col).alias("text")).mapInArrow(train, schema)
-        # the pieces of each key meet in one partition; first within a merge group, then across groups
-        merged = pieces.repartition("piece", "merge").mapInArrow(add, schema).withColumn("merge", F.lit(0).cast("long")).repartition("piece").mapInArrow(add, schema)
-        rows = sorted(merged.collect())
-        if rows:
-            net = Network(np.concatenate([np.frombuffer(r["sum"]) / r["seen"] for r in rows]).astype(np.float32))
-    return vocab, rank, net.flat
+    n = np.ones(CLASSES * MEMBERS)
+    n[:BUCKETS] = np.exp(vocab.total)
+    n[BUCKETS + rank] += counts
+    n = n.reshape(CLASSES, MEMBERS)
+    net.bc[:] = np.log(n.sum(axis=1) / n.sum())
+    net.bm[:] = np.log(n / n.sum(axis=1, keepdims=True))
+    return net.flat
+
+
+def _rounds(units: int) -> list[tuple[int, int]]:
+    """The units [first, end) of each round."""
+    out, first = [], 0
+    while first < units:
+        out.append((first, min(units, max(1, 4 * first))))
+        first = out[-1][1]
+    return out
+
+
+def _trained(rows: DataFrame, shards: int, shared, rate: float) -> list:
+    """(piece, tokens, sums) over the shards of a round. rows: (shard, h, text)."""
+
+    def train(batches):
+        v, r, state = shared.value
+        half, seen = len(state) // 2, 0
+        own, past = Network(state[:half].copy()), Network(state[half:].copy())
+        for batch in batches:
+            for part in tx.slices(batch, "text"):
+                ids, doc, _ = _tokens(part, v, r, BUCKETS)
+                for i in range(0, len(ids), STEP):
+                    own.step(ids[i : i + STEP], doc[i : i + STEP], np.float32(rate), past)
+                seen += len(ids)
+        if seen:
+            flat = np.concatenate([own.flat, past.flat]).astype(np.float64) * seen
+            n = -(-len(flat) // PIECE)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(n), pa.int64()), pa.array(np.full(n, TaskContext.get().partitionId() % MERGES), pa.int64()), pa.array(np.full(n, float(seen))), pa.array([flat[k * PIECE : (k + 1) * PIECE].tobytes() for k in range(n)], pa.binary())],
+                names=["piece", "merge", "seen", "sum"],
+            )
+
+    def add(tables):
+        """Sum the pieces of each key as they stream by."""
+        sums: dict = {}
+        for t in tables:
+            for key, seen, raw in zip(zip(t.column("piece").to_pylist(), t.column("merge").to_pylist()), t.column("seen").to_pylist(), t.column("sum").to_pylist()):
+                x = np.frombuffer(raw)
+                n, total = sums.get(key, (0.0, 0.0))
+                sums[key] = n + seen, total + x
+        for (piece, merge), (seen, x) in sums.items():
+            yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int64()), "merge": pa.array([merge], pa.int64()), "seen": pa.array([seen]), "sum": pa.array([x.tobytes()], pa.binary())})
+
+    schema = "piece long, merge long, seen double, sum binary"
+    pieces = rows.repartitionById(shards, "shard").sortWithinPartitions("h").select("text").mapInArrow(train, schema)
+    # the pieces of each key meet in one partition; first within a merge group, then across groups
+    merged = pieces.repartition("piece", "merge").mapInArrow(add, schema).withColumn("merge", F.lit(0).cast("long")).repartition("piece").mapInArrow(add, schema)
+    return sorted(merged.collect())
+
+
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, unit: int = UNIT):
+    """(vocabulary, ranks, weights): one pass over all tokens. unit: bytes of text of a unit of training."""
+    spark = docs.sparkSession
+    vocab, rank, counts = vocabulary(docs, CLASSES * MEMBERS - BUCKETS, text_col)
+    state = np.concatenate([_prior(vocab, rank, counts), Network().flat])
+    units = -(-(docs.select(utf8_size(text_col).alias("n")).agg(F.sum("n")).first()[0] or 0) // unit)
+    rounds = _rounds(units)
+    rows = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text")).filter("text <> ''").withColumn("unit", F.pmod("h", F.lit(max(1, units))))
+    # the last round reads the documents, those before it read their part of them, stored once
+    early = stored(rows.filter(F.col("unit") < rounds[-1][0]), "early") if len(rounds) > 1 else None
+    for first, end in rounds:
+        shards = min(MOST, end - first)
+        part = (rows if end == units else early).filter((F.col("unit") >= first) & (F.col("unit") < end))
+        shard = F.floor((F.col("unit") - first) * shards / (end - first)).cast("int")
+        shared = spark.sparkContext.broadcast((vocab.top, rank, state))
+        found = _trained(part.select(shard.alias("shard"), "h", "text"), shards, shared, rate)
+        if found:
+            state = np.concatenate([np.frombuffer(r["sum"]) / r["seen"] for r in found]).astype(np.float32)
+        shared.unpersist()
+    return vocab, rank, state[: len(state) // 2]
 
 
 def score(docs: DataFrame, model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 from helpers import WORD, awkward, components, empty, low, shingles
+from pyspark.sql import functions as F
 
 from sylvaframe.llm import fingerprint, language, masked_lm, neardup, oracles
 from sylvaframe.llm.graph import components as connected
@@ -279,6 +280,31 @@ def test_language_model_learns_order(spark):
     assert min(gaps) > 0.5, gaps
 
 
+def test_language_model_partitions(spark):
+    """Scores don't depend on how the table is cut, in one round or in several, and beat word frequencies well."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    words = [w for r in docs.collect() for w in (r.text or "").split()]
+    count = Counter(words)
+    plain = sum(n * math.log(n / len(words)) for n in count.values()) / len(words)
+    true = {}
+    for parts in (1, 8, 64):
+        model = masked_lm.fit(docs.repartition(parts))
+        true[parts] = masked_lm.score(docs, model).agg(F.sum("log_likelihood") / F.sum("n_tokens")).first()[0]
+    assert max(true.values()) - min(true.values()) < 1e-3 and min(true.values()) > plain + 0.5, (true, plain)
+    rng = random.Random(2)
+    mixed = spark.createDataFrame([(r.doc_id, " ".join(rng.sample(r.text.split(), len(r.text.split())))) for r in docs.collect() if r.text], "doc_id long, text string")
+    assert masked_lm.score(mixed, model).agg(F.sum("log_likelihood") / F.sum("n_tokens")).first()[0] < true[64] - 0.3
+    small = [masked_lm.fit(docs.repartition(parts), unit=300_000)[2] for parts in (1, 8)]
+    assert np.abs(small[0] - small[1]).max() < 1e-3
+    several = masked_lm.score(docs, (*model[:2], small[0])).agg(F.sum("log_likelihood") / F.sum("n_tokens")).first()[0]
+    assert several > plain + 0.4, (several, plain)
+
+
+def test_rounds():
+    assert masked_lm._rounds(0) == [] and masked_lm._rounds(1) == [(0, 1)]
+    assert masked_lm._rounds(52) == [(0, 1), (1, 4), (4, 16), (16, 52)]
+
+
 def test_vocabulary_cut(spark):
     """Words of the count at which the vocabulary would overflow are all left out."""
     texts = ["x x x x y y y z z z u u v w", "x y z"]
