@@ -43,6 +43,12 @@ def shipped(spark: SparkSession, value):
     return lambda: cloudpickle.loads(held.value)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns under numbers, which clash with no name of an operator's own, and each name's number."""
+    numbers = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*numbers.values()), numbers
+
+
 def clean(spark: SparkSession) -> None:
     """Delete all that this subpackage has stored below the shared folder: token files, too. Call it once no table that was
     read from there is wanted any more; a later query stores anew."""

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, word_count
+from .common import numbered, stored, word_count
 
 BITS = 12
 HASH_BITS = 60
@@ -96,9 +96,10 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     return rows.select(F.col("__id").alias(options.get("id_col", "doc_id")), F.col("__source").alias("source"), F.col("__size").alias("size"), "source_size", "target", (F.col("__size") * _copies()).alias("taken"), _copies().alias("copies"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its own columns."""
-    _, cuts = plan(docs, **options)
-    cuts = cuts.select(F.col("__source").alias("__s"), "__whole", "__cut")
-    rows = docs.withColumn("__hash", hash60(options.get("id_col", "doc_id"))).join(cuts, F.col(options.get("source_col", "source")).cast("string").eqNullSafe(F.col("__s")))
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), _copies()))).select(*docs.columns)
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each document as often as it is taken, with its own columns, whatever their names."""
+    held, number = numbered(docs)
+    _, cuts = plan(held, id_col=number[id_col], text_col=number[text_col], source_col=number[source_col], **options)
+    rows = held.withColumn("__hash", hash60(number[id_col])).join(cuts, F.col(number[source_col]).cast("string").eqNullSafe(F.col("__source")))
+    copies = rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), _copies())))
+    return copies.select(*number.values()).toDF(*docs.columns)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as tx
-from .common import stored
+from .common import numbered, stored
 from .graph import components
 
 SIZE = 64
@@ -255,13 +255,16 @@ def groups(docs: DataFrame, *, k: int = 5, percent: int = 80, size: int = SIZE,
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents of which one of each group stays (the least id), with their own columns; one row for each id."""
-    found = stored(groups(docs, id_col=id_col, text_col=text_col, **options).select(_id(id_col).alias("__i"), "kept"), "groups")
+    """The documents of which one of each group stays (the least id), with their own columns, whatever their names; one row
+    for each id."""
+    held, number = numbered(docs)
+    own = number[id_col]
+    found = stored(groups(held, id_col=own, text_col=number[text_col], **options).select(_id(own).alias("__i"), "kept"), "groups")
     gone = found.filter("not kept").select("__i").distinct()
     again = found.groupBy("__i").agg(F.count("*").alias("c")).filter("c > 1").select("__i")
     near = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    left = docs.join(near(gone), _id(id_col) == F.col("__i"), "left_anti")
-    if again.isEmpty():
-        return left
-    again = near(again)
-    return left.join(again, _id(id_col) == F.col("__i"), "left_anti").union(left.join(again, _id(id_col) == F.col("__i"), "left_semi").dropDuplicates([id_col]))
+    left = held.join(near(gone), _id(own) == F.col("__i"), "left_anti")
+    if not again.isEmpty():
+        again = near(again)
+        left = left.join(again, _id(own) == F.col("__i"), "left_anti").union(left.join(again, _id(own) == F.col("__i"), "left_semi").dropDuplicates([own]))
+    return left.toDF(*docs.columns)

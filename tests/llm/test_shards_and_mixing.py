@@ -7,7 +7,7 @@ import pytest
 from helpers import WORD, awkward, empty
 from pyspark.sql import functions as F
 
-from sylvaframe.llm import mixing, shards
+from sylvaframe.llm import mixing, neardup, shards
 from sylvaframe.llm.queries import QUERIES
 
 
@@ -144,3 +144,16 @@ def test_mix_awkward(spark):
     mixed = mixing.mixed(awkward(spark))
     assert mixed.columns == awkward(spark).columns and mixed.count() == sum(r.copies for r in rows)
     assert mixing.taken(empty(spark)).count() == 0 and mixing.mixed(empty(spark)).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like the operators' own come back as they were."""
+    names = ["__hash", "__copy", "__s", "__i", "__source", "__cut", "__whole", "c0", "c1", "c2"]
+    plain = awkward(spark)
+    rows = plain.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for stage in (mixing.mixed, neardup.deduplicated):
+        found = stage(rows)
+        assert found.columns == rows.columns
+        got = [r.asDict() for r in found.collect()]
+        assert all(r[n] == (None if r["doc_id"] is None else f"{n}{r['doc_id']}") for r in got for n in names)
+        assert sorted(str(tuple(r[c] for c in plain.columns)) for r in got) == sorted(str(tuple(r)) for r in stage(plain).collect())
