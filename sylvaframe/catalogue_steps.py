@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from . import sources
 from .catalogue import COUNTS, FEATURES, GROUPS, LONG, TREE, bits, grouped, hist, query, read
-from .operators import bitmaps, book, costs, diagnosis, encode, profile, splits, steps
+from .operators import bitmaps, book, captures, costs, diagnosis, encode, profile, splits, steps
+from .plans import levels
 from .plans.config import Config
 from .plans.estimator import OptimalTree, OptimalTreeModel
 from .plans.tree import Leaf, Split, TreeModel
@@ -55,6 +56,22 @@ def split_bounds(spark, sf):
     return steps.split_bounds(_sides(spark, sf), ["o"])
 
 
+@query(
+    f"""WITH {_BELOW}, {LONG.removeprefix(GROUPS + ", ")}, r0 AS (SELECT feature, bit, n, (n - greatest(n_a, n_n, n_r) + {UNIT})::BIGINT AS base, min_loss FROM hist), r AS (SELECT *, {_BOUND} FROM r0)
+SELECT '' AS path, feature, sum(lower)::BIGINT AS lower, sum(upper)::BIGINT AS upper FROM r GROUP BY feature HAVING count(*) = 2
+UNION ALL SELECT CASE o WHEN 1 THEN 'o' ELSE 'not o' END, feature, lower, upper FROM sp"""
+)
+def path_rivals(spark, sf):
+    """The bounds of all splits at the root and below both sides of o."""
+    names = ["o", "d", "q", "t"]
+    rows = grouped(spark, sf)
+    n = rows.agg(F.sum("n")).first()[0] or 0
+    layout = captures.Layout.of([1] * 4, [False] * 4, [[int(i != j) for j in range(3)] for i in range(3)], UNIT, n)
+    found = levels.rivals(captures.chunked(rows, names, COUNTS, layout), layout, [(), (1,), (-1,)])
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), F.col(at) + 1)
+    return found.select(pick(["", "o", "not o"], "node").alias("path"), pick(names, "predicate").alias("feature"), "lower", "upper")
+
+
 @query(f"WITH {_BELOW} SELECT * FROM sl")
 def split_bounds_rule_list(spark, sf):
     return steps.split_bounds(_sides(spark, sf), ["o"], rule_list=True)

@@ -254,6 +254,24 @@ def swept(chunks: DataFrame, rules: list[tuple[int, ...]], layout: Layout, finis
     return chunks.mapInArrow(sweep, "k int, sums binary").repartition("k").mapInArrow(merge, schema)
 
 
+def names(chunks: DataFrame, rules: list[tuple[int, ...]], layout: Layout) -> dict[tuple[int, ...], str]:
+    """The name of each rule's members, for as many rules as the driver holds."""
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for chunk in rows_of(batches, layout):
+            values = chunk.values()
+            for k, at in chunk.members(rules):
+                sums[k] = sums.get(k, 0) + values[:, at].sum(axis=1)
+        for k, x in sums.items():
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k] * len(x), pa.int32()), "v": pa.array(range(len(x)), pa.int32()), "x": pa.array(x)})
+
+    total = {k: np.zeros(layout.width, np.int64) for k in range(len(rules))}
+    for r in chunks.mapInArrow(add, "k int, v int, x long").groupBy("k", "v").agg(F.sum("x").alias("x")).collect():
+        total[r["k"]][r["v"]] = r["x"]
+    return {rules[k]: summary(x, layout)[3] for k, x in total.items()}
+
+
 @dataclass
 class Sides:
     """What both sides of every split hold; index 0: where the predicate is false. Arrays by predicate."""

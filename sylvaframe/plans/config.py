@@ -36,7 +36,7 @@ class Config:
     timing: str = ""
     profile: str = ""
     trace: str = ""  # folder for the subproblems and links of the search
-    tree: str = ""  # file for the splits on the best tree's paths, each with its rivals' bounds
+    tree: str = ""  # file for the best tree's paths; the bounds of all splits of its inner nodes go to this name and "-rivals"
     checkpoint: str = ""  # folder to which a search saves what it has solved (by levels: each level), and from which it goes on
     level_limit: int = 0  # levels that one call of a search by levels takes; 0: all
     objective: str = ""  # empty: additive costs

@@ -226,6 +226,8 @@ class OptimalTree:
                 summary["diagnosis"] = {"unresolved": diagnosis.unresolved(tasks, links).count(), "blocking": diagnosis.blocking(tasks, links).count()}
         if c.tree and models:
             sources.write_text(df.sparkSession, json.dumps(models[0].paths(), indent=2, default=str), c.tree)
+            if k:
+                self._rivals(groups, names, book, table, penalty, n, nodes[0]).write.mode("overwrite").json(f"{c.tree}-rivals")
         if c.model:
             sources.write_models(OptimalTreeModel(models, book, summary), df.sparkSession, c.model)
         if c.timing:
@@ -234,6 +236,33 @@ class OptimalTree:
             sources.write_profile(df.sparkSession, summary["history"], c.profile)
         return OptimalTreeModel(models, book, summary)
 
+    def _rivals(self, groups, names, book, table, penalty, n, root: Node) -> DataFrame:
+        """(path, predicate, test, chosen, lower, upper): the bounds of all splits of the inner nodes of the tree; the test is
+        given where the codex isn't a table, or the split is the chosen one."""
+        from math import lcm
+
+        spark = groups.sparkSession
+        scale = lcm(penalty.denominator, *[x.denominator for row in table for x in row])
+        ranked, rank_names, count_names, layout = _ranked(groups, names, book, [[int(x * scale) for x in row] for row in table], int(penalty * scale), n)
+        rules, chosen, open_ = [], [], [(root, ())]
+        while open_:
+            node, rule = open_.pop()
+            if node.predicate >= 0:
+                rules.append(rule)
+                chosen.append(node.predicate)
+                open_ += [(x, (*rule, sign * (node.predicate + 1))) for x, sign in zip(node.children, (1, -1))]
+        tests = _predicates(book, [root])
+        said = lambda f: f"{tests[f].col} {tests[f].relation} {tests[f].reference}"
+        path = lambda rule: " and ".join(said(x - 1) if x > 0 else f"not {said(-x - 1)}" for x in rule)
+        kinds = "node int, path string, chosen int"
+        own = spark.createDataFrame([(i, path(r), f) for i, (r, f) in enumerate(zip(rules, chosen))], kinds)
+        named = spark.createDataFrame([(f, said(f)) for f in (range(len(book)) if isinstance(book, Codex) else sorted(set(chosen)))], "predicate int, test string")
+        if not rules:
+            return own.select("path", F.lit(None).cast("int").alias("predicate"), F.lit(None).cast("string").alias("test"), F.lit(False).alias("chosen"), F.lit(0.0).alias("lower"), F.lit(0.0).alias("upper"))
+        found = levels.rivals(captures.chunked(ranked, rank_names, count_names, layout), layout, rules, self.config.rule_list)
+        share = lambda x: (F.col(x).cast("double") / F.lit(float(scale))).alias(x)
+        return found.join(own, "node").join(named, "predicate", "left").select("path", "predicate", "test", (F.col("predicate") == F.col("chosen")).alias("chosen"), share("lower"), share("upper"))
+
     def _special(self, groups, names, book, classes, n, began) -> OptimalTreeModel:
         c = self.config
         if len(classes) != 2:

@@ -448,12 +448,29 @@ def search(chunks: DataFrame, layout: Layout, *, time_limit: float = 0, max_leve
         # of a rule list's split, the side that gains more by growing does so, and the other one is a leaf
         both = F.sum("cleaf") - F.max(F.col("cleaf") - F.col("value")) if rules.rule_list else F.sum("value")
         base = tasks.select("tid", "leaf", own.alias("own"))
-        for _ in range(level):
+        # a subproblem may be met again on a longer path, so chains can be longer than the levels: until nothing changes
+        steps, before = 0, None
+        while True:
             held = edges.join(value.select(F.col("tid").alias("child"), F.col("leaf").alias("cleaf"), "value"), "child").groupBy("tid", "feature").agg(both.cast(layout.kind).alias("v"), F.count("*").alias("c")).filter("c = 2")
             low = held.groupBy("tid").agg(F.min(F.struct("v", "feature")).alias("b"))
             better = F.col("b.v") < F.col("own")
             value = cut(base.join(low, "tid", "left").select("tid", "leaf", F.when(better, F.col("b.v")).otherwise(F.col("own")).alias("value"), F.when(better, F.col("b.feature")).alias("feature")), "value")
-    trees = _trees(root, tasks, value, edges, rules.rule_list, models)
+            steps += 1
+            if steps >= level:
+                now = value.agg(F.sum(F.col("value").cast("decimal(38,0)"))).first()[0]
+                if now == before:
+                    break
+                before = now
+    if models == 1:
+        trees = _trees(root, tasks, value, edges, rules.rule_list)
+    else:
+        trees, wanted = [], models
+        while len(trees) < models:
+            some = _many(root, tasks, value, edges, rules.rule_list, wanted)
+            trees = _distinct(chunks, some, layout)[:models]
+            if len(some) < wanted:
+                break
+            wanted *= 4  # too many of them have the same leaves
     cost = trees[0].cost
     graph = tasks.join(value.select("tid", F.col("value").alias("upper"), "feature"), "tid").select("tid", "size", "leaf", F.when(F.lit(done), F.col("upper")).otherwise(F.col("lower")).alias("lower"), "upper", "feature")
     if upper is not None and cost > upper:
@@ -475,9 +492,95 @@ def _blocks(frontier: DataFrame, n: int, tiny: int, size: int):
     yield from (own for own in held if own)
 
 
-def _trees(root: str, tasks: DataFrame, value: DataFrame, edges: DataFrame | None, rule_list: bool, models: int) -> list[Node]:
-    """The optimal trees. The rows they are made of come to the driver depth by depth, two jobs each; their number follows
-    from the trees' leaves and the wanted number of trees."""
+def rivals(chunks: DataFrame, layout: Layout, rules: list[tuple[int, ...]], rule_list: bool = False) -> DataFrame:
+    """(node, predicate, lower, upper): the bounds of all splits that part the members of each rule, which is of signed
+    predicate numbers from 1; node is the rule's place. The rules come in blocks, each one pass over the chunks."""
+
+    def of(first: int, block: list) -> DataFrame:
+        def finish(k: int, sums: np.ndarray):
+            s = Splits.of(sums, layout)
+            low, up = s.bounds(rule_list)
+            at = np.flatnonzero(s.useful)
+            yield pa.RecordBatch.from_pydict({"node": pa.array([first + k] * len(at), pa.int32()), "predicate": pa.array(at, pa.int32()), "lower": _column(low[at], layout), "upper": _column(up[at], layout)})
+
+        return captures.swept(chunks, block, layout, finish, f"node int, predicate int, lower {layout.kind}, upper {layout.kind}")
+
+    return _all([of(i, rules[i : i + layout.block]) for i in range(0, len(rules), layout.block)])
+
+
+def _distinct(chunks: DataFrame, trees: list[Node], layout: Layout) -> list[Node]:
+    """The first tree of each partition of the groups into leaves."""
+
+    def leaves(node: Node, rule: tuple = ()):
+        if node.predicate < 0:
+            yield tuple(sorted(rule))
+        else:
+            for x, sign in zip(node.children, (1, -1)):
+                yield from leaves(x, (*rule, sign * (node.predicate + 1)))
+
+    rules = [list(leaves(t)) for t in trees]
+    name = captures.names(chunks, sorted({r for own in rules for r in own}), layout)
+    kept: dict = {}
+    for tree, own in zip(trees, rules):
+        kept.setdefault(frozenset(name[r] for r in own), tree)
+    return list(kept.values())
+
+
+def _many(root: str, tasks: DataFrame, value: DataFrame, edges: DataFrame | None, rule_list: bool, models: int) -> list[Node]:
+    """Up to ``models`` optimal trees. Splits whose sides together cost what their subproblem does are found by joins, and
+    followed downward from the root; then each subproblem's trees, as JSON and at most ``models`` of them, are put together
+    from its children's, upward until nothing changes. The driver sees the root's."""
+    text = lambda c: F.col(c).cast("string")
+    leaf = F.concat(F.lit("["), text("leaf"), F.lit(","), text("label"), F.lit("]"))
+    none = F.array().cast("array<string>")
+    own = F.concat(F.when(F.col("leaf") == F.col("value"), F.array(leaf)).otherwise(none), F.coalesce(F.when(F.col("cost") == F.col("value"), F.from_json("trees", "array<string>")), none))
+    nodes = cut(tasks.join(value.select("tid", "value"), "tid").select("tid", "value", "leaf", leaf.alias("shut"), F.slice(F.array_distinct(own), 1, models).alias("own")), "nodes")
+    if edges is None:
+        return [read(json.loads(x)) for x in nodes.filter(F.col("tid") == root).first()["own"]]
+    side = lambda c, b: F.max(F.when(F.col("bit") == b, F.col(c))).alias(f"{c}{b}")
+    below = edges.join(nodes.select(F.col("tid").alias("child"), F.col("value").alias("v"), "leaf", "shut"), "child")
+    both = below.groupBy("tid", "feature").agg(*[side(c, b) for c in ("child", "v", "leaf", "shut") for b in (0, 1)], F.count("*").alias("sides")).filter("sides = 2")
+    both = both.join(nodes.select("tid", "value"), "tid")
+    way = lambda turn, yes, no, a, b: [F.lit(turn).alias("turn"), yes.alias("yes"), no.alias("no"), a.alias("a"), b.alias("b")]
+    col, null = F.col, F.lit(None).cast("string")
+    if rule_list:
+        # one side is a leaf, the other one grows
+        first = both.filter("leaf1 + v0 = value").select("tid", "value", "feature", *way(0, null, col("child0"), col("shut1"), null))
+        ways = first.union(both.filter("leaf0 + v1 = value").select("tid", "value", "feature", *way(1, col("child1"), null, null, col("shut0"))))
+    else:
+        ways = both.filter("v0 + v1 = value").select("tid", "value", "feature", *way(0, col("child1"), col("child0"), null, null))
+    ways = cut(ways, "ways")
+    met = cut(nodes.filter(F.col("tid") == root).select("tid"), "met")
+    found = [met]
+    while not met.isEmpty():
+        down = ways.join(met, "tid").select(F.explode(F.array("yes", "no")).alias("tid")).filter("tid is not null").distinct()
+        met = cut(down.join(_all(found), "tid", "left_anti"), "met")
+        found.append(met)
+    reached = _all(found)
+    ways = cut(ways.join(reached, "tid", "left_semi"), "ways")
+    base = cut(nodes.join(reached, "tid", "left_semi").select("tid", "own"), "base")
+    grown, before = base.select("tid", F.col("own").alias("trees")), None
+    while True:
+        sides = [grown.select(F.col("tid").alias(c), F.col("trees").alias(f"of_{c}")) for c in ("yes", "no")]
+        rows = ways.join(sides[0], "yes", "left").join(sides[1], "no", "left")
+        rows = rows.withColumn("x", F.coalesce("of_yes", F.array("a"))).withColumn("y", F.coalesce("of_no", F.array("b"))).filter("size(x) > 0 and size(y) > 0")
+        # as many of the one side for each of the other as are surely enough
+        rows = rows.withColumn("y", F.slice("y", F.lit(1), F.ceil(F.lit(models) / F.size("x")).cast("int")))
+        start = F.concat(F.lit("["), text("value"), F.lit(","), text("feature"), F.lit(","))
+        made = F.flatten(F.transform("x", lambda a: F.transform("y", lambda b: F.concat(F.col("start"), a, F.lit(","), b, F.lit("]")))))
+        rows = rows.withColumn("start", start).select("tid", F.struct("feature", "turn", F.slice(made, 1, models).alias("made")).alias("w"))
+        more = rows.groupBy("tid").agg(F.flatten(F.array_sort(F.collect_list("w"))["made"]).alias("more"))
+        grown = cut(base.join(more, "tid", "left").select("tid", F.slice(F.array_distinct(F.concat("own", F.coalesce("more", none))), 1, models).alias("trees")), "trees")
+        now = grown.agg(F.sum(F.xxhash64("tid", "trees").cast("decimal(38,0)"))).first()[0]
+        if now == before:
+            break
+        before = now
+    return [read(json.loads(x)) for x in grown.filter(F.col("tid") == root).first()["trees"]]
+
+
+def _trees(root: str, tasks: DataFrame, value: DataFrame, edges: DataFrame | None, rule_list: bool) -> list[Node]:
+    """The optimal tree. The rows it is made of come to the driver depth by depth, two jobs each; their number follows from
+    its leaves."""
     rows: dict[str, dict] = {}
     splits: dict[str, dict[int, dict[int, str]]] = {}
     ask = [root]
@@ -486,9 +589,8 @@ def _trees(root: str, tasks: DataFrame, value: DataFrame, edges: DataFrame | Non
             rows[r["tid"]] = r.asDict()
         below: set[str] = set()
         if edges is not None:
-            own = edges.filter(F.col("tid").isin([t for t in ask if rows[t]["feature"] is not None or models > 1] or [""]))
-            if models == 1:
-                own = own.join(value.select(F.col("tid"), F.col("feature").alias("chosen")), "tid").filter("feature = chosen").drop("chosen")
+            own = edges.filter(F.col("tid").isin([t for t in ask if rows[t]["feature"] is not None] or [""]))
+            own = own.join(value.select(F.col("tid"), F.col("feature").alias("chosen")), "tid").filter("feature = chosen").drop("chosen")
             for r in own.collect():
                 splits.setdefault(r["tid"], {}).setdefault(r["feature"], {})[r["bit"]] = r["child"]
                 below.add(r["child"])
@@ -519,12 +621,4 @@ def _trees(root: str, tasks: DataFrame, value: DataFrame, edges: DataFrame | Non
                     for b in grow(no):
                         yield Node(int(r["value"]), predicate=f, children=(a, b))
 
-    out, signs = [], set()
-    for tree in grow(root):
-        sign = json.dumps(written(tree))
-        if sign not in signs:
-            signs.add(sign)
-            out.append(tree)
-        if len(out) >= max(1, models):
-            break
-    return out
+    return [next(grow(root))]
