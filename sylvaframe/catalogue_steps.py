@@ -538,12 +538,13 @@ def search_trace(spark, sf):
     subproblems whose value nothing supports."""
     path = folder(spark, "trace")
     model, _ = _fit(spark, sf, trace=path)
-    nodes, links = spark.read.json(f"{path}/nodes"), spark.read.json(f"{path}/links")
+    nodes, links = sources.read_graph(spark, path)
     whole = nodes.orderBy(F.desc("size")).first()
     loose = links.join(nodes.select("tid"), "tid", "left_anti").count()
     lost = diagnosis.unfounded(nodes.filter("lower = upper"), links).count()
-    scale = model.summary["upperbound"] / whole["upper"]
-    return spark.createDataFrame([(round(whole["upper"] * scale, 6), loose, lost)], "objective double, loose long, unfounded long")
+    upper = float(whole["upper"])
+    scale = model.summary["upperbound"] / upper
+    return spark.createDataFrame([(round(upper * scale, 6), loose, lost)], "objective double, loose long, unfounded long")
 
 
 @query(f"SELECT round(cost, 6) AS objective, true AS resumed FROM ({optimum_sql(FINE)})")

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ..operators import captures
 from ..operators.captures import Layout
+from ..sources import LINKS
 from ..store import cut
 from .local import Node, OutOfTime, Problem, Search
 
@@ -475,6 +476,8 @@ def search(chunks: DataFrame, layout: Layout, *, time_limit: float = 0, max_leve
     graph = tasks.join(value.select("tid", F.col("value").alias("upper"), "feature"), "tid").select("tid", "size", "leaf", F.when(F.lit(done), F.col("upper")).otherwise(F.col("lower")).alias("lower"), "upper", "feature")
     if upper is not None and cost > upper:
         trees = []
+    if edges is None:
+        edges = chunks.sparkSession.createDataFrame([], LINKS)
     return Found(trees, cost if done else int(first["lower"]), done, level, history, graph, edges)
 
 

@@ -97,12 +97,22 @@ def write_profile(spark: SparkSession, rows: list[tuple], path: str) -> None:
     spark.createDataFrame(rows, PROFILE).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+#: Subproblems and links of a search. Values in the problem's integers, of any size.
+NODES = "tid string, size long, leaf decimal(38,0), lower decimal(38,0), upper decimal(38,0), feature int"
+LINKS = "tid string, feature int, bit int, child string"
+
+
 def write_graph(tasks: DataFrame, edges: DataFrame, path: str) -> None:
     """The subproblem graph as node and link records."""
     tasks.write.mode("overwrite").json(f"{path}/nodes")
     edges.write.mode("overwrite").json(f"{path}/links")
 
 
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """What write_graph wrote. A tree that is one leaf has no link, and no record that could tell the columns."""
+    return spark.read.schema(NODES).json(f"{path}/nodes"), spark.read.schema(LINKS).json(f"{path}/links")
+
+
 def save_checkpoint(state: DataFrame, path: str) -> None:
     state.write.mode("overwrite").parquet(path)
 
