@@ -13,10 +13,11 @@
    sets without room for one as large as themselves never meet each other. Copies that are edited too much to be linked
    drop out here, before they form pairs.
 4. First each list links its members to one of them only, so a group of any size gives as many pairs as members. Then
-   the members of lists that still touch several components meet where they share one of their rarest values (see
-   ``_crossed``), never for a value that many texts have beside much of their own; who is outside a large component is
-   compared with it block by block, and only links come out. Pairs inside one component could not change the result and
-   are never made.
+   lists are left that touch several components. Who shares one with a large component and is outside of it is compared
+   with it block by block, and only links come out. The members of the other lists meet where they share one of their
+   rarest values (see ``_crossed``), never for a value that many texts have beside much of their own; the nodes of such a
+   value, if they are many, are compared in blocks, too. Pairs inside one component could not change the result and are
+   never made.
 5. The union sketch (the ``size`` smallest values of both) estimates the similarity and filters pairs; the full sets
    of what is left are compared exactly.
 6. Links become components by star contractions.
@@ -181,8 +182,9 @@ def _blocked(outside: DataFrame, members: DataFrame, sets: DataFrame, percent: i
     return guests.groupBy(*keys).cogroup(hosts.groupBy(*keys)).applyInPandas(compare, "a long, b long")
 
 
-def _crossed(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of nodes of different components: those that share one of their rarest values. In an order of
+def _crossed(nodes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Candidate pairs (a, b) of nodes of different components: those that share one of their rarest values. And the links
+    (a, b), if any, of those that share one with more than BLOCK nodes, which are compared in blocks instead. In an order of
     all values, rarest first, sets with the similarity share a value among the first n - ceil(n * t) + 1 of the larger one
     and the first m - ceil(m * 2t / (1 + t)) + 1 of the smaller one. So what many texts have in common makes no pair of those
     that differ in more than these shares. nodes: node, n, room, root."""
@@ -197,10 +199,16 @@ def _crossed(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     short = (n - F.ceil(n * (2 * percent) / F.lit(100.0 + percent) - 1e-9) + 1 - alone).cast("int")
     rows = held.withColumn("long", long).withColumn("short", short).filter("long > 0")
     rows = stored(rows.select("node", "n", "room", "root", "short", F.posexplode(F.slice("held", 1, F.col("long"))).alias("at", "h")).select("node", "n", "room", "root", F.col("h.v").alias("v"), (F.col("at") < F.col("short")).alias("first")), "rare")
+    heavy = stored(rows.groupBy("v").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK).select(F.col("v").alias("__v")), "heavy")
+    dense = None
+    if not heavy.isEmpty():
+        guests = rows.join(heavy, F.col("v") == F.col("__v"), "left_semi").select("node", "root", F.col("v").alias("main"), F.lit(0).cast("long").alias("members"))
+        dense = _blocked(guests, nodes.select("node", "root", F.lit(0).cast("long").alias("members")).filter("false"), sets, percent)
+        rows = rows.join(heavy, F.col("v") == F.col("__v"), "left_anti")
     x, y = (part.select(F.col("v").alias(f"v{c}"), F.col("node").alias(c), F.col("n").alias(f"m{c}"), F.col("room").alias(f"u{c}"), F.col("root").alias(f"r{c}")) for c, part in (("x", rows), ("y", rows.filter("first"))))
     larger = (F.col("mx") > F.col("my")) | ((F.col("mx") == F.col("my")) & (F.col("x") > F.col("y")))
     met = x.join(y, (F.col("vx") == F.col("vy")) & (F.col("rx") != F.col("ry")) & larger & _near("mx", "my", percent, "ux", "uy"))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), dense
 
 
 def groups(docs: DataFrame, *, k: int = 5, percent: int = 80, size: int = SIZE, common: int = COMMON, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,19 +238,24 @@ def groups(docs: DataFrame, *, k: int = 5, percent: int = 80, size: int = SIZE,
 
     labelled = lists.join(roots, lists["node"] == roots["node"], "left").select(lists["value"], lists["node"], lists["n"], lists["room"], F.coalesce(roots["root"], lists["node"]).alias("root"))
     labelled = stored(labelled, "labelled")
-    # lists that still touch several components: whoever is outside the list's largest one meets the members of others,
-    # or, in blocks, the whole of that one and who else is outside, if it is large
+    # lists that still touch several components: if the largest of these is large, as a whole and not only in this list,
+    # whoever is outside it meets it and who else is outside in blocks; else the members meet each other
     whose = labelled.select("node", "root").distinct()
     large = whose.groupBy("root").agg(F.count("*").alias("members")).filter(F.col("members") > LARGE)
-    sizes = labelled.groupBy("value", "root").agg(F.count("*").alias("c")).groupBy("value").agg(F.count("*").alias("k"), F.max(F.struct("c", "root")).alias("top")).filter("k > 1")
-    sizes = sizes.select(F.col("value").alias("__v"), F.col("top.root").alias("main")).join(large.select(F.col("root").alias("main"), "members"), "main", "left")
+    large = stored(large, "large")
+    of = large.select(F.col("root").alias("__r"), "members")
+    of = F.broadcast(of) if of.count() <= BROADCAST_IDS else of
+    held = labelled.groupBy("value", "root").agg(F.count("*").alias("c")).join(of, F.col("root") == F.col("__r"), "left")
+    sizes = held.groupBy("value").agg(F.count("*").alias("k"), F.max(F.struct("members", "c", "root")).alias("top")).filter("k > 1")
+    sizes = sizes.select(F.col("value").alias("__v"), F.col("top.root").alias("main"), F.col("top.members").alias("members"))
     open_ = stored(labelled.join(sizes, F.col("value") == F.col("__v")).drop("__v"), "open")
     outside = open_.filter("root <> main")
     blocks = _blocked(outside.filter("members is not null").select("node", "root", "main", "members").distinct(), whose.join(large, "root"), sets, percent)
-    cross = _crossed(open_.filter("members is null").select("node", "n", "room", "root").distinct(), sets, percent)
+    cross, dense = _crossed(open_.filter("members is null").select("node", "n", "room", "root").distinct(), sets, percent)
     tested = star.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
     cross = stored(cross.join(tested, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_anti"), "cross")
     more = stored(_verified(cross, classes, sets, percent, size, tau), "crosslinks").union(blocks)
+    more = more if dense is None else more.union(dense)
     # a document whose rows fall into several classes joins them
     joined = meta.filter("n > 0").groupBy("id").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("lo <> hi").select(F.col("id").alias("__i"))
     same = meta.join(joined, F.col("id") == F.col("__i"), "left_semi").join(digests.withColumnsRenamed({"n": "__n", "d1": "__d1", "d2": "__d2"}), (F.col("n") == F.col("__n")) & (F.col("d1") == F.col("__d1")) & (F.col("d2") == F.col("__d2"))).select(F.col("id").alias("a"), F.col("node").alias("b"))
